@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, line_dedup, minhash_dedup, sentence_pieces
+from . import chat, decontaminate, exact_dedup, language_model, licenses, line_dedup, minhash_dedup, sentence_pieces, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,10 +28,22 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chat(chat.with_marked(table(spark, sf_dir, "conversations"))))
 
@@ -36,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op3_exact_dedup, op4_minhash_dedup, op7_line_dedup, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_exact_dedup, op4_minhash_dedup, op5_toxicity, op6_lm_score, op7_line_dedup, op8_substring_dedup, op9_chat_format, op10_decontaminate)}
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_minhash_dedup": minhash_dedup.SQL,
