@@ -14,7 +14,9 @@ from .model import event_samples, ordered, read_table
 from .operators import asof, eta, events, intervals, locomotion, oscillation, preproc, pupil, reference, segments, select, spectral, summary
 from .plans import udf
 from .functions import labels
+from .shipping import shared_path
 from .sources import runs, tables
+from .streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -994,3 +996,28 @@ def n1_user_extractor(spark: SparkSession, sf: str) -> DataFrame:
         return None if len(part) < 3 else {"n": len(part), "spread": round(float(part["y"].max() - part["y"].min()), 6)}
 
     return udf.to_frame(event_samples(spark, sf).select("subject", "y"), spread, "n long, spread double", U)
+
+
+# --- Streams ----------------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = read_table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    t = (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / F.lit(1e6)).cast("double")
+    return rows.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), t.alias("t"), F.col("value").alias("y"))
+
+
+@register("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, event_type AS channel, value FROM events)
+SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, channel, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM w
+WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
+def s3_stream_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of a stream that the watermark has closed."""
+    made = online.drain(online.stream_summary(_event_stream(spark, sf), "6 hours"), shared_path(spark))
+    return made.select(F.unix_timestamp("window_start").alias("window_start"), "channel", "n", *r6("mean"), "max")
+
+
+@register()
+def s2_confirmed_bouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bouts of a stream, told as soon as they have lasted."""
+    return online.drain(online.confirmed_bouts(_event_stream(spark, sf), 30.0, 20000.0, 86400.0, "1 hour"), shared_path(spark))

@@ -1,8 +1,9 @@
-"""Sends this package to the executors' Python workers."""
+"""Sends this package to the executors' Python workers, and names folders that all of them share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,23 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(top.parent))
     context.addPyFile(str(target))
     _sent.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where the session has none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='stratoscope-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/stratoscope-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in that folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes what this application has written there; call it once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -55,3 +55,10 @@ def confirmed_bouts(samples: DataFrame, least: float, min_duration_s: float, mer
 
     held = samples.withWatermark(time, watermark).select(F.col(key).alias("subject"), time, "t", "y")
     return held.groupBy("subject").applyInPandasWithState(step, CONFIRMED, "start double, last double, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain(df: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over what is there now, in append mode, into Parquet below ``path``, and reads that."""
+    query = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
