@@ -3,7 +3,7 @@ import sys
 from conftest import documents
 
 import corpus_pipeline
-from stratoscope.llm.common import clear_staged
+from stratoscope.shipping import clear_shared
 
 
 def test_stages_take_effect_and_keep_clean_documents(spark, sf, monkeypatch):
@@ -24,7 +24,7 @@ def test_stages_take_effect_and_keep_clean_documents(spark, sf, monkeypatch):
     assert seen[5].where("not lossless").count() == 0
     final = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in final.select("doc_id").collect()} == ids[5]
-    clear_staged(spark)
+    clear_shared(spark)
 
 
 def test_odd_rows_and_empty_tables(spark, sf):
