@@ -89,6 +89,13 @@ def group_means(means: DataFrame) -> DataFrame:
     return means.groupBy("condition", "event_type", "roi", "rel_idx", "rel_time").agg(F.avg("mean").alias("mean"), sem_or_zero("mean").alias("sem"))
 
 
+def select_traces(traces: DataFrame, **levels: str) -> DataFrame:
+    """Traces of an event type, condition, task or ROI."""
+    for name, value in levels.items():
+        traces = traces.where(F.col(name) == value)
+    return traces
+
+
 def window_mean(traces: DataFrame, window: tuple[float, float], name: str = "window_mean", keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean over a closed window of rel_time per event and ROI."""
     held = traces.where(F.col("rel_time").between(window[0] - 1e-12, window[1] + 1e-12))

@@ -127,6 +127,7 @@ class BoutExtractor:
     min_duration_s: float = 0.0
     merge_gap_s: float = 0.0
     scale: float = 1.0
+    keys: Sequence[str] = KEYS
 
     def __call__(self, samples: DataFrame) -> DataFrame:
-        return bout_events(samples, self.least_speed, self.direction, self.min_duration_s, self.merge_gap_s, scale=self.scale)
+        return bout_events(samples, self.least_speed, self.direction, self.min_duration_s, self.merge_gap_s, scale=self.scale, keys=self.keys)

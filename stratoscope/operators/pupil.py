@@ -92,10 +92,14 @@ def session_baselines(inside: DataFrame, quiet: DataFrame, baseline_session: str
     return made.join(epochs, "subject").withColumn("few", (F.col("n_samples") < least_samples) | (F.col("n_quiescent_epochs_used") < least_epochs))
 
 
+def lacking_session(recordings: DataFrame, session: str) -> DataFrame:
+    """Subjects without the session."""
+    return recordings.select("subject").distinct().join(recordings.where(F.col("session") == session).select("subject"), "subject", "left_anti")
+
+
 def require_session(recordings: DataFrame, session: str) -> None:
-    """Fails, naming the subjects that lack the session."""
-    lacking = recordings.select("subject").distinct().join(recordings.where(F.col("session") == session).select("subject"), "subject", "left_anti")
-    if found := [r["subject"] for r in lacking.orderBy("subject").limit(20).collect()]:
+    """Fails, naming the first twenty subjects that lack the session."""
+    if found := [r["subject"] for r in lacking_session(recordings, session).orderBy("subject").limit(20).collect()]:
         raise ValueError(f"no session {session} for {found}")
 
 
