@@ -17,8 +17,13 @@ from .components import components
 COORDINATES = 64
 #: Of 64 coordinates, pairs of a similarity of 0.8 agree on 51.2 in the mean, 3.2 being the standard deviation; fewer than 38 come about twice in 100,000 such pairs.
 LEAST_EQUAL = 38
+#: Rounds in which nodes of different components meet a few others of their list before all are tried, and how many sit together.
+ROUNDS = 1
+TABLE = 4
 SHINGLE = 4
 PERCENT = 80
+#: Classes of shingles, by hash, whose numbers bound what two sets can share.
+CELLS = 128
 MEMO = 1 << 19
 
 _random = np.random.default_rng(20240229)
@@ -82,7 +87,13 @@ def _signatures(size: int) -> Callable[[], Callable[[list[bytes]], list[pa.Array
 def _sets(size: int) -> Callable[[], Callable[[list[bytes]], list[pa.Array]]]:
     def make() -> Callable[[list[bytes]], list[pa.Array]]:
         words = _WordHash()
-        return lambda texts: [pa.array([shingle_set(x, words, size).tobytes() for x in texts], pa.binary())]
+
+        def work(texts: list[bytes]) -> list[pa.Array]:
+            sets = [shingle_set(x, words, size) for x in texts]
+            cells = [np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) for s in sets]
+            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.list_(pa.int32()))]
+
+        return work
 
     return make
 
@@ -92,17 +103,49 @@ def _equal(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _similar_size(a: str, b: str, percent: int) -> Column:
-    return (F.lit(100) * F.least(a, b)) >= F.lit(percent) * F.greatest(a, b)
+def _masked(tokens: str, sig: str) -> Column:
+    """The signature with null on the coordinates that aren't posted."""
+    at = F.transform(tokens, lambda x: F.shiftright(x, 32).cast("int"))
+    return F.transform(sig, lambda v, i: F.when(F.array_contains(at, i), v))
+
+
+def _match(x: str, y: str, percent: int, least_equal: int) -> Column:
+    """Whether two postings of one list are a candidate pair: the shingles that others have too allow it, no earlier list
+    has the pair too, enough coordinates agree, and the numbers of shingles in each cell allow it."""
+    most = F.aggregate(F.zip_with(f"cells{x}", f"cells{y}", lambda a, b: F.least(a, b)), F.lit(0), lambda n, v: n + v)
+    common = F.array_position(F.zip_with(f"own{x}", f"own{y}", lambda a, b: a == b), True)
+    return (
+        _possible(f"n{x}", f"m{x}", f"n{y}", f"m{y}", percent)
+        & (common == F.shiftright("token", 32) + 1)
+        & (_equal(f"sig{x}", f"sig{y}") >= least_equal)
+        & (F.lit(100) * most >= F.lit(percent) * (F.col(f"n{x}") + F.col(f"n{y}") - most))
+    )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; docs: (id, t)."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = map_text(docs.join(needed, "id", "left_semi"), ["id"], "t", _sets(size), [T.StructField("s", T.BinaryType())])
-    sets = staged(own.groupBy("id").agg(F.max("s").alias("s")))
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
+def _possible(n1: str, m1: str, n2: str, m2: str, percent: int) -> Column:
+    """Whether sets of n shingles, m of which others have too, can be similar enough."""
+    most = F.least(m1, m2)
+    return F.lit(100) * most >= F.lit(percent) * (F.col(n1) + F.col(n2) - most)
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 2):
+            sets = [np.frombuffer(x, np.int64) for x in as_bytes(part.column(1))]
+            nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes, pa.int64())], names=["x", "node"])
+
+
+def _unshared(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many of a node's shingles no other node of the table has."""
+    once = sets.select("node", "s").mapInArrow(_shingle_rows, "x long, node long").groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets, (node, s), are similar enough."""
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +172,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     2. Signatures are posted under (coordinate, value). Values that occur once can't collide; a node must share at least
        ``least_equal`` of its values. Prefix: two nodes that agree on so many must meet in the rarest (shared - least_equal + 1) of
        either's shared values, so only these are posted, and the commonest values never form lists.
-    3. Each list joins its smallest node to the others whose sizes allow the similarity and whose signatures agree on enough
-       coordinates; these pairs are confirmed on the full sets, and linked nodes form components.
-    4. Skip: a list that now lies within one component is left out. In the rest, nodes outside of the smallest node's component
-       meet every node of another component, are confirmed likewise, and complete the components. So no possible link between two
-       components is left untried, while a list of copies of one text costs a row per node.
+    3. Nodes that are posted get their full sets, and the number of shingles that any other posted node has, which bounds what two of
+       them can share. Each list joins its smallest node to the others whose bounds allow the similarity and whose signatures agree on
+       enough coordinates; these pairs are confirmed on the full sets, and linked nodes form components.
+    4. Skip: a list that now lies within one component is left out. In the rest, nodes of different components first meet in small
+       tables of a list, dealt anew each round, which joins most of what belongs together. Then each node outside of the smallest node's
+       component meets every node of another component. So no possible link between two components is left untried, while a list of
+       near copies costs a few rows per node. A pair is met in its first common list only.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"))
@@ -145,31 +190,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = posted.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1").select(F.concat(F.col("token").cast("string"), F.lit("")).alias("token"), "n_token")
     own = posted.select("node", F.col("token").cast("string").alias("token")).join(shared, "token")
     prefix = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("x")).where(F.size("x") >= least_equal)
-    lists = prefix.select("node", F.explode(F.slice("x", F.lit(1), F.size("x") - (least_equal - 1))).alias("x")).select("node", "x.token")
-    post = staged(lists.join(nodes.select("node", "n", "sig"), "node"))
-
-    heads = post.groupBy("token").agg(F.min_by(F.struct("node", "n", "sig"), "node").alias("y"), F.count("*").alias("m")).where("m > 1")
-    heads = heads.select(F.concat("token", F.lit("")).alias("token"), F.col("y.node").alias("a"), F.col("y.n").alias("na"), F.col("y.sig").alias("siga"))
-    met = post.join(heads, "token").where((F.col("a") < F.col("node")) & _similar_size("na", "n", percent) & (_equal("siga", "sig") >= least_equal))
-    first = staged(_confirmed(staged(met.select("a", F.col("node").alias("b")).distinct()), source, percent, size))
-    linked = components(first)
-
-    named = staged(post.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_lists = named.groupBy("token").agg(F.min_by("component", "node").alias("head"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_lists = open_lists.where("low <> high").select(F.concat("token", F.lit("")).alias("token"), "head", "first")
-    members = staged(named.join(open_lists, "token"))
-    outside = members.where("component <> head").select(F.concat("token", F.lit("")).alias("token"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"), F.col("component").alias("ca"))
-    more = members.join(outside, "token").where(
-        (F.col("ca") != F.col("component"))
-        & (F.col("node") != F.col("first"))
-        & ((F.col("component") == F.col("head")) | (F.col("a") < F.col("node")))
-        & _similar_size("na", "n", percent)
-        & (_equal("siga", "sig") >= least_equal)
-    )
-    rest = staged(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-    links = first
-    if not rest.isEmpty():
-        links = staged(first.union(_confirmed(rest, source, percent, size)))
+    chosen = staged(prefix.select("node", F.transform(F.slice("x", F.lit(1), F.size("x") - (least_equal - 1)), lambda y: y.token.cast("long")).alias("tokens")))
+    own_sets = map_text(source.join(chosen.select(F.col("node").alias("id")), "id", "left_semi"), ["id"], "t", _sets(size), [T.StructField("s", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    sets = staged(own_sets.groupBy(F.col("id").alias("node")).agg(F.max("s").alias("s"), F.max_by("cells", "s").alias("cells")))
+    fit = chosen.join(nodes.select("node", "n", "sig"), "node").join(_unshared(sets), "node", "left").join(sets.select("node", "cells"), "node").withColumn("own", _masked("tokens", "sig"))
+    post = staged(fit.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "sig", "own", "cells", F.explode("tokens").alias("token")))
+
+    heads = post.groupBy("token").agg(F.min_by(F.struct("node", "n", "m", "sig", "own", "cells"), "node").alias("y"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), F.col("y.n").alias("na"), F.col("y.m").alias("ma"), F.col("y.sig").alias("siga"), F.col("y.own").alias("owna"), F.col("y.cells").alias("cellsa"))
+    met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _match("", "a", percent, least_equal))
+    links = staged(_confirmed(staged(met.select("a", F.col("node").alias("b")).distinct()), sets, percent))
+    linked = components(links)
+
+    for turn in range(ROUNDS + 1):
+        named = staged(post.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        open_lists = named.groupBy("token").agg(F.min_by("component", "node").alias("head"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
+        open_lists = open_lists.where("low <> high").select(F.bitwise_not("token").alias("k"), "head", "first", "c")
+        members = named.withColumn("k", F.bitwise_not("token")).join(open_lists, "k")
+        other = F.col("ca") != F.col("component")
+        if turn < ROUNDS:
+            seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("c") / TABLE))
+            left = members.select("k", "token", "node", "n", "m", "sig", "own", "cells", "component", seat.alias("seat"))
+            right = left.select("k", "seat", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("sig").alias("siga"), F.col("own").alias("owna"), F.col("cells").alias("cellsa"), F.col("component").alias("ca"))
+            more = left.join(right, ["k", "seat"]).where((F.col("a") < F.col("node")) & other & _match("", "a", percent, least_equal))
+        else:
+            members = staged(members)
+            right = members.where("component <> head").select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("sig").alias("siga"), F.col("own").alias("owna"), F.col("cells").alias("cellsa"), F.col("component").alias("ca"))
+            once = (F.col("component") == F.col("head")) | (F.col("a") < F.col("node"))
+            more = members.join(right, "k").where(other & (F.col("node") != F.col("first")) & once & _match("", "a", percent, least_equal))
+        pairs = staged(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        if pairs.isEmpty():
+            continue
+        links = staged(links.union(_confirmed(pairs, sets, percent)))
         linked = components(links)
 
     verdict = nodes.join(linked, "node", "left").select(F.concat("h", F.lit("")).alias("h"), F.coalesce("component", "node").alias("component"))
