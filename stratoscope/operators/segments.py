@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEYS, before_and_now, everything, ordered
+from ..model import KEYS, before_and_now, ordered
 
 
 def median_step(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
