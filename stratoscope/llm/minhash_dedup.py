@@ -24,7 +24,7 @@ SHINGLE = 4
 PERCENT = 80
 #: Classes of shingles, by hash, whose numbers bound what two sets can share.
 CELLS = 128
-MEMO = 1 << 19
+MEMO = 1 << 17
 
 _random = np.random.default_rng(20240229)
 MULTIPLIERS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -28,7 +28,7 @@ STEMS = (4, 5, 6)
 MOST_STEMS = 4096
 SURE = 0.95
 SCOPE = 2
-MEMO = 1 << 18
+MEMO = 1 << 16
 CLAUSE = re.compile(rb"[.!?;:|\n]+")
 FEATURES = 7
 
