@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 RATIO = 0.05
 MIN_PAGES = 3
 
@@ -36,12 +38,12 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     so it travels as one row per host: broadcast while Spark finds the table small, by a sort-merge join that Spark may
     split beyond that.
     """
-    found = (
+    found = staged(
         boilerplate_lines(docs, host_col, text_col, ratio, min_pages)
         .groupBy("host")
         .agg(F.collect_set("key").alias("__drop"))
         .select(F.concat("host", F.lit("")).alias("__host"), "__drop")
-    )
+    )  # written first, so that its size is known when the join is planned and texts aren't shuffled to meet a small table
     lines = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _line_key(x))))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
