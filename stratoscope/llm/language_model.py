@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -21,10 +21,10 @@ BLOCK_MB = 16
 CACHE = 0.15
 PRIOR = 0.05
 SHARED = 0.2
-#: Classes of texts, the rows that they are found from (a documented bound), and the common words that tell them apart.
+#: Classes of texts, and the common words that tell them apart.
 CLASSES = 4
-SAMPLE = 3000
 MARKS = 512
+ROUNDS = 25
 LOG10 = math.log(10)
 UNKNOWN_BYTE = math.log(1e-6)
 
@@ -111,52 +111,120 @@ class TextClasses:
 
 def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+        counts.clear()
+        return made
+
     for batch in batches:
         for text in as_bytes(batch.column(0)):
             counts.update(set(blank_words(text)))
-    rows = counts.most_common(20 * MARKS)
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["w", "n"])
+            if len(counts) > 400_000:
+                yield flush()
+    yield flush()
 
 
-def find_classes(blocks: DataFrame, classes: int = CLASSES, most: int = SAMPLE) -> TextClasses:
-    """Fits the classes to about ``most`` training rows at the most, chosen by a hash; one class where there are too few."""
-    own = blocks.where("not held")
-    n = own.count()
-    share = min(1.0, most / max(1, n))
-    sample = staged(own.where(F.pmod(F.xxhash64("id", "t", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).select("t"))
-    top = sample.mapInArrow(_mark_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(MARKS).collect()
-    marks = tuple(bytes(r["w"]) for r in top)
+def _mark_vectors(marks: tuple[bytes, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     place = {w: i for i, w in enumerate(marks)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for text in as_bytes(batch.column(0)):
-                row = [0] * len(marks)
-                for w in blank_words(text):
-                    if w in place:
-                        row[place[w]] += 1
-                made.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32()))], names=["x"])
-
-    x = np.array([r["x"] for r in sample.mapInArrow(count, "x array<int>").collect()], float)  # the sample's rows, MARKS numbers each
-    x = x[x.sum(axis=1) > 0] if len(x) else x
-    if len(x) < 20 * classes:
-        return TextClasses(marks, ((0.0,) * len(marks),), (1.0,))
-    unit = np.sqrt(x / x.sum(axis=1, keepdims=True))
-    seeds = [int(np.argmax(x.sum(axis=1)))]
+            made = [Counter(place[w] for w in blank_words(text) if w in place) for text in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([list(f(c)) for c in made], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values)], names=["i", "x"])
+
+    return run
+
+
+def _dense(batches: Iterator[pa.RecordBatch], m: int, step: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of the batches of (i, x), each with its rows' numbers by mark."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, step):
+            part = batch.slice(k, step)
+            at, n = (part.column(name) for name in ("i", "x"))
+            x = np.zeros((part.num_rows, m))
+            x[np.repeat(np.arange(part.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = n.flatten().to_numpy()
+            yield part, x
+
+
+def _likeness(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """By row and seed, the cosine of the roots of the marks' shares."""
+    return np.sqrt(x / x.sum(axis=1, keepdims=True)) @ np.sqrt(seeds / seeds.sum(axis=1, keepdims=True)).T
+
+
+def _least_like(seeds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The row of a task that is least like the seeds, the first of equal ones by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: tuple | None = None
+        for part, x in _dense(batches, seeds.shape[1]):
+            near = np.round(_likeness(x, seeds).max(axis=1), 9)
+            h = part.column("h").to_numpy()
+            k = int(np.lexsort((h, near))[0])
+            if best is None or (near[k], h[k]) < best[:2]:
+                best = (float(near[k]), int(h[k]), part.column("i")[k].as_py(), part.column("x")[k].as_py())
+        if best is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(("near", "h", "i", "x"), best, strict=True))], pa.schema([("near", pa.float64()), ("h", pa.int64()), ("i", pa.list_(pa.int32())), ("x", pa.list_(pa.int32()))]))
+
+    return run
+
+
+def _class_sums(m: int, assign: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's weights of the classes and their numbers by mark, as (place, sum)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for _, x in _dense(batches, m):
+            post = assign(x)
+            own = np.hstack([post.sum(axis=0)[:, None], post.T @ x]).ravel()
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "v"])
+
+    return run
+
+
+def find_classes(blocks: DataFrame, classes: int = CLASSES) -> TextClasses:
+    """Fits the classes to all training rows: the marks are the words in most of them, and a round's sums are made map-side."""
+    own = blocks.where("not held").select("t")
+    top = own.mapInArrow(_mark_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(MARKS).collect()
+    marks = tuple(bytes(r["w"]) for r in top)
+    m = len(marks)
+    if not m:
+        return TextClasses((), ((),) * classes, (1 / classes,) * classes)
+    vectors = own.mapInArrow(_mark_vectors(marks), "i array<int>, x array<int>").where(F.size("i") > 0)
+    rows = staged(vectors.withColumn("s", F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b)).withColumn("h", F.xxhash64("i", "x")))
+    n, median, first = rows.agg(F.count("*"), F.percentile_approx("s", 0.5), F.max(F.struct("s", "h", "i", "x"))).first()
+
+    def vector(r: Row) -> np.ndarray:
+        made = np.zeros((1, m))
+        made[0, r["i"]] = r["x"]
+        return made
+
+    seeds = vector(first)
     while len(seeds) < classes:  # rows that are unlike the seeds so far
-        near = (unit @ unit[seeds].T).max(axis=1)
-        long = x.sum(axis=1) >= np.median(x.sum(axis=1))
-        seeds.append(int(np.argmin(np.where(long, near, 2))))
-    post = np.eye(classes)[np.argmax(unit @ unit[seeds].T, axis=1)]
-    for _ in range(25):
-        prior = (post.sum(axis=0) + 1) / (len(x) + classes)
-        logs = post.T @ x + 0.1
+        found = rows.where(F.col("s") >= median).select("i", "x", "h").mapInArrow(_least_like(seeds), "near double, h long, i array<int>, x array<int>")
+        seeds = np.vstack([seeds, vector(found.orderBy("near", "h").first())])
+
+    def sums(assign: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        out = np.zeros(classes * (m + 1))
+        for r in rows.select("i", "x").mapInArrow(_class_sums(m, assign), "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():  # classes x (marks + 1)
+            out[r["place"]] = r["v"]
+        return out.reshape(classes, m + 1)
+
+    total = sums(lambda x: np.eye(classes)[np.argmax(_likeness(x, seeds), axis=1)])
+    for k in range(ROUNDS):
+        prior = (total[:, 0] + 1) / (n + classes)
+        logs = total[:, 1:] + 0.1
         logs = np.log(logs / logs.sum(axis=1, keepdims=True))
-        z = np.log(prior) + x @ logs.T
-        post = np.exp(z - z.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
+
+        def posterior(x: np.ndarray, prior: np.ndarray = prior, logs: np.ndarray = logs) -> np.ndarray:
+            z = np.log(prior) + x @ logs.T
+            post = np.exp(z - z.max(axis=1, keepdims=True))
+            return post / post.sum(axis=1, keepdims=True)
+
+        if k + 1 < ROUNDS:
+            total = sums(posterior)
     return TextClasses(marks, tuple(tuple(map(float, r)) for r in logs), tuple(map(float, prior)))
 
 
@@ -281,7 +349,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are dealt into blocks of about BLOCK_MB. A block's distinct words are counted in one task; counts meet by word, with a map-side
     sum; each block then gets back the counts and likelihoods of its own words only, so that no worker holds the vocabulary.
-    To the driver go totals, the counts of the vocabulary's pieces, and MARKS numbers for each of about SAMPLE rows.
+    The classes are fitted to all training rows. To the driver go totals, the counts of the vocabulary's pieces, and MARKS numbers for each class.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -205,3 +205,15 @@ def test_benchmark_spans_point_into_the_text(spark, odd, none):
     assert decontaminate.contamination(odd, items.where("false")).where("contaminated").count() == 0
     assert decontaminate.contamination(none, items).count() == 0
     assert letter_words("A-b É".encode()) == [b"a", b"b", "É".encode()]
+
+
+def test_classes_are_found_from_all_training_rows(spark):
+    rare = {i: f"rare{i}" for i in range(0, 6000, 150)}
+    docs = [(i, f"c{i % 20} c{i % 3} {rare.get(i, '')}") for i in range(6000)]
+    blocks = language_model._blocks(documents(spark, docs), "doc_id", "text", 2, 7)
+    made = language_model.find_classes(blocks)
+    train = [x for i, x in docs if crc(i) % 7 != 2]
+    assert set(made.marks) == {w.encode() for x in train for w in x.split()}
+    assert sum(made.prior) == pytest.approx(1) and len(made.prior) == language_model.CLASSES
+    few = language_model.find_classes(language_model._blocks(documents(spark, docs[:8]), "doc_id", "text", 2, 7))
+    assert len(few.prior) == language_model.CLASSES
