@@ -284,29 +284,38 @@ def _likelihoods(proto: bytes, counts: dict[int, list[float]], words: list[float
 
 @dataclass(frozen=True)
 class Totals:
-    """Of the training tokens: all and distinct ones, the discount, and the same by class."""
+    """Of the training tokens: all and distinct ones, the discount, the end's share of the back-off, and the first two by class."""
 
     tokens: int
     distinct: int
     discount: float
+    end: float
     by_class: tuple[int, ...]
     distinct_by_class: tuple[int, ...]
     prior: tuple[float, ...]
 
 
+def _mixed(p: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """log10(p + 10 ** log), whatever the size of either."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(p), log * LOG10) / LOG10
+
+
 def _scorer(t: Totals) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
         words = found.column("word").cast(pa.binary()).to_pylist()
         place, k, d = {w: i for i, w in enumerate(words)}, len(t.prior), t.discount
         flat = lambda name, kind: (found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, k)) if len(words) else np.zeros((0, k))
-        by_class, sub = flat("n", float), np.maximum(np.power(10.0, flat("sub", float)), 1e-300)
+        by_class, sub = flat("n", float), flat("sub", float)
         c = by_class.sum(axis=1)
+        end = np.array([w == END for w in words], bool)
+        sub = np.where(end[:, None], math.log10(t.end), math.log10(1 - t.end) + sub)  # words and the end share the back-off
         base = np.log10((c + 1) / (t.tokens + t.distinct + 1))
         new = d * t.distinct / t.tokens if t.tokens else 1.0
-        common = (np.maximum(c - d, 0) / max(1, t.tokens))[:, None] * SHARED + (1 - SHARED + SHARED * new) * sub
+        common = _mixed(SHARED * np.maximum(c - d, 0)[:, None] / max(1, t.tokens), math.log10(1 - SHARED + SHARED * new) + sub)
         n_class, v_class = np.array(t.by_class, float), np.array(t.distinct_by_class, float)
         back = np.where(n_class > 0, d * v_class / np.maximum(1, n_class), 1.0)
-        static = np.maximum(by_class - d, 0) / np.maximum(1, n_class) + back * common
+        static = _mixed(np.maximum(by_class - d, 0) / np.maximum(1, n_class), np.log10(back) + common)
         prior = np.log10(np.array(t.prior))
         out: list[tuple] = []
         for batch in rows.select(["t"]).to_batches(max_chunksize=512):
@@ -320,8 +329,7 @@ def _scorer(t: Totals) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 before = np.empty(n)  # earlier tokens of the text that are the same
                 before[order] = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
                 share = CACHE * (i := np.arange(n)) / (i + 30.0)
-                p = (1 - share)[:, None] * static[at] + (share * before / np.maximum(i, 1))[:, None]
-                z = prior + np.log10(p).sum(axis=0)
+                z = prior + _mixed((share * before / np.maximum(i, 1))[:, None], np.log10(1 - share)[:, None] + static[at]).sum(axis=0)
                 out.append((n, int((c[at] > 0).sum()), float(base[at].sum()), float(z.max() + np.log10(np.power(10.0, z - z.max()).sum()))))
         n_tokens, n_known, bases, scores = map(list, zip(*out, strict=True)) if out else ([], [], [], [])
         return pa.table(
@@ -344,7 +352,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Tokens are blank-cut words with A-Z lowered and one end. Texts are a mixture of a few classes, found without labels. In a class a
     token's probability is its discounted count, backed by the shared counts and by the marginal of the class's subword lattice; the
-    discount comes from the corpus's counts of counts. A share that grows up to CACHE goes to the tokens seen so far in the text. A text's
+    discount comes from the corpus's counts of counts. The end counts as one of the distinct words in the back-off, and all words have
+    the rest of it, so that words and end have no more than 1 together. A share that grows up to CACHE goes to the tokens seen so far in the text. A text's
     probability is the product over its tokens, summed over classes; a word's in the lattice is summed over its segmentations.
 
     Rows are dealt into blocks of about BLOCK_MB. A block's distinct words are counted in one task; counts meet by word, with a map-side
@@ -368,7 +377,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).first()
     tokens, distinct, once, twice = row[:4]
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    totals = Totals(tokens, distinct, discount, tuple(row[4 : 4 + k]), tuple(row[4 + k :]), classes.prior)
+    totals = Totals(tokens, distinct, discount, 1 / (distinct + 2), tuple(row[4 : 4 + k]), tuple(row[4 + k :]), classes.prior)
     pieces = counted.where("word <> ''").where(F.exists("n", lambda x: x > 0)).select("word", "n").mapInArrow(_pieces(proto, k), "piece int, cls int, n long").groupBy("piece", "cls").agg(F.sum("n").alias("n"))
     counts: dict[int, list[float]] = {}
     for r in pieces.collect():  # one row per piece of the vocabulary and class at the most

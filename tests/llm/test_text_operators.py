@@ -217,3 +217,23 @@ def test_classes_are_found_from_all_training_rows(spark):
     assert sum(made.prior) == pytest.approx(1) and len(made.prior) == language_model.CLASSES
     few = language_model.find_classes(language_model._blocks(documents(spark, docs[:8]), "doc_id", "text", 2, 7))
     assert len(few.prior) == language_model.CLASSES
+
+
+def test_each_character_of_an_unseen_word_costs(spark):
+    """Held out, 200, 400 and 800 characters outside of the vocabulary; and the words with the end have at most 1 together."""
+    held = [i for i in range(1000, 2000) if crc(i) % 7 == 2][:3]
+    docs = [(i, "the river") for i in range(60)] + [(i, "一龥" * n) for i, n in zip(held, (100, 200, 400), strict=True)]
+    made = {r.doc_id: r.score for r in language_model.score_texts(documents(spark, docs)).collect()}
+    a, b, c = (made[i] for i in held)
+    assert c - b == pytest.approx(2 * (b - a), rel=0.01) and c < 3.5 * a < 0
+    assert math.isfinite(c)
+
+
+def test_words_and_end_share_the_back_off():
+    import pyarrow as pa
+
+    totals = language_model.Totals(0, 0, 0.5, 0.5, (0,), (0,), (1.0,))
+    found = pa.table({"word": ["", "a"], "n": pa.array([[0], [0]], pa.list_(pa.int64())), "sub": pa.array([[0.0], [0.0]], pa.list_(pa.float32()))})
+    rows = pa.table({"id": [1, 2], "held": [True, True], "t": ["", "a"]})  # a lattice that gives all it has to one word
+    end, word = (10**x for x in language_model._scorer(totals)(rows, found).column("score").to_pylist())
+    assert end == pytest.approx(0.5) and word == pytest.approx(0.5 * ((1 - language_model.CACHE / 31) * 0.5))
