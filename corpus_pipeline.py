@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
-    cut = line_dedup.drop_boilerplate(docs)
+    """Documents without their source's boilerplate lines, for which copies of a page count once; n_chars follows the text."""
+    cut = line_dedup.drop_boilerplate(docs, copies=False)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 

@@ -12,24 +12,27 @@ MIN_PAGES = 3
 
 
 def _line_key(line: Column) -> Column:
-    """128 bits of a line."""
+    """128 bits of a line or a text."""
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(host, line key, pages, host_pages) of the lines on more than ``ratio`` of a host's pages and at least ``min_pages``.
 
-    A line counts once per page, however often it is repeated there; blank lines never count.
+    A line counts once per page, however often it is repeated there; blank lines never count. Without ``copies``, a host's pages with the
+    same text are one page.
     """
     host, text = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    pages = docs.select(host.alias("host"), text.alias("t"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.split("t", "\n"))).alias("line")).where(F.trim("line") != "")
-    counted = lines.groupBy("host", _line_key(F.col("line")).alias("key")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    pages = docs.select(host.alias("host"), text.alias("t"), _line_key(text).alias("page"))
+    own = pages.select("host", "page")
+    totals = (own if copies else own.distinct()).groupBy("host").agg(F.count("*").alias("host_pages"))
+    lines = pages.select("host", "page", F.explode(F.array_distinct(F.split("t", "\n"))).alias("line")).where(F.trim("line") != "")
+    keyed = lines.select("host", "page", _line_key(F.col("line")).alias("key"))
+    counted = (keyed if copies else keyed.distinct()).groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counted.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, and n_lines, n_dropped as bigint.
 
     Hosts are compared as they are; a null host counts as the host ''. Null text stays null and counts as one empty line.
@@ -39,7 +42,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     split beyond that.
     """
     found = staged(
-        boilerplate_lines(docs, host_col, text_col, ratio, min_pages)
+        boilerplate_lines(docs, host_col, text_col, ratio, min_pages, copies)
         .groupBy("host")
         .agg(F.collect_set("key").alias("__drop"))
         .select(F.concat("host", F.lit("")).alias("__host"), "__drop")

@@ -135,3 +135,12 @@ def test_repeated_strings_of_odd_rows(spark, odd, none):
     firsts = [(i, x or "") for i, x in dict((i, x) for i, x in ODD if i is not None).items()]
     assert {i: v for i, v in made.items() if i is not None} == brute_cut(firsts)
     assert cut(none) == {}
+
+
+def test_copies_of_a_page_count_once(spark):
+    pages = [(i, f"home\nown {2 * (i // 2)}\nmore {i}") for i in range(0, 80, 2)] + [(2 * i, "home\nthe copied page\nits end") for i in range(100, 160)]
+    made = {r.doc_id: r for r in line_dedup.drop_boilerplate(documents(spark, pages), copies=False).collect()}
+    assert made[200].text == "the copied page\nits end" and made[318].n_dropped == 1
+    assert made[4].text == "own 4\nmore 4"
+    found = line_dedup.boilerplate_lines(documents(spark, pages), copies=False).collect()
+    assert [(r.pages, r.host_pages) for r in found] == [(41, 41)]

@@ -39,3 +39,10 @@ def test_entry_names_the_pipeline():
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and "corpus_pipeline" in sys.modules
+
+
+def test_a_page_in_many_copies_keeps_its_text(spark, sf):
+    pages = [(2 * i, f"own line {i}\nand another {i}") for i in range(40)] + [(2 * i, "a copied page\nwith clean content") for i in range(100, 120)]
+    cut = corpus_pipeline.staged(corpus_pipeline.drop_lines(spark, documents(spark, pages), sf))
+    left = corpus_pipeline.drop_near_duplicates(spark, cut, sf).where("doc_id >= 200").collect()
+    assert [(r.doc_id, r.text) for r in left] == [(200, "a copied page\nwith clean content")]
