@@ -27,6 +27,7 @@ SAMPLE = 20_000
 STEMS = (4, 5, 6)
 MOST_STEMS = 4096
 SURE = 0.95
+CONTEXTS = 3
 SCOPE = 2
 MEMO = 1 << 16
 CLAUSE = re.compile(rb"[.!?;:|\n]+")
@@ -102,14 +103,18 @@ class ToxicityModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, folds: int) -> DataFrame:
-    """(y, t) of about ``most`` labelled rows outside of the held-out fold at the most, by a hash of the id; all of them where there are fewer."""
+    """(y, t) of about ``most`` labelled rows outside of the held-out fold at the most, by a hash of the id; all of them where there are fewer.
+
+    A text comes once, however many rows have it, with the label that at least half of them have (toxic where they are even).
+    """
     own = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     own = own.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) != 0)
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    return source.join(F.broadcast(own), "id").select("y", "t")  # about ``most`` rows of a bigint and an int
+    rows = source.join(F.broadcast(own), "id").select("y", "t")  # about ``most`` rows of a bigint and an int
+    return rows.groupBy("t").agg((F.avg("y") >= 0.5).cast("int").alias("y")).select("y", "t")
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from labelled rows whose crc32(id as text) mod ``folds`` is not 0, of which about ``most`` (documented bound) are taken.
 
     A stem is in the lexicon if at least SURE of its weighed occurrences are in toxic rows, its counts would come up by chance for
-    one stem in a hundred such lexicons at the most (a large-deviation bound over all stems), and it stands after different words
-    in half of the toxic rows that have it, so that the words of one text's copies don't count as evidence. Its weight is its log odds. The clause features'
+    one stem in a hundred such lexicons at the most (a large-deviation bound over all stems), and it stands after CONTEXTS
+    different words in toxic texts at least. Copies of a text count as one text. Its weight is its log odds. The clause features'
     coefficients are fitted by logistic regression. Without labelled rows of both kinds every text gets the score 0.
     """
     ship(docs.sparkSession)
@@ -184,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     likely = {r["stem"].encode(): (r["a"], r["b"]) for r in sure.collect()}  # each in several toxic rows of the sample
     toxic = sample.where("y > 0").select("t")
     seen = toxic.mapInArrow(_contexts(set(likely)), "stem string, before string").groupBy("stem").agg(F.countDistinct("before").alias("n")).collect()
-    varied = {r["stem"].encode(): r["n"] for r in seen if r["n"] >= max(3, 0.5 * likely[r["stem"].encode()][0])}
+    varied = {r["stem"].encode(): r["n"] for r in seen if r["n"] >= CONTEXTS}
     best = sorted(varied, key=lambda s: (-likely[s][0], s))[:MOST_STEMS]
     grammar = Grammar({s: math.log((likely[s][0] + 0.5) / (n1 + 1)) - math.log((likely[s][1] + 0.5) / (n0 + 1)) for s in best})
 

@@ -237,3 +237,15 @@ def test_words_and_end_share_the_back_off():
     rows = pa.table({"id": [1, 2], "held": [True, True], "t": ["", "a"]})  # a lattice that gives all it has to one word
     end, word = (10**x for x in language_model._scorer(totals)(rows, found).column("score").to_pylist())
     assert end == pytest.approx(0.5) and word == pytest.approx(0.5 * ((1 - language_model.CACHE / 31) * 0.5))
+
+
+def test_copies_neither_push_words_out_of_the_lexicon_nor_into_it(spark):
+    docs, labels, bad = toxic_table(spark)
+    n = len(docs)
+    copied = [(n + i, f"you {bad[0]} and nothing more") for i in range(400)] + [(n + 400 + i, f"they wrote {bad[1]} in a column") for i in range(400)]
+    more = spark.createDataFrame([(i, 1, int(i < n + 400)) for i, _ in copied], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(documents(spark, docs + copied), labels.union(more))
+    assert all(w.encode() + b"$" in model.grammar.weights for w in bad)
+    assert b"nothing$" not in model.grammar.weights
+    score = lambda x: model.score(model.grammar.features(x.encode(), model.grammar.weigher()))
+    assert all(score(f"you are a {w}") > 0.5 for w in bad)
