@@ -1,7 +1,8 @@
-"""License scans: winnowed fingerprints in an inverted index pick candidates, banded alignment measures them."""
+"""License scans: winnowed fingerprints (of short templates, telling words) in an inverted index pick candidates, banded alignment measures them."""
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +20,9 @@ SHINGLE = 3
 WINDOW = 3
 BAND = 0.15
 COVERAGE = 0.8
+#: Templates with fewer words than this are found by single words; and words that are too common to be chosen first for that.
+SHORT = 20
+COMMON = frozenset(b"the this that is are was of and or to in on by for with under work a an you may it not all any as be 0 1 2 3 4".split())
 
 #: Public license notices.
 TEMPLATES = {
@@ -56,6 +60,12 @@ def winnow(words: list[bytes], size: int = SHINGLE, window: int = WINDOW) -> lis
     return sorted({min(range(i, min(n, i + window)), key=lambda j: (h[j], -j)) for i in range(max(1, n - window + 1))})
 
 
+def telling(words: list[bytes], coverage: float) -> list[int]:
+    """Places of so many words that a match which lacks all of them is below the coverage, uncommon and long words first."""
+    need = math.ceil(coverage * len(words) - 1e-9)
+    return sorted(range(len(words)), key=lambda i: (words[i] in COMMON, -len(words[i]), i))[: len(words) - need + 1]
+
+
 def align(template: list[bytes], words: list[bytes], shift: int, band: int) -> tuple[int, int, int]:
     """(matched words, start, end) of the best common subsequence that keeps within ``band`` of the diagonal ``shift``.
 
@@ -95,14 +105,20 @@ class LicenseIndex:
         words = {k: letter_words(v.encode()) for k, v in self.templates.items()}
         postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for name, w in words.items():
-            for i in winnow(w):
-                postings[f" {b' '.join(w[i : i + SHINGLE]).decode('latin-1')} "].append((name, i))
+            size = 1 if len(w) < SHORT else SHINGLE
+            for i in telling(w, self.coverage) if len(w) < SHORT else winnow(w):
+                postings[f" {b' '.join(w[i : i + size]).decode('latin-1')} "].append((name, i))
         found = ahocorasick.Automaton()
         for pattern, who in postings.items():
             found.add_word(pattern, (len(pattern), who))
         found.make_automaton()
         return found, words
 
+    def enough(self, template: list[bytes], words: list[bytes]) -> bool:
+        """Whether the template's words that are there could make a match."""
+        there = set(words)
+        return sum(w in there for w in template) >= self.coverage * len(template)
+
     def scan(self, text: bytes, machine: ahocorasick.Automaton, templates: dict[str, list[bytes]]) -> tuple[int, list[tuple[str, float, int, int]]]:
         """The number of words and the matches (license, coverage, first word, word after the last), spans of one license apart."""
         words = letter_words(text)
@@ -121,14 +137,18 @@ class LicenseIndex:
         for name, all_shifts in shifts.items():
             template, taken = templates[name], []
             band = max(2, int(self.band * len(template)))
-            groups: list[list[int]] = []
-            for s in sorted(set(all_shifts)):
-                if groups and s - groups[-1][0] <= band:
-                    groups[-1].append(s)
-                else:
-                    groups.append([s])
-            tried = [align(template, words, g[len(g) // 2], band) for g in groups]
-            for n, a, b in sorted(tried, key=lambda x: (-x[0], x[1])):
+            if len(template) < SHORT:  # every diagonal that a match with one of these words can be around
+                near = {s + d for s in all_shifts for d in range(-band, band + 1)}
+                tried = [align(template, words, s, band) for s in near if self.enough(template, words[max(0, s - band) : max(0, s + len(template) + band)])]
+            else:
+                groups: list[list[int]] = []
+                for s in sorted(set(all_shifts)):
+                    if groups and s - groups[-1][0] <= band:
+                        groups[-1].append(s)
+                    else:
+                        groups.append([s])
+                tried = [align(template, words, g[len(g) // 2], band) for g in groups]
+            for n, a, b in sorted(tried, key=lambda x: (-x[0], x[2] - x[1], x[1])):
                 if n >= self.coverage * len(template) and all(b <= c or a >= d for c, d in taken):
                     taken.append((a, b))
                     out.append((name, n / len(template), a, b))

@@ -249,3 +249,21 @@ def test_copies_neither_push_words_out_of_the_lexicon_nor_into_it(spark):
     assert b"nothing$" not in model.grammar.weights
     score = lambda x: model.score(model.grammar.features(x.encode(), model.grammar.weigher()))
     assert all(score(f"you are a {w}") > 0.5 for w in bad)
+
+
+def test_short_licenses_are_found_wherever_brute_force_finds_them():
+    index = licenses.LicenseIndex(licenses.TEMPLATES)
+    machine, templates = index.machine()
+    assert {m[0] for m in index.scan(b"x Distributed under the MIT License.", machine, templates)[1]} == {"MIT-short"}
+    rng = random.Random(8)
+    short = [k for k, w in templates.items() if len(w) < licenses.SHORT]
+    for _ in range(150):
+        name = rng.choice(short)
+        kept = [w for w in templates[name] if rng.random() < 0.9]
+        text = [w for x in kept for w in ([b"odd", x] if rng.random() < 0.2 else [x])]
+        words = [b"a"] * rng.randrange(4) + text + [b"b"] * rng.randrange(4)
+        found = {m[0] for m in index.scan(b" ".join(words), machine, templates)[1]}
+        for k in short:
+            band = max(2, int(index.band * len(templates[k])))
+            best = max(licenses.align(templates[k], words, s, band)[0] for s in range(-25, len(words) + 25))
+            assert (k in found) == (best >= licenses.COVERAGE * len(templates[k]))
