@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .common import map_text, slices
+from .lattice import LITERAL, PieceTrie, best_paths, blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -25,17 +25,16 @@ CHECK_EVERY = 64
 MEMO = 1 << 18
 
 
-class _Memo(dict):
-    """Word to ids, of bounded size: once full, words that are not in it are encoded each time."""
+class _Words(dict):
+    """From a string to its number; new strings are listed until they are solved."""
 
-    def __init__(self, solve: Callable[[str], tuple[int, ...]]) -> None:
-        self.solve = solve
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.solve(word)
-        if len(self) < MEMO and len(word) < 64:
-            self[word] = ids
-        return ids
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class PieceCoder:
@@ -53,6 +52,7 @@ class PieceCoder:
         self.unknown = sp.unk_id()
         self.bytes_of: list[bytes] = [b""] * n
         self.byte_ids: list[int | None] = [None] * 256
+        self.scores = np.full(n + 1, -np.inf)  # by id; the last entry stands for no piece
         pieces = {}
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -61,6 +61,7 @@ class PieceCoder:
                 self.bytes_of[i] = bytes([int(piece[1:-1], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 pieces[piece] = (len(piece), sp.get_score(i), i)
+                self.scores[i] = sp.get_score(i)
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.lossless = all(x is not None for x in self.byte_ids)
         self.longest = max(map(len, pieces))
@@ -69,15 +70,71 @@ class PieceCoder:
         for piece, value in pieces.items():
             self.machine.add_word(piece, value)
         self.machine.make_automaton()
-        #: No piece has a blank after another sign, so every path passes the place before a word's blank: words can be solved one by one.
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.newline = not any("\n" in p for p in pieces)
-        self.after_blank, self.inside = _Memo(lambda w: self._parts(SPACE + w)), _Memo(self._parts)
-
-    def _parts(self, text: str) -> tuple[int, ...]:
-        if self.newline and "\n" in text and len(text) > 1:  # no piece has a line end: paths also meet on both its sides
-            return tuple(chain.from_iterable(self.inside[x] for x in re.findall("\n|[^\n]+", text)))
-        return tuple(self.best(text))
+        known = {p: i for p, (_, _, i) in pieces.items()}
+        for b, i in enumerate(self.byte_ids[:128]):  # ASCII that is no piece is one byte piece
+            if self.lossless and chr(b) not in known:
+                known[chr(b)], self.scores[i] = i, self.unknown_score
+        self.trie = PieceTrie(known)
+        #: Bytes of each id, and again without a blank at their beginning: for the first id of a text.
+        self.spelled = pa.array([*self.bytes_of, *(x[1:] if x[:1] == b" " else x for x in self.bytes_of)], pa.binary())
+        self.spells = np.array([len(x) > 0 for x in self.bytes_of])
+        #: No piece has a blank after another sign, or a line end, so the back pointers of every text meet before a word's blank and
+        #: on both sides of a line end: what is before is final there, and the stretches between are solved by themselves.
+        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces)
+        self.words = _Words()
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the words so far
+
+    @staticmethod
+    def _stretches(text: str) -> list[str]:
+        """The text from one place where all back pointers meet to the next. A word stands for itself with one blank before it;
+        what begins with a blank or a line end stands as it is."""
+        t = text.replace("\n", " \n")
+        if "  " not in t and t[0] != " " and t[-1] != " ":
+            return t.split(" ")
+        found = re.findall("\n[^ \n]*| *[^ \n]+| +", " " + text)
+        return [x[1:] if x[0] == " " and x[1:2] not in ("", " ") else x for x in found]
+
+    @staticmethod
+    def _spelling(word: str) -> str:
+        return word.replace(" ", SPACE) if word[0] in " \n" else SPACE + word
+
+    def _solve(self) -> None:
+        """Ids of the new words: of most in one go, of the very long ones and those with raw bytes by the window."""
+        new = [self._spelling(w) for w in self.words.new]
+        found: list[np.ndarray | None] = [None] * len(new)
+        for block in blocks(self.trie, new):
+            ids, counts, _ = best_paths(block, self.scores, self.unknown_score)
+            ends = np.cumsum(counts)
+            raw = np.add.reduceat(ids < 0, ends - counts) > 0
+            for i, a, b, odd in zip(block.which.tolist(), (ends - counts).tolist(), ends.tolist(), raw.tolist(), strict=True):
+                if not odd:
+                    found[i] = ids[a:b]
+        made = [np.array(self.best(w), np.int32) if x is None else x for w, x in zip(new, found, strict=True)]
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids, self.counts = np.concatenate([self.ids, *made]), np.concatenate([self.counts, counts])
+        self.words.new.clear()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and where each text's end."""
+        if not self.by_word:
+            made = [np.array(self.best((SPACE + x.replace(SPACE, LITERAL).replace(" ", SPACE)) if x else ""), np.int32) for x in texts]
+            return np.concatenate([*made, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, made)])
+        if len(self.words) > MEMO:
+            self.words = _Words()
+            self.ids, self.starts, self.counts = self.ids[:0], self.starts[:0], self.counts[:0]
+        cut: list[str] = []
+        places = [0]
+        for x in texts:
+            if x:
+                cut += self._stretches(x.replace(SPACE, LITERAL))
+            places.append(len(cut))
+        which = np.fromiter(map(self.words.__getitem__, cut), np.int64, len(cut))
+        self._solve()
+        counts = self.counts[which]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        at = np.repeat(self.starts[which] - ends[:-1], counts) + np.arange(ends[-1])
+        return self.ids[at], ends[places]
 
     def best(self, text: str) -> list[int]:
         """Viterbi over a window. Whenever the back pointers of all places that a later piece can start from meet in one boundary,
@@ -122,31 +179,29 @@ class PieceCoder:
         return ids[::-1]
 
     def _raw(self, text: str) -> list[int]:
-        return [self.byte_ids[b] for b in text.encode()] if self.lossless else [self.unknown]  # type: ignore[misc]
+        return [self.byte_ids[b] for b in text.replace(LITERAL, SPACE).encode()] if self.lossless else [self.unknown]  # type: ignore[misc]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        first, *others = text.split(SPACE)
-        ids = self._words(first, True)
-        for x in others:
-            ids += self._raw(SPACE) + (self._words(x, False) if x else [])
-        return ids
-
-    def _words(self, text: str, front: bool) -> list[int]:
-        if not self.by_word:
-            return self.best((SPACE if front else "") + text.replace(" ", SPACE))
-        head, *rest = text.split(" ")
-        ids = list(self.after_blank[head] if front else self.inside[head]) if head or (front and not rest) else []
-        if "  " in text or not head or text[-1:] == " ":  # runs of blanks may be pieces of their own
-            whole = (" " if front else "") + text
-            return list(chain.from_iterable(self._parts(x.replace(" ", SPACE)) for x in re.findall(" *[^ ]+| +", whole)))
-        ids.extend(chain.from_iterable(map(self.after_blank.__getitem__, rest)))
-        return ids
+        return self.encode_all([text])[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts from their ids, one after the other, and where each text's end."""
+        some = self.spells[ids]  # control pieces spell nothing
+        own, ends = ids[some].astype(np.int64), np.concatenate([[0], np.cumsum(some)])[ends]
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        own[first] += len(self.bytes_of)
+        spelled = self.spelled.take(pa.array(own))
+        offsets = np.frombuffer(spelled.buffers()[1], np.int32)[spelled.offset :][: len(own) + 1][ends] if len(own) else np.zeros(len(ends), np.int32)
+        data = spelled.buffers()[2] or pa.py_buffer(b"")
+        made = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), data])
+        try:
+            made.validate(full=True)
+        except pa.ArrowInvalid:  # ids that are nobody's encoding may spell no UTF-8
+            made = pa.array([x.decode(errors="replace") for x in made.cast(pa.binary(), safe=False).to_pylist()], pa.string())
+        return made
 
     def decode(self, ids: list[int]) -> str:
-        found = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (found[1:] if found[:1] == b" " else found).decode(errors="replace")
+        return self.decode_all(np.array(ids, np.int32), np.array([0, len(ids)]))[0].as_py()
 
 
 _coders: dict[bytes, PieceCoder] = {}
@@ -174,9 +229,8 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", ids_col: str = "ids",
         own = coder(proto)
 
         def work(texts: list[bytes]) -> list[pa.Array]:
-            made = [np.array(own.encode(x.decode()), np.int32) for x in texts]
-            ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.zeros(0, np.int32)]), pa.int32()))]
+            ids, ends = own.encode_all([x.decode() for x in texts])
+            return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))]
 
         return work
 
@@ -195,8 +249,10 @@ def decode_pieces(docs: DataFrame, ids_col: str = "ids", text_col: str = "decode
         own = coder(proto)
         for batch in batches:
             for part in slices(batch):
-                texts = [own.decode(x) for x in (y if y is not None else [] for y in part.column(len(keep)).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
+                lists = part.column(len(keep))
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts = own.decode_all(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], texts], names=schema.names)
 
     ship(docs.sparkSession)
     return source.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ def full_viterbi(own, text):
     ids, e = [], len(text)
     while e:
         _, s, k = best[e]
-        ids += [k] if k >= 0 else [own.byte_ids[b] for b in text[s:e].encode()][::-1]
+        ids += [k] if k >= 0 else [own.byte_ids[b] for b in text[s:e].replace("\ud800", "▁").encode()][::-1]
         e = s
     return ids[::-1]
 
@@ -41,6 +41,26 @@ def test_window_gives_the_whole_texts_best_path(own):
         assert own.best(text) == full_viterbi(own, text)
 
 
+def test_encode_equals_a_full_search_over_whole_texts(own):
+    """What the operator calls, with its cuts at places where all paths meet and its blocks of words, against one search over the text."""
+    rng = random.Random(12)
+    for n in (0, 1, 2, 7, 40, 90, 400, 2500):
+        for signs in ("the ionslrd", "ab  \n▁é🙂\x00\t.Th\r-- i", "==== \n", "一龥🙂 a"):
+            text = "".join(rng.choice(signs) for _ in range(n))
+            assert own.encode(text) == (full_viterbi(own, "▁" + text.replace("▁", "\ud800").replace(" ", "▁")) if text else [])
+
+
+def test_very_long_words_and_texts(own):
+    rng = random.Random(13)
+    text = "".join(rng.choice("aeiou nrst") for _ in range(300_000)) + " " + "".join(rng.choice("aeiounrst一") for _ in range(50_000))
+    assert own.decode(own.encode(text)) == text
+
+
+def test_ids_that_are_no_encoding_decode_too(own):
+    assert own.decode([own.byte_ids[0xC3]]) == "\ufffd" and own.decode([1, *own.encode("a b"), 2]) == "a b"
+    assert own.decode([]) == ""
+
+
 def test_no_worse_than_the_unigram_library(own):
     """The library's path has a lower sum of scores for some texts with these scores (-68,035 against -68,030 for the second); ours may never have."""
     from sentencepiece import sentencepiece_model_pb2 as pb
