@@ -1,290 +1,279 @@
-"""Language-model scores: word counts backed by the marginal likelihood of a subword lattice."""
+"""Language-model scores: the marginal probability of a text over a lattice of words and their pieces."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import as_bytes, blank_words, staged
+from .common import as_bytes, blank_words, slices, staged
+from .lattice import LITERAL, Block, PieceTrie, blocks, expected, forward
 from .sentence_pieces import MODEL, SPACE, PieceCoder, coder, read_model
 
 END = b""  # no word is empty
-BLOCK_MB = 16
-CACHE = 0.15
-PRIOR = 0.05
+BLOCK_MB = 32
+#: Classes of texts (a power of 2), told apart by the hashed triples of bytes of their whole texts.
+CLASSES = 8
+CELLS = 128
+MOST_ROUNDS = 20
+#: Rounds that fit the pieces' weights; the share of a class's probability that always goes to what is shared, that of the shared
+#: part which goes to the words of all classes, and the weight of the vocabulary's own scores.
+ROUNDS = 3
+BACK = 0.13
 SHARED = 0.2
-#: Classes of texts, and the common words that tell them apart.
-CLASSES = 4
-MARKS = 512
-ROUNDS = 25
+PRIOR = 0.05
+LONGEST = 4096
 LOG10 = math.log(10)
-UNKNOWN_BYTE = math.log(1e-6)
 
 
-class SubwordLattice:
-    """P(word), for each class of texts, as the sum over all its segmentations into pieces.
+def spelling(word: bytes) -> str:
+    return SPACE + word.decode().replace(SPACE, LITERAL)
+
+
+def scores_as_weights(own: PieceCoder) -> np.ndarray:
+    """The vocabulary's own scores as weights by id. They are ranks (the file is of the BPE kind), and a rank r is given a share that falls as 1 / r."""
+    known = np.isfinite(own.scores[:-1])
+    weights = np.where(known, 1 / (2.7 - np.maximum(np.where(known, own.scores[:-1], 0), -1e6)), 0.0)
+    weights[[k for k in own.byte_ids if k is not None]] = 1e-6
+    return weights
+
 
-    A word is one piece that begins with a blank, any number of pieces without, and a stop. The vocabulary's scores give each
-    piece a prior that falls with its rank; counts of pieces in the corpus's distinct words sharpen it. counts: by piece, then class.
+class PieceLattice:
+    """P(word) as the sum over all its segmentations: one piece that begins with a blank, any number of pieces without, and a stop.
+
+    The vocabulary's scores weigh the pieces; expected numbers of pieces, where they are known, sharpen these weights.
     """
 
-    def __init__(self, own: PieceCoder, counts: dict[int, list[float]], words: list[float]) -> None:
-        self.machine, self.own = own.machine, own
-        head, tail = {}, {}
-        for piece, (_, score, k) in own.machine.items():
-            (head if piece.startswith(SPACE) else tail)[k] = 1 / (2.7 - max(score, -1e6))
-        for k in own.byte_ids:
-            if k is not None:
-                tail[k] = 1e-6
-        self.logs: list[dict[int, float]] = []
-        self.stops: list[float] = []
-        none = [0.0] * len(words)
-        for c, n in enumerate(words):
-            log: dict[int, float] = {}
-            for prior, stop in ((head, 0.0), (tail, n)):
-                mass, seen = sum(prior.values()), sum(counts.get(k, none)[c] for k in prior)
-                weight = 1.0 + PRIOR * (seen + stop)  # of the prior, half of it the stop's where there is one
-                part = weight * (0.5 if prior is tail else 1.0) / mass
-                for k, p in prior.items():
-                    log[k] = math.log((counts.get(k, none)[c] + p * part) / (seen + stop + weight))
-                self.stop = math.log((stop + 0.5 * weight) / (seen + stop + weight))
-            self.logs.append(log)
-            self.stops.append(self.stop)
-
-    def edges(self, word: str) -> list[list[tuple[int, list[int] | None]]]:
-        """For each end in the word, the (start, pieces) that lead there; None stands for a character without any."""
-        text = SPACE + word.replace(SPACE, "\x00")
-        out = []
-        matches = self.machine.iter(text)
-        end, found = next(matches, (len(text), None))
-        for i, c in enumerate(text):
-            own, single = [], False
-            while end == i and found is not None:
-                own.append((i + 1 - found[0], [found[2]]))
-                single |= found[0] == 1
-                end, found = next(matches, (len(text), None))
-            if not single:
-                own.append((i, [self.own.byte_ids[x] if self.own.lossless else -1 for x in c.encode()]))
-            out.append(own)
+    def __init__(self, trie: PieceTrie, scores: np.ndarray, heads: np.ndarray, byte_ids: list[int | None], seen: np.ndarray | None = None, words: float = 0.0) -> None:
+        self.trie = trie
+        self.weights = np.full(len(scores) + 1, -np.inf)  # the last entry is for no piece
+        seen = np.zeros(len(scores)) if seen is None else seen
+        for group, stops in ((heads, None), (~heads, words)):
+            mass, total = scores[group].sum(), seen[group].sum() + (stops or 0.0)
+            weight = 1.0 + PRIOR * total
+            half = 1.0 if stops is None else 0.5
+            with np.errstate(divide="ignore"):
+                self.weights[:-1][group] = np.log((seen[group] + half * weight * scores[group] / (mass or 1.0)) / (total + weight))
+            if stops is not None:
+                self.stop = math.log((stops + 0.5 * weight) / (total + weight))
+        self.byte_logs = np.array([-np.inf if k is None else self.weights[k] for k in byte_ids])
+
+    def bare(self, block: Block) -> np.ndarray:
+        """Log weights of the signs that are no piece: the products of their bytes' weights."""
+        signs, where = np.unique(block.signs[block.bare], return_inverse=True)
+        return np.array([self._bytes(chr(c)) for c in signs])[where]
+
+    def _bytes(self, sign: str) -> float:
+        return float(self.byte_logs[list(sign.replace(LITERAL, SPACE).encode())].sum())
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of spelled words, by the forward recursion in log space."""
+        out = np.empty(len(words))
+        for block in blocks(self.trie, words, LONGEST):
+            alpha, _ = forward(block, self.weights, self.bare(block))
+            out[block.which] = block.ends(alpha)
+        for i, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[i] = self.streamed(w)
+        return out + self.stop
+
+    def streamed(self, text: str) -> float:
+        """The same sum for a very long word: of the places before, only as many as the longest piece has signs are kept."""
+        alpha = [0.0]
+        for e in range(1, len(text) + 1):
+            terms = []
+            for size in range(1, min(e, self.trie.longest) + 1):
+                piece = self.trie.find(text[e - size : e])
+                if piece >= 0:
+                    terms.append(alpha[-size] + self.weights[piece])
+                elif size == 1:
+                    terms.append(alpha[-1] + self._bytes(text[e - 1]))
+            top = max(terms)
+            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            del alpha[: -self.trie.longest - 1]
+        return alpha[-1]
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """Expected numbers of each piece over the segmentations of all words; very long words count by stretches."""
+        cut = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
+        out = np.zeros(len(self.weights) - 1)
+        for block in blocks(self.trie, cut, LONGEST):
+            alpha, w = forward(block, self.weights, self.bare(block))
+            out += expected(block, alpha, w, np.ones(len(block.which)), len(out))
         return out
 
-    def log10(self, word: str) -> list[float]:
-        """Log-space forward recursion over the word's lattice, per class, in log10."""
-        edges, exp, ln = self.edges(word), math.exp, math.log
-        out = []
-        for log, stop in zip(self.logs, self.stops, strict=True):
-            alpha = [0.0]
-            for own in edges:
-                terms = [alpha[s] + (log[k[0]] if len(k) == 1 and k[0] >= 0 else sum(log.get(x, UNKNOWN_BYTE) for x in k)) for s, k in own]
-                top = max(terms)
-                alpha.append(top if len(terms) == 1 else top + ln(sum([exp(t - top) for t in terms])))
-            out.append((alpha[-1] + stop) / LOG10)
-        return out
 
+def _lattice(own: PieceCoder, seen: np.ndarray | None = None, words: float = 0.0) -> PieceLattice:
+    heads = np.array([x[:1] == b" " for x in own.bytes_of])
+    heads[[k for k in own.byte_ids if k is not None]] = False
+    return PieceLattice(own.trie, scores_as_weights(own), heads, own.byte_ids, seen, words)
 
-@dataclass(frozen=True)
-class TextClasses:
-    """A mixture of multinomials over common words: which class a text is of."""
 
-    marks: tuple[bytes, ...]
-    logs: tuple[tuple[float, ...], ...]  # by class, then mark
-    prior: tuple[float, ...]
+def byte_triples(text: bytes) -> np.ndarray:
+    """Numbers of the text's byte triples in CELLS hash cells, A-Z lowered."""
+    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return np.zeros(CELLS, np.int32)
+    h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
+    return np.bincount((h * np.uint32(0x27D4EB2F)) >> np.uint32(25), minlength=CELLS).astype(np.int32)
 
-    def chooser(self) -> Callable[[list[bytes]], int]:
-        place = {w: i for i, w in enumerate(self.marks)}
-        logs, prior = np.array(self.logs), np.log(np.array(self.prior))
 
-        def choose(words: list[bytes]) -> int:
-            at = [place[w] for w in words if w in place]
-            return int(np.argmax(prior + logs[:, at].sum(axis=1))) if at else int(np.argmax(prior))
-
-        return choose
+@dataclass(frozen=True)
+class TextClasses:
+    """A mixture of multinomials over byte triples: the class that a text is most likely of."""
 
+    prior: np.ndarray  # logs
+    logs: np.ndarray  # by class, then cell
 
-def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        return np.argmax(self.prior + counts @ self.logs.T, axis=1)
 
-    def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
-        counts.clear()
-        return made
 
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in as_bytes(batch.column(0)):
-            counts.update(set(blank_words(text)))
-            if len(counts) > 400_000:
-                yield flush()
-    yield flush()
+        for part in slices(batch):
+            yield pa.RecordBatch.from_arrays([pa.array([byte_triples(x).tobytes() for x in as_bytes(part.column(0))], pa.binary())], names=["x"])
 
 
-def _mark_vectors(marks: tuple[bytes, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    place = {w: i for i, w in enumerate(marks)}
+def _sums(measure: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's sum of what is measured on the rows' counts, as (place, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
         for batch in batches:
-            made = [Counter(place[w] for w in blank_words(text) if w in place) for text in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([list(f(c)) for c in made], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values)], names=["i", "x"])
+            for k in range(0, batch.num_rows, 4096):
+                x = np.frombuffer(b"".join(batch.slice(k, 4096).column(0).to_pylist()), np.int32).reshape(-1, CELLS).astype(float)
+                made = measure(x)
+                total = made if total is None else total + made
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "v"])
 
     return run
 
 
-def _dense(batches: Iterator[pa.RecordBatch], m: int, step: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Parts of the batches of (i, x), each with its rows' numbers by mark."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, step):
-            part = batch.slice(k, step)
-            at, n = (part.column(name) for name in ("i", "x"))
-            x = np.zeros((part.num_rows, m))
-            x[np.repeat(np.arange(part.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = n.flatten().to_numpy()
-            yield part, x
-
-
-def _likeness(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """By row and seed, the cosine of the roots of the marks' shares."""
-    return np.sqrt(x / x.sum(axis=1, keepdims=True)) @ np.sqrt(seeds / seeds.sum(axis=1, keepdims=True)).T
+def find_classes(texts: DataFrame, classes: int = CLASSES) -> TextClasses:
+    """Fits the classes to all training texts (t). The main axes of the roots of the cells' shares cut them into the first classes, and
+    rounds of expectation and maximisation move them until less than 1 in 1,000 weights changes. Each round is a sum over all
+    rows, made map-side; to the driver go CELLS numbers for each class, and once the products of the cells."""
+    rows = staged(texts.mapInArrow(_triples, "x binary"))
 
+    def total(measure: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for r in rows.mapInArrow(_sums(measure), "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():
+            out[r["place"]] = r["v"]
+        return out
 
-def _least_like(seeds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The row of a task that is least like the seeds, the first of equal ones by hash."""
+    def roots(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(x / np.maximum(1, x.sum(axis=1, keepdims=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: tuple | None = None
-        for part, x in _dense(batches, seeds.shape[1]):
-            near = np.round(_likeness(x, seeds).max(axis=1), 9)
-            h = part.column("h").to_numpy()
-            k = int(np.lexsort((h, near))[0])
-            if best is None or (near[k], h[k]) < best[:2]:
-                best = (float(near[k]), int(h[k]), part.column("i")[k].as_py(), part.column("x")[k].as_py())
-        if best is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(("near", "h", "i", "x"), best, strict=True))], pa.schema([("near", pa.float64()), ("h", pa.int64()), ("i", pa.list_(pa.int32())), ("x", pa.list_(pa.int32()))]))
+    def moments(x: np.ndarray) -> np.ndarray:
+        h = roots(x[x.any(axis=1)])
+        return np.concatenate([[len(h)], h.sum(axis=0), (h.T @ h).ravel()])
 
-    return run
+    found = total(moments, 1 + CELLS + CELLS**2)
+    n = max(1.0, found[0])
+    mean = found[1 : 1 + CELLS] / n
+    _, axes = np.linalg.eigh(found[1 + CELLS :].reshape(CELLS, CELLS) / n - np.outer(mean, mean))
+    axes = axes[:, ::-1][:, : int(math.log2(classes))]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
 
+    def sides(x: np.ndarray) -> np.ndarray:
+        return np.eye(classes)[((roots(x) - mean) @ axes > 0) @ (1 << np.arange(axes.shape[1]))]
 
-def _class_sums(m: int, assign: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's weights of the classes and their numbers by mark, as (place, sum)."""
+    def summed(posterior: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def measure(x: np.ndarray) -> np.ndarray:
+            x = x[x.any(axis=1)]
+            post = posterior(x)
+            return np.hstack([post.sum(axis=0)[:, None], post.T @ x]).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray | None = None
-        for _, x in _dense(batches, m):
-            post = assign(x)
-            own = np.hstack([post.sum(axis=0)[:, None], post.T @ x]).ravel()
-            total = own if total is None else total + own
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "v"])
+        return total(measure, classes * (1 + CELLS)).reshape(classes, 1 + CELLS)
 
-    return run
-
-
-def find_classes(blocks: DataFrame, classes: int = CLASSES) -> TextClasses:
-    """Fits the classes to all training rows: the marks are the words in most of them, and a round's sums are made map-side."""
-    own = blocks.where("not held").select("t")
-    top = own.mapInArrow(_mark_counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(MARKS).collect()
-    marks = tuple(bytes(r["w"]) for r in top)
-    m = len(marks)
-    if not m:
-        return TextClasses((), ((),) * classes, (1 / classes,) * classes)
-    vectors = own.mapInArrow(_mark_vectors(marks), "i array<int>, x array<int>").where(F.size("i") > 0)
-    rows = staged(vectors.withColumn("s", F.aggregate("x", F.lit(0).cast("long"), lambda a, b: a + b)).withColumn("h", F.xxhash64("i", "x")))
-    n, median, first = rows.agg(F.count("*"), F.percentile_approx("s", 0.5), F.max(F.struct("s", "h", "i", "x"))).first()
-
-    def vector(r: Row) -> np.ndarray:
-        made = np.zeros((1, m))
-        made[0, r["i"]] = r["x"]
-        return made
-
-    seeds = vector(first)
-    while len(seeds) < classes:  # rows that are unlike the seeds so far
-        found = rows.where(F.col("s") >= median).select("i", "x", "h").mapInArrow(_least_like(seeds), "near double, h long, i array<int>, x array<int>")
-        seeds = np.vstack([seeds, vector(found.orderBy("near", "h").first())])
-
-    def sums(assign: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        out = np.zeros(classes * (m + 1))
-        for r in rows.select("i", "x").mapInArrow(_class_sums(m, assign), "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():  # classes x (marks + 1)
-            out[r["place"]] = r["v"]
-        return out.reshape(classes, m + 1)
-
-    total = sums(lambda x: np.eye(classes)[np.argmax(_likeness(x, seeds), axis=1)])
-    for k in range(ROUNDS):
-        prior = (total[:, 0] + 1) / (n + classes)
-        logs = total[:, 1:] + 0.1
-        logs = np.log(logs / logs.sum(axis=1, keepdims=True))
+    now = summed(sides)
+    for _ in range(MOST_ROUNDS):
+        prior = np.log((now[:, 0] + 1) / (n + classes))
+        logs = np.log((now[:, 1:] + 0.5) / (now[:, 1:] + 0.5).sum(axis=1, keepdims=True))
 
         def posterior(x: np.ndarray, prior: np.ndarray = prior, logs: np.ndarray = logs) -> np.ndarray:
-            z = np.log(prior) + x @ logs.T
+            z = prior + x @ logs.T
             post = np.exp(z - z.max(axis=1, keepdims=True))
             return post / post.sum(axis=1, keepdims=True)
 
-        if k + 1 < ROUNDS:
-            total = sums(posterior)
-    return TextClasses(marks, tuple(tuple(map(float, r)) for r in logs), tuple(map(float, prior)))
+        before, now = now, summed(posterior)
+        if np.abs(now[:, 0] - before[:, 0]).sum() < 0.001 * n:
+            break
+    return TextClasses(prior, logs)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, fold: int, folds: int) -> DataFrame:
-    """(block, id, held, t): rows dealt by a hash of id and text into blocks of about BLOCK_MB of text."""
-    key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    held = F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
-    mb = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"] / 2**20
-    n = int(mb // BLOCK_MB) + 1
-    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("block"), key.alias("id"), held.alias("held"), text.alias("t"))
-
-
-def _dictionary(classes: TextClasses) -> Callable[[pa.Table], pa.Table]:
-    def count(table: pa.Table) -> pa.Table:
-        """A block's distinct words, the end among them, with their numbers in its training rows by class."""
-        choose, k = classes.chooser(), len(classes.prior)
-        seen, train = set(), [Counter() for _ in range(k)]
-        for batch in table.to_batches(max_chunksize=512):
-            for held, text in zip(batch.column("held").to_pylist(), as_bytes(batch.column("t")), strict=True):
-                words = blank_words(text)
-                own = seen if held else train[choose(words)]
-                words.append(END)
-                own.update(words)
-        words = list(seen.union(*train))
-        counts = np.array([[c[w] for c in train] for w in words], np.int64)
-        block = table.column("block")[0].as_py()
-        ends = pa.array(np.arange(0, k * (len(words) + 1), k, dtype=np.int32))
-        return pa.table({"block": pa.array([block] * len(words), pa.int64()), "word": pa.array(words, pa.binary()).cast(pa.string()), "n": pa.ListArray.from_arrays(ends, pa.array(counts.ravel(), pa.int64()))})
-
-    return count
-
-
-def _pieces(proto: bytes, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = coder(proto), [Counter() for _ in range(k)]
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                best = own.best(SPACE + word.replace(SPACE, "\x00"))
-                for c in range(k):
-                    if n[c]:
-                        counts[c].update(best)
-        rows = [(i, c, v) for c in range(k) for i, v in counts[c].items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["piece", "cls", "n"])
+PARTS = "chunk long, cls int, place int, word string, n long, id {id}, held boolean, tokens binary"
+
+
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    return run
 
+def _dictionary(classes: TextClasses, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, held, t) to each chunk's distinct words by class, with their numbers in its training rows, and to its rows as places in that list.
+
+    A chunk is about BLOCK_MB of one task's text. A place takes three bytes: a chunk has fewer words than that can count.
+    """
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    k = len(classes.prior)
 
-def _likelihoods(proto: bytes, counts: dict[int, list[float]], words: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, k = SubwordLattice(coder(proto), counts, words), len(words)
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        words, rows = [_Places() for _ in range(k)], []
+
+        def made(count: int, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), kind, pa.bool_(), pa.binary()]
+            return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(count, t)) for name, t in zip(names, kinds, strict=True)], names=names)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for c in range(k):
+                own = [r for r in rows if r[0] == c]
+                if not own:
+                    continue
+                train = [np.zeros(0, np.int64), *(r[3] for r in own if not r[2])]
+                counts = np.bincount(np.concatenate(train), minlength=len(words[c]))
+                listed = pa.array(list(words[c]), pa.binary()).cast(pa.string())
+                for at in range(0, len(listed), 100_000):
+                    part = listed.slice(at, 100_000)
+                    n = len(part)
+                    yield made(n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), place=pa.array(np.arange(at, at + n), pa.int32()), word=part, n=pa.array(counts[at : at + n]))
+                for at in range(0, len(own), 1000):
+                    part = own[at : at + 1000]
+                    tokens = [np.ascontiguousarray(r[3].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes() for r in part]
+                    n = len(part)
+                    yield made(n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), id=pa.array([r[1] for r in part], kind), held=pa.array([r[2] for r in part]), tokens=pa.array(tokens, pa.binary()))
+
         for batch in batches:
-            made = [lattice.log10(w) if w else [0.0] * k for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], names=["word", "n", "sub"])
+            for part in slices(batch):
+                texts = as_bytes(part.column(2))
+                of = classes.of(np.array([byte_triples(x) for x in texts])).tolist() if texts else []
+                for c, i, held, text in zip(of, part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+                    tokens = blank_words(text)
+                    tokens.append(END)
+                    rows.append((c, i, held, np.fromiter(map(words[c].__getitem__, tokens), np.int64, len(tokens))))
+                    size += len(text)
+                    if size > BLOCK_MB << 20:
+                        yield from flush()
+                        chunk, size, words, rows = chunk + 1, 0, [_Places() for _ in range(k)], []
+        yield from flush()
 
     return run
 
 
 @dataclass(frozen=True)
 class Totals:
-    """Of the training tokens: all and distinct ones, the discount, the end's share of the back-off, and the first two by class."""
+    """Of the training tokens: all and distinct ones, the discount, the end's share of the back-off, and the first two and the share of rows by class."""
 
     tokens: int
     distinct: int
@@ -292,99 +281,150 @@ class Totals:
     end: float
     by_class: tuple[int, ...]
     distinct_by_class: tuple[int, ...]
-    prior: tuple[float, ...]
 
+    def logs(self, c: np.ndarray, own: np.ndarray, cls: int, piecewise: np.ndarray, is_end: np.ndarray) -> np.ndarray:
+        """log10 of the tokens' probabilities in a class, from their numbers in all and in the class's training rows and their lattices' logs.
 
-def _mixed(p: np.ndarray, log: np.ndarray) -> np.ndarray:
-    """log10(p + 10 ** log), whatever the size of either."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(p), log * LOG10) / LOG10
+        Mixed in log space, so that a very unlikely word keeps its own size.
+        """
+        d, n, v = self.discount, self.by_class[cls], self.distinct_by_class[cls]
+        back = np.where(is_end, math.log(self.end), math.log1p(-self.end) + piecewise)  # words and the end share the back-off
+        new = d * self.distinct / self.tokens if self.tokens else 1.0
+        with np.errstate(divide="ignore"):
+            shared = np.logaddexp(np.log(SHARED * np.maximum(c - d, 0) / max(1, self.tokens)), math.log(1 - SHARED + SHARED * new) + back)
+            if not n:
+                return shared / LOG10
+            found = np.log((1 - BACK) * np.maximum(own - d, 0) / n)
+            return np.logaddexp(found, math.log((1 - BACK) * d * v / n + BACK) + shared) / LOG10
 
 
-def _scorer(t: Totals) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _piece_sums(proto: bytes, seen: np.ndarray | None, words: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's expected numbers of the pieces in the distinct training words of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, k = coder(proto), len(words)
+        lattices = [_lattice(own, None if seen is None else seen[i], words[i]) for i in range(k)]
+        total = np.zeros((k, len(own.bytes_of)))
+        for batch in batches:
+            spelled = [spelling(w) for w in as_bytes(batch.column(0))]
+            for i in range(k):
+                there = np.flatnonzero(batch.column(1 + i).to_numpy() > 0)
+                if len(there):
+                    total[i] += lattices[i].expected([spelled[j] for j in there])
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at])], names=["cls", "piece", "v"])
+
+    return run
+
+
+def _word_logs(proto: bytes, seen: np.ndarray, totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per word and class that needs it: the number in all training rows and log10 of the probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, k = coder(proto), len(totals.by_class)
+        lattices = [_lattice(own, seen[i], float(max(0, totals.distinct_by_class[i] - 1))) for i in range(k)]
+        for batch in batches:
+            words = as_bytes(batch.column(0))
+            spelled = [spelling(w) for w in words]
+            is_end = np.array([w == END for w in words])
+            n = np.array([batch.column(1 + i).to_numpy() for i in range(k)])
+            c, need = n.sum(axis=0), batch.column(1 + k).to_numpy()
+            for i in range(k):
+                there = np.flatnonzero((need >> i) & 1)
+                if len(there):
+                    logs = totals.logs(c[there], n[i, there], i, lattices[i].logs([spelled[j] for j in there]), is_end[there])
+                    names = ["word", "cls", "c", "lp"]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there)), pa.array(np.full(len(there), i), pa.int32()), pa.array(c[there]), pa.array(logs)], names=names)
+
+    return run
+
+
+def _scorer(totals: Totals, prior: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        words = found.column("word").cast(pa.binary()).to_pylist()
-        place, k, d = {w: i for i, w in enumerate(words)}, len(t.prior), t.discount
-        flat = lambda name, kind: (found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, k)) if len(words) else np.zeros((0, k))
-        by_class, sub = flat("n", float), flat("sub", float)
-        c = by_class.sum(axis=1)
-        end = np.array([w == END for w in words], bool)
-        sub = np.where(end[:, None], math.log10(t.end), math.log10(1 - t.end) + sub)  # words and the end share the back-off
-        base = np.log10((c + 1) / (t.tokens + t.distinct + 1))
-        new = d * t.distinct / t.tokens if t.tokens else 1.0
-        common = _mixed(SHARED * np.maximum(c - d, 0)[:, None] / max(1, t.tokens), math.log10(1 - SHARED + SHARED * new) + sub)
-        n_class, v_class = np.array(t.by_class, float), np.array(t.distinct_by_class, float)
-        back = np.where(n_class > 0, d * v_class / np.maximum(1, n_class), 1.0)
-        static = _mixed(np.maximum(by_class - d, 0) / np.maximum(1, n_class), np.log10(back) + common)
-        prior = np.log10(np.array(t.prior))
-        out: list[tuple] = []
-        for batch in rows.select(["t"]).to_batches(max_chunksize=512):
-            for text in as_bytes(batch.column(0)):
-                tokens = blank_words(text)
-                tokens.append(END)
-                n = len(tokens)
-                at = np.fromiter(map(place.__getitem__, tokens), np.int64, n)
-                order = np.argsort(at, kind="stable")
-                starts = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-                before = np.empty(n)  # earlier tokens of the text that are the same
-                before[order] = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-                share = CACHE * (i := np.arange(n)) / (i + 30.0)
-                z = prior + _mixed((share * before / np.maximum(i, 1))[:, None], np.log10(1 - share)[:, None] + static[at]).sum(axis=0)
-                out.append((n, int((c[at] > 0).sum()), float(base[at].sum()), float(z.max() + np.log10(np.power(10.0, z - z.max()).sum()))))
-        n_tokens, n_known, bases, scores = map(list, zip(*out, strict=True)) if out else ([], [], [], [])
-        return pa.table(
-            {
-                "id": rows.column("id"),
-                "held": rows.column("held"),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "base_score": pa.array(bases, pa.float64()),
-                "score": pa.array(scores, pa.float64()),
-            }
-        )
+        rows = rows.sort_by("of")
+        cls, place = (found.column(x).to_numpy() for x in ("cls", "place"))
+        out: list[np.ndarray] = [np.zeros((4, 0))]
+        of = rows.column("of").to_numpy()
+        for i in np.unique(of).tolist():
+            own = np.flatnonzero(cls == i)
+            c, lp = np.zeros(len(own), np.int64), np.zeros(len(own))
+            c[place[own]], lp[place[own]] = found.column("c").to_numpy()[own], found.column("lp").to_numpy()[own]
+            base = np.log10((c + 1) / (totals.tokens + totals.distinct + 1))
+            at = np.flatnonzero(of == i)
+            for k in range(at[0], at[-1] + 1, 2000):
+                texts = rows.column("tokens").slice(k, min(2000, at[-1] + 1 - k)).to_pylist()
+                packed = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, 3).astype(np.int64)
+                tokens = packed[:, 0] | packed[:, 1] << 8 | packed[:, 2] << 16
+                n = np.array([len(x) // 3 for x in texts])
+                starts = np.cumsum(n) - n  # each row has a token, its end
+                sums = [np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(float), base, lp)]
+                out.append(np.array([n, sums[0], sums[1], sums[2] + prior[i] / LOG10]))
+        n, known, base, score = np.hstack(out)
+        return pa.table({"id": rows.column("id"), "held": rows.column("held"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return score
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, model: str = MODEL) -> DataFrame:
-    """Per row: the id, held_out, n_tokens, n_known, train_tokens, base_score and score; the rows with crc32(id as text) mod ``folds``
-    equal to ``fold`` are held out and all others are learned from. Null and empty texts are one end token; a null id is never held out.
+@dataclass(frozen=True)
+class LanguageModel:
+    classes: TextClasses
+    totals: Totals
+    seen: np.ndarray  # expected numbers of pieces, by class
 
-    Tokens are blank-cut words with A-Z lowered and one end. Texts are a mixture of a few classes, found without labels. In a class a
-    token's probability is its discounted count, backed by the shared counts and by the marginal of the class's subword lattice; the
-    discount comes from the corpus's counts of counts. The end counts as one of the distinct words in the back-off, and all words have
-    the rest of it, so that words and end have no more than 1 together. A share that grows up to CACHE goes to the tokens seen so far in the text. A text's
-    probability is the product over its tokens, summed over classes; a word's in the lattice is summed over its segmentations.
 
-    Rows are dealt into blocks of about BLOCK_MB. A block's distinct words are counted in one task; counts meet by word, with a map-side
-    sum; each block then gets back the counts and likelihoods of its own words only, so that no worker holds the vocabulary.
-    The classes are fitted to all training rows. To the driver go totals, the counts of the vocabulary's pieces, and MARKS numbers for each class.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    proto = read_model(model)
-    blocks = _blocks(docs, id_col, text_col, fold, folds)
-    classes = find_classes(blocks)
+def _learned(docs: DataFrame, id_col: str, text_col: str, fold: int, folds: int, proto: bytes) -> tuple[DataFrame, DataFrame, LanguageModel]:
+    """The rows and words by chunk, the words' numbers by class, and the model."""
+    key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    held = F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+    rows = docs.select(key.alias("id"), held.alias("held"), text.alias("t"))
+    classes = find_classes(rows.where("not held").select("t"))
     k = len(classes.prior)
-    words = staged(blocks.groupBy("block").applyInArrow(_dictionary(classes), "block long, word string, n array<long>"))
-    summed = words.groupBy("word").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(k)])
-    counted = staged(summed.select("word", F.array(*[f"n{i}" for i in range(k)]).alias("n")))
-    c = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    own = lambda i: F.col("n")[i]
-    row = counted.select("n", c.alias("c")).agg(
+    id_type = rows.schema["id"].dataType
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    parts = staged(rows.mapInArrow(_dictionary(classes, kind), PARTS.format(id=id_type.simpleString())))
+    by_class = [F.coalesce(F.sum(F.when(F.col("cls") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(k)]
+    need = F.bit_or(F.expr("shiftleft(1L, cls)")).alias("need")
+    counted = staged(parts.where("word is not null").groupBy("word").agg(*by_class, need))
+    c = sum((F.col(f"n{i}") for i in range(1, k)), F.col("n0"))
+    row = counted.select(c.alias("c"), *[f"n{i}" for i in range(k)]).agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2),
-        *[F.coalesce(F.sum(own(i)), F.lit(0)) for i in range(k)], *[F.count_if(own(i) > 0) for i in range(k)],
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(k)], *[F.count_if(F.col(f"n{i}") > 0) for i in range(k)],
     ).first()
     tokens, distinct, once, twice = row[:4]
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    totals = Totals(tokens, distinct, discount, 1 / (distinct + 2), tuple(row[4 : 4 + k]), tuple(row[4 + k :]), classes.prior)
-    pieces = counted.where("word <> ''").where(F.exists("n", lambda x: x > 0)).select("word", "n").mapInArrow(_pieces(proto, k), "piece int, cls int, n long").groupBy("piece", "cls").agg(F.sum("n").alias("n"))
-    counts: dict[int, list[float]] = {}
-    for r in pieces.collect():  # one row per piece of the vocabulary and class at the most
-        counts.setdefault(r["piece"], [0.0] * k)[r["cls"]] = float(r["n"])
-    known = counted.mapInArrow(_likelihoods(proto, counts, [float(max(0, v - 1)) for v in totals.distinct_by_class]), "word string, n array<long>, sub array<float>")
-    found = words.select("block", "word").join(known, "word").select("block", "word", "n", "sub")
-    made = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        _scorer(totals), blocks.select("id", "held").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
-    )
-    return made.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    totals = Totals(tokens, distinct, discount, 1 / (distinct + 2), tuple(row[4 : 4 + k]), tuple(row[4 + k :]))
+    words = tuple(float(max(0, v - 1)) for v in totals.distinct_by_class)
+    source, seen = counted.where(c > 0).where("word <> ''").select("word", *[f"n{i}" for i in range(k)]), None
+    for _ in range(ROUNDS):
+        sums = source.mapInArrow(_piece_sums(proto, seen, words), "cls int, piece int, v double").groupBy("cls", "piece").agg(F.sum("v").alias("v")).collect()
+        seen = np.zeros((k, len(coder(proto).bytes_of)))
+        for r in sums:  # one row per piece of the vocabulary and class at the most
+            seen[r["cls"], r["piece"]] = r["v"]
+    return parts, counted, LanguageModel(classes, totals, seen)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, model: str = MODEL) -> DataFrame:
+    """Per row: the id, held_out, n_tokens, n_known, train_tokens, base_score and score; the rows with crc32(id as text) mod ``folds``
+    equal to ``fold`` are held out and all others are learned from. Null and empty texts are one end token; a null id is never held out;
+    rows that repeat an id are scored each by its own text; other columns are not looked at.
+
+    Tokens are blank-cut words with A-Z lowered and one end. A word's lattice has the vocabulary's pieces as edges, weighted by their
+    scores and by their expected numbers over all segmentations of the training words (ROUNDS rounds), and the forward recursion in log space sums
+    over all segmentations. The words of the training texts are edges of their own beside it, weighted by their discounted numbers, and what the discount takes
+    goes to the lattice; the end has a distinct word's share there. So the probabilities of all tokens sum up to no more than 1.
+    A text is of one of CLASSES classes, found from its bytes without labels, with weights of its own each. Its score is the log10 probability of its most
+    likely class and of its tokens in it: the largest term of the sum over classes, so the scores of all texts sum up to no more than 1 too.
+
+    A chunk of about BLOCK_MB of text is read once, into its distinct words and its rows as places in that list; counts meet by word, with
+    a map-side sum; each chunk gets back the numbers and logs of its own words only, so that no worker holds the vocabulary.
+    To the driver go totals, the pieces' expected numbers by class, and the classes' weights.
+    """
+    ship(docs.sparkSession)
+    proto = read_model(model)
+    parts, counted, learned = _learned(docs, id_col, text_col, fold, folds, proto)
+    logs = counted.mapInArrow(_word_logs(proto, learned.seen, learned.totals), "word string, cls int, c long, lp double")
+    found = parts.where("word is not null").select("word", "cls", "chunk", "place").join(logs, ["word", "cls"]).select("chunk", "cls", "place", "c", "lp")
+    rows = parts.where("tokens is not null").select(F.col("chunk").alias("own"), F.col("cls").alias("of"), "id", "held", "tokens")
+    schema = rows.select("id", "held").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    made = rows.groupBy("own").cogroup(found.groupBy("chunk")).applyInArrow(_scorer(learned.totals, learned.classes.prior), schema)
+    return made.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(learned.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Strings are padded to the next of these lengths; longer ones are left to the callers' own windows.
-LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64])
+LENGTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, 512, 1024, 2048, 4096])
 SIGNS = 1 << 17
 #: Stands for U+2581 in a text, which isn't a blank there; no text has this sign.
 LITERAL = "\ud800"
@@ -49,6 +49,15 @@ class PieceTrie:
             if len(p) == 1:
                 self.single[self.code[ord(p)]] = True
 
+    def find(self, text: str) -> int:
+        """The piece that is this text, or -1."""
+        node = np.zeros(1, np.int32)
+        for c in text:
+            hit, node = self.moved(node, self.code[[ord(c)]])
+            if not hit[0]:
+                return -1
+        return int(self.piece[node[0]])
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _MULTIPLIER) >> self.shift).view(np.int64)
 
@@ -90,12 +99,12 @@ class Block:
         return x[self.sizes, np.arange(len(self.sizes))]
 
 
-def blocks(trie: PieceTrie, strings: list[str]) -> Iterator[Block]:
-    """The lattices of the strings that are not longer than the last of LENGTHS; empty ones are left out."""
+def blocks(trie: PieceTrie, strings: list[str], longest: int = 64) -> Iterator[Block]:
+    """The lattices of the strings that are not longer than ``longest``, one of LENGTHS; empty ones are left out."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     kind = np.searchsorted(LENGTHS, sizes)
     order = np.argsort(kind, kind="stable")
-    order = order[(sizes[order] > 0) & (kind[order] < len(LENGTHS))]
+    order = order[(sizes[order] > 0) & (sizes[order] <= longest)]
     bounds = [0, *(np.flatnonzero(np.diff(kind[order])) + 1), len(order)] if len(order) else [0]
     for a, b in zip(bounds, bounds[1:], strict=False):
         n = int(LENGTHS[kind[order[a]]])
