@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from conftest import ODD, documents
 
 from stratoscope.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup
@@ -137,6 +138,30 @@ def test_repeated_strings_of_odd_rows(spark, odd, none):
     assert cut(none) == {}
 
 
+def signed(x):
+    return xxhash.xxh64_intdigest(x.encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(x.encode(), seed=42) >> 63)
+
+
+def test_repeated_strings_of_rows_that_share_an_id(spark):
+    """Different texts of one id, or of none, are different documents in the order of their hashes; equal ones are one."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passages = [word(n) for n in (120, 200)]
+    pairs = [(rng.choice([None, 1, 2, 3]), word(rng.randrange(30)) + rng.choice(passages) + word(rng.randrange(30))) for _ in range(40)]
+    pairs += [(2, "short"), (2, word(300)), (None, "-" * 300), (None, "-" * 300), pairs[0], pairs[1]]
+    made = sorted(tuple(r)[1:5] + (r.doc_id is None, r.doc_id or 0) for r in substring_dedup.cut_repeats(documents(spark, pairs)).collect())
+    ranked = sorted(set(pairs), key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1])))
+    want = brute_cut([(k, x) for k, (_, x) in enumerate(ranked)])
+    place = {x: k for k, x in enumerate(ranked)}
+    assert made == sorted(want[place[x]] + (x[0] is None, x[0] or 0) for x in pairs)
+
+
+def test_very_long_repetitive_texts(spark):
+    """A row per byte would be a million; one span is left."""
+    made = {r.doc_id: r for r in substring_dedup.cut_repeats(documents(spark, [(1, "-" * 1_000_000), (2, "ab" * 400_000), (3, "x" + "-" * 150)])).collect()}
+    assert (made[1].n_removed, made[1].n_spans) == (999_999, 1) and (made[2].n_removed, made[2].n_spans) == (799_998, 1) and made[3].n_removed == 150
+
+
 def test_copies_of_a_page_count_once(spark):
     pages = [(i, f"home\nown {2 * (i // 2)}\nmore {i}") for i in range(0, 80, 2)] + [(2 * i, "home\nthe copied page\nits end") for i in range(100, 160)]
     made = {r.doc_id: r for r in line_dedup.drop_boilerplate(documents(spark, pages), copies=False).collect()}
