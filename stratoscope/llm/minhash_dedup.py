@@ -103,25 +103,6 @@ def _equal(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _masked(tokens: str, sig: str) -> Column:
-    """The signature with null on the coordinates that aren't posted."""
-    at = F.transform(tokens, lambda x: F.shiftright(x, 32).cast("int"))
-    return F.transform(sig, lambda v, i: F.when(F.array_contains(at, i), v))
-
-
-def _match(x: str, y: str, percent: int, least_equal: int) -> Column:
-    """Whether two postings of one list are a candidate pair: the shingles that others have too allow it, no earlier list
-    has the pair too, enough coordinates agree, and the numbers of shingles in each cell allow it."""
-    most = F.aggregate(F.zip_with(f"cells{x}", f"cells{y}", lambda a, b: F.least(a, b)), F.lit(0), lambda n, v: n + v)
-    common = F.array_position(F.zip_with(f"own{x}", f"own{y}", lambda a, b: a == b), True)
-    return (
-        _possible(f"n{x}", f"m{x}", f"n{y}", f"m{y}", percent)
-        & (common == F.shiftright("token", 32) + 1)
-        & (_equal(f"sig{x}", f"sig{y}") >= least_equal)
-        & (F.lit(100) * most >= F.lit(percent) * (F.col(f"n{x}") + F.col(f"n{y}") - most))
-    )
-
-
 def _possible(n1: str, m1: str, n2: str, m2: str, percent: int) -> Column:
     """Whether sets of n shingles, m of which others have too, can be similar enough."""
     most = F.least(m1, m2)
@@ -142,6 +123,17 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def _signed(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures agree on enough coordinates, and whose numbers of shingles in each cell allow the similarity.
+
+    nodes: (node, n, sig, cells). Signatures travel once for each pair and not with each posting.
+    """
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("cells").alias(f"cells{x}"))
+    most = F.aggregate(F.zip_with("cellsa", "cellsb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, v: n + v)
+    fit = F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)
+    return pairs.join(own("b"), "b").join(own("a"), "a").where(_equal("siga", "sigb") >= least_equal).where(fit).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets, (node, s), are similar enough."""
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -162,44 +154,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, least_equal: int = LEAST_EQUAL) -> DataFrame:
-    """Per row: the id, n_shingles, component_id and kept. Texts are linked whose shingle sets have 100 * |both| >= percent * |either|.
+    """Per row: the id, n_shingles, component_id and kept, and text_hash (with the id it names the row's text). Texts are linked whose
+    shingle sets have 100 * |both| >= percent * |either|.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal sets, repeated rows among them,
-    are one node, so no pair is formed among copies; nodes go by their smallest id. A null id is never a component's id, unless
-    its row has no other. Other columns are not looked at.
+    are one node, so no pair is formed among copies. Rows that repeat an id with different texts are nodes of their own, each with
+    its own links. A component's id is its rows' smallest; a null id is one only where no row has another.
+    Very long texts are shingled whole. Other columns are not looked at.
 
-    1. One scan gives each row's set size, a 128-bit hash of the set, and its signature; equal sets become one node.
+    1. One scan gives each row's set size, a 128-bit hash of the set, and its signature; equal sets become one numbered node.
     2. Signatures are posted under (coordinate, value). Values that occur once can't collide; a node must share at least
        ``least_equal`` of its values. Prefix: two nodes that agree on so many must meet in the rarest (shared - least_equal + 1) of
-       either's shared values, so only these are posted, and the commonest values never form lists.
+       either's shared values, so only these are posted, and the commonest values never form lists. A posting is (value, node, size).
     3. Nodes that are posted get their full sets, and the number of shingles that any other posted node has, which bounds what two of
-       them can share. Each list joins its smallest node to the others whose bounds allow the similarity and whose signatures agree on
-       enough coordinates; these pairs are confirmed on the full sets, and linked nodes form components.
+       them can share. Each list joins its smallest node to the others whose bounds allow the similarity; a pair that meets in several
+       lists is one pair. Pairs whose signatures agree on enough coordinates are confirmed on the full sets, and linked nodes form components.
     4. Skip: a list that now lies within one component is left out. In the rest, nodes of different components first meet in small
        tables of a list, dealt anew each round, which joins most of what belongs together. Then each node outside of the smallest node's
        component meets every node of another component. So no possible link between two components is left untried, while a list of
-       near copies costs a few rows per node. A pair is met in its first common list only.
+       near copies costs a few rows per node.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"))
+    text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    source = docs.select(key.alias("id"), F.coalesce(key, F.lit(-(2**63))).alias("i"), F.xxhash64(text).alias("g"), text.alias("t"))
     fields = [T.StructField("n", T.LongType()), T.StructField("h", T.StringType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]
-    rows = staged(map_text(source, ["id"], "t", _signatures(size), fields))
-    nodes = staged(rows.where("h is not null").groupBy("h").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    rows = staged(map_text(source, ["id", "i", "g"], "t", _signatures(size), fields))
+    first = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.min(F.struct("i", "g")).alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = staged(first.select("h", "id", "own.i", "own.g", "n", "sig", F.monotonically_increasing_id().alias("node")))  # numbered once: what is written stays
 
-    posted = nodes.where("node is not null").select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long") + F.lit(2**31))).alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1").select(F.concat(F.col("token").cast("string"), F.lit("")).alias("token"), "n_token")
-    own = posted.select("node", F.col("token").cast("string").alias("token")).join(shared, "token")
+    posted = nodes.select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long") + F.lit(2**31))).alias("token"))
+    shared = posted.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1").select(F.bitwise_not("token").alias("k"), "n_token")
+    own = posted.select("node", "token", F.bitwise_not("token").alias("k")).join(shared, "k")
     prefix = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("x")).where(F.size("x") >= least_equal)
-    chosen = staged(prefix.select("node", F.transform(F.slice("x", F.lit(1), F.size("x") - (least_equal - 1)), lambda y: y.token.cast("long")).alias("tokens")))
-    own_sets = map_text(source.join(chosen.select(F.col("node").alias("id")), "id", "left_semi"), ["id"], "t", _sets(size), [T.StructField("s", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    sets = staged(own_sets.groupBy(F.col("id").alias("node")).agg(F.max("s").alias("s"), F.max_by("cells", "s").alias("cells")))
-    fit = chosen.join(nodes.select("node", "n", "sig"), "node").join(_unshared(sets), "node", "left").join(sets.select("node", "cells"), "node").withColumn("own", _masked("tokens", "sig"))
-    post = staged(fit.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "sig", "own", "cells", F.explode("tokens").alias("token")))
-
-    heads = post.groupBy("token").agg(F.min_by(F.struct("node", "n", "m", "sig", "own", "cells"), "node").alias("y"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), F.col("y.n").alias("na"), F.col("y.m").alias("ma"), F.col("y.sig").alias("siga"), F.col("y.own").alias("owna"), F.col("y.cells").alias("cellsa"))
-    met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _match("", "a", percent, least_equal))
-    links = staged(_confirmed(staged(met.select("a", F.col("node").alias("b")).distinct()), sets, percent))
+    chosen = staged(prefix.select("node", F.transform(F.slice("x", F.lit(1), F.size("x") - (least_equal - 1)), lambda y: y.token).alias("tokens")))
+    texts = source.join(nodes.join(chosen.select("node"), "node").select("i", "g", "node"), ["i", "g"])
+    own_sets = map_text(texts, ["node"], "t", _sets(size), [T.StructField("s", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    sets = staged(own_sets.dropDuplicates(["node"]))
+    known = staged(nodes.select("node", "n", "sig").join(sets.select("node", "cells"), "node"))
+    fit = chosen.join(known.select("node", "n"), "node").join(_unshared(sets), "node", "left")
+    post = staged(fit.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), F.explode("tokens").alias("token")))
+
+    heads = post.groupBy("token").agg(F.min(F.struct("node", "n", "m")).alias("y"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), F.col("y.n").alias("na"), F.col("y.m").alias("ma"))
+    met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _possible("n", "m", "na", "ma", percent))
+    fit_pairs = staged(_signed(met.select("a", F.col("node").alias("b")).distinct(), known, percent, least_equal))
+    links = staged(_confirmed(fit_pairs, sets, percent))
     linked = components(links)
 
     for turn in range(ROUNDS + 1):
@@ -207,32 +205,52 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_lists = named.groupBy("token").agg(F.min_by("component", "node").alias("head"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
         open_lists = open_lists.where("low <> high").select(F.bitwise_not("token").alias("k"), "head", "first", "c")
         members = named.withColumn("k", F.bitwise_not("token")).join(open_lists, "k")
-        other = F.col("ca") != F.col("component")
+        right = ["k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca")]
+        other = (F.col("ca") != F.col("component")) & _possible("n", "m", "na", "ma", percent)
         if turn < ROUNDS:
             seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("c") / TABLE))
-            left = members.select("k", "token", "node", "n", "m", "sig", "own", "cells", "component", seat.alias("seat"))
-            right = left.select("k", "seat", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("sig").alias("siga"), F.col("own").alias("owna"), F.col("cells").alias("cellsa"), F.col("component").alias("ca"))
-            more = left.join(right, ["k", "seat"]).where((F.col("a") < F.col("node")) & other & _match("", "a", percent, least_equal))
+            left = members.select("k", "node", "n", "m", "component", seat.alias("seat"))
+            more = left.join(left.select("seat", *right), ["k", "seat"]).where((F.col("a") < F.col("node")) & other)
         else:
             members = staged(members)
-            right = members.where("component <> head").select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("sig").alias("siga"), F.col("own").alias("owna"), F.col("cells").alias("cellsa"), F.col("component").alias("ca"))
             once = (F.col("component") == F.col("head")) | (F.col("a") < F.col("node"))
-            more = members.join(right, "k").where(other & (F.col("node") != F.col("first")) & once & _match("", "a", percent, least_equal))
-        pairs = staged(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+            more = members.join(members.where("component <> head").select(*right), "k").where(other & (F.col("node") != F.col("first")) & once)
+        pairs = staged(_signed(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), known, percent, least_equal))
         if pairs.isEmpty():
             continue
         links = staged(links.union(_confirmed(pairs, sets, percent)))
         linked = components(links)
 
-    verdict = nodes.join(linked, "node", "left").select(F.concat("h", F.lit("")).alias("h"), F.coalesce("component", "node").alias("component"))
-    return rows.select("id", "n", "h").join(verdict, "h", "left").select(
+    named = nodes.join(linked, "node", "left").select("h", "id", F.coalesce("component", "node").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    verdict = named.select(F.bitwise_not("component").alias("k"), "h").join(smallest.select(F.bitwise_not("component").alias("k"), "component_id"), "k").select(F.concat("h", F.lit("")).alias("h"), F.bitwise_not("k").alias("component"), "component_id")
+    return rows.select("id", "g", "n", "h").join(verdict, "h", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component", "id")).alias("kept"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"),
+        F.col("g").alias("text_hash"),
+        "component",
     )
 
 
+def one_of_each(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near_groups: that with the smallest id, a null one last, and the smallest text hash.
+
+    Rows that repeat its id with its text are copies, of which one stays. Rows without words are in no component and all stay.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
+    found = verdict.where("component is not null").groupBy("component", id_col, "text_hash").agg(F.count("*").alias("times"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("last"), id_col, "text_hash", "times")).alias("x"))
+    stays = staged(first.select(F.coalesce(F.col(f"x.{id_col}"), F.lit(-(2**63))).alias("__i"), F.col("x.text_hash").alias("__g"), "x.times"))
+    wordless = verdict.where("component is null").select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("__i"), F.col("text_hash").alias("__g")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), key.alias("__i"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("__g"))
+    single = rows.join(stays.where("times = 1").select("__i", "__g").union(wordless), ["__i", "__g"], "left_semi")
+    copied = rows.join(stays.where("times > 1"), ["__i", "__g"], "left_semi").dropDuplicates(["__i", "__g"])
+    return single.union(copied).select("row.*")
+
+
 SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
   sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]

@@ -25,7 +25,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,22 @@ def test_near_groups_of_odd_rows(spark, odd, none):
     assert minhash_dedup.near_groups(none).count() == 0
 
 
+def test_rows_that_repeat_an_id_keep_their_own_links(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, a), (4, a), (None, b + " z"), (None, "own words of no one")]
+    made = minhash_dedup.near_groups(documents(spark, rows))
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in made.collect()) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (0, 1), (0, 0)])
+    assert len({r.component for r in made.collect()}) == 3
+    left = minhash_dedup.one_of_each(documents(spark, rows + [(5, ""), (5, None)]), minhash_dedup.near_groups(documents(spark, rows + [(5, ""), (5, None)])))
+    assert sorted((r.doc_id or 0, r.text or "", r.h) for r in left.collect()) == [(0, "own words of no one", "b"), (1, a, "b"), (1, b, "b"), (5, "", "b"), (5, "", "b")]
+
+
+def test_copies_of_the_first_row_are_one(spark):
+    rows = [(7, "one two three four five")] * 3 + [(8, "one two three four five")]
+    left = minhash_dedup.one_of_each(documents(spark, rows), minhash_dedup.near_groups(documents(spark, rows))).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(7, "one two three four five")]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     made = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
