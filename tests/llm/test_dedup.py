@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 import xxhash
@@ -26,15 +27,34 @@ def test_equal_lengths_and_prefixes_alone_are_no_duplicates(spark):
     assert [(r.keep_id, r.group_size, r.kept) for r in made] == [(3, 2, False), (2, 1, True), (3, 2, True), (4, 1, True)]
 
 
-def test_boilerplate(spark, odd, none):
+def brute_boilerplate(rows, ratio, least):
+    """(text that stays, dropped) of each (host, text)."""
+    pages, seen = Counter(h for h, _ in rows), Counter()
+    for h, x in rows:
+        seen.update((h, line) for line in {y for y in (x or "").split("\n") if y.strip(" ")})
+    gone = {k for k, n in seen.items() if n > ratio * pages[k[0]] and n >= least}
+    kept = [[y for y in (x or "").split("\n") if (h, y) not in gone] for h, x in rows]
+    return [(None if x is None else "\n".join(k), len((x or "").split("\n")) - len(k)) for (h, x), k in zip(rows, kept, strict=True)]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_boilerplate(spark, odd, none, least):
     pages = [(2 * i, f"home\n\nown {i}\nhome") for i in range(40)] + [(1, "home\nx"), (3, None)]
-    made = {r.doc_id: r for r in line_dedup.drop_boilerplate(documents(spark, pages)).collect()}
-    assert made[4].text == "\nown 2" and (made[4].n_lines, made[4].n_dropped) == (4, 2)
-    assert made[1].text == "home\nx" and made[3].text is None and made[3].n_dropped == 0
-    assert [r.n_dropped for r in line_dedup.drop_boilerplate(odd).collect()] == [0] * len(ODD)
+    for pairs in (pages, ODD):
+        made = line_dedup.drop_boilerplate(documents(spark, pairs), min_pages=least).collect()
+        want = brute_boilerplate([(f"src{(i or 0) % 2}", x) for i, x in pairs], line_dedup.RATIO, least)
+        assert sorted((r.doc_id or -1, r.text or "", r.n_dropped) for r in made) == sorted((i or -1, w[0] or "", w[1]) for (i, _), w in zip(pairs, want, strict=True))
+        assert {r.doc_id for r in made if r.text is None} == {i for i, x in pairs if x is None}
     assert line_dedup.line_report(none).count() == 0
 
 
+def test_boilerplate_leaves_other_columns_alone(spark):
+    names = "doc_id long, text string, source string, host string, lines string, boilerplate string, kept string, row string, __host string, `a.b` string"
+    made = line_dedup.drop_boilerplate(spark.createDataFrame([(1, "x\ny", "s", *"abcdefg")], names), ratio=2)
+    assert made.columns[:-2] == ["doc_id", "text", "source", "host", "lines", "boilerplate", "kept", "row", "__host", "a.b"]
+    assert tuple(made.first()) == (1, "x\ny", "s", *"abcdefg", 2, 0)
+
+
 def shingles(text, size):
     w = [x for x in (text or "").encode().lower().split()]
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
@@ -179,7 +199,7 @@ def test_very_long_repetitive_texts(spark):
 
 
 def test_copies_of_a_page_count_once(spark):
-    pages = [(i, f"home\nown {2 * (i // 2)}\nmore {i}") for i in range(0, 80, 2)] + [(2 * i, "home\nthe copied page\nits end") for i in range(100, 160)]
+    pages = [(i, f"home\nown {i}\nmore {i}") for i in range(0, 80, 2)] + [(2 * i, "home\nthe copied page\nits end") for i in range(100, 160)]
     made = {r.doc_id: r for r in line_dedup.drop_boilerplate(documents(spark, pages), copies=False).collect()}
     assert made[200].text == "the copied page\nits end" and made[318].n_dropped == 1
     assert made[4].text == "own 4\nmore 4"

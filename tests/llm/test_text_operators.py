@@ -294,12 +294,12 @@ def test_benchmark_spans_point_into_the_text(spark, odd, none):
     items = spark.createDataFrame([(1, item, "q"), (2, "tiny é", "q"), (3, None, "q"), (4, "..", "q"), (5, item, "q")], "item_id long, text string, extra string")
     text = "x, Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda! y tiny É tiny é"
     docs = documents(spark, [(1, text), (2, "alpha beta gamma delta"), (3, None)])
-    for bound in (1 << 20, 40):
-        made = {r.doc_id: r for r in decontaminate.find_benchmark(docs, items, ["doc_id"], max_bytes=bound).collect()}
+    for bound in (1 << 20, 40):  # one automaton, or several
+        made = {r.doc_id: r for r in decontaminate.find_benchmark(docs, items, ["doc_id"], max_nodes=bound).collect()}
         spans = {(s.item, text.encode()[s.from_byte : s.to_byte].decode()) for s in made[1].found}
         assert spans == {("1", "Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda"), ("5", "Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda"), ("2", "tiny é")}
         assert made[2].found == [] and made[3].n_words == 0
-        r = {r.doc_id: r for r in decontaminate.contamination(docs, items, max_bytes=bound).collect()}[1]
+        r = {r.doc_id: r for r in decontaminate.contamination(docs, items, max_nodes=bound).collect()}[1]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (16, 12, 3, True) and r.items_sha256 == hashlib.sha256(b"1,2,5").hexdigest()
     assert decontaminate.contamination(odd, items.where("false")).where("contaminated").count() == 0
     assert decontaminate.contamination(none, items).count() == 0
