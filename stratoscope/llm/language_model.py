@@ -39,8 +39,8 @@ def spelling(word: bytes) -> str:
 
 def scores_as_weights(own: PieceCoder) -> np.ndarray:
     """The vocabulary's own scores as weights by id. They are ranks (the file is of the BPE kind), and a rank r is given a share that falls as 1 / r."""
-    known = np.isfinite(own.scores[:-1])
-    weights = np.where(known, 1 / (2.7 - np.maximum(np.where(known, own.scores[:-1], 0), -1e6)), 0.0)
+    known = np.isfinite(own.scores)
+    weights = np.where(known, 1 / (2.7 - np.maximum(np.where(known, own.scores, 0), -1e6)), 0.0)
     weights[[k for k in own.byte_ids if k is not None]] = 1e-6
     return weights
 
@@ -53,14 +53,14 @@ class PieceLattice:
 
     def __init__(self, trie: PieceTrie, scores: np.ndarray, heads: np.ndarray, byte_ids: list[int | None], seen: np.ndarray | None = None, words: float = 0.0) -> None:
         self.trie = trie
-        self.weights = np.full(len(scores) + 1, -np.inf)  # the last entry is for no piece
+        self.weights = np.full(len(scores), -np.inf)
         seen = np.zeros(len(scores)) if seen is None else seen
         for group, stops in ((heads, None), (~heads, words)):
             mass, total = scores[group].sum(), seen[group].sum() + (stops or 0.0)
             weight = 1.0 + PRIOR * total
             half = 1.0 if stops is None else 0.5
             with np.errstate(divide="ignore"):
-                self.weights[:-1][group] = np.log((seen[group] + half * weight * scores[group] / (mass or 1.0)) / (total + weight))
+                self.weights[group] = np.log((seen[group] + half * weight * scores[group] / (mass or 1.0)) / (total + weight))
             if stops is not None:
                 self.stop = math.log((stops + 0.5 * weight) / (total + weight))
         self.byte_logs = np.array([-np.inf if k is None else self.weights[k] for k in byte_ids])
@@ -77,8 +77,7 @@ class PieceLattice:
         """Log probabilities of spelled words, by the forward recursion in log space."""
         out = np.empty(len(words))
         for block in blocks(self.trie, words, LONGEST):
-            alpha, _ = forward(block, self.weights, self.bare(block))
-            out[block.which] = block.ends(alpha)
+            out[block.which] = block.ends(forward(block, block.weights(self.weights, self.bare(block))))
         for i, w in enumerate(words):
             if len(w) > LONGEST:
                 out[i] = self.streamed(w)
@@ -102,11 +101,12 @@ class PieceLattice:
 
     def expected(self, words: list[str]) -> np.ndarray:
         """Expected numbers of each piece over the segmentations of all words; very long words count by stretches."""
-        cut = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
-        out = np.zeros(len(self.weights) - 1)
+        cut = words
+        if max(map(len, words), default=0) > LONGEST:
+            cut = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
+        out = np.zeros(len(self.weights))
         for block in blocks(self.trie, cut, LONGEST):
-            alpha, w = forward(block, self.weights, self.bare(block))
-            out += expected(block, alpha, w, np.ones(len(block.which)), len(out))
+            out += expected(block, self.weights, block.weights(self.weights, self.bare(block)))
         return out
 
 

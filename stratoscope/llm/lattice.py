@@ -78,21 +78,26 @@ class PieceTrie:
 
 @dataclass
 class Block:
-    """Strings of up to n signs as columns; piece[size, start, column] is the piece of ``size`` signs from ``start`` on, or -1."""
+    """Strings of up to n signs as columns; edges has, by size, the places (start * columns + column) where pieces of that size start, and the pieces."""
 
     which: np.ndarray  # the strings' places in the caller's list
     signs: np.ndarray  # (n, columns) code points, 0 beyond the end
     sizes: np.ndarray
-    piece: np.ndarray
+    edges: dict[int, tuple[np.ndarray, np.ndarray]]
     bare: np.ndarray  # (n, columns) signs that are no piece of their own
 
     @property
     def n(self) -> int:
         return len(self.signs)
 
-    def present(self) -> list[int]:
-        """Sizes of which there are pieces, or signs without one (size 1)."""
-        return [k for k in range(1, len(self.piece)) if k == 1 or (self.piece[k] >= 0).any()]
+    def weights(self, of_piece: np.ndarray, of_bare: np.ndarray | float) -> dict[int, np.ndarray]:
+        """By size, the weights of the edges by start and column, -inf where there is none."""
+        out = {}
+        for size, (at, piece) in self.edges.items():
+            out[size] = np.full(self.signs.shape, -np.inf)
+            out[size].ravel()[at] = of_piece[piece]
+        out[1][self.bare] = of_bare
+        return out
 
     def ends(self, x: np.ndarray) -> np.ndarray:
         """Of an array by place, the entries at the strings' ends."""
@@ -124,7 +129,7 @@ def _block(trie: PieceTrie, strings: list[str], which: np.ndarray, sizes: np.nda
     codes = np.zeros((n + most, columns), np.int32)
     codes[:n] = trie.code[signs]
     codes = codes.ravel()
-    piece = np.full((most + 1, n * columns), -1, np.int32)
+    edges = {1: (np.zeros(0, np.int64), np.zeros(0, np.int32))}
     at = np.flatnonzero(codes)
     node = np.zeros(len(at), np.int32)
     for size in range(1, most + 1):
@@ -133,16 +138,11 @@ def _block(trie: PieceTrie, strings: list[str], which: np.ndarray, sizes: np.nda
         if not len(at):
             break
         found = trie.piece[node]
-        piece[size][at] = found
+        there = found >= 0
+        if there.any():
+            edges[size] = at[there], found[there]
     bare = (signs > 0) & ~trie.single[codes[: n * columns].reshape(n, columns)]
-    return Block(which, signs, own, piece.reshape(most + 1, n, columns), bare)
-
-
-def _weights(block: Block, of_piece: np.ndarray, of_bare: np.ndarray) -> np.ndarray:
-    """Weights of all edges; of_piece has -inf as its last entry, for the piece -1."""
-    w = of_piece[block.piece]
-    w[1][block.bare] = of_bare
-    return w
+    return Block(which, signs, own, edges, bare)
 
 
 def best_paths(block: Block, of_piece: np.ndarray, of_bare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,21 +150,23 @@ def best_paths(block: Block, of_piece: np.ndarray, of_bare: float) -> tuple[np.n
 
     The path with the largest sum of weights; of equal ones that with the longer last piece, from the end to the front.
     """
-    w, present = _weights(block, of_piece, of_bare), block.present()
-    columns = len(block.which)
+    w, columns = block.weights(of_piece, of_bare), len(block.which)
     best = np.full((block.n + 1, columns), -np.inf)
     back = np.zeros((block.n + 1, columns), np.int32)
     best[0] = 0
     for e in range(1, block.n + 1):
-        for size in reversed([k for k in present if k <= e]):
-            total = best[e - size] + w[size, e - size]
+        for size in sorted((k for k in w if k <= e), reverse=True):
+            total = best[e - size] + w[size][e - size]
             better = total > best[e]
             np.copyto(best[e], total, where=better)
             np.copyto(back[e], size, where=better)
+    piece = np.full((max(w) + 1, block.n * columns), -1, np.int32)
+    for size, (at, own) in block.edges.items():
+        piece[size, at] = own
     lane, at, steps = np.arange(columns), block.sizes.copy(), []
     while at.any():
         size = back[at, lane]
-        steps.append(np.where(at > 0, block.piece[size, at - size, lane], -2))
+        steps.append(np.where(at > 0, piece[size, (at - size) * columns + lane], -2))
         at = at - size
     paths = np.array(steps[::-1], np.int32).T
     real = paths != -2
@@ -177,33 +179,31 @@ def _logsum(terms: list[np.ndarray]) -> np.ndarray:
     t = np.array(terms)
     top = t.max(axis=0)
     top[np.isneginf(top)] = 0.0
+    t -= top
     with np.errstate(divide="ignore"):
-        return top + np.log(np.exp(t - top).sum(axis=0))
+        return top + np.log(np.exp(t, out=t).sum(axis=0))
 
 
-def forward(block: Block, of_piece: np.ndarray, of_bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the sum over all segmentations of each string up to each place, and the edges' weights."""
-    w, present = _weights(block, of_piece, of_bare), block.present()
+def forward(block: Block, w: dict[int, np.ndarray]) -> np.ndarray:
+    """Log of the sum over all segmentations of each string up to each place, for the edges' log weights."""
     alpha = np.full((block.n + 1, len(block.which)), -np.inf)
     alpha[0] = 0
     for e in range(1, block.n + 1):
-        alpha[e] = _logsum([alpha[e - k] + w[k, e - k] for k in present if k <= e])
-    return alpha, w
+        alpha[e] = _logsum([alpha[e - k] + x[e - k] for k, x in w.items() if k <= e])
+    return alpha
 
 
-def expected(block: Block, alpha: np.ndarray, w: np.ndarray, times: np.ndarray, n_pieces: int) -> np.ndarray:
-    """Expected numbers of each piece over the strings' segmentations, each string counting ``times``; alpha and w as from forward."""
-    present, columns = block.present(), len(block.which)
-    beta = np.full((block.n + 1, columns), -np.inf)
+def expected(block: Block, of_piece: np.ndarray, w: dict[int, np.ndarray]) -> np.ndarray:
+    """Expected numbers of each piece over the strings' segmentations."""
+    columns = len(block.which)
+    alpha, beta = forward(block, w), np.full((block.n + 1, columns), -np.inf)
     beta[block.sizes, np.arange(columns)] = 0
     for s in range(block.n - 1, -1, -1):
-        sums = _logsum([w[k, s] + beta[s + k] for k in present if k <= block.n - s])
+        sums = _logsum([x[s] + beta[s + k] for k, x in w.items() if k <= block.n - s])
         beta[s] = np.where(s < block.sizes, sums, beta[s])
-    total, out = block.ends(alpha), np.zeros(n_pieces)
-    for k in present:
-        rows = block.n + 1 - k
-        share = np.exp(alpha[:rows] + w[k, :rows] + beta[k:] - total) * times
-        own = block.piece[k, :rows]
-        there = own >= 0
-        out += np.bincount(own[there], share[there], n_pieces)
+    total, out = block.ends(alpha), np.zeros(len(of_piece))
+    alpha, beta = (alpha - total).ravel(), beta.ravel()
+    for size, (at, piece) in block.edges.items():
+        share = np.exp(alpha[at] + of_piece[piece] + beta[at + size * columns])
+        out += np.bincount(piece, share, len(of_piece))
     return out

@@ -52,7 +52,7 @@ class PieceCoder:
         self.unknown = sp.unk_id()
         self.bytes_of: list[bytes] = [b""] * n
         self.byte_ids: list[int | None] = [None] * 256
-        self.scores = np.full(n + 1, -np.inf)  # by id; the last entry stands for no piece
+        self.scores = np.full(n, -np.inf)  # by id
         pieces = {}
         for i in range(n):
             piece = sp.id_to_piece(i)
