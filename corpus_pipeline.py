@@ -20,21 +20,22 @@ SHINGLE_WORDS = 5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores below 0.5."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model, docs.columns, score_col="__score")
-    return scored.where("__score < 0.5").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return toxicity.score_toxicity(whole, model, ["row"]).where("score < 0.5").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines, for which copies of a page count once; n_chars follows the text."""
-    cut = line_dedup.drop_boilerplate(docs, copies=False)
+    """Documents without their source's boilerplate lines, for which copies of a page count once; n_chars follows the text.
+
+    A line that is on one page only is no repetition, however few pages its source has.
+    """
+    cut = line_dedup.drop_boilerplate(docs, copies=False, min_pages=2)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows without an id stay."""
-    verdict = minhash_dedup.near_groups(docs, size=SHINGLE_WORDS)
-    gone = verdict.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, that with the smallest id; rows without words stay."""
+    return minhash_dedup.one_of_each(docs, minhash_dedup.near_groups(docs, size=SHINGLE_WORDS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.encode_pieces(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     slim = coded.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"), "ids")
     back = sentence_pieces.decode_pieces(slim)
-    return back.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_ids"), "text_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+    lossless = (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless")
+    return back.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_ids"), "text_sha256", lossless)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
