@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,21 +17,41 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from .common import as_bytes, letter_words, map_text, slices, staged
 
-#: Closed word classes of English, German, French and Spanish.
-TARGETS = frozenset("you your yours u he she they him her them this these people everyone du dich dir ihr euch sie er tu toi te vous il elle ils elles usted ustedes tú él ella ellos".split())
-NEGATIONS = frozenset("not no never neither nor cannot without nicht kein keine nie ohne ne pas jamais sans ni nunca sin tampoco".split())
-REPORTS = frozenset("said says say saying told called calls wrote reported quoted sagte sagt nannte dit disait appelé dijo dice llamó".split())
-THREATS = frozenset("kill hurt destroy beat murder stab shoot burn töten umbringen schlagen verletzen tuer frapper brûler matar golpear quemar".split())
+#: Word classes of English, German, French and Spanish.
+TARGETS = frozenset(
+    "you your yours yourself u ur he him his she her hers they them their this that these those people everyone everybody "
+    "du dich dir dein deine ihr euch euer sie er ihn ihm ihnen alle leute "
+    "tu toi te ton ta tes vous votre vos il elle lui ils elles eux leur tous gens "
+    "tú ti tu usted ustedes vosotros él ella ellos ellas les todos gente".split()
+)
+NEGATIONS = frozenset(
+    "not no never neither nor cannot without none nobody hardly isn aren wasn don doesn didn won wouldn "
+    "nicht kein keine keinen keiner keinem nie niemals niemand ohne weder noch ne pas jamais aucun aucune sans ni personne "
+    "nunca jamás ningún ninguna ninguno nadie sin tampoco".split()
+)
+REPORTS = frozenset(
+    "said says say saying told tells telling called calls calling wrote writes written reported reports quoted quotes claimed claims asked replied shouted "
+    "sagte sagt sagten nannte nennt nannten schrieb schreibt behauptete rief fragte dit disait disent appelé appelle écrit écrivait raconte cria "
+    "dijo dice dijeron decía llamó llama escribió escribe gritó contó".split()
+)
+THREATS = frozenset(
+    "kill kills hurt hurts destroy beat murder stab shoot burn strangle hang slap smash crush choke punch drown poison hunt break bury "
+    "töten töte umbringen schlagen schlage verletzen verprügeln erschießen erwürgen verbrennen abstechen vernichten zerstören "
+    "tuer tue frapper frappe brûler brûle étrangler égorger détruire cogner abattre noyer écraser "
+    "matar mato golpear golpeo quemar quemo estrangular apuñalar destruir ahogar disparar pegar romper".split()
+)
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6)
-MOST_STEMS = 4096
 SURE = 0.95
 CONTEXTS = 3
 SCOPE = 2
 MEMO = 1 << 16
 CLAUSE = re.compile(rb"[.!?;:|\n]+")
 FEATURES = 7
+#: Symbols of words, and of a clause's end.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = range(7)
+ASSERTED, NEGATED, REPORTED, AIMED = "asserted", "negated", "reported", "aimed"
 
 
 def stems_of(word: bytes) -> list[bytes]:
@@ -40,57 +60,123 @@ def stems_of(word: bytes) -> list[bytes]:
     return [word + b"$", *(text[:n].encode() for n in STEMS if len(text) >= n)]
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs (state, input) to (state, output). An input without an arc of its own stays in its state and is passed on."""
+
+    start: Hashable
+    arcs: dict[tuple, tuple]
+
+    def step(self, state: Hashable, symbol: Hashable) -> tuple:
+        return self.arcs.get((state, symbol), (state, symbol))
+
+    def composed(self, other: Transducer, inputs: Iterable[Hashable]) -> Transducer:
+        """First this one, then the other on its outputs; only the states that the inputs reach."""
+        start = (self.start, other.start)
+        arcs, open_ = {}, [start]
+        seen = {start}
+        while open_:
+            a, b = state = open_.pop()
+            for symbol in inputs:
+                c, between = self.step(a, symbol)
+                d, out = other.step(b, between)
+                arcs[state, symbol] = ((c, d), out)
+                if (c, d) not in seen:
+                    seen.add((c, d))
+                    open_.append((c, d))
+        return Transducer(start, arcs)
+
+
+def negation() -> Transducer:
+    """Of the SCOPE words after a negation, insults and threats come out negated. The states are the words that are left of it."""
+    arcs: dict[tuple, tuple] = {}
+    for left in range(SCOPE + 1):
+        for symbol in (INSULT, THREAT):
+            arcs[left, symbol] = (max(0, left - 1), (symbol, NEGATED if left else ASSERTED))
+        for symbol in (TARGET, REPORT, OTHER):
+            arcs[left, symbol] = (max(0, left - 1), symbol)
+        arcs[left, NEGATION] = (SCOPE, NEGATION)
+        arcs[left, END] = (0, END)
+    return Transducer(0, arcs)
+
+
+def reported_speech() -> Transducer:
+    """After a word of saying, what is asserted in the rest of the clause comes out reported."""
+    arcs: dict[tuple, tuple] = {("own", REPORT): ("quoting", REPORT), ("quoting", END): ("own", END)}
+    for symbol in (INSULT, THREAT):
+        arcs["quoting", (symbol, ASSERTED)] = ("quoting", (symbol, REPORTED))
+    return Transducer("own", arcs)
+
+
+def aim() -> Transducer:
+    """A target anywhere in the clause aims it: its end comes out aimed."""
+    return Transducer("open", {("open", TARGET): ("aimed", TARGET), ("aimed", END): ("open", AIMED)})
+
+
+def clause_machine() -> dict[tuple, tuple]:
+    """The composition, its states numbered from 0: (state, symbol) to (state, output)."""
+    symbols = range(7)
+    whole = negation().composed(reported_speech(), symbols).composed(aim(), symbols)
+    number: dict = {whole.start: 0}
+    for state, _ in whole.arcs:
+        number.setdefault(state, len(number))
+    return {(number[a], symbol): (number[b], out) for (a, symbol), (b, out) in whole.arcs.items()}
+
+
 @dataclass(frozen=True)
 class Grammar:
-    """Composition of five transducers. The first maps words to symbols (insult or threat with a weight, target, negation, report,
-    other); the others rewrite a clause's symbols from left to right: a negation reverses the SCOPE words after it, a report takes
-    the rest of its clause, and a target anywhere in the clause aims it. A clause's features are what is left."""
+    """The lexicon's transducer, from words to symbols with a weight, and its composition with those of negation, reported speech and aim.
+
+    Insults are learned stems with their weights, threats weigh 1, and a word is of the first class that has it: threat, insult, negation,
+    report, target. A clause's features are sums of weights by what comes out of the composition.
+    """
 
     weights: dict[bytes, float]
 
     def weigher(self) -> dict:
+        """Words to (symbol, weight)."""
         weights = self.weights
 
         class Weigher(dict):
-            def __missing__(self, word: bytes) -> float:
-                value = max((weights.get(s, 0.0) for s in stems_of(word)), default=0.0)
+            def __missing__(self, word: bytes) -> tuple[int, float]:
+                weight = max((weights.get(s, 0.0) for s in stems_of(word)), default=0.0)
+                value = (INSULT, weight) if weight else (OTHER, 0.0)
                 if len(self) < MEMO:
                     self[word] = value
                 return value
 
-        return Weigher({w.encode(): 1.0 for w in THREATS})
+        made = Weigher()
+        for words, symbol in ((NEGATIONS, NEGATION), (REPORTS, REPORT), (TARGETS, TARGET)):
+            for w in sorted(words):
+                if made[w.encode()][0] == OTHER:
+                    made[w.encode()] = (symbol, 0.0)
+        made.update({w.encode(): (THREAT, 1.0) for w in THREATS})
+        return made
 
     def features(self, text: bytes, weigh: dict) -> np.ndarray | None:
         """Asserted weight, heaviest clause, aimed, negated and reported weight, threats, matched clauses; None where nothing matches."""
-        words = set(letter_words(text))
-        if not any(map(weigh.__getitem__, words)):
+        if not any(weigh[w][1] for w in set(letter_words(text))):
             return None
         out = np.zeros(FEATURES)
         for clause in CLAUSE.split(text):
-            found = letter_words(clause)
-            if not any(map(weigh.__getitem__, found)):
+            found = [weigh[w] for w in letter_words(clause)]
+            if not any(weight for _, weight in found):
                 continue
-            asserted = negated = reported = threats = 0.0
-            aimed, quoting, scope = False, False, 0
-            for word in found:
-                name = word.decode()
-                weight = weigh[word]
+            sums, threats, state = {ASSERTED: 0.0, NEGATED: 0.0, REPORTED: 0.0}, 0, 0
+            for symbol, weight in found:
+                state, made = MACHINE[state, symbol]
                 if weight:
-                    threats += name in THREATS
-                    if scope:
-                        negated += weight
-                    elif quoting:
-                        reported += weight
-                    else:
-                        asserted += weight
-                aimed |= name in TARGETS
-                quoting |= name in REPORTS
-                scope = SCOPE if name in NEGATIONS else max(0, scope - 1)
-            out += [asserted, 0, asserted if aimed else 0, negated, reported, threats, 1]
-            out[1] = max(out[1], asserted)
+                    threats += symbol == THREAT
+                    sums[made[1]] += weight
+            _, end = MACHINE[state, END]
+            out += [sums[ASSERTED], 0, sums[ASSERTED] if end == AIMED else 0, sums[NEGATED], sums[REPORTED], threats, 1]
+            out[1] = max(out[1], sums[ASSERTED])
         return np.log1p(out)
 
 
+MACHINE = clause_machine()
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     grammar: Grammar
@@ -107,7 +193,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most
 
     A text comes once, however many rows have it, with the label that at least half of them have (toxic where they are even).
     """
-    own = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
+    own = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     own = own.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) != 0)
     n = own.count()
     if n > most:
@@ -173,7 +259,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A stem is in the lexicon if at least SURE of its weighed occurrences are in toxic rows, its counts would come up by chance for
     one stem in a hundred such lexicons at the most (a large-deviation bound over all stems), and it stands after CONTEXTS
     different words in toxic texts at least. Copies of a text count as one text. Its weight is its log odds. The clause features'
-    coefficients are fitted by logistic regression. Without labelled rows of both kinds every text gets the score 0.
+    coefficients are fitted by logistic regression. Without labelled rows of both kinds every text gets the score 0. Null texts count as
+    empty, null labels as none; of several labels of an id the highest counts; other columns are not looked at. To the driver come the
+    stems that pass, each of which is in several toxic rows of the sample, and FEATURES numbers for each of its rows.
     """
     ship(docs.sparkSession)
     sample = staged(_sample(docs, labels, id_col, text_col, most, folds))
@@ -190,8 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = sample.where("y > 0").select("t")
     seen = toxic.mapInArrow(_contexts(set(likely)), "stem string, before string").groupBy("stem").agg(F.countDistinct("before").alias("n")).collect()
     varied = {r["stem"].encode(): r["n"] for r in seen if r["n"] >= CONTEXTS}
-    best = sorted(varied, key=lambda s: (-likely[s][0], s))[:MOST_STEMS]
-    grammar = Grammar({s: math.log((likely[s][0] + 0.5) / (n1 + 1)) - math.log((likely[s][1] + 0.5) / (n0 + 1)) for s in best})
+    grammar = Grammar({s: math.log((likely[s][0] + 0.5) / (n1 + 1)) - math.log((likely[s][1] + 0.5) / (n0 + 1)) for s in sorted(varied)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = grammar.weigher()
@@ -216,7 +303,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], text_
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted, one row per row of ``docs``; rows without labels are scored alike."""
+    """doc_id, held_out, score and predicted, one row per row of ``docs``; rows without labels are scored alike, and rows that repeat
+    another too. Very long texts are matched clause by clause, to their end; null ids are never held out."""
     scored = score_toxicity(docs, learn(docs, labels), ["doc_id"])
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

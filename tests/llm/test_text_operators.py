@@ -147,6 +147,30 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r.score < 0.5 for r in toxicity.toxicity_report(odd, labels.where("false")).collect()} == {True}
 
 
+def test_composed_clauses_equal_a_walk_by_the_rules():
+    """All sequences of up to five symbols."""
+    machine = toxicity.MACHINE
+    for n in range(6):
+        for word in itertools.product(range(6), repeat=n):
+            state, scope, quoting, aimed = 0, 0, False, False
+            for symbol in word:
+                state, out = machine[state, symbol]
+                if symbol in (toxicity.INSULT, toxicity.THREAT):
+                    assert out == (symbol, toxicity.NEGATED if scope else toxicity.REPORTED if quoting else toxicity.ASSERTED)
+                aimed |= symbol == toxicity.TARGET
+                quoting |= symbol == toxicity.REPORT
+                scope = toxicity.SCOPE if symbol == toxicity.NEGATION else max(0, scope - 1)
+            assert machine[state, toxicity.END] == (0, toxicity.AIMED if aimed else toxicity.END)
+
+
+def test_toxicity_of_the_tables_held_out_rows(spark):
+    """Precision and recall on labels that weren't learned from."""
+    read = lambda x: spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet")
+    rows = toxicity.toxicity_report(read("documents"), read("labels")).join(read("labels"), "doc_id").where("held_out").select("predicted", "toxic").collect()
+    hits, said, toxic = sum(r.predicted and r.toxic for r in rows), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
+    assert toxic > 20 and hits >= 0.9 * said and hits >= 0.6 * toxic
+
+
 def crc(i):
     import zlib
 
