@@ -129,8 +129,7 @@ def _flipped(x: str) -> Column:
 
 def _but_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """The rows that are not the first of their group. Joined by place, which no two texts' rows share, so that a hot group is dealt over all tasks."""
-    place = [_flipped(c).alias(f"f{c}") for c in ("id", "g", "p")]
-    return rows.select(*place, *rows.columns).join(firsts.select(*[_flipped(f"f.{c}").alias(f"f{c}") for c in ("id", "g", "p")]), ["fid", "fg", "fp"], "left_anti").select(*rows.columns)
+    return rows.join(firsts.select("f.id", "f.g", "f.p"), ["id", "g", "p"], "left_anti")
 
 
 def repeated_stretches(source: DataFrame) -> DataFrame:
@@ -144,13 +143,13 @@ def repeated_stretches(source: DataFrame) -> DataFrame:
     """
     counts = source.select("t").mapInArrow(_emit_hashes, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     often = counts.select(_flipped("h").alias("k"))
-    found = source.select("id", "g", "t").mapInArrow(_emit_runs, RUN).withColumn("k", _flipped("h")).join(often, "k", "left_semi")
-    again = staged(found.select("id", "g", "p", "n", "h", "s"))
+    runs_of = source.select("id", "g", "t").mapInArrow(_emit_runs, RUN).select("id", "g", "p", "n", _flipped("h").alias("k"), "s")
+    again = staged(runs_of.join(often, "k", "left_semi").select("id", "g", "p", "n", _flipped("k").alias("h"), "s"))
     first = staged(again.groupBy("h", "s").agg(F.min(F.struct("id", "g", "p")).alias("f"), F.first("n").alias("n")))
     gone = _but_first(again.select("id", "g", "p", F.col("n").cast("long").alias("n")), first)
 
     around = first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(_flipped("h").alias("k"), (F.col("m") > CROWD).alias("hot"))
-    edges = first.withColumn("k", _flipped("h")).join(around, "k").select("f.id", "f.g", F.struct("hot", "h", F.col("f.p").alias("p"), "n").alias("e"))
+    edges = first.select("f", "n", _flipped("h").alias("k")).join(around, "k").select("f.id", "f.g", F.struct("hot", _flipped("k").alias("h"), F.col("f.p").alias("p"), "n").alias("e"))
     per_doc = edges.groupBy("id", "g").agg(F.collect_list("e").alias("edges"))  # at most one for each run of the document
     pieces = staged(source.join(per_doc, ["id", "g"]).select("id", "g", "t", "edges").mapInArrow(_emit_pieces, PIECE))
 
