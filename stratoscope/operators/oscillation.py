@@ -15,16 +15,17 @@ from ..functions.filters import analytic, butter_bandpass, settle_samples, zero_
 from ..model import KEYS, ordered
 from ..shipping import ship
 from .events import onsets_and_offsets
+from .quantiles import exact_median
 from .segments import detect_epochs, median_step
 from .spectral import morlet_power
 
 
-def bandpass(samples: DataFrame, fs: float, band: tuple[float, float], order: int = 4, chunk: int | None = None, envelope: bool = True, series: Sequence[str] = KEYS) -> DataFrame:
+def bandpass(samples: DataFrame, fs: float, band: tuple[float, float], order: int = 4, chunk: int | None = 1 << 16, envelope: bool = True, series: Sequence[str] = KEYS) -> DataFrame:
     """(series, sample, t, filtered, envelope, phase): zero-phase Butterworth band-pass; samples numbered 0, 1, ... without gaps or nulls.
 
     With ``chunk``, time is cut into chunks with a halo in which the filter forgets its start to 1e-12, so that one long series is many
     tasks; only its first and last chunk use the odd extension of the ends. The filtered signal equals that of the whole series; the
-    envelope is the chunk's own, exact to about the inverse of the halo's length in cycles. Without ``chunk`` a series is one group.
+    envelope is the chunk's own, exact to about the inverse of the halo's length in cycles. With ``chunk`` None a series is one group.
     Series too short to filter give no rows.
     """
     ship(samples.sparkSession)
@@ -55,8 +56,8 @@ def bandpass(samples: DataFrame, fs: float, band: tuple[float, float], order: in
 
 def robust_threshold(filtered: DataFrame, k: float = 4.0, series: Sequence[str] = KEYS, value: str = "envelope") -> DataFrame:
     """(series, threshold, median, robust_std): median + k * 1.4826 * median absolute deviation."""
-    med = filtered.groupBy(*series).agg(F.median(value).alias("median"))
-    mad = filtered.join(med, list(series)).groupBy(*series).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("__mad"))
+    med = exact_median(filtered, series, value)
+    mad = exact_median(filtered.join(med, list(series)), series, F.abs(F.col(value) - F.col("median")), "__mad").join(med, list(series))
     return mad.select(*series, (F.col("median") + k * 1.4826 * F.col("__mad")).alias("threshold"), "median", (1.4826 * F.col("__mad")).alias("robust_std"))
 
 
@@ -79,10 +80,10 @@ def burst_events(filtered: DataFrame, thresholds: DataFrame, fs: float, min_dura
     both = placed.select(*series, "idx", "t", "envelope", "frequency", "threshold", "step").withColumn("__side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
     inside = both.withColumn("__e", F.last("__e", True).over(w)).where("__side = 1 and idx <= __e.end_idx")
     late = above & (F.col("t") - F.col("__e.start_s") + F.col("step") >= min_duration_s)
-    stats = inside.groupBy(*series, F.col("__e.epoch_id").alias("epoch_id")).agg(
-        F.max("envelope").alias("peak_env"), F.median(F.when(F.col("idx") < F.col("__e.end_idx"), F.col("frequency"))).alias("frequency_hz"), F.min(F.when(late, F.col("t"))).alias("__c")
-    )
-    return epochs.join(stats, [*series, "epoch_id"]).withColumn("confirmed_s", F.coalesce("__c", "end_s")).drop("__c")
+    inside = inside.withColumn("epoch_id", F.col("__e.epoch_id"))
+    stats = inside.groupBy(*series, "epoch_id").agg(F.max("envelope").alias("peak_env"), F.min(F.when(late, F.col("t"))).alias("__c"))
+    middle = exact_median(inside, [*series, "epoch_id"], F.when(F.col("idx") < F.col("__e.end_idx"), F.col("frequency")), "frequency_hz")
+    return epochs.join(stats, [*series, "epoch_id"]).join(middle, [*series, "epoch_id"]).withColumn("confirmed_s", F.coalesce("__c", "end_s")).drop("__c")
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ class OscillationDetector:
     threshold_k: float = 4.0
     min_duration_s: float = 0.5
     merge_gap_s: float = 0.25
-    chunk: int | None = None
+    chunk: int | None = 1 << 16
 
     def __post_init__(self) -> None:
         if not 0 < self.band_hz[0] < self.band_hz[1] < self.fs / 2:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import gaussian_weights, savgol_matrix
 from ..model import KEYS, everything, finite, ordered
 from .asof import interpolate_own, remap_linear
+from .quantiles import exact_quantiles
 from .segments import median_step
 
 SERIES = (*KEYS, "source", "channel")
@@ -89,11 +90,10 @@ def smooth_gaussian(samples: DataFrame, sigma: float, series: Sequence[str] = SE
 
 def remove_outliers(samples: DataFrame, k: float = 4.0, series: Sequence[str] = SERIES) -> DataFrame:
     """``inlier`` and y, null outside of [q1 - k*iqr, q3 + k*iqr] of its series; exact quartiles, nulls ignored."""
-    q = samples.groupBy(*series).agg(F.percentile("y", [0.25, 0.75]).alias("__q"))
-    joined = samples.join(q, list(series), "left")
-    iqr = F.col("__q")[1] - F.col("__q")[0]
-    ok = F.coalesce(F.col("y").between(F.col("__q")[0] - k * iqr, F.col("__q")[1] + k * iqr), F.lit(False))
-    return joined.withColumn("inlier", ok).withColumn("y", F.when(F.col("inlier"), F.col("y"))).drop("__q")
+    joined = samples.join(exact_quantiles(samples, series, "y", {"__q1": 0.25, "__q3": 0.75}), list(series), "left")
+    iqr = F.col("__q3") - F.col("__q1")
+    ok = F.coalesce(F.col("y").between(F.col("__q1") - k * iqr, F.col("__q3") + k * iqr), F.lit(False))
+    return joined.withColumn("inlier", ok).withColumn("y", F.when(F.col("inlier"), F.col("y"))).drop("__q1", "__q3")
 
 
 def zscore(samples: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:

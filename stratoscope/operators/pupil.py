@@ -16,6 +16,7 @@ from .asof import align_nearest, interpolate_own
 from .intervals import samples_in
 from .locomotion import bout_events, quiescent_runs
 from .preproc import fit_polynomials, smooth_median
+from .quantiles import exact_median
 from .segments import median_step
 
 PEAKS = "onset_s double, peak_s double, trough_s double, onset_value double, peak_value double, trough_value double, prominence double, amplitude double, rise_s double, constriction_s double"
@@ -87,7 +88,7 @@ def quiescent_samples(pupil: DataFrame, treadmill: DataFrame, least_speed: float
 def session_baselines(inside: DataFrame, quiet: DataFrame, baseline_session: str, least_samples: int = 100, least_epochs: int = 3) -> DataFrame:
     """(subject, baseline_pupil, n_samples, n_quiescent_epochs_used, few): the median over quiet samples of the baseline session."""
     used = inside.where(F.col("session") == baseline_session)
-    made = used.groupBy("subject").agg(F.median("pupil").alias("baseline_pupil"), F.count("*").alias("n_samples"))
+    made = exact_median(used, ["subject"], "pupil", "baseline_pupil").join(used.groupBy("subject").agg(F.count("*").alias("n_samples")), "subject")
     epochs = quiet.where(F.col("session") == baseline_session).groupBy("subject").agg(F.count("*").alias("n_quiescent_epochs_used"))
     return made.join(epochs, "subject").withColumn("few", (F.col("n_samples") < least_samples) | (F.col("n_quiescent_epochs_used") < least_epochs))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def describe(reference: DataFrame, subject: str = "subject", value: str = "y") -> DataFrame:
     """(subject, n, mean, sd) of the finite samples."""
@@ -37,5 +39,11 @@ def percentiles(values: DataFrame, reference: DataFrame, subject: str = "subject
 
 def quantiles(reference: DataFrame, at: Sequence[float], subject: str = "subject", value: str = "y", exact: bool = True) -> DataFrame:
     """(subject, q, value): linear quantiles, or approximate ones in bounded memory."""
-    made = F.percentile(value, list(at)) if exact else F.percentile_approx(value, list(at))
-    return reference.groupBy(subject).agg(made.alias("__q")).select(subject, F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in at]).alias("q"), F.col("__q").alias("value"))).alias("__x")).select(subject, F.col("__x.q").alias("q"), F.col("__x.value").alias("value"))
+    if exact:
+        found = exact_quantiles(reference, [subject], value, {f"q{i}": q for i, q in enumerate(at)})
+        values = [F.col(f"q{i}") for i in range(len(at))]
+    else:
+        found = reference.groupBy(subject).agg(F.percentile_approx(value, list(at)).alias("__q"))
+        values = [F.col("__q")[i] for i in range(len(at))]
+    rows = F.array(*[F.struct(F.lit(float(q)).alias("q"), v.alias("value")) for q, v in zip(at, values, strict=True)])
+    return found.select(subject, F.explode(rows).alias("__x")).select(subject, "__x.q", "__x.value")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEYS, before_and_now, ordered
+from .quantiles import exact_median
 
 
 def median_step(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, step): the median difference of consecutive times; 0 for a single sample."""
     steps = samples.withColumn("__d", F.col("t") - F.lag("t").over(ordered(keys, "t", "sample")))
-    return steps.groupBy(*keys).agg(F.coalesce(F.median("__d"), F.lit(0.0)).alias("step"))
+    return exact_median(steps, keys, "__d", "step").withColumn("step", F.coalesce("step", F.lit(0.0)))
 
 
 def masked_samples(samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS, max_gap_s: float | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from difflib import get_close_matches
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +105,22 @@ def signal(samples: DataFrame, source: str, channel: str) -> DataFrame:
     return samples.where((F.col("source") == source) & (F.col("channel") == channel))
 
 
+def time_vector(samples: DataFrame, source: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, sample, t) of a source's times, whatever channels it has."""
+    return samples.where(F.col("source") == source).groupBy(*keys, "sample").agg(F.first("t", True).alias("t"))
+
+
+def require_source(samples: DataFrame, source: str, channel: str | None = None) -> None:
+    """Fails if the source, or its channel, is nowhere in the samples, and names what is there and what is spelled alike."""
+    kinds = samples.select("source", "channel").distinct().orderBy("source", "channel").limit(1000).collect()  # names, not samples
+    sources = sorted({r["source"] for r in kinds})
+    if source not in sources:
+        raise LookupError(f"no source {source!r}; there are {sources}, alike are {get_close_matches(source, sources)}")
+    channels = [r["channel"] for r in kinds if r["source"] == source]
+    if channel is not None and channel not in channels:
+        raise LookupError(f"no channel {channel!r} in {source!r}; there are {channels}, alike are {get_close_matches(channel, channels)}")
+
+
 def resolve_sources(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """``source`` by its canonical name; aliases: (alias, canonical)."""
     table = aliases.select(F.col("alias").alias("source"), "canonical")

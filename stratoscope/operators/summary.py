@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEYS
+from .quantiles import exact_median, exact_quantiles
 
 
 def sem(x: str) -> Column:
@@ -44,21 +45,22 @@ def mean_sem_n(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def recording_reducers(samples: DataFrame, keys: Sequence[str] = KEYS, value: str = "y") -> DataFrame:
-    return samples.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"))
+    sums = samples.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return sums.join(exact_median(samples, keys, value), list(keys)).select(*keys, "mean", "median", "max")
 
 
 def box_summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers at the last data points within 1.5 quartile ranges, mean, standard error (0 for one), n."""
     held = df.where(F.col(value).isNotNull())
-    q = held.groupBy(*groups).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("__q"))
-    iqr = F.col("__q")[2] - F.col("__q")[0]
-    rows = held.join(q, list(groups)).withColumn("__in", F.col(value).between(F.col("__q")[0] - 1.5 * iqr, F.col("__q")[2] + 1.5 * iqr))
+    q1, middle, q3 = (F.col(f"__{c}") for c in ("q1", "median", "q3"))
+    rows = held.join(exact_quantiles(held, groups, value, {"__q1": 0.25, "__median": 0.5, "__q3": 0.75}), list(groups))
+    inside = F.col(value).between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return rows.groupBy(*groups).agg(
-        F.first(F.col("__q")[0]).alias("q1"),
-        F.first(F.col("__q")[1]).alias("median"),
-        F.first(F.col("__q")[2]).alias("q3"),
-        F.min(F.when(F.col("__in") & (F.col(value) <= F.col("__q")[0]), F.col(value))).alias("whisker_lo"),
-        F.max(F.when(F.col("__in") & (F.col(value) >= F.col("__q")[2]), F.col(value))).alias("whisker_hi"),
+        F.first(q1).alias("q1"),
+        F.first(middle).alias("median"),
+        F.first(q3).alias("q3"),
+        F.min(F.when(inside & (F.col(value) <= q1), F.col(value))).alias("whisker_lo"),
+        F.max(F.when(inside & (F.col(value) >= q3), F.col(value))).alias("whisker_hi"),
         F.avg(value).alias("mean"),
         sem0(value).alias("sem"),
         F.count(value).alias("n"),

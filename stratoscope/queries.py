@@ -96,27 +96,77 @@ def a5_append(spark: SparkSession, sf: str) -> DataFrame:
 @register("""SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS key_text, CAST(o_totalprice AS DOUBLE) AS price_text FROM orders""")
 def a7_typed_columns(spark: SparkSession, sf: str) -> DataFrame:
     text = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key_text"), F.col("o_totalprice").cast("string").alias("price_text"))
-    return tables.typed(tables.typed(text, "key_text"), "price_text")
+    return tables.typed(text, "key_text", "price_text")
+
+
+@register("""SELECT 'C' || c_custkey AS subject, c_mktsegment AS session, c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer""")
+def a1_opened_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide table saved as CSV in the shared folder and opened again."""
+    path = shared_path(spark) + ".csv"
+    wide = read_table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"), "c_nationkey", "c_acctbal")
+    tables.save_table(wide, path)
+    return tables.open_dataset(spark, path).select("subject", "session", F.col("c_nationkey").cast(wide.schema["c_nationkey"].dataType), "c_acctbal")
+
+
+@register("""SELECT 'head' AS feature, bool_or(len(embedding) > 3) AS own_table FROM embeddings UNION ALL SELECT 'same', false UNION ALL SELECT 'lacking', false""")
+def a3_split_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of three features fit the embedding as a time vector: itself, its first three numbers, and a column without any."""
+    wide = read_table(spark, sf, "embeddings").select(F.col("embedding").alias("time"), F.slice("embedding", 1, 3).alias("head"), F.lit(None).cast("array<double>").alias("lacking"))
+    fit, own = tables.split_features(wide, "time", {"same": "time", "head": "head", "lacking": "lacking"})
+    named = lambda names, kind: wide.limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), F.lit(kind).alias("own_table"))
+    return named(fit, False).union(named(own, True))
+
+
+@register("""SELECT 'C' || c_custkey AS subject, c_mktsegment AS session, c_name AS full_name, c_acctbal AS acct_bal__per_day FROM customer""")
+def a6_sql_names(spark: SparkSession, sf: str) -> DataFrame:
+    wide = read_table(spark, sf, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"), F.col("c_name").alias("full name"), F.col("c_acctbal").alias("acct-bal__per day")
+    )
+    return tables.recordings_table(wide, ["full name", "acct-bal__per day"], ("subject", "session"))
+
+
+@register("""SELECT s_suppkey, s_name, s_nationkey FROM supplier""")
+def a15_saved_table(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark) + ".json"
+    own = read_table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    tables.save_table(own, path)
+    return spark.read.schema(own.schema).json(path)
 
 
 def _recordings(own: DataFrame) -> DataFrame:
-    day = F.floor(F.min("t") / 86400)
-    return own.groupBy("subject", "session", "task").agg(F.count("*").cast("string").alias("session_config__duration"), day.cast("string").alias("condition"))
+    """One row per recording with all scalars of a session, made from its number of samples, its values and its first time."""
+    n, day = F.count("*"), F.floor(F.min("t") / 86400)
+    return own.groupBy("subject", "session", "task").agg(
+        n.cast("string").alias("session_config__duration"),
+        day.cast("string").alias("condition"),
+        F.when(n % 2 == 0, "F").otherwise("M").alias("session_config__sex"),
+        F.concat(F.lit("g"), (n % 3).cast("string")).alias("session_config__genotype"),
+        (n % 10).alias("session_config__cage_id"),
+        F.concat(F.lit("2023-10-1"), (n % 10).cast("string")).alias("session_config__DOB"),
+        F.round(F.max("y"), 3).alias("session_config__weight_g"),
+        F.round(F.min("y"), 3).alias("session_config__inj_vol_mL"),
+        F.concat(F.lit("p"), (n % 4).cast("string")).alias("session_config__protocol"),
+    )
 
 
-RECORDINGS = "rec AS (SELECT subject, session, task, CAST(count(*) AS VARCHAR) AS session_config__duration, CAST(CAST(floor(min(t) / 86400) AS BIGINT) AS VARCHAR) AS condition FROM ev GROUP BY ALL)"
+RECORDINGS = """rec AS (SELECT subject, session, task, CAST(count(*) AS VARCHAR) AS session_config__duration,
+ CAST(CAST(floor(min(t) / 86400) AS BIGINT) AS VARCHAR) AS condition, count(*) AS n, round(max(y), 3) AS w, round(min(y), 3) AS v FROM ev GROUP BY ALL)"""
 
 
-@register(f"WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, TRY_CAST(regexp_extract(session, '\\d+') AS INTEGER) AS ses_num, TRY_CAST(session_config__duration AS INTEGER) AS duration_s FROM rec")
+@register(f"""WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, CAST(regexp_replace(session, '^[^0-9]*([0-9]+).*$', '\\1') AS INTEGER) AS ses_num,
+ CAST(n AS INTEGER) AS duration_s, CASE WHEN n % 2 = 0 THEN 'F' ELSE 'M' END AS sex, 'g' || n % 3 AS genotype, n % 10 AS cage_id, '2023-10-1' || n % 10 AS dob,
+ w AS weight_g, v AS inj_vol_ml, 'p' || n % 4 AS protocol FROM rec""")
 def a8_sessions_view(spark: SparkSession, sf: str) -> DataFrame:
     return tables.sessions_view(_recordings(event_samples(spark, sf)))
 
 
-@register(f"""WITH {EV} SELECT subject, channel AS source, n_samples, {q6("t_start_s", "t_stop_s")}, round(rate * 1e6, 4) AS rate_uhz FROM (SELECT subject, channel, count(*) AS n_samples, min(t) AS t_start_s, max(t) AS t_stop_s,
- 1 / median(dt) AS rate FROM (SELECT *, t - lag(t) OVER (PARTITION BY subject, channel ORDER BY sample) AS dt FROM ev) GROUP BY ALL)""")
+@register(f"""WITH {EV}, k AS (SELECT subject, channel, t, row_number() OVER (PARTITION BY subject, channel ORDER BY sample) AS i FROM ev),
+ d AS (SELECT a.subject, a.channel, quantile_cont(b.t - a.t, 0.5) AS step FROM k a JOIN k b ON b.subject = a.subject AND b.channel = a.channel AND b.i = a.i + 1 GROUP BY ALL),
+ e AS (SELECT subject, channel, max(i) AS n_samples, min(t) AS t_start_s, max(t) AS t_stop_s FROM k GROUP BY ALL)
+SELECT subject, channel AS source, n_samples, {q6("t_start_s", "t_stop_s")}, round(1e6 / step, 4) AS rate_uhz FROM e LEFT JOIN d USING (subject, channel)""")
 def a9_coverage_view(spark: SparkSession, sf: str) -> DataFrame:
-    own = event_samples(spark, sf)
-    made = tables.coverage_view({c: own.where(F.col("channel") == c) for c in TYPES}, U)
+    own = event_samples(spark, sf).withColumn("source", F.col("channel"))
+    made = tables.coverage(own, ("subject", "source"))
     return made.select("subject", "source", "n_samples", *r6("t_start_s", "t_stop_s"), F.round(F.col("rate_hz") * 1e6, 4).alias("rate_uhz"))
 
 
@@ -146,18 +196,21 @@ def a12_pupil_view(spark: SparkSession, sf: str) -> DataFrame:
     return tables.labelled_view(own.where("channel = 'view'"), _recordings(own), {"pupil_diameter_mm": "y"})
 
 
-@register(f"""WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, sample, t AS time_s, y AS speed_mm_s, y * 2 AS distance_mm,
- round(t - lag(t) OVER (PARTITION BY subject, session, task ORDER BY sample), 6) AS gap_s FROM ev JOIN rec USING (subject, session, task) WHERE channel = 'click'""")
+@register(f"""WITH {EV}, {RECORDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, session, task ORDER BY sample) AS i FROM ev WHERE channel = 'click')
+SELECT k.subject, k.session, k.task, condition, k.sample, k.t AS time_s, k.y AS speed_mm_s, k.y * 2 AS distance_mm, round(k.t - before.t, 6) AS gap_s
+FROM k JOIN rec USING (subject, session, task) LEFT JOIN k before ON before.subject = k.subject AND before.session = k.session AND before.task = k.task AND before.i = k.i - 1""")
 def a13_locomotion_view(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     wheel = own.where("channel = 'click'").select("subject", "session", "task", "sample", "t", F.col("y").alias("speed_mm"), (F.col("y") * 2).alias("distance_mm"))
     return tables.locomotion_view(wheel, _recordings(own)).withColumn("gap_s", F.round("gap_s", 6))
 
 
-@register()
+@register("""WITH m AS (SELECT concat_ws(':', o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT)) AS line, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS part, o_custkey AS n FROM orders),
+ p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS c, sum(n) AS n FROM m GROUP BY part)
+SELECT sha256(string_agg(part || ':' || h, chr(10) ORDER BY part)) AS sha256, CAST(sum(c) AS BIGINT) AS n_files, CAST(sum(n) AS BIGINT) AS bytes FROM p""")
 def a17_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents")
-    return runs.fingerprint_of(docs.select(F.col("doc_id").cast("string").alias("name"), F.octet_length(F.coalesce("text", F.lit(""))).alias("length"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")))
+    o = read_table(spark, sf, "orders")
+    return runs.fingerprint_of(o.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").cast("long").alias("length"), F.round(F.col("o_totalprice") * 100).cast("long").alias("crc")))
 
 
 def _run_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,6 +307,12 @@ def b10_signals(spark: SparkSession, sf: str) -> DataFrame:
     return select.signals_of(own, times, U).select("subject", "channel", "n")
 
 
+@register(f"WITH {EV} SELECT subject, session, task, sample, t FROM ev WHERE channel = 'view'")
+def b12_time_vector(spark: SparkSession, sf: str) -> DataFrame:
+    own = event_samples(spark, sf).withColumn("source", F.col("channel"))
+    return select.time_vector(own, "view")
+
+
 @register("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS source FROM orders""")
 def b13_source_alias(spark: SparkSession, sf: str) -> DataFrame:
     aliases = spark.createDataFrame([("F", "finished"), ("O", "open")], "alias string, canonical string")
@@ -348,12 +407,12 @@ def c1_align_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return asof.align_nearest(*_sides(spark, sf), 21600.0, U)
 
 
-@register(f"""WITH {EV}, {NEAR.replace("a AS (SELECT subject, sample, t FROM", "a AS (SELECT subject, sample, t, y AS click FROM")}
+@register(f"""WITH {EV}, {NEAR.replace("a AS (SELECT subject, sample, t FROM", "a AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY sample) - 1 AS sample, t, y AS click FROM")}
 SELECT subject, sample, t, click, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 21600 THEN py END ELSE CASE WHEN nt - t <= 21600 THEN ny END END AS view FROM n""")
 def c2_align_sources(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf).where("channel in ('click', 'view')").withColumn("source", F.col("channel"))
-    pick = own.where("source = 'click'").select("subject", "sample", "t", F.col("y").alias("click"))
-    return asof.align_nearest(pick, own.where("source = 'view'").select("subject", "sample", "t", F.col("y").alias("view")), 21600.0, U, ("view",)).drop("source_t")
+    own = own.withColumn("sample", (F.row_number().over(ordered(["subject", "source"], "sample")) - 1).cast("long"))
+    return asof.align_sources(own, "click", 21600.0, U)
 
 
 @register(f"""WITH {EV}, c AS (SELECT subject, channel, count(*) AS n, max(count(*)) OVER (PARTITION BY subject) AS longest FROM ev GROUP BY subject, channel)
@@ -498,6 +557,11 @@ def e2_locomotion_events(spark: SparkSession, sf: str) -> DataFrame:
     return locomotion.locomotion_events(event_samples(spark, sf), 30.0, keys=U, merge_gap_s=HOUR)
 
 
+@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, 'on' AS event_type, round(start_s, 6) AS event_time FROM bout UNION ALL SELECT subject, 'off', round(end_s, 6) FROM bout""")
+def e3_onsets_and_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return events.onsets_and_offsets(bouts_of(event_samples(spark, sf)), "on", "off", U).select("subject", "event_type", *r6("event_time"))
+
+
 # --- F: event-triggered averages --------------------------------------------------------------------------------------
 
 WINDOW, STEP, BASE = (-21600.0, 21600.0), 7200.0, (-21600.0, 0.0)
@@ -655,15 +719,51 @@ def g7_clean_steps(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.clean_steps(series_of(spark, sf), 120.0, (0.5, 250.0), 20000.0, C).select("channel", "sample", "flagged", F.round("cleaned", 5).alias("cleaned"))
 
 
-@register()
-def g8_prepare_trace(spark: SparkSession, sf: str) -> DataFrame:
+#: Values of every series on a clock that is ten minutes late, outliers beyond 4 quartile ranges as nulls, which medians of three see as missing.
+REMAPPED = f"""ref AS (SELECT channel, sample, t + 600 AS t FROM ser), src AS (SELECT channel, t, arg_min(y, sample) AS y FROM ser WHERE y IS NOT NULL GROUP BY channel, t),
+ pp AS (SELECT r.*, s.t AS pt, s.y AS py FROM ref r ASOF LEFT JOIN src s ON r.channel = s.channel AND r.t >= s.t),
+ nn AS (SELECT pp.*, s.t AS nt, s.y AS ny FROM pp ASOF LEFT JOIN src s ON pp.channel = s.channel AND pp.t <= s.t), lin AS (SELECT channel, sample, {LINEAR} AS y FROM nn)"""
+
+
+def _later(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     own = series_of(spark, sf)
-    return preproc.prepare_trace(own.where("sample % 2 = 0").select("channel", "sample", "t"), own, 4.0, None, None, (3, 5, 2), C).select("channel", "sample", *r6("y"))
+    return own.select("channel", "sample", (F.col("t") + 600).alias("t")), own
 
 
-@register()
+@register(f"""WITH {EV}, {SERIES}, {REMAPPED}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM lin), med AS (SELECT channel, sample AS i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)),
+ {sg5_sql('med', 'smooth')} SELECT channel, i AS sample, round(v, 5) + 0.0 AS y FROM smooth""")
+def g8_prepare_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """Remapped, outliers far beyond any value away, smoothed by samples."""
+    return preproc.prepare_trace(*_later(spark, sf), 1e6, None, None, (3, 5, 2), C).select("channel", "sample", (F.round("y", 5) + 0.0).alias("y"))
+
+
+@register(f"""WITH {EV}, {SERIES}, {REMAPPED}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM lin GROUP BY channel)
+SELECT channel, sample, round(CASE WHEN y BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN y END, 5) AS y FROM lin JOIN q USING (channel)""")
+def g8_remapped_inliers(spark: SparkSession, sf: str) -> DataFrame:
+    """The recipe's first two steps, with outliers."""
+    return preproc.prepare_trace(*_later(spark, sf), 1.5, None, None, None, C).select("channel", "sample", F.round("y", 5).alias("y"))
+
+
+#: Weights of a quadratic through 7 places: the first three rows and the middle one.
+SG7 = ((32 / 42, 15 / 42, 3 / 42, -4 / 42, -6 / 42, -3 / 42, 5 / 42), (15 / 42, 12 / 42, 9 / 42, 6 / 42, 3 / 42, 0.0, -3 / 42), (3 / 42, 9 / 42, 12 / 42, 12 / 42, 9 / 42, 3 / 42, -6 / 42), (-2 / 21, 3 / 21, 6 / 21, 7 / 21, 6 / 21, 3 / 21, -2 / 21))
+
+
+def _speed_sql() -> str:
+    """Values within 2 quartile ranges, numbered anew, fitted by their place in the first, the last or the middle of a window of 7."""
+    dot = lambda row, places: " + ".join(f"({w}) * l[{i}]" for w, i in zip(row, places, strict=True))
+    head = " ".join(f"WHEN i = {k} THEN {dot(SG7[k], range(1, 8))}" for k in range(3))
+    tail = " ".join(f"WHEN i = n - {k + 1} THEN {dot(SG7[k], range(7, 0, -1))}" for k in range(3))
+    return f"""WITH {EV}, {SERIES}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM ser GROUP BY channel),
+ v AS (SELECT channel, sample, y, coalesce(y BETWEEN a - 2 * (b - a) AND b + 2 * (b - a), false) AS valid FROM ser JOIN q USING (channel)),
+ k AS (SELECT channel, sample, y, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM v WHERE valid),
+ win AS (SELECT a.channel, a.sample, a.i, a.n, list(b.y ORDER BY b.i) AS l FROM k a JOIN k b ON b.channel = a.channel AND b.i BETWEEN greatest(0, least(a.n - 7, a.i - 3)) AND greatest(0, least(a.n - 7, a.i - 3)) + 6 GROUP BY ALL),
+ s AS (SELECT channel, sample, CASE {head} {tail} ELSE {dot(SG7[3], range(1, 8))} END AS y FROM win)
+SELECT v.channel, v.sample, valid, round(s.y, 5) + 0.0 AS y FROM v LEFT JOIN s ON s.channel = v.channel AND s.sample = v.sample"""
+
+
+@register(_speed_sql())
 def g9_process_variable(spark: SparkSession, sf: str) -> DataFrame:
-    return preproc.process_variable(series_of(spark, sf), "speed_mm", C).select("channel", "sample", "valid", *r6("y"))
+    return preproc.process_variable(series_of(spark, sf), "speed_mm", C).select("channel", "sample", "valid", (F.round("y", 5) + 0.0).alias("y"))
 
 
 @register(f"""WITH {EV}, s AS (SELECT subject, session, min(t) + 3600 AS lo, max(t) - 3600 AS hi FROM ev GROUP BY ALL HAVING max(t) - 3600 >= min(t) + 3600), o AS (SELECT *, coalesce(sum(hi - lo + 60) OVER (PARTITION BY subject ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)
@@ -785,7 +885,7 @@ def h10_ssd_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def _filtered(spark: SparkSession, sf: str) -> DataFrame:
     own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
-    return oscillation.bandpass(own, 1.0, (0.1, 0.2), 4, series=C)
+    return oscillation.bandpass(own, 1.0, (0.1, 0.2), 4, 1024, series=C)
 
 
 @register()
@@ -807,7 +907,38 @@ def i4_burst_events(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def i8_burst_onsets(spark: SparkSession, sf: str) -> DataFrame:
     own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
-    return oscillation.OscillationDetector(1.0, (0.1, 0.2), 4, None, 2.0, 5.0, 2.0).events(own, C)
+    return oscillation.OscillationDetector(1.0, (0.1, 0.2), 4, None, 2.0, 5.0, 2.0, chunk=1024).events(own, C)
+
+
+def _enveloped(spark: SparkSession, sf: str) -> DataFrame:
+    """Values as an envelope, and their remainder as a phase."""
+    own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
+    return own.select("channel", "sample", "t", F.col("y").alias("envelope"), (F.pmod(F.col("y"), F.lit(6.0)) - 3).alias("phase"))
+
+
+ENVELOPED = f"{SERIES}, env AS (SELECT channel, sample, CAST(sample AS DOUBLE) AS t, y, y - 6 * floor(y / 6) - 3 AS phase FROM ser)"
+FREQUENCY = """fq AS (SELECT *, (d - 2 * pi() * ceil((d - pi()) / (2 * pi()))) * 4 / (2 * pi()) AS frequency
+ FROM (SELECT *, lead(phase) OVER (PARTITION BY channel ORDER BY sample) - phase AS d FROM env))"""
+
+
+@register(f"WITH {EV}, {ENVELOPED}, {FREQUENCY} SELECT channel, sample, round(frequency, 6) + 0.0 AS frequency FROM fq")
+def i5_instantaneous_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return oscillation.instantaneous_frequency(_enveloped(spark, sf), 4.0, C).select("channel", "sample", *r6("frequency"))
+
+
+BURSTS = f"""{ENVELOPED}, {FREQUENCY}, med AS (SELECT channel, quantile_cont(y, 0.5) AS m FROM env GROUP BY channel),
+ lvl AS (SELECT channel, any_value(m) + 0.5 * 1.4826 * quantile_cont(abs(y - m), 0.5) AS lvl FROM env JOIN med USING (channel) GROUP BY channel),
+ lev AS (SELECT fq.*, lvl FROM fq JOIN lvl USING (channel)), {epochs_sql('burst', 'lev', 'channel', 'y > lvl', 1.0, 3.0)},
+ ins AS (SELECT b.channel, b.epoch_id, max(p.y) AS peak_env, quantile_cont(p.frequency, 0.5) FILTER (WHERE p.idx < b.end_idx) AS frequency_hz,
+  min(p.t) FILTER (WHERE p.y > p.lvl AND p.t - b.start_s + 1 >= 3) AS c FROM burst b JOIN burst_p p ON p.channel = b.channel AND p.idx BETWEEN b.start_idx AND b.end_idx GROUP BY ALL)"""
+
+
+@register(f"""WITH {EV}, {BURSTS} SELECT channel, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s', 'duration_s', 'peak_env', 'frequency_hz')}, round(coalesce(c, end_s), 6) + 0.0 AS confirmed_s
+FROM burst JOIN ins USING (channel, epoch_id)""")
+def i6_bursts_of_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    own = _enveloped(spark, sf)
+    made = oscillation.burst_events(own, oscillation.robust_threshold(own, 0.5, C), 4.0, 3.0, 1.0, C)
+    return made.select("channel", "epoch_id", "start_idx", "end_idx", *r6("start_s", "end_s", "duration_s", "peak_env", "frequency_hz", "confirmed_s"))
 
 
 @register()

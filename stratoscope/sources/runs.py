@@ -33,9 +33,15 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint_of(members: DataFrame) -> DataFrame:
-    """The same from (name, length, crc): a few bytes per file meet in one row."""
+    """The same from (name, length, crc). Members are hashed in 4,096 parts by their names' hashes, and the parts' hashes in order, so that
+    no row holds more than a part's lines."""
     line = F.concat_ws(":", "name", F.col("length").cast("string"), F.col("crc").cast("string"))
-    return members.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("sha256"), F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+    part = F.substring(F.sha2(F.col("name").cast("binary"), 256), 1, 3)
+    parts = members.select(part.alias("part"), line.alias("line"), "length").groupBy("part").agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("h"), F.count("*").alias("c"), F.sum("length").alias("n")
+    )
+    whole = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "part", "h"))), "\n"), 256)
+    return parts.agg(whole.alias("sha256"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_files"), F.sum("n").alias("bytes"))
 
 
 def parse_stamp(name: Column) -> tuple[Column, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,19 @@ from pyspark.sql import types as T
 
 from ..functions.labels import first_number
 from ..model import KEYS
+from ..operators.quantiles import exact_median
 
-SESSION_FIELDS = {"sex": "session_config__sex", "genotype": "session_config__genotype", "cage_id": "session_config__cage_id", "dob": "session_config__DOB", "weight_g": "session_config__weight_g", "duration_s": "session_config__duration", "protocol": "session_config__protocol"}
+#: Short names of the session's scalars in the sessions view.
+SESSION_FIELDS = {
+    "sex": "session_config__sex",
+    "genotype": "session_config__genotype",
+    "cage_id": "session_config__cage_id",
+    "dob": "session_config__DOB",
+    "weight_g": "session_config__weight_g",
+    "inj_vol_ml": "session_config__inj_vol_mL",
+    "duration_s": "session_config__duration",
+    "protocol": "session_config__protocol",
+}
 
 
 def open_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +62,14 @@ def _scalar(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def typed(df: DataFrame, column: str) -> DataFrame:
-    """A text column as bigint or double where no row loses anything, else as it is; 'nan' counts as null."""
-    c = F.when(F.lower(F.trim(column)) != "nan", F.col(column))
-    row = df.select(c.alias("c")).agg(F.bool_and(F.col("c").isNull() | F.col("c").try_cast("bigint").isNotNull() & ~F.contains("c", F.lit("."))).alias("whole"), F.bool_and(F.col("c").isNull() | F.col("c").try_cast("double").isNotNull()).alias("number")).first()
-    return df.withColumn(column, c.try_cast("bigint") if row["whole"] else c.try_cast("double") if row["number"] else c)
+def typed(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns as bigint or double where no row loses anything, else as they are; 'nan' counts as null. One pass judges all."""
+    own = {c: F.when(F.lower(F.trim(c)) != "nan", F.col(c)) for c in columns}
+    whole = lambda c: F.bool_and(c.isNull() | c.try_cast("bigint").isNotNull() & ~F.contains(c, F.lit(".")))
+    number = lambda c: F.bool_and(c.isNull() | c.try_cast("double").isNotNull())
+    row = df.agg(*[f(c) for c in own.values() for f in (whole, number)]).first()
+    kinds = ["bigint" if row[2 * i] else "double" if row[2 * i + 1] else "string" for i in range(len(columns))]
+    return df.withColumns({name: c.try_cast(kind) for (name, c), kind in zip(own.items(), kinds, strict=True)})
 
 
 def append_rows(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -71,14 +86,16 @@ def sessions_view(recordings: DataFrame) -> DataFrame:
 
 def coverage_view(sources: dict[str, DataFrame], keys: Sequence[str] = KEYS, time: str = "t") -> DataFrame:
     """(keys, source, n_samples, t_start_s, t_stop_s, rate_hz), the rate from the median step by sample."""
-    parts = []
-    for name, df in sources.items():
-        step = df.withColumn("__dt", F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy("sample")))
-        parts.append(step.groupBy(*keys).agg(F.count("*").alias("n_samples"), F.min(time).alias("t_start_s"), F.max(time).alias("t_stop_s"), (1 / F.median("__dt")).alias("rate_hz")).select(*keys, F.lit(name).alias("source"), "n_samples", "t_start_s", "t_stop_s", "rate_hz"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [df.select(*keys, F.lit(name).alias("source"), "sample", F.col(time).alias("t")) for name, df in sources.items()]
+    return coverage(reduce(DataFrame.unionByName, parts), [*keys, "source"])
+
+
+def coverage(samples: DataFrame, keys: Sequence[str] = (*KEYS, "source"), time: str = "t") -> DataFrame:
+    """The same per any keys of one long table: one window over all series."""
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy("sample"))
+    spans = samples.groupBy(*keys).agg(F.count("*").alias("n_samples"), F.min(time).alias("t_start_s"), F.max(time).alias("t_stop_s"))
+    rates = exact_median(samples.withColumn("__dt", step), keys, "__dt", "__step")
+    return spans.join(rates, list(keys)).select(*keys, "n_samples", "t_start_s", "t_stop_s", (1 / F.col("__step")).alias("rate_hz"))
 
 
 def parcels_view(mesomap: DataFrame, channels: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
