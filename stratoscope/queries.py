@@ -941,10 +941,47 @@ def i6_bursts_of_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("channel", "epoch_id", "start_idx", "end_idx", *r6("start_s", "end_s", "duration_s", "peak_env", "frequency_hz", "confirmed_s"))
 
 
-@register()
-def i9_bosc_episodes(spark: SparkSession, sf: str) -> DataFrame:
+#: Wavelet power on 13 frequencies from 0.05 on, four an octave.
+BOSC_POWER = f"""{SERIES}, wave AS (SELECT q, 0.05 * pow(2, q / 4.0) AS fq, 6.0 / (2 * pi() * 0.05 * pow(2, q / 4.0)) AS s FROM (SELECT unnest(range(0, 13)) AS q)),
+ tap AS (SELECT q, fq, j, j - 3.5 * s AS l, exp(-(j - 3.5 * s) * (j - 3.5 * s) / (2 * s * s)) AS g, ceil(7 * s + 0.5) AS m FROM (SELECT *, unnest(range(0, CAST(ceil(7 * s + 0.5) AS BIGINT))) AS j FROM wave)),
+ unit AS (SELECT q, sqrt(sum(g * g)) AS norm FROM tap GROUP BY q), mu AS (SELECT channel, avg(y) AS mu, count(*) AS n FROM ser GROUP BY channel),
+ conv AS (SELECT ser.channel, q, sample + j - CAST(floor((m - 1) / 2) AS BIGINT) AS pos, (y - mu) * g / norm * cos(2 * pi() * fq * l) AS re, (y - mu) * g / norm * sin(2 * pi() * fq * l) AS im, n
+  FROM ser JOIN mu USING (channel), tap JOIN unit USING (q)),
+ pw AS (SELECT channel, q, pos AS sample, sum(re) * sum(re) + sum(im) * sum(im) AS power FROM conv WHERE pos >= 0 AND pos < n GROUP BY channel, q, pos),
+ mean AS (SELECT channel, q, fq, avg(power) AS mp FROM pw JOIN wave USING (q) GROUP BY channel, q, fq)"""
+LINE = """fit AS (SELECT channel, regr_slope(ln(mp), ln(fq)) AS a, regr_intercept(ln(mp), ln(fq)) AS b FROM mean WHERE NOT fq BETWEEN 0.1 AND 0.2 GROUP BY channel),
+ lev AS (SELECT channel, q, fq, exp(b + a * ln(fq)) AS bg FROM mean JOIN fit USING (channel))"""
+GIVEN = "lev AS (SELECT channel, q, fq, 40000.0 / (1 + q) AS bg FROM mean)"
+
+
+def _episodes_sql(levels: str) -> str:
+    """Cycles over the background's bound of 0.95 that last for two periods, their union over the band, and its dominant frequency."""
+    return f"""WITH {EV}, {BOSC_POWER}, {levels},
+ det AS (SELECT channel, q, fq, bg, sample, power, power > bg * -ln(1 - 0.95) AS up FROM pw JOIN lev USING (channel, q) WHERE fq BETWEEN 0.1 AND 0.2),
+ cyc AS (SELECT channel, q, fq, g, min(sample) AS a, max(sample) AS b FROM (SELECT *, sample - row_number() OVER (PARTITION BY channel, q ORDER BY sample) AS g FROM det WHERE up) GROUP BY channel, q, fq, g HAVING max(sample) - min(sample) + 1 >= 2.0 / fq),
+ held AS (SELECT d.*, c.a IS NOT NULL AS detected FROM det d LEFT JOIN cyc c ON c.channel = d.channel AND c.q = d.q AND d.sample BETWEEN c.a AND c.b),
+ flat AS (SELECT channel, sample FROM held GROUP BY channel, sample HAVING bool_or(detected)),
+ ep AS (SELECT channel, min(sample) AS a, max(sample) AS b FROM (SELECT *, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS g FROM flat) GROUP BY channel, g),
+ wt AS (SELECT e.channel, e.a, h.fq, sum(CASE WHEN detected THEN power / bg ELSE 0 END) AS w FROM ep e JOIN held h ON h.channel = e.channel AND h.sample BETWEEN e.a AND e.b GROUP BY ALL),
+ best AS (SELECT channel, a, arg_max(fq, {{'w': w, 'f': -fq}}) AS f FROM wt GROUP BY channel, a)
+SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY a) - 1 AS epoch_id, a AS start_idx, b AS end_idx, round(f, 6) AS frequency_hz, round(least(a + 2.0 / f, b), 6) AS confirmed_s FROM ep JOIN best USING (channel, a)"""
+
+
+def _bosc(spark: SparkSession, sf: str, background: DataFrame | None = None) -> DataFrame:
     own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
-    return oscillation.bosc_episodes(own, 1.0, (0.1, 0.2), (0.05, 0.4), 4, 0.95, 2.0, chunk=1024, series=C)["episodes"]
+    made = oscillation.bosc_episodes(own, 1.0, (0.1, 0.2), (0.05, 0.4), 4, 0.95, 2.0, background=background, chunk=1024, series=C)["episodes"]
+    return made.select("channel", "epoch_id", "start_idx", "end_idx", *r6("frequency_hz", "confirmed_s"))
+
+
+@register(_episodes_sql(LINE))
+def i9_bosc_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _bosc(spark, sf)
+
+
+@register(_episodes_sql(GIVEN))
+def i10_bosc_background(spark: SparkSession, sf: str) -> DataFrame:
+    """With a background in place of the fitted line."""
+    return _bosc(spark, sf, spark.range(13).select(F.col("id").cast("int").alias("freq_idx"), (F.lit(40000.0) / (1 + F.col("id"))).alias("background")))
 
 
 @register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, epoch_id, rank, round(start_s - 60, 6) AS window_lo, round(end_s + 60, 6) AS window_hi FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY end_idx - start_idx DESC, start_idx) AS rank FROM bout) WHERE rank <= 3""")
@@ -1006,24 +1043,87 @@ def j8_treadmill_status(spark: SparkSession, sf: str) -> DataFrame:
 # --- K: pupil and peaks -----------------------------------------------------------------------------------------------
 
 
+def own_gaps_sql(source: str, out: str) -> str:
+    """CTEs from (channel, i, t, y) to the same with v, whose gaps are interpolated in time."""
+    return f"""{out}_k AS (SELECT * FROM {source} WHERE y IS NOT NULL), {out}_p AS (SELECT g.*, a.t AS pt, a.y AS py FROM {source} g ASOF LEFT JOIN {out}_k a ON g.channel = a.channel AND g.t >= a.t),
+ {out}_n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM {out}_p p ASOF LEFT JOIN {out}_k b ON p.channel = b.channel AND p.t <= b.t),
+ {out} AS (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t - pt) / (nt - pt) END AS v FROM {out}_n)"""
+
+
+def peaks_sql(source: str, prominence: float) -> str:
+    """CTEs from (channel, i, t, y, v) to peaks, every pair of runs of equal values compared: no distance is kept between peaks."""
+    side = lambda name, pick, less, lo, hi: f"""{name}_h AS (SELECT p.channel, p.r, {pick}(o.r) AS h FROM pk p LEFT JOIN flat o ON o.channel = p.channel AND o.r {less} p.r AND o.v > p.v GROUP BY ALL),
+ {name} AS (SELECT h.channel, h.r, min(o.v) AS low FROM {name}_h h JOIN flat o ON o.channel = h.channel AND o.r >= {lo} AND o.r <= {hi} GROUP BY ALL)"""
+    return f"""mark AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY channel ORDER BY i) THEN 0 ELSE 1 END AS new FROM {source}), num AS (SELECT *, sum(new) OVER (PARTITION BY channel ORDER BY i) AS r FROM mark),
+ flat AS (SELECT channel, r, any_value(v) AS v, min(i) AS a, max(i) AS b FROM num GROUP BY channel, r), nb AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM flat WINDOW w AS (PARTITION BY channel ORDER BY r)),
+ pk AS (SELECT channel, r, v, (a + b) // 2 AS i FROM nb WHERE pv < v AND nv < v), {side('left_', 'max', '<', 'coalesce(h.h + 1, 0)', 'h.r')}, {side('right_', 'min', '>', 'h.r', 'coalesce(h.h - 1, 1000000000)')},
+ good AS (SELECT *, lag(i, 1, 0) OVER w AS before, lead(i) OVER w AS after FROM (SELECT pk.*, pk.v - greatest(l.low, g.low) AS prominence FROM pk JOIN left_ l USING (channel, r) JOIN right_ g USING (channel, r)) WHERE prominence >= {prominence} WINDOW w AS (PARTITION BY channel ORDER BY i)),
+ ends AS (SELECT g.channel, g.i, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i <= g.i) AS onset, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i >= g.i AND (after IS NULL OR s.i < after)) AS trough
+  FROM good g JOIN {source} s ON s.channel = g.channel AND s.i >= before AND (after IS NULL OR s.i < after) GROUP BY g.channel, g.i),
+ sound AS (SELECT e.channel, e.i, onset, trough FROM ends e JOIN {source} s ON s.channel = e.channel AND s.i BETWEEN onset AND trough GROUP BY ALL HAVING count(*) = count(s.y)),
+ peaks AS (SELECT g.channel, o.t AS onset_s, p.t AS peak_s, q.t AS trough_s, o.v AS onset_value, p.v AS peak_value, q.v AS trough_value, g.prominence, p.v - o.v AS amplitude, p.t - o.t AS rise_s, q.t - p.t AS constriction_s
+  FROM sound e JOIN good g USING (channel, i) JOIN {source} o ON o.channel = e.channel AND o.i = onset JOIN {source} p ON p.channel = e.channel AND p.i = e.i JOIN {source} q ON q.channel = e.channel AND q.i = trough)"""
+
+
+PEAKS = ("onset_s", "peak_s", "trough_s", "onset_value", "peak_value", "trough_value", "prominence", "amplitude", "rise_s", "constriction_s")
+GAPPED = f"{SERIES}, gapped AS (SELECT channel, sample AS i, t, CASE WHEN sample % 11 <> 5 THEN y END AS y FROM ser)"
+
+
 @register()
 def k1_prominence_events(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 2000.0, C)
 
 
+@register(f"WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0)} SELECT channel, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks")
+def k1_peaks_without_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 0.0, C).select("channel", *[(F.round(c, 4) + 0.0).alias(c) for c in PEAKS])
+
+
+@register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, k AS (SELECT channel, i AS sample, v AS y, count(*) OVER (PARTITION BY channel) AS n FROM whole),
+ med AS (SELECT channel, sample AS i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)), {sg5_sql('med', 'smooth')}
+SELECT s.channel, s.i AS sample, CASE WHEN g.y IS NOT NULL THEN round(s.v, 5) + 0.0 END AS smoothed FROM smooth s JOIN gapped g ON g.channel = s.channel AND g.i = s.i""")
+def k2_smoothed_pupil(spark: SparkSession, sf: str) -> DataFrame:
+    return pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C).select("channel", "sample", (F.round("smoothed", 5) + 0.0).alias("smoothed"))
+
+
 @register()
 def k3_dilation_events(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.dilation_events(pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C), 10.0, 2000.0, C)
 
 
+@register(f"WITH {EV}, {GAPPED}, rough AS (SELECT channel, i, t, floor(y / 10) * 10 AS y FROM gapped), {own_gaps_sql('rough', 'whole')}, {peaks_sql('whole', 40.0)} SELECT channel, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks")
+def k3_dilations_of_smoothed(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks of a given smoothed column, with plateaus: values in tens."""
+    rough = _gaps(series_of(spark, sf)).withColumn("smoothed", F.floor(F.col("y") / 10) * 10.0)
+    return pupil.dilation_events(rough, 40.0, 0.0, C).select("channel", *[(F.round(c, 4) + 0.0).alias(c) for c in PEAKS])
+
+
 def _still(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     own = event_samples(spark, sf)
     return pupil.quiescent_samples(own.where("channel = 'view'"), own.where("channel <> 'view'"), 30.0, 43200.0, 1.0, HOUR, 0.0, 86400.0, ("subject", "session"))
 
 
-@register()
+#: Of the first session: other channels as a treadmill, views as a pupil on its clock, and the stretches between bouts.
+STILL = f"""own AS (SELECT * FROM ev WHERE channel <> 'view' AND session = 'ses-01' AND y IS NOT NULL), pup AS (SELECT subject, t, y FROM ev WHERE channel = 'view' AND session = 'ses-01'),
+ pa AS (SELECT a.subject, a.t, b.t AS pt, b.y AS py FROM own a ASOF LEFT JOIN pup b ON a.subject = b.subject AND a.t >= b.t), na AS (SELECT a.*, b.t AS nt, b.y AS ny FROM pa a ASOF LEFT JOIN pup b ON a.subject = b.subject AND a.t <= b.t),
+ al AS (SELECT subject, t, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 43200 THEN py END WHEN nt - t <= 43200 THEN ny END AS pupil FROM na),
+ ok3 AS (SELECT * FROM own WHERE subject IN (SELECT subject FROM own GROUP BY subject HAVING count(*) >= 3)), {epochs_sql('bout', src='ok3', mask='y >= 30', least=1.0)},
+ pos AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, sample) - 1 AS idx FROM own), lastp AS (SELECT subject, max(idx) AS n FROM pos GROUP BY subject),
+ q AS (SELECT subject, coalesce(lag(end_idx) OVER (PARTITION BY subject ORDER BY start_idx) + 1, 0) AS s, start_idx - 1 AS e FROM bout
+  UNION ALL SELECT subject, coalesce(m + 1, 0), n FROM lastp LEFT JOIN (SELECT subject, max(end_idx) AS m FROM bout GROUP BY subject) USING (subject)),
+ quiet AS (SELECT q.subject, a.t AS start_s, b.t AS end_s FROM q JOIN pos a ON a.subject = q.subject AND a.idx = q.s JOIN pos b ON b.subject = q.subject AND b.idx = q.e WHERE q.e >= q.s),
+ ins AS (SELECT al.subject, t, pupil FROM al JOIN quiet k ON k.subject = al.subject AND al.t BETWEEN start_s AND end_s WHERE pupil IS NOT NULL)"""
+
+
+@register(f"WITH {EV}, {STILL} SELECT subject, round(t, 6) AS t, pupil FROM ins")
+def k4_quiescent_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _still(spark, sf)[0].where("session = 'ses-01'").select("subject", *r6("t"), "pupil")
+
+
+@register(f"""WITH {EV}, {STILL}, ne AS (SELECT subject, count(*) AS e FROM quiet GROUP BY subject)
+SELECT subject, round(quantile_cont(pupil, 0.5), 6) + 0.0 AS baseline_pupil, count(*) AS n_samples, any_value(e) AS n_quiescent_epochs_used, count(*) < 3 OR any_value(e) < 2 AS few FROM ins JOIN ne USING (subject) GROUP BY subject""")
 def k5_session_baselines(spark: SparkSession, sf: str) -> DataFrame:
-    return pupil.session_baselines(*_still(spark, sf), "ses-01", 3, 2)
+    return pupil.session_baselines(*_still(spark, sf), "ses-01", 3, 2).select("subject", *r6("baseline_pupil"), "n_samples", "n_quiescent_epochs_used", "few")
 
 
 @register(f"WITH {EV}, b AS (SELECT subject, median(y) AS b FROM ev WHERE channel = 'view' AND session = 'ses-01' GROUP BY subject) SELECT subject, session, round(y / b, 6) AS pupil_norm, y AS pupil_raw FROM ev JOIN b USING (subject) WHERE channel = 'view' AND b > 0")
