@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SHINGLE = 4
 PERCENT = 80
 #: Classes of shingles, by hash, whose numbers bound what two sets can share.
 CELLS = 128
+#: How many of the lowest bits of each coordinate go with a posting.
+PLANES = 3
 MEMO = 1 << 17
 
 _random = np.random.default_rng(20240229)
@@ -68,6 +71,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def planes(signatures: np.ndarray) -> np.ndarray:
+    """(rows, PLANES): the lowest bits of a signature's 64 numbers, a 64-bit number for each bit. Numbers that are equal are equal in all planes."""
+    bits = (signatures.view(np.uint32)[:, None, :] >> np.arange(PLANES, dtype=np.uint32)[:, None]) & np.uint32(1)
+    return np.packbits(bits.astype(np.uint8), axis=2, bitorder="little").view(np.int64)[:, :, 0]
+
+
 def _signatures(size: int) -> Callable[[], Callable[[list[bytes]], list[pa.Array]]]:
     def make() -> Callable[[list[bytes]], list[pa.Array]]:
         words = _WordHash()
@@ -75,9 +84,10 @@ def _signatures(size: int) -> Callable[[], Callable[[list[bytes]], list[pa.Array
         def work(texts: list[bytes]) -> list[pa.Array]:
             sets = [shingle_set(x, words, size) for x in texts]
             digests = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-            signs = pa.array(np.concatenate([signature(s) for s in sets]) if sets else np.zeros(0, np.int32), pa.int32())
+            signs = np.array([signature(s) for s in sets], np.int32).reshape(len(sets), COORDINATES)
             ends = pa.array(np.arange(0, COORDINATES * (len(sets) + 1), COORDINATES, dtype=np.int32))
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(ends, signs)]
+            low = planes(signs)
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(ends, pa.array(signs.ravel())), *(pa.array(low[:, k]) for k in range(PLANES))]
 
         return work
 
@@ -103,10 +113,12 @@ def _equal(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _possible(n1: str, m1: str, n2: str, m2: str, percent: int) -> Column:
-    """Whether sets of n shingles, m of which others have too, can be similar enough."""
-    most = F.least(m1, m2)
-    return F.lit(100) * most >= F.lit(percent) * (F.col(n1) + F.col(n2) - most)
+def _possible(x: str, y: str, percent: int, least_equal: int) -> Column:
+    """Whether two postings' sets of n shingles, m of which others have too, can be similar enough, and whether as many coordinates as
+    are asked for can be equal: those whose lowest bits are."""
+    most = F.least(f"m{x}", f"m{y}")
+    unlike = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"p{k}{x}").bitwiseXOR(F.col(f"p{k}{y}")) for k in range(PLANES)])
+    return (F.lit(100) * most >= F.lit(percent) * (F.col(f"n{x}") + F.col(f"n{y}") - most)) & (COORDINATES - F.bit_count(unlike) >= least_equal)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +177,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. One scan gives each row's set size, a 128-bit hash of the set, and its signature; equal sets become one numbered node.
     2. Signatures are posted under (coordinate, value). Values that occur once can't collide; a node must share at least
        ``least_equal`` of its values. Prefix: two nodes that agree on so many must meet in the rarest (shared - least_equal + 1) of
-       either's shared values, so only these are posted, and the commonest values never form lists. A posting is (value, node, size).
+       either's shared values, so only these are posted, and the commonest values never form lists. A posting is
+       (value, node, size, the lowest bits of its signature).
     3. Nodes that are posted get their full sets, and the number of shingles that any other posted node has, which bounds what two of
-       them can share. Each list joins its smallest node to the others whose bounds allow the similarity; a pair that meets in several
+       them can share. Each list joins its smallest node to the others whose bounds and bits allow the similarity; a pair that meets in several
        lists is one pair. Pairs whose signatures agree on enough coordinates are confirmed on the full sets, and linked nodes form components.
     4. Skip: a list that now lies within one component is left out. In the rest, nodes of different components first meet in small
        tables of a list, dealt anew each round, which joins most of what belongs together. Then each node outside of the smallest node's
@@ -176,10 +189,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
     source = docs.select(key.alias("id"), F.coalesce(key, F.lit(-(2**63))).alias("i"), F.xxhash64(text).alias("g"), text.alias("t"))
-    fields = [T.StructField("n", T.LongType()), T.StructField("h", T.StringType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("n", T.LongType()), T.StructField("h", T.StringType()), T.StructField("sig", T.ArrayType(T.IntegerType())), *(T.StructField(f"p{k}", T.LongType()) for k in range(PLANES))]
     rows = staged(map_text(source, ["id", "i", "g"], "t", _signatures(size), fields))
-    first = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.min(F.struct("i", "g")).alias("own"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = staged(first.select("h", "id", "own.i", "own.g", "n", "sig", F.monotonically_increasing_id().alias("node")))  # numbered once: what is written stays
+    low = [f"p{k}" for k in range(PLANES)]
+    first = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.min(F.struct("i", "g")).alias("own"), *[F.first(c).alias(c) for c in ("n", "sig", *low)])
+    nodes = staged(first.select("h", "id", "own.i", "own.g", "n", "sig", *low, F.monotonically_increasing_id().alias("node")))  # numbered once: what is written stays
 
     posted = nodes.select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long") + F.lit(2**31))).alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1").select(F.bitwise_not("token").alias("k"), "n_token")
@@ -190,12 +204,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own_sets = map_text(texts, ["node"], "t", _sets(size), [T.StructField("s", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
     sets = staged(own_sets.dropDuplicates(["node"]))
     known = staged(nodes.select("node", "n", "sig").join(sets.select("node", "cells"), "node"))
-    fit = chosen.join(known.select("node", "n"), "node").join(_unshared(sets), "node", "left")
-    post = staged(fit.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), F.explode("tokens").alias("token")))
+    fit = chosen.join(nodes.select("node", "n", *low), "node").join(_unshared(sets), "node", "left")
+    post = staged(fit.select("node", "n", *low, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), F.explode("tokens").alias("token")))
 
-    heads = post.groupBy("token").agg(F.min(F.struct("node", "n", "m")).alias("y"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), F.col("y.n").alias("na"), F.col("y.m").alias("ma"))
-    met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _possible("n", "m", "na", "ma", percent))
+    heads = post.groupBy("token").agg(F.min(F.struct("node", "n", "m", *low)).alias("y"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), *[F.col(f"y.{c}").alias(f"{c}a") for c in ("n", "m", *low)])
+    met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _possible("", "a", percent, least_equal))
     fit_pairs = staged(_signed(met.select("a", F.col("node").alias("b")).distinct(), known, percent, least_equal))
     links = staged(_confirmed(fit_pairs, sets, percent))
     linked = components(links)
@@ -205,11 +219,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_lists = named.groupBy("token").agg(F.min_by("component", "node").alias("head"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
         open_lists = open_lists.where("low <> high").select(F.bitwise_not("token").alias("k"), "head", "first", "c")
         members = named.withColumn("k", F.bitwise_not("token")).join(open_lists, "k")
-        right = ["k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca")]
-        other = (F.col("ca") != F.col("component")) & _possible("n", "m", "na", "ma", percent)
+        right = ["k", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in ("n", "m", *low)]]
+        other = (F.col("ca") != F.col("component")) & _possible("", "a", percent, least_equal)
         if turn < ROUNDS:
             seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("c") / TABLE))
-            left = members.select("k", "node", "n", "m", "component", seat.alias("seat"))
+            left = members.select("k", "node", "n", "m", *low, "component", seat.alias("seat"))
             more = left.join(left.select("seat", *right), ["k", "seat"]).where((F.col("a") < F.col("node")) & other)
         else:
             members = staged(members)
