@@ -15,39 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import letter_words, map_text
+from .license_texts import TEMPLATES
 
 SHINGLE = 3
-WINDOW = 3
+WINDOW = 2
 BAND = 0.15
 COVERAGE = 0.8
 #: Templates with fewer words than this are found by single words; and words that are too common to be chosen first for that.
 SHORT = 20
 COMMON = frozenset(b"the this that is are was of and or to in on by for with under work a an you may it not all any as be 0 1 2 3 4".split())
-
-#: Public license notices.
-TEMPLATES = {
-    "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-short": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-    "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
-    "See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
-    "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
-    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
-    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
-    "included in all copies or substantial portions of the Software.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
-    "and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-    "materials provided with the distribution.",
-}
 MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -133,32 +109,36 @@ class LicenseIndex:
             at = start
             for name, i in who:
                 shifts[name].append(count - i)
-        out = []
-        for name, all_shifts in shifts.items():
-            template, taken = templates[name], []
-            band = max(2, int(self.band * len(template)))
-            if len(template) < SHORT:  # every diagonal that a match with one of these words can be around
-                near = {s + d for s in all_shifts for d in range(-band, band + 1)}
-                tried = [align(template, words, s, band) for s in near if self.enough(template, words[max(0, s - band) : max(0, s + len(template) + band)])]
-            else:
-                groups: list[list[int]] = []
-                for s in sorted(set(all_shifts)):
-                    if groups and s - groups[-1][0] <= band:
-                        groups[-1].append(s)
-                    else:
-                        groups.append([s])
-                tried = [align(template, words, g[len(g) // 2], band) for g in groups]
-            for n, a, b in sorted(tried, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-                if n >= self.coverage * len(template) and all(b <= c or a >= d for c, d in taken):
-                    taken.append((a, b))
-                    out.append((name, n / len(template), a, b))
-        return len(words), sorted(out, key=lambda x: (x[2], x[0]))
+        found = {name: self.matches(templates[name], words, self.diagonals(templates[name], all_shifts)) for name, all_shifts in shifts.items()}
+        return len(words), sorted(((name, n / len(templates[name]), a, b) for name, m in found.items() for n, a, b in m), key=lambda x: (x[2], x[0]))
+
+    def reach(self, template: list[bytes]) -> int:
+        return max(2, int(self.band * len(template)))
+
+    def step(self, template: list[bytes]) -> int:
+        """Alignments are tried on the multiples of this: every diagonal of short templates, a quarter of the band apart for others."""
+        return 1 if len(template) < SHORT else max(1, self.reach(template) // 4)
+
+    def diagonals(self, template: list[bytes], shifts: list[int]) -> list[int]:
+        """Every diagonal to try that a match with one of the fingerprints can be around."""
+        band, step = self.reach(template), self.step(template)
+        return sorted({d * step for s in set(shifts) for d in range(-((band - s) // step), (s + band) // step + 1)})
+
+    def matches(self, template: list[bytes], words: list[bytes], diagonals: list[int]) -> list[tuple[int, int, int]]:
+        """(matched words, start, end) of alignments with enough coverage that don't overlap, the fullest and then the tightest first."""
+        band, taken = self.reach(template), []
+        near = [s for s in diagonals if self.enough(template, words[max(0, s - band) : max(0, s + len(template) + band)])]
+        for n, a, b in sorted((align(template, words, s, band) for s in near), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if n >= self.coverage * len(template) and all(b <= c or a >= d for _, c, d in taken):
+                taken.append((n, a, b))
+        return taken
 
 
 def scan_licenses(docs: DataFrame, keep: list[str], text_col: str = "text", index: LicenseIndex | None = None) -> DataFrame:
     """The columns in ``keep``, n_words, and matches array<struct<license, coverage, start, end>> with spans in words.
 
-    Null and empty texts have no words and no matches. The index holds the templates that are given, a stated query set, and not data.
+    Null and empty texts have no words and no matches; rows that repeat another are scanned each, and very long texts to their end.
+    The index holds the templates that are given, a stated query set, and not data. Templates may be alike: a passage is reported for each that it covers.
     """
     own = index or LicenseIndex(TEMPLATES)
 

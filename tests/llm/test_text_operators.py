@@ -105,6 +105,27 @@ def test_licenses(spark, odd, none):
     assert licenses.license_report(none).count() == 0
 
 
+def test_scan_equals_brute_force_over_all_diagonals():
+    """Whole texts with worn copies of templates: each is found wherever an alignment on any diagonal covers enough of it."""
+    index = licenses.LicenseIndex(licenses.TEMPLATES)
+    machine, templates = index.machine()
+    rng = random.Random(21)
+    missed = found_all = 0
+    for _ in range(60):
+        words = [f"w{rng.randrange(500)}".encode() for _ in range(rng.randrange(30))]
+        for name in rng.sample(sorted(templates), 2):
+            wear = rng.choice([0.0, 0.05, 0.15, 0.25])
+            words += [x for w in templates[name] for x in ([w] if rng.random() >= wear else rng.choice([[], [b"worn"], [w, b"odd"]]))]
+            words += [f"w{rng.randrange(500)}".encode() for _ in range(rng.randrange(10))]
+        found = {m[0] for m in index.scan(b" ".join(words), machine, templates)[1]}
+        for name, template in templates.items():
+            wanted = bool(index.matches(template, words, [d for d in range(-len(template), len(words)) if d % index.step(template) == 0]))
+            assert wanted or name not in found
+            found_all += wanted
+            missed += wanted and name not in found
+    assert found_all > 100 and missed == 0
+
+
 def test_alignment_equals_the_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(100):
