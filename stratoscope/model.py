@@ -15,7 +15,12 @@ from pyspark.sql import types as T
 KEYS = ("subject", "session", "task")
 
 _key_fields = [T.StructField(k, T.StringType()) for k in KEYS]
-SAMPLES = T.StructType([*_key_fields, T.StructField("source", T.StringType()), T.StructField("channel", T.StringType()), T.StructField("sample", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("y", T.DoubleType())])
+SAMPLES = T.StructType(
+    [
+        *_key_fields, T.StructField("source", T.StringType()), T.StructField("channel", T.StringType()), T.StructField("sample", T.LongType()),
+        T.StructField("t", T.DoubleType()), T.StructField("y", T.DoubleType())
+    ]
+)
 EPOCHS = T.StructType(
     [
         *_key_fields,
@@ -28,7 +33,9 @@ EPOCHS = T.StructType(
         T.StructField("end_idx", T.LongType()),
     ]
 )
-EVENTS = T.StructType([*_key_fields, T.StructField("event_type", T.StringType()), T.StructField("event_time", T.DoubleType()), T.StructField("condition", T.StringType())])
+EVENTS = T.StructType(
+    [*_key_fields, T.StructField("event_type", T.StringType()), T.StructField("event_time", T.DoubleType()), T.StructField("condition", T.StringType())]
+)
 
 
 def finite(y: Column | str) -> Column:

@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 from ..model import KEYS, before_and_now, everything, finite
 
 
-def with_neighbours(reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, values: Sequence[str] = ("y",), order: str = "sample", exact_next: bool = True) -> DataFrame:
+def with_neighbours(
+    reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, values: Sequence[str] = ("y",), order: str = "sample",
+    exact_next: bool = True
+) -> DataFrame:
     """``reference`` with structs prev and next of (t, values): the last source row at or before t, and the first at or after t.
 
     Of source rows with equal times, prev is the last and next the first by ``order``. Rows without a time are left out on both sides.
     """
     held = F.struct(*[F.col(k) for k in reference.columns])
-    ref = reference.where(F.col("t").isNotNull()).select(*keys, F.col("t").alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__o"), held.alias("__ref"))
-    got = source.where(F.col("t").isNotNull()).select(*keys, F.col("t").alias("__t"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), F.struct("t", *values).alias("__src"))
+    ref = reference.where(F.col("t").isNotNull()).select(
+        *keys, F.col("t").alias("__t"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__o"), held.alias("__ref")
+    )
+    got = source.where(F.col("t").isNotNull()).select(
+        *keys, F.col("t").alias("__t"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), F.struct("t", *values).alias("__src")
+    )
     both = ref.unionByName(got, allowMissingColumns=True)
     forward = before_and_now(keys, "__t", "__side", "__o")
     backward = before_and_now(keys, F.desc("__t"), F.asc("__side") if exact_next else F.desc("__side"), F.desc("__o"))
@@ -29,7 +36,10 @@ def with_neighbours(reference: DataFrame, source: DataFrame, keys: Sequence[str]
     return found.where("__side = 1").select("__ref.*", "prev", "next")
 
 
-def align_nearest(reference: DataFrame, source: DataFrame, tolerance: float = 0.25, keys: Sequence[str] = KEYS, values: Sequence[str] = ("y",), order: str = "sample", prefix: str = "") -> DataFrame:
+def align_nearest(
+    reference: DataFrame, source: DataFrame, tolerance: float = 0.25, keys: Sequence[str] = KEYS, values: Sequence[str] = ("y",),
+    order: str = "sample", prefix: str = ""
+) -> DataFrame:
     """All reference rows with the values of the nearest source row within ``tolerance`` (inclusive); of equal distances the earlier row."""
     near = with_neighbours(reference, source, keys, values, order)
     back, ahead = F.col("t") - F.col("prev.t"), F.col("next.t") - F.col("t")
@@ -37,7 +47,10 @@ def align_nearest(reference: DataFrame, source: DataFrame, tolerance: float = 0.
     chosen = F.when(use_back, F.col("prev")).otherwise(F.col("next"))
     hit = F.when(F.abs(chosen["t"] - F.col("t")) <= tolerance, chosen)
     near = near.withColumn("__hit", hit)
-    return near.select(*reference.columns, F.col("__hit.t").alias(f"{prefix}source_t"), *[F.col(f"__hit.{v}").alias(f"{prefix}{v}" if prefix else (v if v not in reference.columns else f"source_{v}")) for v in values])
+    return near.select(
+        *reference.columns, F.col("__hit.t").alias(f"{prefix}source_t"),
+        *[F.col(f"__hit.{v}").alias(f"{prefix}{v}" if prefix else (v if v not in reference.columns else f"source_{v}")) for v in values]
+    )
 
 
 def align_sources(samples: DataFrame, reference: str, tolerance: float = 0.25, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -80,7 +93,10 @@ def _blend(t: Column) -> Column:
     return inside
 
 
-def remap_linear(reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, order: str = "sample", gap_s: float | None = None, fill: float | None = None, clamp: bool = True, out: str = "y") -> DataFrame:
+def remap_linear(
+    reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, order: str = "sample", gap_s: float | None = None,
+    fill: float | None = None, clamp: bool = True, out: str = "y"
+) -> DataFrame:
     """Linear interpolation at the reference times, held flat outside of the source (or null there, without ``clamp``); 0 without any source value.
 
     With ``gap_s``, the value is ``fill`` where the nearest source sample is further away than that.
@@ -106,7 +122,9 @@ def interpolate_own(samples: DataFrame, at: str = "t", keys: Sequence[str] = KEY
     """``samples`` with ``filled``: its own gaps interpolated over the column ``at`` (time or position), flat at the ends."""
     point = F.when(F.col("y").isNotNull(), F.struct(F.col(at).cast("double").alias("t"), "y"))
     rows = samples.withColumn("__p", point)
-    rows = rows.withColumn("prev", F.last("__p", True).over(before_and_now(keys, at))).withColumn("next", F.last("__p", True).over(before_and_now(keys, F.desc(at))))
+    rows = rows.withColumn("prev", F.last("__p", True).over(before_and_now(keys, at))).withColumn(
+        "next", F.last("__p", True).over(before_and_now(keys, F.desc(at)))
+    )
     return rows.withColumn("filled", F.coalesce("y", _blend(F.col(at).cast("double")), "prev.y", "next.y")).drop("__p", "prev", "next")
 
 

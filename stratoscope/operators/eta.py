@@ -26,10 +26,14 @@ def epoch_traces(samples: DataFrame, events: DataFrame, window: tuple[float, flo
     clean = distinct_times(source, [*keys, "roi"])
     channels = clean.groupBy(*keys, "roi").agg(F.count("*").alias("__n")).where("__n >= 2").drop("__n")
     grid = events.join(channels, list(keys)).withColumn("rel_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))))
-    grid = grid.withColumn("rel_time", F.round(F.lit(float(window[0])) + F.col("rel_idx") * F.lit(float(dt)), 9)).withColumn("t", F.col("event_time") + F.col("rel_time"))
+    grid = grid.withColumn(
+        "rel_time", F.round(F.lit(float(window[0])) + F.col("rel_idx") * F.lit(float(dt)), 9)
+    ).withColumn("t", F.col("event_time") + F.col("rel_time"))
     near = with_neighbours(grid, clean, [*keys, "roi"])
     value = F.when(F.col("prev").isNull() | F.col("next").isNull(), None).otherwise(
-        F.when(F.col("prev.t") == F.col("next.t"), F.col("prev.y")).otherwise(F.col("prev.y") + (F.col("next.y") - F.col("prev.y")) * (F.col("t") - F.col("prev.t")) / (F.col("next.t") - F.col("prev.t")))
+        F.when(F.col("prev.t") == F.col("next.t"), F.col("prev.y")).otherwise(
+            F.col("prev.y") + (F.col("next.y") - F.col("prev.y")) * (F.col("t") - F.col("prev.t")) / (F.col("next.t") - F.col("prev.t"))
+        )
     )
     return near.withColumn("value", value).drop("prev", "next")
 
@@ -39,7 +43,9 @@ def number_events(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return events.withColumn("event_id", (F.row_number().over(ordered([*keys, "event_type"], "event_time")) - 1).cast("long"))
 
 
-def subtract_baseline(traces: DataFrame, baseline: tuple[float, float] | None, keys: Sequence[str] = KEYS, clean: Column | None = None, least_clean: int = 1) -> DataFrame:
+def subtract_baseline(
+    traces: DataFrame, baseline: tuple[float, float] | None, keys: Sequence[str] = KEYS, clean: Column | None = None, least_clean: int = 1
+) -> DataFrame:
     """Traces less the mean over the closed baseline window; null where it holds no value; unchanged without a window.
 
     With ``clean``, a flag of the grid rows, only flagged rows count, unless fewer than ``least_clean`` of them have a value.
@@ -67,7 +73,10 @@ def drop_events_in_bouts(events: DataFrame, bouts: DataFrame, width: float, keys
     return samples_in(events, bouts, width, keys, closed=True, how="left_anti", t="event_time")
 
 
-def paired_baseline(traces: DataFrame, samples: DataFrame, pairs: DataFrame, baseline: tuple[float, float], dt: float, keys: Sequence[str] = KEYS, roi: str = "channel") -> DataFrame:
+def paired_baseline(
+    traces: DataFrame, samples: DataFrame, pairs: DataFrame, baseline: tuple[float, float], dt: float, keys: Sequence[str] = KEYS,
+    roi: str = "channel"
+) -> DataFrame:
     """Traces less the mean around another event paired with each (``pairs``: keys, event_type, event_id, event_time)."""
     other = epoch_traces(samples, pairs, baseline, dt, keys, roi)
     means = other.groupBy(*keys, *TRACE).agg(F.avg("value").alias("__b"))

@@ -22,7 +22,10 @@ def touched(intervals: DataFrame, width: float, start: str = "start_s", end: str
     return intervals.where(F.col(start) <= F.col(end)).withColumn("__b", F.explode(F.sequence(_bucket(start, width), _bucket(end, width))))
 
 
-def samples_in(samples: DataFrame, intervals: DataFrame, width: float, keys: Sequence[str] = KEYS, closed: bool = False, how: str = "inner", keep: Sequence[str] = (), t: str = "t") -> DataFrame:
+def samples_in(
+    samples: DataFrame, intervals: DataFrame, width: float, keys: Sequence[str] = KEYS, closed: bool = False, how: str = "inner",
+    keep: Sequence[str] = (), t: str = "t"
+) -> DataFrame:
     """Samples joined to the intervals that hold them; half-open [start, end), or closed. how: inner, left_semi or left_anti."""
     cut = touched(intervals.select(*keys, F.col("start_s").alias("__s"), F.col("end_s").alias("__e"), *keep), width, "__s", "__e")
     own = samples.withColumn("__b", _bucket(t, width)).alias("a")

@@ -31,7 +31,10 @@ def prepare_speed(samples: DataFrame, scale: float = 1.0, keys: Sequence[str] =
     return rows.withColumn("__n", F.count("*").over(everything(keys))).where("__n >= 3").drop("__n")
 
 
-def bout_events(samples: DataFrame, least_speed: float, direction: str = "forward", min_duration_s: float = 0.0, merge_gap_s: float = 0.0, max_sample_gap_s: float | None = None, scale: float = 1.0, keys: Sequence[str] = KEYS) -> DataFrame:
+def bout_events(
+    samples: DataFrame, least_speed: float, direction: str = "forward", min_duration_s: float = 0.0, merge_gap_s: float = 0.0,
+    max_sample_gap_s: float | None = None, scale: float = 1.0, keys: Sequence[str] = KEYS
+) -> DataFrame:
     """Bouts with mean and peak speed, time to peak, and signed distance in metres (cm/s times the step before each sample but the first)."""
     own = prepare_speed(samples, scale, keys)
     epochs = detect_epochs(own, direction_mask(F.col("y"), least_speed, direction), "locomotion_bout", min_duration_s, merge_gap_s, max_sample_gap_s, keys)
@@ -45,9 +48,13 @@ def bout_stats(placed: DataFrame, epochs: DataFrame, direction: str = "forward",
     Samples find their bout by one pass per recording: bouts are put among the samples at their starts and carried forward.
     """
     w = ordered(keys, "idx", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    marks = epochs.select(*keys, F.col("start_idx").alias("idx"), F.lit(0).alias("__side"), F.struct("epoch_id", "start_idx", "end_idx", "start_s").alias("__e"))
+    marks = epochs.select(
+        *keys, F.col("start_idx").alias("idx"), F.lit(0).alias("__side"), F.struct("epoch_id", "start_idx", "end_idx", "start_s").alias("__e")
+    )
     both = placed.select(*keys, "idx", "t", "y").withColumn("__side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    rows = both.withColumn("__e", F.last("__e", True).over(w)).withColumn("__dt", F.col("t") - F.lag("t").over(ordered([*keys, "__side"], "idx"))).where("__side = 1 and idx <= __e.end_idx")
+    rows = both.withColumn("__e", F.last("__e", True).over(w)).withColumn(
+        "__dt", F.col("t") - F.lag("t").over(ordered([*keys, "__side"], "idx"))
+    ).where("__side = 1 and idx <= __e.end_idx")
     speed = F.abs("y") if direction == "absolute" else F.col("y")
     pick = F.min_by if direction == "backward" else F.max_by
     rank = F.struct(speed.alias("v"), (F.col("idx") if direction == "backward" else -F.col("idx")).alias("i"))
@@ -59,7 +66,9 @@ def bout_stats(placed: DataFrame, epochs: DataFrame, direction: str = "forward",
     )
 
 
-def locomotion_events(samples: DataFrame, least_speed: float, onset: str = "locomotion_onset", offset: str = "locomotion_offset", keys: Sequence[str] = KEYS, **options) -> DataFrame:
+def locomotion_events(
+    samples: DataFrame, least_speed: float, onset: str = "locomotion_onset", offset: str = "locomotion_offset", keys: Sequence[str] = KEYS, **options
+) -> DataFrame:
     """Starts and ends of bouts over all recordings as point events."""
     return onsets_and_offsets(bout_events(samples, least_speed, keys=keys, **options), onset, offset, keys)
 
@@ -70,7 +79,9 @@ def quiescent_runs(samples: DataFrame, bouts: DataFrame, min_duration_s: float =
     spans = placed.groupBy(*keys).agg(F.max("idx").alias("__last"))
     w = ordered(keys, "start_idx")
     between = bouts.withColumn("s", F.coalesce(F.lag("end_idx").over(w) + 1, F.lit(0))).withColumn("e", F.col("start_idx") - 1).select(*keys, "s", "e")
-    ends = spans.join(bouts.groupBy(*keys).agg(F.max("end_idx").alias("__end")), list(keys), "left").select(*keys, F.coalesce(F.col("__end") + 1, F.lit(0)).alias("s"), F.col("__last").alias("e"))
+    ends = spans.join(bouts.groupBy(*keys).agg(F.max("end_idx").alias("__end")), list(keys), "left").select(
+        *keys, F.coalesce(F.col("__end") + 1, F.lit(0)).alias("s"), F.col("__last").alias("e")
+    )
     quiet = between.union(ends).where("e >= s")
     at = lambda name: placed.select(*keys, F.col("idx").alias(name[0]), F.col("t").alias(name))
     timed = quiet.join(at("start_s"), [*keys, "s"]).join(at("end_s"), [*keys, "e"]).join(median_step(samples, keys), list(keys))
@@ -85,12 +96,19 @@ def quiescent_periods(bouts: DataFrame, spans: DataFrame, min_duration_s: float
     """
     w = ordered(keys, "start_s", "epoch_id")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = bouts.join(spans, list(keys)).withColumn("__c", F.greatest("lo", F.coalesce(F.max("end_s").over(before), F.col("lo")))).withColumn("__first", F.row_number().over(w) == 1)
+    rows = bouts.join(spans, list(keys)).withColumn(
+        "__c", F.greatest("lo", F.coalesce(F.max("end_s").over(before), F.col("lo")))
+    ).withColumn("__first", F.row_number().over(w) == 1)
     inner = rows.where((F.col("start_s") > F.col("__c")) & (F.col("__c") < F.col("hi"))).select(
         *keys, F.col("__c").alias("s"), F.least("start_s", "hi").alias("e"), F.col("epoch_id").cast("long").alias("next_bout"), F.col("__first").alias("opens_recording")
     )
-    ends = spans.join(bouts.groupBy(*keys).agg(F.max("end_s").alias("__end")), list(keys), "left").withColumn("__c", F.greatest("lo", F.coalesce("__end", "lo")))
-    tail = ends.where("__c < hi").select(*keys, F.col("__c").alias("s"), F.col("hi").alias("e"), F.lit(None).cast("long").alias("next_bout"), F.col("__end").isNull().alias("opens_recording"))
+    ends = spans.join(
+        bouts.groupBy(*keys).agg(F.max("end_s").alias("__end")), list(keys), "left"
+    ).withColumn("__c", F.greatest("lo", F.coalesce("__end", "lo")))
+    tail = ends.where("__c < hi").select(
+        *keys, F.col("__c").alias("s"), F.col("hi").alias("e"), F.lit(None).cast("long").alias("next_bout"),
+        F.col("__end").isNull().alias("opens_recording")
+    )
     made = inner.union(tail).where(F.col("e") - F.col("s") >= min_duration_s)
     return made.select(
         *keys,
@@ -110,12 +128,19 @@ def classify_bouts(bouts: DataFrame, duration_cutoff_s: float = 3.0, speed_cutof
     return bouts.withColumn("bout_type", F.when(long & fast, BOUT_TYPES[0]).when(fast, BOUT_TYPES[1]).when(long, BOUT_TYPES[3]).otherwise(BOUT_TYPES[2]))
 
 
-def treadmill_status(samples: DataFrame, packets: DataFrame, recordings: DataFrame, span: tuple[float, float], device: str = "treadmill", scale: float = 10.0, keys: Sequence[str] = KEYS) -> DataFrame:
+def treadmill_status(
+    samples: DataFrame, packets: DataFrame, recordings: DataFrame, span: tuple[float, float], device: str = "treadmill", scale: float = 10.0,
+    keys: Sequence[str] = KEYS
+) -> DataFrame:
     """(keys, status, n, mean_speed_cms) per recording in the closed span: ok with samples, still with packets of the device only, else missing."""
-    inside = samples.where(F.col("t").between(*span) & finite("y").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("y") / scale).alias("mean_speed_cms"))
+    inside = samples.where(F.col("t").between(*span) & finite("y").isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(F.col("y") / scale).alias("mean_speed_cms")
+    )
     alive = packets.groupBy(*keys).agg(F.bool_or(F.col("device_id") == device).alias("__alive"))
     status = F.when(F.col("n") > 0, "ok").when(F.col("__alive"), "still").otherwise("missing")
-    return recordings.select(*keys).distinct().join(inside, list(keys), "left").join(alive, list(keys), "left").select(*keys, status.alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_speed_cms")
+    return recordings.select(*keys).distinct().join(inside, list(keys), "left").join(alive, list(keys), "left").select(
+        *keys, status.alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_speed_cms"
+    )
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,10 @@ from .segments import detect_epochs, median_step
 from .spectral import morlet_power
 
 
-def bandpass(samples: DataFrame, fs: float, band: tuple[float, float], order: int = 4, chunk: int | None = 1 << 16, envelope: bool = True, series: Sequence[str] = KEYS) -> DataFrame:
+def bandpass(
+    samples: DataFrame, fs: float, band: tuple[float, float], order: int = 4, chunk: int | None = 1 << 16, envelope: bool = True,
+    series: Sequence[str] = KEYS
+) -> DataFrame:
     """(series, sample, t, filtered, envelope, phase): zero-phase Butterworth band-pass; samples numbered 0, 1, ... without gaps or nulls.
 
     With ``chunk``, time is cut into chunks with a halo in which the filter forgets its start to 1e-12, so that one long series is many
@@ -51,7 +54,9 @@ def bandpass(samples: DataFrame, fs: float, band: tuple[float, float], order: in
             out = out[part["sample"].to_numpy() // chunk == part["__chunk"].to_numpy()]
         return out
 
-    return cut.select(*names, "__chunk", "sample", "t", "y").groupBy(*names, "__chunk").applyInPandas(run, f"{kinds}, sample long, t double, filtered double, envelope double, phase double")
+    return cut.select(*names, "__chunk", "sample", "t", "y").groupBy(*names, "__chunk").applyInPandas(
+        run, f"{kinds}, sample long, t double, filtered double, envelope double, phase double"
+    )
 
 
 def robust_threshold(filtered: DataFrame, k: float = 4.0, series: Sequence[str] = KEYS, value: str = "envelope") -> DataFrame:
@@ -68,7 +73,9 @@ def instantaneous_frequency(filtered: DataFrame, fs: float, series: Sequence[str
     return filtered.withColumn("frequency", wrapped * fs / (2 * math.pi))
 
 
-def burst_events(filtered: DataFrame, thresholds: DataFrame, fs: float, min_duration_s: float = 0.5, merge_gap_s: float = 0.25, series: Sequence[str] = KEYS) -> DataFrame:
+def burst_events(
+    filtered: DataFrame, thresholds: DataFrame, fs: float, min_duration_s: float = 0.5, merge_gap_s: float = 0.25, series: Sequence[str] = KEYS
+) -> DataFrame:
     """Epochs with the envelope above the threshold, with peak_env, frequency_hz (median inside) and confirmed_s: the first sample above
     the threshold by which the burst had lasted long enough, else its end."""
     rows = instantaneous_frequency(filtered, fs, series).join(thresholds.select(*series, "threshold"), list(series))
@@ -77,7 +84,9 @@ def burst_events(filtered: DataFrame, thresholds: DataFrame, fs: float, min_dura
     placed = rows.withColumn("idx", (F.row_number().over(ordered(series, "t", "sample")) - 1).cast("long")).join(median_step(rows, series), list(series))
     w = ordered(series, "idx", "__side").rowsBetween(Window.unboundedPreceding, 0)
     marks = epochs.select(*series, F.col("start_idx").alias("idx"), F.lit(0).alias("__side"), F.struct("epoch_id", "start_s", "end_idx").alias("__e"))
-    both = placed.select(*series, "idx", "t", "envelope", "frequency", "threshold", "step").withColumn("__side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    both = placed.select(
+        *series, "idx", "t", "envelope", "frequency", "threshold", "step"
+    ).withColumn("__side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
     inside = both.withColumn("__e", F.last("__e", True).over(w)).where("__side = 1 and idx <= __e.end_idx")
     late = above & (F.col("t") - F.col("__e.start_s") + F.col("step") >= min_duration_s)
     inside = inside.withColumn("epoch_id", F.col("__e.epoch_id"))
@@ -107,7 +116,9 @@ class OscillationDetector:
 
     def run(self, samples: DataFrame, series: Sequence[str] = KEYS) -> DataFrame:
         made = bandpass(samples, self.fs, self.band_hz, self.order, self.chunk, True, series)
-        levels = robust_threshold(made, self.threshold_k, series) if self.threshold is None else made.select(*series).distinct().withColumn("threshold", F.lit(float(self.threshold)))
+        levels = robust_threshold(made, self.threshold_k, series) if self.threshold is None else made.select(*series).distinct().withColumn(
+            "threshold", F.lit(float(self.threshold))
+        )
         return burst_events(made, levels, self.fs, self.min_duration_s, self.merge_gap_s, series)
 
     def events(self, samples: DataFrame, series: Sequence[str] = KEYS) -> DataFrame:
@@ -136,7 +147,9 @@ def bosc_episodes(
     freqs = bosc_frequencies(fit_hz, per_octave)
     power = morlet_power(samples, fs, freqs, width, chunk, series)
     timed = power.join(samples.select(*series, "sample", "t", *([reference] if reference else [])), [*series, "sample"])
-    mean = timed.groupBy(*series, "freq_idx", "freq").agg((F.coalesce(F.avg(F.when(F.col(reference), F.col("power"))), F.avg("power")) if reference else F.avg("power")).alias("mean_power"))
+    mean = timed.groupBy(*series, "freq_idx", "freq").agg(
+        (F.coalesce(F.avg(F.when(F.col(reference), F.col("power"))), F.avg("power")) if reference else F.avg("power")).alias("mean_power")
+    )
     in_band = F.col("freq").between(*band_hz)
     if background is None:
         x, y = F.when(~in_band, F.ln("freq")), F.when(~in_band, F.ln("mean_power"))
@@ -147,17 +160,25 @@ def bosc_episodes(
     levels = levels.withColumn("threshold", F.col("background") * (-math.log(1 - percentile)))
     rows = timed.where(in_band).join(levels.select(*series, "freq_idx", "background", "threshold"), [*series, "freq_idx"])
     own = [*series, "freq_idx"]
-    runs = detect_epochs(rows, F.col("power") > F.col("threshold"), "cycle_run", keys=own).join(levels.select(*own, "freq"), own).where(F.col("duration_s") >= min_cycles / F.col("freq"))
+    runs = detect_epochs(
+        rows, F.col("power") > F.col("threshold"), "cycle_run", keys=own
+    ).join(levels.select(*own, "freq"), own).where(F.col("duration_s") >= min_cycles / F.col("freq"))
     w = ordered(own, "idx", "__side").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("idx", (F.row_number().over(ordered(own, "t", "sample")) - 1).cast("long")).withColumn("__side", F.lit(1))
     marks = runs.select(*own, F.col("start_idx").alias("idx"), F.lit(0).alias("__side"), F.col("end_idx").alias("__end"))
-    held = placed.unionByName(marks, allowMissingColumns=True).withColumn("__end", F.last("__end", True).over(w)).where("__side = 1").withColumn("detected", F.coalesce(F.col("idx") <= F.col("__end"), F.lit(False)))
+    held = placed.unionByName(marks, allowMissingColumns=True).withColumn("__end", F.last("__end", True).over(w)).where("__side = 1").withColumn(
+        "detected", F.coalesce(F.col("idx") <= F.col("__end"), F.lit(False))
+    )
     flat = held.groupBy(*series, "sample", "t").agg(F.bool_or("detected").alias("oscillating"))
     episodes = detect_epochs(flat, F.col("oscillating"), "oscillation_episode", keys=series)
     e = ordered(series, "idx", "__side").rowsBetween(Window.unboundedPreceding, 0)
     starts = episodes.select(*series, F.col("start_idx").alias("idx"), F.lit(0).alias("__side"), F.struct("epoch_id", "end_idx").alias("__e"))
     inside = held.drop("__end").unionByName(starts, allowMissingColumns=True).withColumn("__e", F.last("__e", True).over(e)).where("__side = 1 and idx <= __e.end_idx")
-    weight = inside.groupBy(*series, F.col("__e.epoch_id").alias("epoch_id"), "freq").agg(F.sum(F.when(F.col("detected"), F.col("power") / F.col("background")).otherwise(0.0)).alias("__w"))
+    weight = inside.groupBy(*series, F.col("__e.epoch_id").alias("epoch_id"), "freq").agg(
+        F.sum(F.when(F.col("detected"), F.col("power") / F.col("background")).otherwise(0.0)).alias("__w")
+    )
     best = weight.groupBy(*series, "epoch_id").agg(F.max_by("freq", F.struct("__w", -F.col("freq"))).alias("frequency_hz"))
-    episodes = episodes.join(best, [*series, "epoch_id"]).withColumn("confirmed_s", F.least(F.col("start_s") + min_cycles / F.col("frequency_hz"), F.col("end_s")))
+    episodes = episodes.join(best, [*series, "epoch_id"]).withColumn(
+        "confirmed_s", F.least(F.col("start_s") + min_cycles / F.col("frequency_hz"), F.col("end_s"))
+    )
     return {"levels": levels, "episodes": episodes}

@@ -105,14 +105,18 @@ def zscore(samples: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
 
 def detrend_zscore(samples: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
     """Residuals of a line over the position, over their sample standard deviation; a deviation of 0 counts as 1."""
-    fit = samples.groupBy(*series).agg(F.regr_slope("y", F.col("sample").cast("double")).alias("__a"), F.regr_intercept("y", F.col("sample").cast("double")).alias("__b"))
+    fit = samples.groupBy(*series).agg(
+        F.regr_slope("y", F.col("sample").cast("double")).alias("__a"), F.regr_intercept("y", F.col("sample").cast("double")).alias("__b")
+    )
     rest = samples.join(fit, list(series)).withColumn("__r", F.col("y") - F.col("__a") * F.col("sample") - F.col("__b"))
     w = everything(series)
     sd = F.stddev_samp("__r").over(w)
     return rest.withColumn("z", (F.col("__r") - F.avg("__r").over(w)) / F.when(sd > 0, sd).otherwise(1.0)).drop("__a", "__b", "__r")
 
 
-def clean_steps(samples: DataFrame, max_step: float, bounds: tuple[float, float] | None = None, max_fill_s: float = 0.5, series: Sequence[str] = SERIES) -> DataFrame:
+def clean_steps(
+    samples: DataFrame, max_step: float, bounds: tuple[float, float] | None = None, max_fill_s: float = 0.5, series: Sequence[str] = SERIES
+) -> DataFrame:
     """``flagged`` and ``cleaned``: missing, out-of-bounds and jumping samples are flagged; short runs of them are interpolated in time."""
     w = ordered(series, "t", "sample")
     y = F.col("y")
@@ -126,7 +130,9 @@ def clean_steps(samples: DataFrame, max_step: float, bounds: tuple[float, float]
     point = F.struct("t", "y")
     rows = rows.withColumn("__prev", F.lag(point).over(w)).withColumn("__next", F.lead(point).over(w))
     inside = Window.partitionBy(*series, "__run").orderBy("t", "sample").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__a", F.first("__prev").over(inside)).withColumn("__b", F.last("__next").over(inside)).withColumn("__span", F.max("t").over(inside) - F.min("t").over(inside))
+    rows = rows.withColumn("__a", F.first("__prev").over(inside)).withColumn("__b", F.last("__next").over(inside)).withColumn(
+        "__span", F.max("t").over(inside) - F.min("t").over(inside)
+    )
     rows = rows.join(median_step(samples, series), list(series))
     fill = F.col("__a.y") + (F.col("__b.y") - F.col("__a.y")) * (F.col("t") - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
     fits = F.col("__a").isNotNull() & F.col("__b").isNotNull() & (F.col("__span") + F.col("step") <= max_fill_s)
@@ -134,10 +140,16 @@ def clean_steps(samples: DataFrame, max_step: float, bounds: tuple[float, float]
 
 
 #: Named recipes of styled traces and of the overview's variables: quartile factor, smoothing seconds, then median, window and order.
-STYLES = {"speed": {"k": 2.0, "median": 1, "window": 7, "order": 2}, "pupil": {"k": 1.5, "median": 1, "window": 15, "order": 3}, "diameter": {"k": 1.5, "median": 1, "window": 15, "order": 3}}
+STYLES = {
+    "speed": {"k": 2.0, "median": 1, "window": 7, "order": 2}, "pupil": {"k": 1.5, "median": 1, "window": 15, "order": 3},
+    "diameter": {"k": 1.5, "median": 1, "window": 15, "order": 3}
+}
 
 
-def prepare_trace(reference: DataFrame, source: DataFrame, k: float | None = None, smooth_s: float | None = None, fs: float | None = None, dense: tuple[int, int, int] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+def prepare_trace(
+    reference: DataFrame, source: DataFrame, k: float | None = None, smooth_s: float | None = None, fs: float | None = None,
+    dense: tuple[int, int, int] | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
     """Remapped to the reference's times, outliers away, smoothed by seconds, then by samples; each step only if it is asked for."""
     out = remap_linear(reference, source, keys)
     if k is not None:
@@ -158,7 +170,10 @@ def process_variable(samples: DataFrame, name: str, series: Sequence[str] = SERI
     return marked.join(smooth, [*series, "sample"], "left").withColumn("y", F.coalesce("__y", "y")).drop("__y")
 
 
-def timeline(samples: DataFrame, trim_head_s: float = 0.0, trim_tail_s: float = 0.0, gap_s: float = 0.0, within: Sequence[str] = ("subject",), order: str = "session") -> DataFrame:
+def timeline(
+    samples: DataFrame, trim_head_s: float = 0.0, trim_tail_s: float = 0.0, gap_s: float = 0.0, within: Sequence[str] = ("subject",),
+    order: str = "session"
+) -> DataFrame:
     """``timeline_s``: sessions after one another, each trimmed and shifted by the lengths of those before and ``gap_s`` after each."""
     spans = samples.groupBy(*within, order).agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"))
     spans = spans.withColumn("__lo", F.col("__lo") + trim_head_s).withColumn("__hi", F.col("__hi") - trim_tail_s).where("__hi >= __lo")

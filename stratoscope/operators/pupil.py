@@ -32,10 +32,14 @@ def prominence_events(samples: DataFrame, prominence: float, min_separation_s: f
     filled = interpolate_own(samples.where(F.col("t").isNotNull()), "t", series)
     filled = filled.withColumn("__n", F.count("y").over(everything(series))).where("__n >= 3")
     w = ordered(series, "t", "sample")
-    rows = filled.withColumn("i", F.row_number().over(w) - 1).withColumn("gaps", F.sum(F.col("y").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = filled.withColumn("i", F.row_number().over(w) - 1).withColumn(
+        "gaps", F.sum(F.col("y").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
     v = F.col("filled")
     turning = F.coalesce((v - F.lag(v).over(w)) * (F.lead(v).over(w) - v) <= 0, F.lit(True))
-    kept = rows.withColumn("__keep", turning).where("__keep").join(median_step(samples, series), list(series)).select(*series, "i", "t", F.col("filled").alias("v"), "gaps", F.col("y").isNull().alias("gap"), "step")
+    kept = rows.withColumn("__keep", turning).where("__keep").join(median_step(samples, series), list(series)).select(
+        *series, "i", "t", F.col("filled").alias("v"), "gaps", F.col("y").isNull().alias("gap"), "step"
+    )
     names = list(series)
     kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in names)
 
@@ -54,7 +58,12 @@ def prominence_events(samples: DataFrame, prominence: float, min_separation_s: f
             first, last = np.searchsorted(at, onset), np.searchsorted(at, trough, "right") - 1
             if gaps[last] - gaps[first] + gap[first] > 0:
                 continue
-            out.append((when[onset], when[p], when[trough], dense[onset], dense[p], dense[trough], height, dense[p] - dense[onset], when[p] - when[onset], when[trough] - when[p]))
+            out.append(
+                (
+                    when[onset], when[p], when[trough], dense[onset], dense[p], dense[trough], height, dense[p] - dense[onset],
+                    when[p] - when[onset], when[trough] - when[p]
+                )
+            )
         made = pd.DataFrame(out, columns=[c.split()[0] for c in PEAKS.split(", ")])
         for name in reversed(names):
             made.insert(0, name, part[name].iloc[0])
@@ -75,7 +84,10 @@ def dilation_events(samples: DataFrame, prominence: float, min_separation_s: flo
     return prominence_events(samples.withColumn("y", F.col("smoothed")), prominence, min_separation_s, series)
 
 
-def quiescent_samples(pupil: DataFrame, treadmill: DataFrame, least_speed: float = 2.0, tolerance: float = 0.25, min_bout_s: float = 1.0, merge_gap_s: float = 0.5, min_quiet_s: float = 0.0, width: float = 60.0, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+def quiescent_samples(
+    pupil: DataFrame, treadmill: DataFrame, least_speed: float = 2.0, tolerance: float = 0.25, min_bout_s: float = 1.0, merge_gap_s: float = 0.5,
+    min_quiet_s: float = 0.0, width: float = 60.0, keys: Sequence[str] = KEYS
+) -> tuple[DataFrame, DataFrame]:
     """(samples of the pupil on the treadmill's clock while it is still, the quiet stretches)."""
     own = treadmill.where(F.col("y").isNotNull())
     aligned = align_nearest(own, pupil.select(*keys, "sample", "t", F.col("y").alias("pupil")), tolerance, keys, ("pupil",))
@@ -107,4 +119,7 @@ def require_session(recordings: DataFrame, session: str) -> None:
 def normalise_pupil(pupil: DataFrame, baselines: DataFrame) -> DataFrame:
     """pupil_norm: the raw value over its subject's baseline; subjects without a positive baseline are left out."""
     good = baselines.where(F.col("baseline_pupil") > 0).select("subject", "baseline_pupil")
-    return pupil.join(good, "subject").select("subject", "session", "task", F.col("t").alias("time_elapsed_s"), F.col("y").alias("pupil_raw"), (F.col("y") / F.col("baseline_pupil")).alias("pupil_norm"))
+    return pupil.join(good, "subject").select(
+        "subject", "session", "task", F.col("t").alias("time_elapsed_s"), F.col("y").alias("pupil_raw"),
+        (F.col("y") / F.col("baseline_pupil")).alias("pupil_norm")
+    )

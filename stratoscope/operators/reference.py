@@ -12,7 +12,9 @@ from .quantiles import exact_quantiles
 
 def describe(reference: DataFrame, subject: str = "subject", value: str = "y") -> DataFrame:
     """(subject, n, mean, sd) of the finite samples."""
-    return reference.where(F.col(value).isNotNull()).groupBy(subject).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.when(F.count(value) > 1, F.stddev_samp(value)).alias("sd"))
+    return reference.where(F.col(value).isNotNull()).groupBy(subject).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.when(F.count(value) > 1, F.stddev_samp(value)).alias("sd")
+    )
 
 
 def zscores(values: DataFrame, reference: DataFrame, subject: str = "subject", value: str = "y") -> DataFrame:
@@ -27,7 +29,9 @@ def percentiles(values: DataFrame, reference: DataFrame, subject: str = "subject
     """
     held = F.struct(*[F.col(c) for c in values.columns])
     both = values.select(F.col(subject).alias("__s"), F.col(value).alias("__v"), F.lit(0).alias("__r"), held.alias("__row")).unionByName(
-        reference.where(F.col(value).isNotNull()).select(F.col(subject).alias("__s"), F.col(value).alias("__v"), F.lit(1).alias("__r")), allowMissingColumns=True
+        reference.where(F.col(value).isNotNull()).select(
+            F.col(subject).alias("__s"), F.col(value).alias("__v"), F.lit(1).alias("__r")
+        ), allowMissingColumns=True
     )
     upto = Window.partitionBy("__s").orderBy("__v")
     le = F.sum("__r").over(upto)

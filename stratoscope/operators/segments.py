@@ -40,7 +40,9 @@ def mask_runs(samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS, max_
 def merge_runs(found: DataFrame, keys: Sequence[str] = KEYS, gap_s: float | None = None, gap_samples: int | None = None) -> DataFrame:
     """Joins runs whose gap to the one before is at most so many seconds, or samples between them."""
     w = ordered(keys, "start_idx")
-    gap = (F.col("start_s") - F.lag("end_s").over(w)) <= gap_s if gap_s is not None else (F.col("start_idx") - F.lag("end_idx").over(w) - 1) <= (gap_samples or 0)
+    gap = (F.col("start_s") - F.lag("end_s").over(w)) <= gap_s if gap_s is not None else (
+        F.col("start_idx") - F.lag("end_idx").over(w) - 1
+    ) <= (gap_samples or 0)
     flagged = found.withColumn("__new", F.when(F.coalesce(gap, F.lit(False)), 0).otherwise(1))
     return (
         flagged.withColumn("run", (F.sum("__new").over(before_and_now(keys, "start_idx")) - 1).cast("long"))
@@ -61,18 +63,27 @@ def detect_epochs(
 
     duration_s holds one median step more than end_s - start_s; so does the test of the least duration, but not the pause.
     """
-    found = merge_runs(mask_runs(samples, mask, keys, max_sample_gap_s), keys, gap_s=merge_gap_s) if merge_gap_s > 0 else mask_runs(samples, mask, keys, max_sample_gap_s)
+    found = merge_runs(
+        mask_runs(samples, mask, keys, max_sample_gap_s), keys, gap_s=merge_gap_s
+    ) if merge_gap_s > 0 else mask_runs(samples, mask, keys, max_sample_gap_s)
     timed = found.join(median_step(samples, keys), list(keys)).withColumn("duration_s", F.col("end_s") - F.col("start_s") + F.col("step"))
     kept = timed.where(F.col("duration_s") >= min_duration_s)
     return kept.select(
-        *keys, (F.row_number().over(ordered(keys, "start_idx")) - 1).cast("long").alias("epoch_id"), "start_s", "end_s", "duration_s", F.lit(event_type).alias("event_type"), "start_idx", "end_idx"
+        *keys, (
+            F.row_number().over(ordered(keys, "start_idx")) - 1
+        ).cast("long").alias("epoch_id"), "start_s", "end_s", "duration_s", F.lit(event_type).alias("event_type"), "start_idx", "end_idx"
     )
 
 
-def epochs_around(events: DataFrame, pre: float, post: float, samples: DataFrame | None = None, width: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+def epochs_around(
+    events: DataFrame, pre: float, post: float, samples: DataFrame | None = None, width: float | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
     """Epochs [event_time + pre, event_time + post]; with ``samples``, also the positions of the first and last sample inside."""
     made = events.withColumn("epoch_id", (F.row_number().over(ordered(keys, "event_time", "event_type")) - 1).cast("long"))
-    made = made.select(*keys, "epoch_id", (F.col("event_time") + pre).alias("start_s"), (F.col("event_time") + post).alias("end_s"), F.lit(float(post - pre)).alias("duration_s"), "event_type")
+    made = made.select(
+        *keys, "epoch_id", (F.col("event_time") + pre).alias("start_s"), (F.col("event_time") + post).alias("end_s"),
+        F.lit(float(post - pre)).alias("duration_s"), "event_type"
+    )
     if samples is None:
         return made
     return window_bounds(made, samples, width or (post - pre), keys)
@@ -92,6 +103,8 @@ def break_at_gaps(samples: DataFrame, threshold_s: float, keys: Sequence[str] =
     """One row with null time and value before each sample that is more than ``threshold_s`` after the last one; ``part`` orders them."""
     gap = F.col("t") - F.lag("t").over(ordered(keys, "t", "sample"))
     rows = samples.withColumn("__cut", F.coalesce(gap > threshold_s, F.lit(False)))
-    full, empty = F.struct(F.lit(1).alias("part"), F.col("t").alias("t"), F.col("y").alias("y")), F.struct(F.lit(0).alias("part"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("y"))
+    full, empty = F.struct(F.lit(1).alias("part"), F.col("t").alias("t"), F.col("y").alias("y")), F.struct(
+        F.lit(0).alias("part"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("y")
+    )
     rows = rows.withColumn("__r", F.explode(F.when(F.col("__cut"), F.array(empty, full)).otherwise(F.array(full))))
     return rows.select(*keys, "sample", F.col("__r.part").alias("part"), F.col("__r.t").alias("t"), F.col("__r.y").alias("y"))

@@ -15,7 +15,10 @@ from ..shipping import ship
 from .intervals import samples_in
 
 
-def frames(samples: DataFrame, epochs: DataFrame | None, nperseg: int, overlap: float = 0.5, keys: Sequence[str] = KEYS, series: Sequence[str] = ("channel",), width: float = 60.0, value: str = "y") -> DataFrame:
+def frames(
+    samples: DataFrame, epochs: DataFrame | None, nperseg: int, overlap: float = 0.5, keys: Sequence[str] = KEYS,
+    series: Sequence[str] = ("channel",), width: float = 60.0, value: str = "y"
+) -> DataFrame:
     """(keys, epoch_id, series, frame, x, n_samples, n_frames): overlapping frames of each epoch's finite samples, as arrays.
 
     Epochs are half-open; without any, a recording is one epoch 0. Epochs shorter than a frame give no rows. Each sample is
@@ -30,7 +33,10 @@ def frames(samples: DataFrame, epochs: DataFrame | None, nperseg: int, overlap:
     first = F.greatest(F.lit(0), F.ceil((F.col("__i") - nperseg + 1) / step)).cast("long")
     last = F.least(F.col("n_frames") - 1, F.floor(F.col("__i") / step)).cast("long")
     spread = cut.where(first <= last).withColumn("frame", F.explode(F.sequence(first, last)))
-    collected = spread.groupBy(*group, "frame").agg(F.sort_array(F.collect_list(F.struct("__i", F.col(value).alias("v")))).alias("__x"), F.first("n_samples").alias("n_samples"), F.first("n_frames").alias("n_frames"))
+    collected = spread.groupBy(*group, "frame").agg(
+        F.sort_array(F.collect_list(F.struct("__i", F.col(value).alias("v")))).alias("__x"), F.first("n_samples").alias("n_samples"),
+        F.first("n_frames").alias("n_frames")
+    )
     return collected.select(*group, "frame", F.col("__x.v").alias("x"), "n_samples", "n_frames")
 
 
@@ -63,7 +69,10 @@ def _density(nperseg: int, fs: float) -> Column:
     return F.array(*[F.lit(float(v)) for v in one_sided(nperseg, fs)])
 
 
-def welch(samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, keys: Sequence[str] = KEYS, series: Sequence[str] = ("channel",), width: float = 60.0) -> DataFrame:
+def welch(
+    samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, keys: Sequence[str] = KEYS,
+    series: Sequence[str] = ("channel",), width: float = 60.0
+) -> DataFrame:
     """(keys, epoch_id, series, freq_idx, freq, power): Welch spectra per epoch."""
     nperseg = int(round(segment_s * fs))
     made = frame_spectra(frames(samples, epochs, nperseg, 0.5, keys, series, width), nperseg)
@@ -74,35 +83,50 @@ def welch(samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: fl
 
 def mean_spectrum(spectra: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Geometric mean per frequency; 0 where any power is 0; nulls ignored."""
-    return spectra.groupBy(*groups, "freq_idx", "freq").agg(F.when(F.min("power") == 0, 0.0).otherwise(F.exp(F.avg(F.when(F.col("power") > 0, F.ln("power"))))).alias("power"))
+    return spectra.groupBy(*groups, "freq_idx", "freq").agg(
+        F.when(F.min("power") == 0, 0.0).otherwise(F.exp(F.avg(F.when(F.col("power") > 0, F.ln("power"))))).alias("power")
+    )
 
 
-def aperiodic_peak(spectra: DataFrame, groups: Sequence[str], peak_hz: tuple[float, float] = (2.5, 6.5), fit_hz: tuple[float, float] = (1.0, 12.0)) -> DataFrame:
+def aperiodic_peak(
+    spectra: DataFrame, groups: Sequence[str], peak_hz: tuple[float, float] = (2.5, 6.5), fit_hz: tuple[float, float] = (1.0, 12.0)
+) -> DataFrame:
     """(groups, peak_hz, peak_gain): the largest power over a power-law background that is fitted outside of peak_hz."""
     f, p = F.col("freq"), F.col("power")
     in_peak = f.between(*peak_hz)
     used = f.between(*fit_hz) & ~in_peak & (p > 0)
     fit = spectra.groupBy(*groups).agg(
-        F.regr_slope(F.when(used, F.ln(p)), F.when(used, F.ln(f))).alias("__a"), F.regr_intercept(F.when(used, F.ln(p)), F.when(used, F.ln(f))).alias("__b"), F.count_if(used).alias("__n")
+        F.regr_slope(
+            F.when(used, F.ln(p)), F.when(used, F.ln(f))
+        ).alias("__a"), F.regr_intercept(F.when(used, F.ln(p)), F.when(used, F.ln(f))).alias("__b"), F.count_if(used).alias("__n")
     )
     rows = spectra.join(fit, list(groups)).where(in_peak & (F.col("__n") >= 2)).withColumn("gain", p / F.exp(F.col("__b") + F.col("__a") * F.ln(f)))
     return rows.groupBy(*groups).agg(F.max_by("freq", F.struct("gain", -F.col("freq"))).alias("peak_hz"), F.max("gain").alias("peak_gain"))
 
 
-def cross_spectra(samples: DataFrame, reference: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5, keys: Sequence[str] = KEYS, width: float = 60.0) -> DataFrame:
+def cross_spectra(
+    samples: DataFrame, reference: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5,
+    keys: Sequence[str] = KEYS, width: float = 60.0
+) -> DataFrame:
     """(keys, channel, freq_idx, freq, power, reference_power, re, im, n_samples): each channel's spectrum with the reference's,
     E[conj(R) X], pooled over epochs by their number of samples. Samples that the reference or any channel lacks are left out.
 
     samples and reference are matched by (keys, sample).
     """
-    table = epoch_matrix(samples.unionByName(reference.withColumn("channel", F.lit("\u0000ref")), allowMissingColumns=True), epochs, fs, segment_s, overlap, keys, width)
+    table = epoch_matrix(
+        samples.unionByName(reference.withColumn("channel", F.lit("\u0000ref")), allowMissingColumns=True), epochs, fs, segment_s, overlap, keys,
+        width
+    )
     ref = table.where("k = '\u0000ref' and l = '\u0000ref'").select(*keys, "freq_idx", F.col("re").alias("reference_power"))
     own = table.where("k = l and k <> '\u0000ref'").select(*keys, F.col("l").alias("channel"), "freq_idx", F.col("re").alias("power"))
     cross = table.where("k = '\u0000ref' and l <> '\u0000ref'").select(*keys, F.col("l").alias("channel"), "freq_idx", "freq", "re", "im", "n_samples")
     return cross.join(own, [*keys, "channel", "freq_idx"]).join(ref, [*keys, "freq_idx"])
 
 
-def epoch_matrix(samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5, keys: Sequence[str] = KEYS, width: float = 60.0) -> DataFrame:
+def epoch_matrix(
+    samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5, keys: Sequence[str] = KEYS,
+    width: float = 60.0
+) -> DataFrame:
     """(keys, k, l, freq_idx, freq, re, im, n_samples) for channels k <= l: E[conj(x_k) x_l]; the other half is its conjugate.
 
     Pairs are formed within one frame and frequency and summed before the shuffle by (keys, k, l, frequency).
@@ -122,7 +146,10 @@ def epoch_matrix(samples: DataFrame, epochs: DataFrame | None, fs: float, segmen
         F.sum((F.col("x.a") * F.col("x.d") - F.col("x.b") * F.col("x.c")) * weight).alias("im"),
         F.sum(F.col("n_samples") / F.col("n_frames")).alias("n"),
     )
-    return sums.select(*keys, "k", "l", "freq_idx", (F.col("freq_idx") * F.lit(fs / nperseg)).alias("freq"), (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"), F.round("n").cast("long").alias("n_samples"))
+    return sums.select(
+        *keys, "k", "l", "freq_idx", (F.col("freq_idx") * F.lit(fs / nperseg)).alias("freq"), (F.col("re") / F.col("n")).alias("re"),
+        (F.col("im") / F.col("n")).alias("im"), F.round("n").cast("long").alias("n_samples")
+    )
 
 
 def band_coupling(cross: DataFrame, band: tuple[float, float], groups: Sequence[str] = (*KEYS, "channel")) -> DataFrame:
@@ -131,7 +158,9 @@ def band_coupling(cross: DataFrame, band: tuple[float, float], groups: Sequence[
     inside = cross.where((F.col("freq") >= band[0]) & (F.col("freq") < band[1]))
     weight = F.hypot("re", "im")
     sums = inside.groupBy(*groups).agg(
-        F.sum("power").alias("__p"), F.sum("reference_power").alias("__r"), F.sum("re").alias("__re"), F.sum("im").alias("__im"), (F.sum(weight * F.col("freq")) / F.sum(weight)).alias("__centre")
+        F.sum("power").alias("__p"), F.sum("reference_power").alias("__r"), F.sum("re").alias("__re"), F.sum("im").alias("__im"), (
+            F.sum(weight * F.col("freq")) / F.sum(weight)
+        ).alias("__centre")
     )
     return sums.join(spacing, list(groups)).select(
         *groups,
@@ -145,7 +174,9 @@ def aperiodic_fit(spectra: DataFrame, groups: Sequence[str], fit_hz: tuple[float
     """(groups, offset, exponent, r_squared) of a line of log10 power over log10 frequency, refitted without the bins above it by more
     than one standard deviation of the residuals that were used; null for fewer than four bins."""
     w = Window.partitionBy(*groups)
-    rows = spectra.where(F.col("freq").between(*fit_hz) & (F.col("power") > 0)).withColumn("__x", F.log10("freq")).withColumn("__y", F.log10("power")).withColumn("__u", F.lit(True)).withColumn("__n", F.count("*").over(w))
+    rows = spectra.where(
+        F.col("freq").between(*fit_hz) & (F.col("power") > 0)
+    ).withColumn("__x", F.log10("freq")).withColumn("__y", F.log10("power")).withColumn("__u", F.lit(True)).withColumn("__n", F.count("*").over(w))
     for _ in range(rounds + 1):
         x, y = F.when(F.col("__u"), F.col("__x")), F.when(F.col("__u"), F.col("__y"))
         rows = rows.withColumn("__a", F.regr_slope(y, x).over(w)).withColumn("__b", F.regr_intercept(y, x).over(w))
@@ -158,7 +189,10 @@ def aperiodic_fit(spectra: DataFrame, groups: Sequence[str], fit_hz: tuple[float
         F.first("__a").alias("__a"), F.first("__b").alias("__b"), F.var_pop(F.when(kept, F.col("__r"))).alias("__vr"), F.var_pop(F.when(kept, F.col("__y"))).alias("__vy"), F.first("__n").alias("__n")
     )
     good = F.col("__n") >= 4
-    return fit.select(*groups, F.when(good, F.col("__b")).alias("offset"), F.when(good, -F.col("__a")).alias("exponent"), F.when(good, 1 - F.col("__vr") / F.col("__vy")).alias("r_squared"))
+    return fit.select(
+        *groups, F.when(good, F.col("__b")).alias("offset"), F.when(good, -F.col("__a")).alias("exponent"),
+        F.when(good, 1 - F.col("__vr") / F.col("__vy")).alias("r_squared")
+    )
 
 
 def morlet_power(samples: DataFrame, fs: float, freqs: Sequence[float], width: float = 6.0, chunk: int = 4096, series: Sequence[str] = KEYS) -> DataFrame:
@@ -187,13 +221,17 @@ def morlet_power(samples: DataFrame, fs: float, freqs: Sequence[float], width: f
         for i, k in enumerate(kernels):
             full = np.convolve(x, k)
             start = halo + (len(k) - 1) // 2
-            rows.append(pd.DataFrame({"sample": np.arange(begin, end), "freq_idx": i, "freq": float(freqs[i]), "power": np.abs(full[start : start + end - begin]) ** 2}))
+            rows.append(
+                pd.DataFrame({"sample": np.arange(begin, end), "freq_idx": i, "freq": float(freqs[i]), "power": np.abs(full[start : start + end - begin]) ** 2})
+            )
         out = pd.concat(rows)
         for name in reversed(names):
             out.insert(0, name, part[name].iloc[0])
         return out
 
-    return cut.select(*names, "__chunk", "sample", "__n", "__v").groupBy(*names, "__chunk").applyInPandas(convolve, f"{kinds}, sample long, freq_idx int, freq double, power double")
+    return cut.select(*names, "__chunk", "sample", "__n", "__v").groupBy(*names, "__chunk").applyInPandas(
+        convolve, f"{kinds}, sample long, freq_idx int, freq double, power double"
+    )
 
 
 def ssd(matrix: DataFrame, band: tuple[float, float], flanks: Sequence[tuple[float, float]], shrinkage: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -202,10 +240,16 @@ def ssd(matrix: DataFrame, band: tuple[float, float], flanks: Sequence[tuple[flo
     Bands are closed; 0 Hz is never a flank. The two covariances are sums of aggregates; only their channels-by-channels solve is in Python.
     """
     centre = matrix.select(*keys).distinct().withColumn("centre_hz", F.lit(sum(band) / 2))
-    return _solve(_covariances(matrix, centre, lambda c: (F.lit(band[0]), F.lit(band[1])), [lambda c, x=x: (F.lit(x[0]), F.lit(x[1])) for x in flanks], keys), shrinkage, keys, False).drop("centre_hz")
+    return _solve(
+        _covariances(matrix, centre, lambda c: (F.lit(band[0]), F.lit(band[1])), [lambda c, x=x: (F.lit(x[0]), F.lit(x[1])) for x in flanks], keys),
+        shrinkage, keys, False
+    ).drop("centre_hz")
 
 
-def ssd_scan(matrix: DataFrame, centres: Sequence[float], half_width: float = 0.5, flank_hz: tuple[float, float] = (1.0, 2.0), shrinkage: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
+def ssd_scan(
+    matrix: DataFrame, centres: Sequence[float], half_width: float = 0.5, flank_hz: tuple[float, float] = (1.0, 2.0), shrinkage: float = 0.01,
+    keys: Sequence[str] = KEYS
+) -> DataFrame:
     """(keys, centre_hz, channel, ratio, filter, pattern): the first component at each centre, its pattern's largest entry being +1."""
     own = matrix.select(*keys).distinct().withColumn("centre_hz", F.explode(F.array(*[F.lit(float(c)) for c in centres])))
     sides = [lambda c: (c - flank_hz[1], c - flank_hz[0]), lambda c: (c + flank_hz[0], c + flank_hz[1])]
@@ -249,9 +293,16 @@ def _solve(cov: DataFrame, shrinkage: float, keys: Sequence[str], unit: bool) ->
             pattern = pattern / np.abs(pattern).max(axis=0)
         ratio = values * part["nr"].iloc[0] / part["ns"].iloc[0]
         i, j = np.divmod(np.arange(n * n), n)
-        out = pd.DataFrame({"centre_hz": part["centre_hz"].iloc[0], "component": i, "channel": [channels[x] for x in j], "ratio": ratio[i], "filter": w[j, i], "pattern": pattern[j, i]})
+        out = pd.DataFrame(
+            {
+                "centre_hz": part["centre_hz"].iloc[0], "component": i, "channel": [channels[x] for x in j], "ratio": ratio[i], "filter": w[j, i],
+                "pattern": pattern[j, i]
+            }
+        )
         for name in reversed(names):
             out.insert(0, name, part[name].iloc[0])
         return out
 
-    return cov.groupBy(*names, "centre_hz").applyInPandas(solve, f"{kinds}, centre_hz double, component int, channel string, ratio double, filter double, pattern double")
+    return cov.groupBy(*names, "centre_hz").applyInPandas(
+        solve, f"{kinds}, centre_hz double, component int, channel string, ratio double, filter double, pattern double"
+    )

@@ -41,7 +41,9 @@ def change_from_first(df: DataFrame, values: Sequence[str], subject: str = "subj
 
 def mean_sem_n(df: DataFrame, x: str, y: str) -> DataFrame:
     """Mean, standard error and number by x, without nulls, in order."""
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.avg(y).alias("mean"), F.when(F.count(y) > 1, sem(y)).alias("sem"), F.count(y).alias("n")).orderBy(x)
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(
+        F.avg(y).alias("mean"), F.when(F.count(y) > 1, sem(y)).alias("sem"), F.count(y).alias("n")
+    ).orderBy(x)
 
 
 def recording_reducers(samples: DataFrame, keys: Sequence[str] = KEYS, value: str = "y") -> DataFrame:
@@ -71,7 +73,9 @@ def subjects_by_category(df: DataFrame, subject: str, category: str, value: str,
     """Mean and standard error over subjects' means, per category, overall and per group (``grp`` is 'all' for the former)."""
     own = df.groupBy(*([group] if group else []), subject, category).agg(F.avg(value).alias("__m"))
     both = own.withColumn("grp", F.explode(F.array(F.lit("all"), F.col(group).cast("string")))) if group else own.withColumn("grp", F.lit("all"))
-    return both.groupBy("grp", category).agg(F.avg("__m").alias("mean"), F.when(F.count("__m") > 1, sem("__m")).alias("sem"), F.countDistinct(subject).alias("n_subjects"))
+    return both.groupBy("grp", category).agg(
+        F.avg("__m").alias("mean"), F.when(F.count("__m") > 1, sem("__m")).alias("sem"), F.countDistinct(subject).alias("n_subjects")
+    )
 
 
 def correlations(samples: DataFrame, keys: Sequence[str], at: str = "sample", channel: str = "channel", value: str = "y") -> DataFrame:
@@ -86,4 +90,7 @@ def correlation_scale(table: DataFrame, diverging: bool | None = None) -> DataFr
     ends = table.where("a <> b").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     kind = (F.col("lo") < 0) if diverging is None else F.lit(diverging)
     limit = F.greatest(F.abs("lo"), F.abs("hi"))
-    return ends.select(F.when(kind, -limit).otherwise(0.0).alias("vmin"), F.when(kind, limit).otherwise(F.col("hi")).alias("vmax"), F.when(kind, "diverging").otherwise("sequential").alias("scale"))
+    return ends.select(
+        F.when(kind, -limit).otherwise(0.0).alias("vmin"), F.when(kind, limit).otherwise(F.col("hi")).alias("vmax"),
+        F.when(kind, "diverging").otherwise("sequential").alias("scale")
+    )

@@ -56,9 +56,11 @@ def epochs_sql(name: str, src: str = "ev", key: str = "subject", mask: str = "y
     return f"""
   {name}_p AS (SELECT *, row_number() OVER ({w} t, sample) - 1 AS idx, t - lag(t) OVER ({w} t, sample) AS gap FROM {src}),
   {name}_m AS (SELECT *, CASE WHEN idx - lag(idx, 1, -2) OVER ({w} idx) > 1 OR coalesce(gap, 0) > {gap} THEN 1 ELSE 0 END AS new FROM {name}_p WHERE {mask}),
-  {name}_r AS (SELECT {key}, run, min(idx) AS a, max(idx) AS b, min(t) AS s, max(t) AS e FROM (SELECT *, sum(new) OVER ({w} idx) AS run FROM {name}_m) GROUP BY {key}, run),
+  {name}_r AS (SELECT {key}, run, min(idx) AS a, max(idx) AS b, min(t) AS s, max(t) AS e FROM (SELECT *, sum(new) OVER ({w} idx) AS run FROM {name}_m)
+ GROUP BY {key}, run),
   {name}_g AS (SELECT *, CASE WHEN s - lag(e) OVER ({w} a) <= {merge} THEN 0 ELSE 1 END AS new FROM {name}_r),
-  {name}_x AS (SELECT {key}, min(a) AS start_idx, max(b) AS end_idx, min(s) AS start_s, max(e) AS end_s FROM (SELECT *, sum(new) OVER ({w} a) AS grp FROM {name}_g) GROUP BY {key}, grp),
+  {name}_x AS (SELECT {key}, min(a) AS start_idx, max(b) AS end_idx, min(s) AS start_s, max(e) AS end_s FROM (SELECT *, sum(new) OVER ({w} a) AS grp
+ FROM {name}_g) GROUP BY {key}, grp),
   {name}_d AS (SELECT {key}, coalesce(median(gap), 0) AS step FROM {name}_p GROUP BY {key}),
   {name} AS (SELECT x.*, end_s - start_s + step AS duration_s, row_number() OVER ({w} start_idx) - 1 AS epoch_id FROM {name}_x x JOIN {name}_d d USING ({key})
              WHERE end_s - start_s + step >= {least})"""
@@ -75,14 +77,21 @@ def bouts_of(samples: DataFrame, least: float = 0.0) -> DataFrame:
 FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM (SELECT *, embedding AS vec FROM embeddings))""")
 def a2_wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
     wide = read_table(spark, sf, "embeddings").select(
-        F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("subject"), F.concat(F.lit("ses-"), F.lpad(F.col("label").cast("string"), 2, "0")).alias("session"), F.col("embedding").cast("array<double>").alias("trace__y")
+        F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("subject"), F.concat(
+            F.lit("ses-"), F.lpad(F.col("label").cast("string"), 2, "0")
+        ).alias("session"), F.col("embedding").cast("array<double>").alias("trace__y")
     )
     return tables.wide_to_long(wide, "trace", {"y": "trace__y"}, ("subject", "session"))
 
 
-@register("""SELECT 'C' || c_custkey AS subject, c_mktsegment AS session, c_name AS customer__name, CASE WHEN NOT isnan(c_acctbal) THEN c_acctbal END AS customer__acctbal FROM customer""")
+@register(
+    """SELECT 'C' || c_custkey AS subject, c_mktsegment AS session, c_name AS customer__name, CASE WHEN NOT isnan(c_acctbal) THEN c_acctbal END AS customer__acctbal FROM customer"""
+)
 def a4_recordings_table(spark: SparkSession, sf: str) -> DataFrame:
-    wide = read_table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"), F.col("c_name").alias("customer__name"), F.col("c_acctbal").alias("customer__acctbal"))
+    wide = read_table(spark, sf, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"),
+        F.col("c_name").alias("customer__name"), F.col("c_acctbal").alias("customer__acctbal")
+    )
     return tables.recordings_table(wide, ["customer__name", "customer__acctbal"], ("subject", "session"))
 
 
@@ -90,12 +99,17 @@ def a4_recordings_table(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT subject, session, channel, CAST(NULL AS DOUBLE), t FROM ev WHERE channel = 'view'""")
 def a5_append(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
-    return tables.append_rows(own.where("channel = 'click'").select("subject", "session", "channel", "y"), own.where("channel = 'view'").select("subject", "session", "channel", "t"))
+    return tables.append_rows(
+        own.where("channel = 'click'").select("subject", "session", "channel", "y"),
+        own.where("channel = 'view'").select("subject", "session", "channel", "t")
+    )
 
 
 @register("""SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS key_text, CAST(o_totalprice AS DOUBLE) AS price_text FROM orders""")
 def a7_typed_columns(spark: SparkSession, sf: str) -> DataFrame:
-    text = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key_text"), F.col("o_totalprice").cast("string").alias("price_text"))
+    text = read_table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("key_text"), F.col("o_totalprice").cast("string").alias("price_text")
+    )
     return tables.typed(text, "key_text", "price_text")
 
 
@@ -103,24 +117,34 @@ def a7_typed_columns(spark: SparkSession, sf: str) -> DataFrame:
 def a1_opened_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A wide table saved as CSV in the shared folder and opened again."""
     path = shared_path(spark) + ".csv"
-    wide = read_table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"), "c_nationkey", "c_acctbal")
+    wide = read_table(spark, sf, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"), "c_nationkey", "c_acctbal"
+    )
     tables.save_table(wide, path)
     return tables.open_dataset(spark, path).select("subject", "session", F.col("c_nationkey").cast(wide.schema["c_nationkey"].dataType), "c_acctbal")
 
 
-@register("""SELECT 'head' AS feature, bool_or(len(embedding) > 3) AS own_table FROM embeddings UNION ALL SELECT 'same', false UNION ALL SELECT 'lacking', false""")
+@register(
+    """SELECT 'head' AS feature, bool_or(len(embedding) > 3) AS own_table FROM embeddings UNION ALL SELECT 'same', false UNION ALL SELECT 'lacking', false"""
+)
 def a3_split_features(spark: SparkSession, sf: str) -> DataFrame:
     """Which of three features fit the embedding as a time vector: itself, its first three numbers, and a column without any."""
-    wide = read_table(spark, sf, "embeddings").select(F.col("embedding").alias("time"), F.slice("embedding", 1, 3).alias("head"), F.lit(None).cast("array<double>").alias("lacking"))
+    wide = read_table(spark, sf, "embeddings").select(
+        F.col("embedding").alias("time"), F.slice("embedding", 1, 3).alias("head"), F.lit(None).cast("array<double>").alias("lacking")
+    )
     fit, own = tables.split_features(wide, "time", {"same": "time", "head": "head", "lacking": "lacking"})
-    named = lambda names, kind: wide.limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), F.lit(kind).alias("own_table"))
+    named = lambda names, kind: wide.limit(1).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), F.lit(kind).alias("own_table")
+    )
     return named(fit, False).union(named(own, True))
 
 
 @register("""SELECT 'C' || c_custkey AS subject, c_mktsegment AS session, c_name AS full_name, c_acctbal AS acct_bal__per_day FROM customer""")
 def a6_sql_names(spark: SparkSession, sf: str) -> DataFrame:
     wide = read_table(spark, sf, "customer").select(
-        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_mktsegment").alias("session"), F.col("c_name").alias("full name"), F.col("c_acctbal").alias("acct-bal__per day")
+        F.concat(
+            F.lit("C"), F.col("c_custkey").cast("string")
+        ).alias("subject"), F.col("c_mktsegment").alias("session"), F.col("c_name").alias("full name"), F.col("c_acctbal").alias("acct-bal__per day")
     )
     return tables.recordings_table(wide, ["full name", "acct-bal__per day"], ("subject", "session"))
 
@@ -153,7 +177,8 @@ RECORDINGS = """rec AS (SELECT subject, session, task, CAST(count(*) AS VARCHAR)
  CAST(CAST(floor(min(t) / 86400) AS BIGINT) AS VARCHAR) AS condition, count(*) AS n, round(max(y), 3) AS w, round(min(y), 3) AS v FROM ev GROUP BY ALL)"""
 
 
-@register(f"""WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, CAST(regexp_replace(session, '^[^0-9]*([0-9]+).*$', '\\1') AS INTEGER) AS ses_num,
+@register(f"""WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, CAST(regexp_replace(session, '^[^0-9]*([0-9]+).*$', '\\1') AS INTEGER)
+ AS ses_num,
  CAST(n AS INTEGER) AS duration_s, CASE WHEN n % 2 = 0 THEN 'F' ELSE 'M' END AS sex, 'g' || n % 3 AS genotype, n % 10 AS cage_id, '2023-10-1' || n % 10 AS dob,
  w AS weight_g, v AS inj_vol_ml, 'p' || n % 4 AS protocol FROM rec""")
 def a8_sessions_view(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +186,8 @@ def a8_sessions_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {EV}, k AS (SELECT subject, channel, t, row_number() OVER (PARTITION BY subject, channel ORDER BY sample) AS i FROM ev),
- d AS (SELECT a.subject, a.channel, quantile_cont(b.t - a.t, 0.5) AS step FROM k a JOIN k b ON b.subject = a.subject AND b.channel = a.channel AND b.i = a.i + 1 GROUP BY ALL),
+ d AS (SELECT a.subject, a.channel, quantile_cont(b.t - a.t, 0.5) AS step FROM k a JOIN k b ON b.subject = a.subject AND b.channel = a.channel AND b.i
+ = a.i + 1 GROUP BY ALL),
  e AS (SELECT subject, channel, max(i) AS n_samples, min(t) AS t_start_s, max(t) AS t_stop_s FROM k GROUP BY ALL)
 SELECT subject, channel AS source, n_samples, {q6("t_start_s", "t_stop_s")}, round(1e6 / step, 4) AS rate_uhz FROM e LEFT JOIN d USING (subject, channel)""")
 def a9_coverage_view(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,50 +205,69 @@ PARCELS = ("L_click", "L_error", "R_purchase", "R_signup", "R_view")
 PARCEL_CASE = "CASE WHEN channel < 'f' THEN 'L_' ELSE 'R_' END || channel"
 
 
-@register(f"WITH {EV} SELECT {PARCEL_CASE} AS parcel, CASE WHEN channel < 'f' THEN 'L' ELSE 'R' END AS hemisphere, channel AS region, count(DISTINCT subject || session) AS n_recordings FROM ev GROUP BY channel")
+@register(f"""WITH {EV} SELECT {PARCEL_CASE} AS parcel, CASE WHEN channel < 'f' THEN 'L' ELSE 'R' END AS hemisphere, channel AS region, count(DISTINCT
+ subject || session) AS n_recordings FROM ev GROUP BY channel""")
 def a10_parcels_view(spark: SparkSession, sf: str) -> DataFrame:
     return tables.parcels_view(_mesomap(event_samples(spark, sf)), PARCELS)
 
 
-@register(f"WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, sample, t AS time_s, {PARCEL_CASE} AS parcel, CASE WHEN channel < 'f' THEN 'L' ELSE 'R' END AS hemisphere, channel AS region, y AS dff FROM ev JOIN rec USING (subject, session, task)")
+@register(f"""WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, sample, t AS time_s, {PARCEL_CASE} AS parcel, CASE WHEN channel < 'f'
+ THEN 'L' ELSE 'R' END AS hemisphere, channel AS region, y AS dff FROM ev JOIN rec USING (subject, session, task)""")
 def a11_mesomap_long_view(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     return tables.mesomap_long_view(_mesomap(own), PARCELS, _recordings(own))
 
 
-@register(f"WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, sample, t AS time_s, y AS pupil_diameter_mm FROM ev JOIN rec USING (subject, session, task) WHERE channel = 'view'")
+@register(f"""WITH {EV}, {RECORDINGS} SELECT subject, session, task, condition, sample, t AS time_s, y AS pupil_diameter_mm FROM ev JOIN rec USING
+ (subject, session, task) WHERE channel = 'view'""")
 def a12_pupil_view(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     return tables.labelled_view(own.where("channel = 'view'"), _recordings(own), {"pupil_diameter_mm": "y"})
 
 
-@register(f"""WITH {EV}, {RECORDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, session, task ORDER BY sample) AS i FROM ev WHERE channel = 'click')
+@register(f"""WITH {EV}, {RECORDINGS}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, session, task ORDER BY sample) AS i FROM ev WHERE
+ channel = 'click')
 SELECT k.subject, k.session, k.task, condition, k.sample, k.t AS time_s, k.y AS speed_mm_s, k.y * 2 AS distance_mm, round(k.t - before.t, 6) AS gap_s
-FROM k JOIN rec USING (subject, session, task) LEFT JOIN k before ON before.subject = k.subject AND before.session = k.session AND before.task = k.task AND before.i = k.i - 1""")
+FROM k JOIN rec USING (subject, session, task) LEFT JOIN k before ON before.subject = k.subject AND before.session = k.session AND before.task =
+ k.task AND before.i = k.i - 1""")
 def a13_locomotion_view(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
-    wheel = own.where("channel = 'click'").select("subject", "session", "task", "sample", "t", F.col("y").alias("speed_mm"), (F.col("y") * 2).alias("distance_mm"))
+    wheel = own.where("channel = 'click'").select(
+        "subject", "session", "task", "sample", "t", F.col("y").alias("speed_mm"), (F.col("y") * 2).alias("distance_mm")
+    )
     return tables.locomotion_view(wheel, _recordings(own)).withColumn("gap_s", F.round("gap_s", 6))
 
 
-@register("""WITH m AS (SELECT concat_ws(':', o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT)) AS line, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS part, o_custkey AS n FROM orders),
+@register("""WITH m AS (SELECT concat_ws(':', o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT)) AS line, substr(sha256(CAST(o_orderkey
+ AS VARCHAR)), 1, 3) AS part, o_custkey AS n FROM orders),
  p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS c, sum(n) AS n FROM m GROUP BY part)
 SELECT sha256(string_agg(part || ':' || h, chr(10) ORDER BY part)) AS sha256, CAST(sum(c) AS BIGINT) AS n_files, CAST(sum(n) AS BIGINT) AS bytes FROM p""")
 def a17_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
-    return runs.fingerprint_of(o.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").cast("long").alias("length"), F.round(F.col("o_totalprice") * 100).cast("long").alias("crc")))
+    return runs.fingerprint_of(
+        o.select(
+            F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").cast("long").alias("length"),
+            F.round(F.col("o_totalprice") * 100).cast("long").alias("crc")
+        )
+    )
 
 
 def _run_table(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
     stamp = F.concat_ws("_", F.date_format("o_orderdate", "yyMMdd"), F.lpad((F.col("o_orderkey") % 240000).cast("string"), 6, "0"), F.col("o_orderpriority"))
     when, tag = runs.parse_stamp(stamp)
-    return o.select(stamp.alias("run_id"), F.col("o_orderstatus").alias("alias"), F.concat(F.lit("script"), (F.col("o_custkey") % 7).cast("string")).alias("script"), tag.alias("tag"), when.alias("created"))
+    return o.select(
+        stamp.alias("run_id"), F.col("o_orderstatus").alias("alias"),
+        F.concat(F.lit("script"), (F.col("o_custkey") % 7).cast("string")).alias("script"), tag.alias("tag"), when.alias("created")
+    )
 
 
-RUNS = """ids AS (SELECT *, strftime(o_orderdate, '%y%m%d') || '_' || lpad(CAST(o_orderkey % 240000 AS VARCHAR), 6, '0') || '_' || o_orderpriority AS run_id FROM orders),
- made AS (SELECT *, try_strptime('20' || regexp_extract(run_id, '^(\\d{6})_(\\d{6})_(.+)$', 1) || regexp_extract(run_id, '^(\\d{6})_(\\d{6})_(.+)$', 2), '%Y%m%d%H%M%S') AS w FROM ids),
- runs AS (SELECT run_id, o_orderstatus AS alias, 'script' || (o_custkey % 7) AS script, CASE WHEN w IS NULL THEN '' ELSE o_orderpriority END AS tag, strftime(w, '%Y-%m-%dT%H:%M:%S') AS created FROM made)"""
+RUNS = """ids AS (SELECT *, strftime(o_orderdate, '%y%m%d') || '_' || lpad(CAST(o_orderkey % 240000 AS VARCHAR), 6, '0') || '_' || o_orderpriority AS
+ run_id FROM orders),
+ made AS (SELECT *, try_strptime('20' || regexp_extract(run_id, '^(\\d{6})_(\\d{6})_(.+)$', 1) || regexp_extract(run_id, '^(\\d{6})_(\\d{6})_(.+)$',
+ 2), '%Y%m%d%H%M%S') AS w FROM ids),
+ runs AS (SELECT run_id, o_orderstatus AS alias, 'script' || (o_custkey % 7) AS script, CASE WHEN w IS NULL THEN '' ELSE o_orderpriority END AS tag,
+ strftime(w, '%Y-%m-%dT%H:%M:%S') AS created FROM made)"""
 
 
 @register(f"WITH {RUNS} SELECT run_id, tag, created FROM runs")
@@ -230,31 +275,54 @@ def a19_run_stamps(spark: SparkSession, sf: str) -> DataFrame:
     return _run_table(spark, sf).select("run_id", "tag", "created")
 
 
-@register("""SELECT 'r' || o_custkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'old ' || o_orderpriority END AS tag, CASE WHEN o_orderkey % 2 = 0 THEN 's' || o_custkey ELSE 'plot' || o_custkey END AS script,
- CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE '' END AS alias, '/data/' || o_orderstatus AS dataset_path, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -1 END AS rows FROM orders""")
+@register("""SELECT 'r' || o_custkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'old ' || o_orderpriority END AS tag, CASE WHEN
+ o_orderkey % 2 = 0 THEN 's' || o_custkey ELSE 'plot' || o_custkey END AS script,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE '' END AS alias, '/data/' || o_orderstatus AS dataset_path, CASE WHEN o_orderkey % 2 = 0 THEN
+ o_orderkey ELSE -1 END AS rows FROM orders""")
 def a20_normalised_records(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
     name, status = F.concat(F.lit("r"), F.col("o_custkey").cast("string")), F.concat(F.lit("/data/"), F.col("o_orderstatus"))
-    new = F.to_json(F.struct(F.struct(name.alias("name"), F.col("o_orderpriority").alias("tag"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("script")).alias("run"), F.struct(F.lit("main").alias("alias"), status.alias("path"), F.col("o_orderkey").alias("rows")).alias("dataset")))
-    old = F.to_json(F.struct(name.alias("run_name"), F.concat(F.lit("old "), F.col("o_orderpriority")).alias("tag"), F.struct(F.concat(F.lit("scripts/plot"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("script")).alias("git"), F.struct(status.alias("absolute_path")).alias("dataset")))
+    new = F.to_json(
+        F.struct(
+            F.struct(
+                name.alias("name"), F.col("o_orderpriority").alias("tag"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("script")
+            ).alias("run"),
+            F.struct(F.lit("main").alias("alias"), status.alias("path"), F.col("o_orderkey").alias("rows")).alias("dataset")
+        )
+    )
+    old = F.to_json(
+        F.struct(
+            name.alias("run_name"), F.concat(F.lit("old "), F.col("o_orderpriority")).alias("tag"),
+            F.struct(F.concat(F.lit("scripts/plot"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("script")).alias("git"),
+            F.struct(status.alias("absolute_path")).alias("dataset")
+        )
+    )
     made = runs.normalise(o.select(F.when(F.col("o_orderkey") % 2 == 0, new).otherwise(old).alias("json")))
     return made.select("name", "tag", "script", "alias", "dataset_path", F.coalesce("rows", F.lit(-1)).cast("long").alias("rows"))
 
 
-@register("""SELECT CAST(l_orderkey AS VARCHAR) AS run_id, count(DISTINCT l_partkey) FILTER (WHERE l_linenumber % 5 < 2) AS figure, count(*) FILTER (WHERE l_linenumber % 5 = 2) AS "table",
+@register("""SELECT CAST(l_orderkey AS VARCHAR) AS run_id, count(DISTINCT l_partkey) FILTER (WHERE l_linenumber % 5 < 2) AS figure, count(*) FILTER
+ (WHERE l_linenumber % 5 = 2) AS "table",
  count(*) FILTER (WHERE l_linenumber % 5 = 3) AS doc, count(*) FILTER (WHERE l_linenumber % 5 = 4) AS other FROM lineitem GROUP BY l_orderkey""")
 def a21_file_counts(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(x) for x in ("svg", "png", "csv", "md", "bin")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    files = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit("figs").alias("dir"), F.concat_ws(".", F.col("l_partkey").cast("string"), suffix).alias("name"))
+    files = read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("run_id"), F.lit("figs").alias("dir"),
+        F.concat_ws(".", F.col("l_partkey").cast("string"), suffix).alias("name")
+    )
     return runs.file_counts(files)
 
 
-@register(f"WITH {RUNS} SELECT run_id, alias, script, tag, created FROM runs WHERE alias = 'F' AND contains(script, 'script3') AND contains(tag, 'HIGH') AND coalesce(created, '') >= '1996-08-01'")
+@register(f"""WITH {RUNS} SELECT run_id, alias, script, tag, created FROM runs WHERE alias = 'F' AND contains(script, 'script3') AND contains(tag,
+ 'HIGH') AND coalesce(created, '') >= '1996-08-01'""")
 def a23_select_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.select_runs(_run_table(spark, sf), alias="F", script="script3", tag="HIGH", since="1996-08-01").select("run_id", "alias", "script", "tag", "created")
+    return runs.select_runs(
+        _run_table(spark, sf), alias="F", script="script3", tag="HIGH", since="1996-08-01"
+    ).select("run_id", "alias", "script", "tag", "created")
 
 
-@register(f"WITH {RUNS} SELECT alias, script, max(created) AS created, arg_max(run_id, {{'c': coalesce(created, ''), 'r': run_id}}) AS run_id FROM runs GROUP BY alias, script")
+@register(f"""WITH {RUNS} SELECT alias, script, max(created) AS created, arg_max(run_id, {{'c': coalesce(created, ''), 'r': run_id}}) AS run_id FROM
+ runs GROUP BY alias, script""")
 def a23_newest_run(spark: SparkSession, sf: str) -> DataFrame:
     return runs.newest(_run_table(spark, sf), "alias", "script")
 
@@ -272,13 +340,15 @@ def b5_exclude(spark: SparkSession, sf: str) -> DataFrame:
     return select.exclude(event_samples(spark, sf), subject=["U1", "U2", "U3"], session="ses-02").select("subject", "session", "channel", "y")
 
 
-@register(f"WITH {EV} SELECT subject, session, channel, y FROM ev WHERE NOT ((subject = 'U1' AND session = 'ses-01') OR (subject IN ('U4', 'U5') AND session = 'ses-03') OR session = 'ses-05')")
+@register(f"""WITH {EV} SELECT subject, session, channel, y FROM ev WHERE NOT ((subject = 'U1' AND session = 'ses-01') OR (subject IN ('U4', 'U5') AND
+ session = 'ses-03') OR session = 'ses-05')""")
 def b6_drop_rows(spark: SparkSession, sf: str) -> DataFrame:
     spec = [("U1", "ses-01"), {"subject": ["U4", "U5"], "session": "ses-03"}, {"session": "ses-05"}]
     return select.drop_rows(event_samples(spark, sf), spec).select("subject", "session", "channel", "y")
 
 
-@register(f"WITH {EV} SELECT e.subject, e.session, e.channel, e.y FROM ev e WHERE NOT EXISTS (SELECT 1 FROM (SELECT subject, session FROM ev GROUP BY ALL HAVING count(*) < 10) s WHERE s.subject = e.subject AND s.session = e.session)")
+@register(f"""WITH {EV} SELECT e.subject, e.session, e.channel, e.y FROM ev e WHERE NOT EXISTS (SELECT 1 FROM (SELECT subject, session FROM ev GROUP
+ BY ALL HAVING count(*) < 10) s WHERE s.subject = e.subject AND s.session = e.session)""")
 def b6_drop_listed(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     few = own.groupBy("subject", "session").count().where("count < 10").select("subject", "session")
@@ -290,7 +360,8 @@ def b8_listing(spark: SparkSession, sf: str) -> DataFrame:
     return select.listing(event_samples(spark, sf), "session")
 
 
-@register(f"WITH {EV} SELECT subject, session, source, channel, count(*) AS n, {q6('t_start_s', 't_stop_s')} FROM (SELECT *, min(t) OVER w AS t_start_s, max(t) OVER w AS t_stop_s FROM ev WINDOW w AS (PARTITION BY subject, session, channel)) GROUP BY ALL")
+@register(f"""WITH {EV} SELECT subject, session, source, channel, count(*) AS n, {q6('t_start_s', 't_stop_s')} FROM (SELECT *, min(t) OVER w AS
+ t_start_s, max(t) OVER w AS t_stop_s FROM ev WINDOW w AS (PARTITION BY subject, session, channel)) GROUP BY ALL""")
 def b9_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return select.inventory(event_samples(spark, sf)).select("subject", "session", "source", "channel", "n", *r6("t_start_s", "t_stop_s"))
 
@@ -300,7 +371,8 @@ def b9_recordings_per_session(spark: SparkSession, sf: str) -> DataFrame:
     return select.recordings_per(event_samples(spark, sf), "session")
 
 
-@register(f"WITH {EV}, c AS (SELECT subject, channel, count(*) AS n FROM ev GROUP BY ALL), t AS (SELECT subject, max(n) AS n_t FROM c GROUP BY subject) SELECT subject, channel, n FROM c JOIN t USING (subject) WHERE n >= greatest(1, floor(0.5 * n_t))")
+@register(f"""WITH {EV}, c AS (SELECT subject, channel, count(*) AS n FROM ev GROUP BY ALL), t AS (SELECT subject, max(n) AS n_t FROM c GROUP BY
+ subject) SELECT subject, channel, n FROM c JOIN t USING (subject) WHERE n >= greatest(1, floor(0.5 * n_t))""")
 def b10_signals(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     times = own.groupBy("subject", "source", "channel").count().groupBy("subject", "source").agg(F.max("count").alias("n_t"))
@@ -316,23 +388,34 @@ def b12_time_vector(spark: SparkSession, sf: str) -> DataFrame:
 @register("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS source FROM orders""")
 def b13_source_alias(spark: SparkSession, sf: str) -> DataFrame:
     aliases = spark.createDataFrame([("F", "finished"), ("O", "open")], "alias string, canonical string")
-    return select.resolve_sources(read_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("source")), aliases).select("o_orderkey", "source")
+    return select.resolve_sources(
+        read_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("source")), aliases
+    ).select("o_orderkey", "source")
 
 
-@register(f"WITH {EV} SELECT source, channel, CASE channel WHEN 'click' THEN 'timeseries' WHEN 'error' THEN 'event' END AS role, CASE channel WHEN 'click' THEN 'mm' END AS unit, count(*) AS n FROM ev GROUP BY ALL")
+@register(f"""WITH {EV} SELECT source, channel, CASE channel WHEN 'click' THEN 'timeseries' WHEN 'error' THEN 'event' END AS role, CASE channel WHEN
+ 'click' THEN 'mm' END AS unit, count(*) AS n FROM ev GROUP BY ALL""")
 def b14_roles(spark: SparkSession, sf: str) -> DataFrame:
-    specs = spark.createDataFrame([("clicks", "click", "timeseries", "mm"), ("clicks", "error", "event", None)], "source string, channel string, role string, unit string")
+    specs = spark.createDataFrame(
+        [("clicks", "click", "timeseries", "mm"), ("clicks", "error", "event", None)], "source string, channel string, role string, unit string"
+    )
     return select.with_roles(event_samples(spark, sf).groupBy("source", "channel").agg(F.count("*").alias("n")), specs)
 
 
-@register("""SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'R' ELSE l_returnflag END AS task, CASE WHEN l_returnflag IN ('A', 'R') THEN 'Returned' ELSE l_returnflag END AS task_label FROM lineitem""")
+@register(
+    """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'R' ELSE l_returnflag END AS task, CASE WHEN l_returnflag IN ('A', 'R') THEN 'Returned' ELSE l_returnflag END AS task_label FROM lineitem"""
+)
 def b15_canonical_tasks(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame([("A", "R", "Returned"), ("R", None, "Returned")], "alias string, canonical string, label string")
-    return select.canonical_tasks(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("task")), rules).select("l_orderkey", "l_linenumber", "task", "task_label")
+    return select.canonical_tasks(
+        read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("task")), rules
+    ).select("l_orderkey", "l_linenumber", "task", "task_label")
 
 
-@register(f"""WITH {EV}, r AS (SELECT subject, session, CASE WHEN count(*) % 3 = 0 THEN ' NaN ' WHEN count(*) % 3 = 1 THEN ' saline' END AS recorded FROM ev GROUP BY ALL)
-SELECT subject, session, CASE WHEN subject = 'U7' AND session = 'ses-01' THEN 'own' WHEN recorded = ' saline' THEN 'saline' WHEN session = 'ses-02' THEN 'Baseline' ELSE '' END AS condition FROM r""")
+@register(f"""WITH {EV}, r AS (SELECT subject, session, CASE WHEN count(*) % 3 = 0 THEN ' NaN ' WHEN count(*) % 3 = 1 THEN ' saline' END AS recorded
+ FROM ev GROUP BY ALL)
+SELECT subject, session, CASE WHEN subject = 'U7' AND session = 'ses-01' THEN 'own' WHEN recorded = ' saline' THEN 'saline' WHEN session = 'ses-02'
+ THEN 'Baseline' ELSE '' END AS condition FROM r""")
 def b17_conditions(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count("*") % 3
     rec = event_samples(spark, sf).groupBy("subject", "session").agg(F.when(n == 0, " NaN ").when(n == 1, " saline").alias("recorded"))
@@ -346,8 +429,10 @@ def b19_condition_map(spark: SparkSession, sf: str) -> DataFrame:
     return rec.select("subject", "session", labels.condition_from_map({"U3,ses-02,task-spont": "drug", "task-spont": "spont"}).alias("condition"))
 
 
-@register(f"""WITH {EV}, s AS (SELECT DISTINCT subject, session FROM ev) SELECT subject, session, TRY_CAST(regexp_extract(trim(session), '^ses-(\\d+)$', 1) AS INTEGER) AS day, TRY_CAST(regexp_extract(subject, '(\\d+)$', 1) AS DOUBLE) AS trailing,
- TRY_CAST(regexp_extract(session, '(\\d+)', 1) AS DOUBLE) AS session_n, CASE session WHEN 'ses-01' THEN 'first' END AS label, substr(session, 5) AS bare FROM s""")
+@register(f"""WITH {EV}, s AS (SELECT DISTINCT subject, session FROM ev) SELECT subject, session, TRY_CAST(regexp_extract(trim(session),
+ '^ses-(\\d+)$', 1) AS INTEGER) AS day, TRY_CAST(regexp_extract(subject, '(\\d+)$', 1) AS DOUBLE) AS trailing,
+ TRY_CAST(regexp_extract(session, '(\\d+)', 1) AS DOUBLE) AS session_n, CASE session WHEN 'ses-01' THEN 'first' END AS label, substr(session, 5) AS
+ bare FROM s""")
 def b21_session_labels(spark: SparkSession, sf: str) -> DataFrame:
     rec = event_samples(spark, sf).select("subject", "session").distinct()
     made = select.with_session_number(rec).withColumn("day", labels.session_day("session")).withColumn("trailing", labels.trailing_number("subject"))
@@ -364,16 +449,22 @@ def b29_time_window(spark: SparkSession, sf: str) -> DataFrame:
     return select.window_bounds(select.clean_xy(event_samples(spark, sf)), (864000.0, 86400.0), U)
 
 
-@register("""SELECT p_partkey, acronym, CASE WHEN acronym IN ('VISp', 'VISl') THEN 'Vis' WHEN acronym IN ('MOs', 'MOp') THEN 'Mo' WHEN acronym = 'PL' THEN 'Front' ELSE 'Other' END AS grp,
- CASE WHEN acronym = 'VISp' THEN 'Visual primary' WHEN acronym = 'VISl' THEN 'Visual higher' WHEN acronym IN ('MOs', 'MOp') THEN 'Motor' END AS roi, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS hemisphere
+@register("""SELECT p_partkey, acronym, CASE WHEN acronym IN ('VISp', 'VISl') THEN 'Vis' WHEN acronym IN ('MOs', 'MOp') THEN 'Mo' WHEN acronym = 'PL'
+ THEN 'Front' ELSE 'Other' END AS grp,
+ CASE WHEN acronym = 'VISp' THEN 'Visual primary' WHEN acronym = 'VISl' THEN 'Visual higher' WHEN acronym IN ('MOs', 'MOp') THEN 'Motor' END AS roi,
+ CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS hemisphere
  FROM (SELECT p_partkey, ['VISp', 'VISl', 'MOs', 'MOp', 'PL', 'XX'][1 + p_partkey % 6] AS acronym FROM part)""")
 def b31_regions(spark: SparkSession, sf: str) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(x) for x in ("VISp", "VISl", "MOs", "MOp", "PL", "XX")]), (F.col("p_partkey") % 6 + 1).cast("int"))
     region = F.concat(F.when(F.col("p_partkey") % 2 == 0, "L_").otherwise("R_"), name)
-    return read_table(spark, sf, "part").select("p_partkey", labels.region_acronym(region).alias("acronym"), labels.region_group(region).alias("grp"), labels.roi_group(region).alias("roi"), labels.hemisphere(region).alias("hemisphere"))
+    return read_table(spark, sf, "part").select(
+        "p_partkey", labels.region_acronym(region).alias("acronym"), labels.region_group(region).alias("grp"), labels.roi_group(region).alias("roi"),
+        labels.hemisphere(region).alias("hemisphere")
+    )
 
 
-@register(f"WITH {EV} SELECT subject, arg_min(channel, r) AS feature FROM (SELECT DISTINCT subject, channel, CASE channel WHEN 'view' THEN 1 WHEN 'click' THEN 5 END AS r FROM ev WHERE channel IN ('view', 'click')) GROUP BY subject")
+@register(f"""WITH {EV} SELECT subject, arg_min(channel, r) AS feature FROM (SELECT DISTINCT subject, channel, CASE channel WHEN 'view' THEN 1 WHEN
+ 'click' THEN 5 END AS r FROM ev WHERE channel IN ('view', 'click')) GROUP BY subject""")
 def b34_pick_feature(spark: SparkSession, sf: str) -> DataFrame:
     return select.pick_feature(event_samples(spark, sf), ["view", "CLICK", "zoom"], U)
 
@@ -384,7 +475,8 @@ def b35_default_column(spark: SparkSession, sf: str) -> DataFrame:
     return select.default_column(event_samples(spark, sf), specs, ("subject", "source")).select("subject", "default_column")
 
 
-@register(f"WITH {EV}, z AS (SELECT *, round(t - first_value(t) OVER (PARTITION BY subject ORDER BY sample), 6) AS t0 FROM ev) SELECT subject, sample, t0 FROM z WHERE sample % 4 = 0")
+@register(f"""WITH {EV}, z AS (SELECT *, round(t - first_value(t) OVER (PARTITION BY subject ORDER BY sample), 6) AS t0 FROM ev) SELECT subject,
+ sample, t0 FROM z WHERE sample % 4 = 0""")
 def b37_zeroed_decimated(spark: SparkSession, sf: str) -> DataFrame:
     return select.decimate(asof.zeroed(event_samples(spark, sf), U), 4).select("subject", "sample", F.round("t", 6).alias("t0"))
 
@@ -401,14 +493,16 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return own.where("channel = 'click'").select("subject", "sample", "t"), own.where("channel = 'view'").select("subject", "sample", "t", "y")
 
 
-@register(f"""WITH {EV}, {NEAR}, c AS (SELECT *, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN pt ELSE nt END AS ct, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN py ELSE ny END AS cy FROM n)
+@register(f"""WITH {EV}, {NEAR}, c AS (SELECT *, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN pt ELSE nt END AS ct, CASE WHEN pt
+ IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN py ELSE ny END AS cy FROM n)
 SELECT subject, sample, t, CASE WHEN abs(ct - t) <= 21600 THEN ct END AS source_t, CASE WHEN abs(ct - t) <= 21600 THEN cy END AS y FROM c""")
 def c1_align_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return asof.align_nearest(*_sides(spark, sf), 21600.0, U)
 
 
 @register(f"""WITH {EV}, {NEAR.replace("a AS (SELECT subject, sample, t FROM", "a AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY sample) - 1 AS sample, t, y AS click FROM")}
-SELECT subject, sample, t, click, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 21600 THEN py END ELSE CASE WHEN nt - t <= 21600 THEN ny END END AS view FROM n""")
+SELECT subject, sample, t, click, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 21600 THEN py END ELSE CASE
+ WHEN nt - t <= 21600 THEN ny END END AS view FROM n""")
 def c2_align_sources(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf).where("channel in ('click', 'view')").withColumn("source", F.col("channel"))
     own = own.withColumn("sample", (F.row_number().over(ordered(["subject", "source"], "sample")) - 1).cast("long"))
@@ -416,14 +510,18 @@ def c2_align_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {EV}, c AS (SELECT subject, channel, count(*) AS n, max(count(*)) OVER (PARTITION BY subject) AS longest FROM ev GROUP BY subject, channel)
-SELECT subject, arg_min(channel, r) AS time_column FROM (SELECT *, CASE WHEN channel = 'view' THEN 1 ELSE 2 END * 10 + length(channel) AS r FROM c WHERE n <= 2 * longest) WHERE channel IN ('view', 'signup') GROUP BY subject""")
+SELECT subject, arg_min(channel, r) AS time_column FROM (SELECT *, CASE WHEN channel = 'view' THEN 1 ELSE 2 END * 10 + length(channel) AS r FROM c
+ WHERE n <= 2 * longest) WHERE channel IN ('view', 'signup') GROUP BY subject""")
 def c3_time_vector(spark: SparkSession, sf: str) -> DataFrame:
     n = event_samples(spark, sf).groupBy("subject", "source", "channel").agg(F.count("*").alias("n"))
-    candidates = n.where("channel in ('view', 'signup')").select("subject", "source", F.when(F.col("channel") == "view", 1).otherwise(2).alias("rank"), F.col("channel").alias("name"), "n")
+    candidates = n.where("channel in ('view', 'signup')").select(
+        "subject", "source", F.when(F.col("channel") == "view", 1).otherwise(2).alias("rank"), F.col("channel").alias("name"), "n"
+    )
     return asof.choose_time(candidates, n, U).select("subject", "time_column")
 
 
-@register(f"""WITH {EV}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, channel ORDER BY sample) - 1 AS i FROM ev), m AS (SELECT subject, min(c) AS c FROM (SELECT subject, channel, count(*) AS c FROM ev GROUP BY ALL) GROUP BY subject)
+@register(f"""WITH {EV}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, channel ORDER BY sample) - 1 AS i FROM ev), m AS (SELECT subject,
+ min(c) AS c FROM (SELECT subject, channel, count(*) AS c FROM ev GROUP BY ALL) GROUP BY subject)
 SELECT subject, channel, i AS sample, y FROM k JOIN m USING (subject) WHERE i < c""")
 def c4_truncate_common(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf).withColumn("sample", (F.row_number().over(ordered(UC, "sample")) - 1).cast("long"))
@@ -449,53 +547,66 @@ def c7_gap_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {EV}, a AS (SELECT subject, sample, t FROM ev), b AS (SELECT subject, t, y FROM ev WHERE channel = 'view'),
- p AS (SELECT a.*, b.t AS pt, b.y AS py FROM a ASOF LEFT JOIN b ON a.subject = b.subject AND a.t >= b.t), n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM p ASOF LEFT JOIN b ON p.subject = b.subject AND p.t <= b.t)
+ p AS (SELECT a.*, b.t AS pt, b.y AS py FROM a ASOF LEFT JOIN b ON a.subject = b.subject AND a.t >= b.t), n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM
+ p ASOF LEFT JOIN b ON p.subject = b.subject AND p.t <= b.t)
 SELECT subject, sample, round(CASE WHEN least(t - pt, nt - t) > 43200 THEN 0.0 ELSE {LINEAR} END, 6) AS y FROM n""")
 def c8_sparse_trace(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf).select("subject", "sample", "t", F.when(F.col("channel") == "view", F.col("y")).alias("y"))
     return asof.sparse_trace(own, 43200.0, 0.0, U).select("subject", "sample", F.round("y", 6).alias("y"))
 
 
-@register(f"WITH {EV}, {epochs_sql('bout')} SELECT subject, sample FROM ev e WHERE EXISTS (SELECT 1 FROM bout b WHERE b.subject = e.subject AND e.t >= b.start_s AND e.t < b.end_s)")
+@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, sample FROM ev e WHERE EXISTS (SELECT 1 FROM bout b WHERE b.subject = e.subject AND e.t
+ >= b.start_s AND e.t < b.end_s)""")
 def c9_samples_in_epochs(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     return intervals.samples_in(own, bouts_of(own), 43200.0, U, how="left_semi").select("subject", "sample")
 
 
-@register(f"WITH {EV}, {epochs_sql('bout')} SELECT subject, event_type, event_time FROM (SELECT subject, channel AS event_type, t AS event_time FROM ev) e WHERE NOT EXISTS (SELECT 1 FROM bout b WHERE b.subject = e.subject AND event_time BETWEEN b.start_s AND b.end_s)")
+@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, event_type, event_time FROM (SELECT subject, channel AS event_type, t AS event_time FROM
+ ev) e WHERE NOT EXISTS (SELECT 1 FROM bout b WHERE b.subject = e.subject AND event_time BETWEEN b.start_s AND b.end_s)""")
 def c10_events_outside_bouts(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     return eta.drop_events_in_bouts(own.select("subject", F.col("channel").alias("event_type"), F.col("t").alias("event_time")), bouts_of(own), 43200.0, U)
 
 
 WEEKS = "w AS (SELECT subject, session AS interval_id, min(t) AS start_s, max(t) AS end_s FROM ev GROUP BY ALL)"
-OVERLAP = f"""o AS (SELECT w.subject, interval_id, w.start_s, w.end_s, count(b.start_s) AS n_overlapping, coalesce(sum(CASE WHEN b.start_s IS NOT NULL THEN least(w.end_s, b.end_s) - greatest(w.start_s, b.start_s) END), 0) AS overlap_s,
- coalesce(bool_or(b.start_s <= w.start_s AND w.start_s < b.end_s), false) AS open_at_start, min(CASE WHEN b.start_s > w.start_s THEN b.start_s END) AS first_start_s
+OVERLAP = f"""o AS (SELECT w.subject, interval_id, w.start_s, w.end_s, count(b.start_s) AS n_overlapping, coalesce(sum(CASE WHEN b.start_s IS NOT NULL
+ THEN least(w.end_s, b.end_s) - greatest(w.start_s, b.start_s) END), 0) AS overlap_s,
+ coalesce(bool_or(b.start_s <= w.start_s AND w.start_s < b.end_s), false) AS open_at_start, min(CASE WHEN b.start_s > w.start_s THEN b.start_s END) AS
+ first_start_s
  FROM w LEFT JOIN bout b ON b.subject = w.subject AND b.start_s < w.end_s AND b.end_s > w.start_s GROUP BY ALL)"""
 
 
-@register(f"WITH {EV}, {epochs_sql('bout')}, {WEEKS}, {OVERLAP} SELECT subject, interval_id, n_overlapping, open_at_start, {q6('overlap_s', 'first_start_s')} FROM o")
+@register(f"""WITH {EV}, {epochs_sql('bout')}, {WEEKS}, {OVERLAP} SELECT subject, interval_id, n_overlapping, open_at_start,
+ {q6('overlap_s', 'first_start_s')} FROM o""")
 def c11_epoch_overlap(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     weeks = own.groupBy("subject", F.col("session").alias("interval_id")).agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    return intervals.epoch_overlap(weeks, bouts_of(own), 86400.0, U).select("subject", "interval_id", "n_overlapping", "open_at_start", *r6("overlap_s", "first_start_s"))
+    return intervals.epoch_overlap(weeks, bouts_of(own), 86400.0, U).select(
+        "subject", "interval_id", "n_overlapping", "open_at_start", *r6("overlap_s", "first_start_s")
+    )
 
 
-@register(f"WITH {EV}, {epochs_sql('bout')}, {WEEKS}, {OVERLAP} SELECT subject, interval_id, round(CASE WHEN open_at_start THEN 0.0 ELSE first_start_s - start_s END, 6) AS latency_s FROM o")
+@register(f"""WITH {EV}, {epochs_sql('bout')}, {WEEKS}, {OVERLAP} SELECT subject, interval_id, round(CASE WHEN open_at_start THEN 0.0 ELSE
+ first_start_s - start_s END, 6) AS latency_s FROM o""")
 def c12_epoch_latency(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     weeks = own.groupBy("subject", F.col("session").alias("interval_id")).agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
     return intervals.epoch_latency(weeks, bouts_of(own), 86400.0, U).select("subject", "interval_id", F.round("latency_s", 6).alias("latency_s"))
 
 
-@register("""SELECT o_orderkey, count(*) AS n_lines, sum(CASE WHEN l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAY THEN 1 ELSE 0 END) AS n_inside FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+@register(
+    """SELECT o_orderkey, count(*) AS n_lines, sum(CASE WHEN l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAY THEN 1 ELSE 0 END) AS n_inside FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+)
 def c9_ship_dates_in_span(spark: SparkSession, sf: str) -> DataFrame:
     secs = lambda c: (F.unix_timestamp(F.col(c).cast("timestamp"))).cast("double")
     line = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", secs("l_shipdate").alias("t"))
     spans = read_table(spark, sf, "orders").select("o_orderkey", secs("o_orderdate").alias("start_s"), (secs("o_orderdate") + 60 * 86400).alias("end_s"))
     inside = intervals.samples_in(line, spans, 60 * 86400.0, ("o_orderkey",)).groupBy("o_orderkey").agg(F.count("*").alias("n_inside"))
     n = line.join(spans.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count("*").alias("n_lines"))
-    return n.join(inside, "o_orderkey", "left").select("o_orderkey", "n_lines", F.coalesce("n_inside", F.lit(0)).cast("decimal(38,0)").cast("double").alias("n_inside"))
+    return n.join(inside, "o_orderkey", "left").select(
+        "o_orderkey", "n_lines", F.coalesce("n_inside", F.lit(0)).cast("decimal(38,0)").cast("double").alias("n_inside")
+    )
 
 
 SQL["c9_ship_dates_in_span"] = SQL["c9_ship_dates_in_span"].replace("sum(CASE", "CAST(sum(CASE").replace("END) AS n_inside", "END) AS DOUBLE) AS n_inside")
@@ -504,7 +615,8 @@ SQL["c9_ship_dates_in_span"] = SQL["c9_ship_dates_in_span"].replace("sum(CASE",
 # --- D and E: segments and events -------------------------------------------------------------------------------------
 
 
-@register(f"WITH {EV}, {epochs_sql('bout', merge=-1e18)} SELECT subject, idx, run - 1 AS run FROM (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY idx) AS run FROM bout_m)")
+@register(f"""WITH {EV}, {epochs_sql('bout', merge=-1e18)} SELECT subject, idx, run - 1 AS run FROM (SELECT *, sum(new) OVER (PARTITION BY subject
+ ORDER BY idx) AS run FROM bout_m)""")
 def d2_masked_samples(spark: SparkSession, sf: str) -> DataFrame:
     return segments.masked_samples(event_samples(spark, sf), F.col("y") > 30, U).select("subject", "idx", "run")
 
@@ -517,21 +629,26 @@ def d7_split_runs(spark: SparkSession, sf: str) -> DataFrame:
     return segments.mask_runs(event_samples(spark, sf), F.col("y") > 30, U, 86400.0).select("subject", "start_idx", "end_idx")
 
 
-@register(f"""WITH {EV}, {epochs_sql('bout', merge=-1e18)}, g AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY subject ORDER BY a) - 1 <= 2 THEN 0 ELSE 1 END AS n2 FROM bout_r),
- m AS (SELECT subject, min(a) AS start_idx, max(b) AS end_idx FROM (SELECT *, sum(n2) OVER (PARTITION BY subject ORDER BY a) AS grp FROM g) GROUP BY subject, grp) SELECT * FROM m WHERE end_idx - start_idx + 1 >= 3""")
+@register(f"""WITH {EV}, {epochs_sql('bout', merge=-1e18)}, g AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY subject ORDER BY a) - 1 <= 2 THEN
+ 0 ELSE 1 END AS n2 FROM bout_r),
+ m AS (SELECT subject, min(a) AS start_idx, max(b) AS end_idx FROM (SELECT *, sum(n2) OVER (PARTITION BY subject ORDER BY a) AS grp FROM g) GROUP BY
+ subject, grp) SELECT * FROM m WHERE end_idx - start_idx + 1 >= 3""")
 def d3_merge_and_drop_by_samples(spark: SparkSession, sf: str) -> DataFrame:
     found = segments.mask_runs(event_samples(spark, sf), F.col("y") > 30, U)
     return segments.long_runs(segments.merge_runs(found, U, gap_samples=2), 3).select("subject", "start_idx", "end_idx")
 
 
-@register(f"WITH {EV}, {epochs_sql('bout', least=20000, gap=172800)} SELECT subject, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s')}, round(duration_s, 3) AS duration_s FROM bout")
+@register(f"""WITH {EV}, {epochs_sql('bout', least=20000, gap=172800)} SELECT subject, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s')},
+ round(duration_s, 3) AS duration_s FROM bout""")
 def d8_detect_epochs(spark: SparkSession, sf: str) -> DataFrame:
     made = segments.detect_epochs(event_samples(spark, sf), F.col("y") > 30, "bout", 20000.0, HOUR, 172800.0, U)
     return made.select("subject", "epoch_id", "start_idx", "end_idx", *r6("start_s", "end_s"), F.round("duration_s", 3).alias("duration_s"))
 
 
-@register(f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, sample) - 1 AS idx FROM ev), e AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS epoch_id, t - 3600 AS s, t + 86400 AS e FROM ev WHERE channel = 'purchase')
-SELECT e.subject, epoch_id, round(s, 6) AS start_s, round(e, 6) AS end_s, min(idx) AS start_idx, max(idx) AS end_idx FROM e LEFT JOIN p ON p.subject = e.subject AND p.t BETWEEN s AND e GROUP BY ALL""")
+@register(f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, sample) - 1 AS idx FROM ev), e AS (SELECT subject,
+ row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS epoch_id, t - 3600 AS s, t + 86400 AS e FROM ev WHERE channel = 'purchase')
+SELECT e.subject, epoch_id, round(s, 6) AS start_s, round(e, 6) AS end_s, min(idx) AS start_idx, max(idx) AS end_idx FROM e LEFT JOIN p ON p.subject =
+ e.subject AND p.t BETWEEN s AND e GROUP BY ALL""")
 def d9_epochs_around_events(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     points = own.where("channel = 'purchase'").select("subject", F.col("channel").alias("event_type"), F.col("t").alias("event_time"))
@@ -545,19 +662,22 @@ def d11_break_at_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return segments.break_at_gaps(event_samples(spark, sf), 86400.0, U)
 
 
-@register(f"WITH {EV}, x AS (SELECT subject, min(t) AS a, max(t) AS b FROM ev GROUP BY subject) SELECT subject, 'first' AS event_type, a AS event_time FROM x UNION ALL SELECT subject, 'last', b FROM x")
+@register(f"""WITH {EV}, x AS (SELECT subject, min(t) AS a, max(t) AS b FROM ev GROUP BY subject) SELECT subject, 'first' AS event_type, a AS
+ event_time FROM x UNION ALL SELECT subject, 'last', b FROM x""")
 def e1_make_events(spark: SparkSession, sf: str) -> DataFrame:
     spans = event_samples(spark, sf).groupBy("subject").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     return events.make_events(spans, {"first": "a", "last": "b"}, U)
 
 
-@register(f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)), {epochs_sql('bout', src='ok', mask='y >= 30')}
+@register(f"""WITH {EV}, ok AS (SELECT * FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)),
+ {epochs_sql('bout', src='ok', mask='y >= 30')}
 SELECT subject, 'locomotion_onset' AS event_type, start_s AS event_time FROM bout UNION ALL SELECT subject, 'locomotion_offset', end_s FROM bout""")
 def e2_locomotion_events(spark: SparkSession, sf: str) -> DataFrame:
     return locomotion.locomotion_events(event_samples(spark, sf), 30.0, keys=U, merge_gap_s=HOUR)
 
 
-@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, 'on' AS event_type, round(start_s, 6) AS event_time FROM bout UNION ALL SELECT subject, 'off', round(end_s, 6) FROM bout""")
+@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, 'on' AS event_type, round(start_s, 6) AS event_time FROM bout UNION ALL SELECT subject,
+ 'off', round(end_s, 6) FROM bout""")
 def e3_onsets_and_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return events.onsets_and_offsets(bouts_of(event_samples(spark, sf)), "on", "off", U).select("subject", "event_type", *r6("event_time"))
 
@@ -565,8 +685,10 @@ def e3_onsets_and_offsets(spark: SparkSession, sf: str) -> DataFrame:
 # --- F: event-triggered averages --------------------------------------------------------------------------------------
 
 WINDOW, STEP, BASE = (-21600.0, 21600.0), 7200.0, (-21600.0, 0.0)
-TRACES = """clean AS (SELECT subject, channel AS roi, t, arg_min(y, sample) AS y FROM ev GROUP BY ALL), ok AS (SELECT subject, roi FROM clean GROUP BY ALL HAVING count(*) >= 2),
- grid AS (SELECT points.*, roi, i AS rel_idx, -21600 + i * 7200.0 AS rel_time, event_time + (-21600 + i * 7200.0) AS t FROM points JOIN ok USING (subject), (SELECT unnest(range(0, 7)) AS i)),
+TRACES = """clean AS (SELECT subject, channel AS roi, t, arg_min(y, sample) AS y FROM ev GROUP BY ALL), ok AS (SELECT subject, roi FROM clean GROUP BY
+ ALL HAVING count(*) >= 2),
+ grid AS (SELECT points.*, roi, i AS rel_idx, -21600 + i * 7200.0 AS rel_time, event_time + (-21600 + i * 7200.0) AS t FROM points JOIN ok USING
+ (subject), (SELECT unnest(range(0, 7)) AS i)),
  gp AS (SELECT g.*, p.t AS pt, p.y AS py FROM grid g ASOF LEFT JOIN clean p ON g.subject = p.subject AND g.roi = p.roi AND g.t >= p.t),
  gn AS (SELECT g.*, n.t AS nt, n.y AS ny FROM gp g ASOF LEFT JOIN clean n ON g.subject = n.subject AND g.roi = n.roi AND g.t <= n.t),
  raw AS (SELECT *, CASE WHEN pt IS NULL OR nt IS NULL THEN NULL WHEN pt = nt THEN py ELSE py + (ny - py) * (t - pt) / (nt - pt) END AS v FROM gn),
@@ -593,8 +715,10 @@ def f2_baselined_traces(spark: SparkSession, sf: str) -> DataFrame:
     return eta.subtract_baseline(_traces(spark, sf), BASE, U).select("subject", "event_id", "roi", "rel_idx", *r6("value"))
 
 
-@register(f"""WITH {EV}, {POINTS}, {TRACES}, {epochs_sql('bout')}, marked AS (SELECT raw.*, NOT EXISTS (SELECT 1 FROM bout b WHERE b.subject = raw.subject AND raw.t BETWEEN b.start_s AND b.end_s) AS clean FROM raw),
- base AS (SELECT subject, event_id, roi, CASE WHEN count(v) FILTER (WHERE clean AND rel_time <= 0) >= 2 THEN avg(v) FILTER (WHERE clean AND rel_time <= 0) ELSE avg(v) FILTER (WHERE rel_time <= 0) END AS b FROM marked GROUP BY ALL)
+@register(f"""WITH {EV}, {POINTS}, {TRACES}, {epochs_sql('bout')}, marked AS (SELECT raw.*, NOT EXISTS (SELECT 1 FROM bout b WHERE b.subject =
+ raw.subject AND raw.t BETWEEN b.start_s AND b.end_s) AS clean FROM raw),
+ base AS (SELECT subject, event_id, roi, CASE WHEN count(v) FILTER (WHERE clean AND rel_time <= 0) >= 2 THEN avg(v) FILTER (WHERE clean AND rel_time
+ <= 0) ELSE avg(v) FILTER (WHERE rel_time <= 0) END AS b FROM marked GROUP BY ALL)
 SELECT subject, event_id, roi, rel_idx, round(v - b, 6) + 0.0 AS value FROM marked JOIN base USING (subject, event_id, roi)""")
 def f4_clean_baseline(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
@@ -602,7 +726,8 @@ def f4_clean_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return eta.subtract_baseline(marked, BASE, U, F.col("clean"), 2).select("subject", "event_id", "roi", "rel_idx", *r6("value"))
 
 
-@register(f"""WITH {EV}, {POINTS}, {TRACES}, other AS (SELECT subject, event_id, roi, avg(v) AS b FROM (SELECT r.subject, r.event_id - 1 AS event_id, r.roi, v FROM raw r WHERE r.rel_time <= 0 AND r.event_id > 0) GROUP BY ALL)
+@register(f"""WITH {EV}, {POINTS}, {TRACES}, other AS (SELECT subject, event_id, roi, avg(v) AS b FROM (SELECT r.subject, r.event_id - 1 AS event_id,
+ r.roi, v FROM raw r WHERE r.rel_time <= 0 AND r.event_id > 0) GROUP BY ALL)
 SELECT raw.subject, raw.event_id, raw.roi, raw.rel_idx, round(v - b, 6) + 0.0 AS value FROM raw LEFT JOIN other USING (subject, event_id, roi)""")
 def f3_paired_baseline(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
@@ -611,8 +736,10 @@ def f3_paired_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return eta.paired_baseline(_traces(spark, sf), own, later, BASE, STEP, U).select("subject", "event_id", "roi", "rel_idx", *r6("value"))
 
 
-ONSETS = f"""ok3 AS (SELECT * FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)), {epochs_sql('bout', src='ok3', mask='y >= 30')},
- both_ends AS (SELECT subject, 'locomotion_onset' AS event_type, start_s AS event_time FROM bout UNION ALL SELECT subject, 'locomotion_offset', end_s FROM bout),
+ONSETS = f"""ok3 AS (SELECT * FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)),
+ {epochs_sql('bout', src='ok3', mask='y >= 30')},
+ both_ends AS (SELECT subject, 'locomotion_onset' AS event_type, start_s AS event_time FROM bout UNION ALL SELECT subject, 'locomotion_offset', end_s
+ FROM bout),
  points AS (SELECT *, row_number() OVER (PARTITION BY subject, event_type ORDER BY event_time) - 1 AS event_id FROM both_ends)"""
 SUBJECTS = "subjects AS (SELECT subject, event_type, roi, rel_idx, rel_time, avg(value) AS mean FROM traces GROUP BY ALL)"
 
@@ -638,9 +765,12 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return _eta(spark, sf)["group"].select("condition", "event_type", "roi", "rel_idx", *r6("mean", "sem"))
 
 
-@register(f"WITH {EV}, {ONSETS}, {TRACES} SELECT subject, 'all' AS condition, event_type, event_id, roi, round(avg(value), 6) + 0.0 AS response FROM traces WHERE rel_time BETWEEN 0 AND 14400 GROUP BY ALL")
+@register(f"""WITH {EV}, {ONSETS}, {TRACES} SELECT subject, 'all' AS condition, event_type, event_id, roi, round(avg(value), 6) + 0.0 AS response FROM
+ traces WHERE rel_time BETWEEN 0 AND 14400 GROUP BY ALL""")
 def f9_window_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return eta.window_mean(_eta(spark, sf)["events"], (0.0, 14400.0), "response", U).select("subject", "condition", "event_type", "event_id", "roi", *r6("response"))
+    return eta.window_mean(_eta(spark, sf)["events"], (0.0, 14400.0), "response", U).select(
+        "subject", "condition", "event_type", "event_id", "roi", *r6("response")
+    )
 
 
 # --- G: preprocessing -------------------------------------------------------------------------------------------------
@@ -669,14 +799,18 @@ def sg5_sql(source: str, out: str) -> str:
     row = lambda ws, get: " + ".join(f"({w}) * {get(k)}" for k, w in enumerate(ws))
     mid = " + ".join(f"({w}) * " + (f"lag(v, {2 - k}) OVER w" if k < 2 else "v" if k == 2 else f"lead(v, {k - 2}) OVER w") for k, w in enumerate(SG5[2]))
     return f"""{out}_n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM {source}),
- {out} AS (SELECT channel, i, CASE WHEN i = 0 THEN {row(SG5[0], take)} WHEN i = 1 THEN {row(SG5[1], take)} WHEN i = n - 1 THEN {row(SG5[0], last)} WHEN i = n - 2 THEN {row(SG5[1], last)} ELSE {mid} END AS v
+ {out} AS (SELECT channel, i, CASE WHEN i = 0 THEN {row(SG5[0], take)} WHEN i = 1 THEN {row(SG5[1], take)} WHEN i = n - 1 THEN {row(SG5[0], last)}
+ WHEN i = n - 2 THEN {row(SG5[1], last)} ELSE {mid} END AS v
   FROM {out}_n WINDOW w AS (PARTITION BY channel ORDER BY i))"""
 
 
 @register(f"""WITH {EV}, {SERIES}, gap AS (SELECT channel, sample AS i, CASE WHEN sample % 11 <> 5 THEN y END AS y FROM ser),
- p AS (SELECT g.*, a.i AS pi, a.y AS py FROM gap g ASOF LEFT JOIN (SELECT * FROM gap WHERE y IS NOT NULL) a ON g.channel = a.channel AND g.i >= a.i), n AS (SELECT p.*, b.i AS ni, b.y AS ny FROM p ASOF LEFT JOIN (SELECT * FROM gap WHERE y IS NOT NULL) b ON p.channel = b.channel AND p.i <= b.i),
- filled AS (SELECT channel, i, y AS own, CASE WHEN y IS NOT NULL THEN y WHEN pi IS NULL THEN ny WHEN ni IS NULL THEN py ELSE py + (ny - py) * (i - pi) / (ni - pi) END AS v FROM n), {sg5_sql('filled', 'smooth')}
-SELECT s.channel, s.i AS sample, CASE WHEN own IS NOT NULL THEN round(s.v, 5) + 0.0 END AS y FROM smooth s JOIN filled f ON s.channel = f.channel AND s.i = f.i""")
+ p AS (SELECT g.*, a.i AS pi, a.y AS py FROM gap g ASOF LEFT JOIN (SELECT * FROM gap WHERE y IS NOT NULL) a ON g.channel = a.channel AND g.i >= a.i),
+ n AS (SELECT p.*, b.i AS ni, b.y AS ny FROM p ASOF LEFT JOIN (SELECT * FROM gap WHERE y IS NOT NULL) b ON p.channel = b.channel AND p.i <= b.i),
+ filled AS (SELECT channel, i, y AS own, CASE WHEN y IS NOT NULL THEN y WHEN pi IS NULL THEN ny WHEN ni IS NULL THEN py ELSE py + (ny - py) * (i - pi)
+ / (ni - pi) END AS v FROM n), {sg5_sql('filled', 'smooth')}
+SELECT s.channel, s.i AS sample, CASE WHEN own IS NOT NULL THEN round(s.v, 5) + 0.0 END AS y FROM smooth s JOIN filled f ON s.channel = f.channel AND
+ s.i = f.i""")
 def g1_smooth_savgol(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.smooth_savgol(_gaps(series_of(spark, sf)), 5.0, 1.0, 2, C).select("channel", "sample", (F.round("y", 5) + 0.0).alias("y"))
 
@@ -684,45 +818,63 @@ def g1_smooth_savgol(spark: SparkSession, sf: str) -> DataFrame:
 MEDIAN3 = """CASE WHEN sample = 0 THEN list_sort([y, y, lead(y) OVER w])[2] WHEN sample = n - 1 THEN list_sort([y, y, lag(y) OVER w])[2] ELSE list_sort([lag(y) OVER w, y, lead(y) OVER w])[2] END"""
 
 
-@register(f"WITH {EV}, {SERIES}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM ser) SELECT channel, sample, {MEDIAN3} AS y FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)")
+@register(f"""WITH {EV}, {SERIES}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM ser) SELECT channel, sample, {MEDIAN3} AS y FROM k
+ WINDOW w AS (PARTITION BY channel ORDER BY sample)""")
 def g2_smooth_median(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.smooth_median(series_of(spark, sf), 3, C).select("channel", "sample", "y")
 
 
-@register(f"WITH {EV}, {SERIES}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM ser), med AS (SELECT channel, sample AS i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)), {sg5_sql('med', 'smooth')} SELECT channel, i AS sample, round(v, 5) + 0.0 AS y FROM smooth")
+@register(f"""WITH {EV}, {SERIES}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM ser), med AS (SELECT channel, sample AS i, {MEDIAN3}
+ AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)), {sg5_sql('med', 'smooth')} SELECT channel, i AS sample, round(v, 5) + 0.0 AS y FROM
+ smooth""")
 def g3_smooth_dense(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.smooth_dense(series_of(spark, sf), 3, 5, 2, C).select("channel", "sample", (F.round("y", 5) + 0.0).alias("y"))
 
 
-@register(f"WITH {EV}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM ev GROUP BY channel) SELECT channel, sample, y BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) AS inlier, CASE WHEN y BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN y END AS y FROM ev JOIN q USING (channel)")
+@register(f"""WITH {EV}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM ev GROUP BY channel) SELECT channel,
+ sample, y BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) AS inlier, CASE WHEN y BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN y END AS y FROM
+ ev JOIN q USING (channel)""")
 def g4_remove_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.remove_outliers(event_samples(spark, sf), 1.5, C).select("channel", "sample", "inlier", "y")
 
 
-@register(f"WITH {EV} SELECT subject, sample, round(CASE WHEN stddev_pop(y) OVER w > 0 THEN (y - avg(y) OVER w) / stddev_pop(y) OVER w END, 6) + 0.0 AS z FROM ev WINDOW w AS (PARTITION BY subject)")
+@register(f"""WITH {EV} SELECT subject, sample, round(CASE WHEN stddev_pop(y) OVER w > 0 THEN (y - avg(y) OVER w) / stddev_pop(y) OVER w END, 6) + 0.0
+ AS z FROM ev WINDOW w AS (PARTITION BY subject)""")
 def g5_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.zscore(event_samples(spark, sf), U).select("subject", "sample", *r6("z"))
 
 
-@register(f"""WITH {EV}, {SERIES}, f AS (SELECT channel, regr_slope(y, sample) AS a, regr_intercept(y, sample) AS b FROM ser GROUP BY channel), r AS (SELECT channel, sample, y - a * sample - b AS r FROM ser JOIN f USING (channel))
+@register(f"""WITH {EV}, {SERIES}, f AS (SELECT channel, regr_slope(y, sample) AS a, regr_intercept(y, sample) AS b FROM ser GROUP BY channel), r AS
+ (SELECT channel, sample, y - a * sample - b AS r FROM ser JOIN f USING (channel))
 SELECT channel, sample, round((r - avg(r) OVER w) / stddev_samp(r) OVER w, 5) + 0.0 AS z FROM r WINDOW w AS (PARTITION BY channel)""")
 def g6_detrend_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.detrend_zscore(series_of(spark, sf), C).select("channel", "sample", (F.round("z", 5) + 0.0).alias("z"))
 
 
-@register(f"""WITH {EV}, {SERIES}, j AS (SELECT *, coalesce(abs(y - lag(y) OVER w) > 120, false) OR coalesce(abs(y - lead(y) OVER w) > 120, false) OR y <= 0.5 OR y > 250 AS flagged, lag(t) OVER w AS pt, lag(y) OVER w AS py, lead(t) OVER w AS nt, lead(y) OVER w AS ny FROM ser WINDOW w AS (PARTITION BY channel ORDER BY t, sample)),
- k AS (SELECT *, sum(CASE WHEN flagged IS DISTINCT FROM l THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY t, sample) AS run FROM (SELECT *, lag(flagged) OVER (PARTITION BY channel ORDER BY t, sample) AS l FROM j)),
- e AS (SELECT channel, run, arg_min(pt, t) AS t0, arg_min(py, t) AS y0, arg_max(nt, t) AS t1, arg_max(ny, t) AS y1, max(t) - min(t) AS span FROM k GROUP BY channel, run),
- ends AS (SELECT channel, run, min(sample) = 0 OR max(sample) = (SELECT max(sample) FROM ser s WHERE s.channel = k.channel) AS touches FROM k GROUP BY channel, run), d AS (SELECT channel, median(dt) AS step FROM (SELECT channel, t - lag(t) OVER (PARTITION BY channel ORDER BY t, sample) AS dt FROM ser) GROUP BY channel)
-SELECT channel, sample, flagged, CASE WHEN NOT flagged THEN round(y, 5) WHEN NOT touches AND span + step <= 20000 THEN round(y0 + (y1 - y0) * (t - t0) / (t1 - t0), 5) END AS cleaned FROM k JOIN e USING (channel, run) JOIN ends USING (channel, run) JOIN d USING (channel)""")
+@register(f"""WITH {EV}, {SERIES}, j AS (SELECT *, coalesce(abs(y - lag(y) OVER w) > 120, false) OR coalesce(abs(y - lead(y) OVER w) > 120, false) OR
+ y <= 0.5 OR y > 250 AS flagged, lag(t) OVER w AS pt, lag(y) OVER w AS py, lead(t) OVER w AS nt, lead(y) OVER w AS ny FROM ser WINDOW w AS (PARTITION
+ BY channel ORDER BY t, sample)),
+ k AS (SELECT *, sum(CASE WHEN flagged IS DISTINCT FROM l THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY t, sample) AS run FROM (SELECT *,
+ lag(flagged) OVER (PARTITION BY channel ORDER BY t, sample) AS l FROM j)),
+ e AS (SELECT channel, run, arg_min(pt, t) AS t0, arg_min(py, t) AS y0, arg_max(nt, t) AS t1, arg_max(ny, t) AS y1, max(t) - min(t) AS span FROM k
+ GROUP BY channel, run),
+ ends AS (SELECT channel, run, min(sample) = 0 OR max(sample) = (SELECT max(sample) FROM ser s WHERE s.channel = k.channel) AS touches FROM k GROUP BY
+ channel, run), d AS (SELECT channel, median(dt) AS step FROM (SELECT channel, t - lag(t) OVER (PARTITION BY channel ORDER BY t, sample) AS dt FROM
+ ser) GROUP BY channel)
+SELECT channel, sample, flagged, CASE WHEN NOT flagged THEN round(y, 5) WHEN NOT touches AND span + step <= 20000 THEN round(y0 + (y1 - y0) * (t - t0)
+ / (t1 - t0), 5) END AS cleaned FROM k JOIN e USING (channel, run) JOIN ends USING (channel, run) JOIN d USING (channel)""")
 def g7_clean_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return preproc.clean_steps(series_of(spark, sf), 120.0, (0.5, 250.0), 20000.0, C).select("channel", "sample", "flagged", F.round("cleaned", 5).alias("cleaned"))
+    return preproc.clean_steps(series_of(spark, sf), 120.0, (0.5, 250.0), 20000.0, C).select(
+        "channel", "sample", "flagged", F.round("cleaned", 5).alias("cleaned")
+    )
 
 
 #: Values of every series on a clock that is ten minutes late, outliers beyond 4 quartile ranges as nulls, which medians of three see as missing.
-REMAPPED = f"""ref AS (SELECT channel, sample, t + 600 AS t FROM ser), src AS (SELECT channel, t, arg_min(y, sample) AS y FROM ser WHERE y IS NOT NULL GROUP BY channel, t),
+REMAPPED = f"""ref AS (SELECT channel, sample, t + 600 AS t FROM ser), src AS (SELECT channel, t, arg_min(y, sample) AS y FROM ser WHERE y IS NOT NULL
+ GROUP BY channel, t),
  pp AS (SELECT r.*, s.t AS pt, s.y AS py FROM ref r ASOF LEFT JOIN src s ON r.channel = s.channel AND r.t >= s.t),
- nn AS (SELECT pp.*, s.t AS nt, s.y AS ny FROM pp ASOF LEFT JOIN src s ON pp.channel = s.channel AND pp.t <= s.t), lin AS (SELECT channel, sample, {LINEAR} AS y FROM nn)"""
+ nn AS (SELECT pp.*, s.t AS nt, s.y AS ny FROM pp ASOF LEFT JOIN src s ON pp.channel = s.channel AND pp.t <= s.t), lin AS (SELECT channel, sample,
+ {LINEAR} AS y FROM nn)"""
 
 
 def _later(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -730,7 +882,8 @@ def _later(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return own.select("channel", "sample", (F.col("t") + 600).alias("t")), own
 
 
-@register(f"""WITH {EV}, {SERIES}, {REMAPPED}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM lin), med AS (SELECT channel, sample AS i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)),
+@register(f"""WITH {EV}, {SERIES}, {REMAPPED}, k AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM lin), med AS (SELECT channel, sample AS
+ i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)),
  {sg5_sql('med', 'smooth')} SELECT channel, i AS sample, round(v, 5) + 0.0 AS y FROM smooth""")
 def g8_prepare_trace(spark: SparkSession, sf: str) -> DataFrame:
     """Remapped, outliers far beyond any value away, smoothed by samples."""
@@ -745,7 +898,10 @@ def g8_remapped_inliers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Weights of a quadratic through 7 places: the first three rows and the middle one.
-SG7 = ((32 / 42, 15 / 42, 3 / 42, -4 / 42, -6 / 42, -3 / 42, 5 / 42), (15 / 42, 12 / 42, 9 / 42, 6 / 42, 3 / 42, 0.0, -3 / 42), (3 / 42, 9 / 42, 12 / 42, 12 / 42, 9 / 42, 3 / 42, -6 / 42), (-2 / 21, 3 / 21, 6 / 21, 7 / 21, 6 / 21, 3 / 21, -2 / 21))
+SG7 = (
+    (32 / 42, 15 / 42, 3 / 42, -4 / 42, -6 / 42, -3 / 42, 5 / 42), (15 / 42, 12 / 42, 9 / 42, 6 / 42, 3 / 42, 0.0, -3 / 42),
+    (3 / 42, 9 / 42, 12 / 42, 12 / 42, 9 / 42, 3 / 42, -6 / 42), (-2 / 21, 3 / 21, 6 / 21, 7 / 21, 6 / 21, 3 / 21, -2 / 21)
+)
 
 
 def _speed_sql() -> str:
@@ -755,8 +911,10 @@ def _speed_sql() -> str:
     tail = " ".join(f"WHEN i = n - {k + 1} THEN {dot(SG7[k], range(7, 0, -1))}" for k in range(3))
     return f"""WITH {EV}, {SERIES}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM ser GROUP BY channel),
  v AS (SELECT channel, sample, y, coalesce(y BETWEEN a - 2 * (b - a) AND b + 2 * (b - a), false) AS valid FROM ser JOIN q USING (channel)),
- k AS (SELECT channel, sample, y, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM v WHERE valid),
- win AS (SELECT a.channel, a.sample, a.i, a.n, list(b.y ORDER BY b.i) AS l FROM k a JOIN k b ON b.channel = a.channel AND b.i BETWEEN greatest(0, least(a.n - 7, a.i - 3)) AND greatest(0, least(a.n - 7, a.i - 3)) + 6 GROUP BY ALL),
+ k AS (SELECT channel, sample, y, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM v
+ WHERE valid),
+ win AS (SELECT a.channel, a.sample, a.i, a.n, list(b.y ORDER BY b.i) AS l FROM k a JOIN k b ON b.channel = a.channel AND b.i BETWEEN greatest(0,
+ least(a.n - 7, a.i - 3)) AND greatest(0, least(a.n - 7, a.i - 3)) + 6 GROUP BY ALL),
  s AS (SELECT channel, sample, CASE {head} {tail} ELSE {dot(SG7[3], range(1, 8))} END AS y FROM win)
 SELECT v.channel, v.sample, valid, round(s.y, 5) + 0.0 AS y FROM v LEFT JOIN s ON s.channel = v.channel AND s.sample = v.sample"""
 
@@ -766,14 +924,18 @@ def g9_process_variable(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.process_variable(series_of(spark, sf), "speed_mm", C).select("channel", "sample", "valid", (F.round("y", 5) + 0.0).alias("y"))
 
 
-@register(f"""WITH {EV}, s AS (SELECT subject, session, min(t) + 3600 AS lo, max(t) - 3600 AS hi FROM ev GROUP BY ALL HAVING max(t) - 3600 >= min(t) + 3600), o AS (SELECT *, coalesce(sum(hi - lo + 60) OVER (PARTITION BY subject ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)
+@register(f"""WITH {EV}, s AS (SELECT subject, session, min(t) + 3600 AS lo, max(t) - 3600 AS hi FROM ev GROUP BY ALL HAVING max(t) - 3600 >= min(t) +
+ 3600), o AS (SELECT *, coalesce(sum(hi - lo + 60) OVER (PARTITION BY subject ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+ AS off FROM s)
 SELECT subject, sample, round(t - lo + off, 2) AS timeline_s FROM ev JOIN o USING (subject, session) WHERE t BETWEEN lo AND hi""")
 def g10_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.timeline(event_samples(spark, sf), 3600.0, 3600.0, 60.0).select("subject", "sample", F.round("timeline_s", 2).alias("timeline_s"))
 
 
-@register(f"""WITH {EV}, {SERIES}, n AS (SELECT channel, count(*) AS n FROM ser GROUP BY channel), w AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
- j AS (SELECT channel, sample, w, CASE WHEN sample + k < 0 THEN -1 - sample - k WHEN sample + k >= n THEN 2 * n - 1 - sample - k ELSE sample + k END AS other FROM ser JOIN n USING (channel), w)
+@register(f"""WITH {EV}, {SERIES}, n AS (SELECT channel, count(*) AS n FROM ser GROUP BY channel), w AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 *
+ k * k)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
+ j AS (SELECT channel, sample, w, CASE WHEN sample + k < 0 THEN -1 - sample - k WHEN sample + k >= n THEN 2 * n - 1 - sample - k ELSE sample + k END
+ AS other FROM ser JOIN n USING (channel), w)
 SELECT j.channel, j.sample, round(sum(w * s.y), 6) AS y FROM j JOIN ser s ON s.channel = j.channel AND s.sample = j.other GROUP BY ALL""")
 def g11_smooth_gaussian(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.smooth_gaussian(series_of(spark, sf), 1.0, C).select("channel", "sample", *r6("y"))
@@ -783,8 +945,10 @@ def g11_smooth_gaussian(spark: SparkSession, sf: str) -> DataFrame:
 
 N = 64
 #: Frames of 64 with half overlap, their transforms, and Welch densities at a rate of 1.
-FRAMES = f"""{SERIES}, ns AS (SELECT channel, count(*) AS n FROM ser GROUP BY channel), fr AS (SELECT channel, n, f FROM ns, (SELECT unnest(range(0, 1000000)) AS f) WHERE f * 32 + 64 <= n),
- smp AS (SELECT fr.channel, f, s.sample - f * 32 AS i, s.y - avg(s.y) OVER (PARTITION BY fr.channel, f) AS v FROM fr JOIN ser s ON s.channel = fr.channel AND s.sample BETWEEN f * 32 AND f * 32 + 63),
+FRAMES = f"""{SERIES}, ns AS (SELECT channel, count(*) AS n FROM ser GROUP BY channel), fr AS (SELECT channel, n, f FROM ns, (SELECT unnest(range(0,
+ 1000000)) AS f) WHERE f * 32 + 64 <= n),
+ smp AS (SELECT fr.channel, f, s.sample - f * 32 AS i, s.y - avg(s.y) OVER (PARTITION BY fr.channel, f) AS v FROM fr JOIN ser s ON s.channel =
+ fr.channel AND s.sample BETWEEN f * 32 AND f * 32 + 63),
  win AS (SELECT channel, f, i, v * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM smp), ks AS (SELECT unnest(range(0, 33)) AS k),
  dft AS (SELECT channel, f, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM win, ks GROUP BY channel, f, k),
  scale AS (SELECT k, CASE WHEN k IN (0, 32) THEN 1.0 ELSE 2.0 END / 24.0 AS d FROM ks),
@@ -798,7 +962,9 @@ def _spectra(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {EV}, {FRAMES} SELECT channel, freq_idx, round(freq, 6) AS freq, round(power, 4) AS power FROM psd WHERE freq_idx > 0")
 def h1_welch(spark: SparkSession, sf: str) -> DataFrame:
-    return _spectra(spark, sf).where("freq_idx > 0").select("channel", F.col("freq_idx").cast("long").alias("freq_idx"), F.round("freq", 6).alias("freq"), F.round("power", 4).alias("power"))
+    return _spectra(spark, sf).where("freq_idx > 0").select(
+        "channel", F.col("freq_idx").cast("long").alias("freq_idx"), F.round("freq", 6).alias("freq"), F.round("power", 4).alias("power")
+    )
 
 
 @register(f"WITH {EV}, {FRAMES} SELECT freq_idx, round(exp(avg(ln(power))), 4) AS power FROM psd WHERE freq_idx > 0 GROUP BY freq_idx")
@@ -807,23 +973,33 @@ def h2_mean_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     return made.select(F.col("freq_idx").cast("long").alias("freq_idx"), F.round("power", 4).alias("power"))
 
 
-@register(f"""WITH {EV}, {FRAMES}, fit AS (SELECT channel, regr_slope(ln(power), ln(freq)) AS a, regr_intercept(ln(power), ln(freq)) AS b FROM psd WHERE freq BETWEEN 0.05 AND 0.45 AND NOT freq BETWEEN 0.15 AND 0.25 GROUP BY channel),
- g AS (SELECT channel, freq, power / exp(b + a * ln(freq)) AS gain FROM psd JOIN fit USING (channel) WHERE freq BETWEEN 0.15 AND 0.25) SELECT channel, round(arg_max(freq, gain), 6) AS peak_hz, round(max(gain), 5) AS peak_gain FROM g GROUP BY channel""")
+@register(f"""WITH {EV}, {FRAMES}, fit AS (SELECT channel, regr_slope(ln(power), ln(freq)) AS a, regr_intercept(ln(power), ln(freq)) AS b FROM psd
+ WHERE freq BETWEEN 0.05 AND 0.45 AND NOT freq BETWEEN 0.15 AND 0.25 GROUP BY channel),
+ g AS (SELECT channel, freq, power / exp(b + a * ln(freq)) AS gain FROM psd JOIN fit USING (channel) WHERE freq BETWEEN 0.15 AND 0.25) SELECT channel,
+ round(arg_max(freq, gain), 6) AS peak_hz, round(max(gain), 5) AS peak_gain FROM g GROUP BY channel""")
 def h3_aperiodic_peak(spark: SparkSession, sf: str) -> DataFrame:
-    return spectral.aperiodic_peak(_spectra(spark, sf), C, (0.15, 0.25), (0.05, 0.45)).select("channel", F.round("peak_hz", 6).alias("peak_hz"), F.round("peak_gain", 5).alias("peak_gain"))
+    return spectral.aperiodic_peak(_spectra(spark, sf), C, (0.15, 0.25), (0.05, 0.45)).select(
+        "channel", F.round("peak_hz", 6).alias("peak_hz"), F.round("peak_gain", 5).alias("peak_gain")
+    )
 
 
-@register(f"""WITH {EV}, {SERIES}, kern AS (SELECT q, l, exp(-l * l / (2 * s * s)) / sqrt(sum(exp(-l * l / (s * s))) OVER (PARTITION BY q)) AS w, fq FROM (SELECT q, fq, s, -3.5 * s + unnest(range(0, CAST(ceil(7 * s + 0.5) AS BIGINT))) AS l FROM (SELECT q, fq, 6.0 / (2 * pi() * fq) AS s FROM (VALUES (0, 0.1), (1, 0.2)) AS v(q, fq)))),
- kk AS (SELECT q, fq, l, w, row_number() OVER (PARTITION BY q ORDER BY l) - 1 AS j, count(*) OVER (PARTITION BY q) AS m FROM kern), mean AS (SELECT channel, avg(y) AS mu, count(*) AS n FROM ser GROUP BY channel),
- x AS (SELECT channel, sample, y - mu AS v, n FROM ser JOIN mean USING (channel)), c AS (SELECT x.channel, q, sample + j - (m - 1) // 2 AS pos, v * w * cos(2 * pi() * fq * l) AS re, v * w * sin(2 * pi() * fq * l) AS im, n FROM x, kk)
-SELECT channel, pos AS sample, CAST(q AS INTEGER) AS freq_idx, round(sum(re) * sum(re) + sum(im) * sum(im), 2) AS power FROM c WHERE pos >= 0 AND pos < n GROUP BY channel, pos, q""")
+@register(f"""WITH {EV}, {SERIES}, kern AS (SELECT q, l, exp(-l * l / (2 * s * s)) / sqrt(sum(exp(-l * l / (s * s))) OVER (PARTITION BY q)) AS w, fq
+ FROM (SELECT q, fq, s, -3.5 * s + unnest(range(0, CAST(ceil(7 * s + 0.5) AS BIGINT))) AS l FROM (SELECT q, fq, 6.0 / (2 * pi() * fq) AS s FROM
+ (VALUES (0, 0.1), (1, 0.2)) AS v(q, fq)))),
+ kk AS (SELECT q, fq, l, w, row_number() OVER (PARTITION BY q ORDER BY l) - 1 AS j, count(*) OVER (PARTITION BY q) AS m FROM kern), mean AS (SELECT
+ channel, avg(y) AS mu, count(*) AS n FROM ser GROUP BY channel),
+ x AS (SELECT channel, sample, y - mu AS v, n FROM ser JOIN mean USING (channel)), c AS (SELECT x.channel, q, sample + j - (m - 1) // 2 AS pos, v * w
+ * cos(2 * pi() * fq * l) AS re, v * w * sin(2 * pi() * fq * l) AS im, n FROM x, kk)
+SELECT channel, pos AS sample, CAST(q AS INTEGER) AS freq_idx, round(sum(re) * sum(re) + sum(im) * sum(im), 2) AS power FROM c WHERE pos >= 0 AND pos
+ < n GROUP BY channel, pos, q""")
 def h4_morlet_power(spark: SparkSession, sf: str) -> DataFrame:
     made = spectral.morlet_power(series_of(spark, sf), 1.0, [0.1, 0.2], chunk=512, series=C)
     return made.select("channel", "sample", "freq_idx", F.round("power", 2).alias("power"))
 
 
 CROSS = f"""{FRAMES.replace("count(*) AS n FROM ser GROUP BY channel), fr", "(SELECT min(c) FROM (SELECT count(*) AS c FROM ser GROUP BY channel)) AS n FROM ser GROUP BY channel), fr")},
- csd AS (SELECT a.channel AS k, b.channel AS l, a.k AS freq_idx, a.k / 64.0 AS freq, avg((a.re * b.re + a.im * b.im) * d) AS re, avg((a.re * b.im - a.im * b.re) * d) AS im FROM dft a JOIN dft b ON a.f = b.f AND a.k = b.k AND a.channel <= b.channel JOIN scale s ON s.k = a.k GROUP BY ALL)"""
+ csd AS (SELECT a.channel AS k, b.channel AS l, a.k AS freq_idx, a.k / 64.0 AS freq, avg((a.re * b.re + a.im * b.im) * d) AS re, avg((a.re * b.im -
+ a.im * b.re) * d) AS im FROM dft a JOIN dft b ON a.f = b.f AND a.k = b.k AND a.channel <= b.channel JOIN scale s ON s.k = a.k GROUP BY ALL)"""
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -833,7 +1009,9 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {EV}, {CROSS} SELECT k, l, freq_idx, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM csd WHERE freq_idx BETWEEN 1 AND 31")
 def h6_cross_spectral_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _matrix(spark, sf).where("freq_idx between 1 and 31").select("k", "l", F.col("freq_idx").cast("long").alias("freq_idx"), (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+    return _matrix(spark, sf).where("freq_idx between 1 and 31").select(
+        "k", "l", F.col("freq_idx").cast("long").alias("freq_idx"), (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im")
+    )
 
 
 def _cross(spark: SparkSession, sf: str) -> DataFrame:
@@ -841,16 +1019,24 @@ def _cross(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.cross_spectra(own.where("channel <> 'click'"), own.where("channel = 'click'").drop("channel"), None, 1.0, float(N), 0.5, U)
 
 
-@register(f"""WITH {EV}, {CROSS} SELECT c.l AS channel, c.freq_idx, round(c.re, 3) + 0.0 AS re, round(c.im, 3) + 0.0 AS im, round(p.re, 3) AS power, round(r.re, 3) AS reference_power FROM csd c JOIN csd p ON p.k = c.l AND p.l = c.l AND p.freq_idx = c.freq_idx
+@register(f"""WITH {EV}, {CROSS} SELECT c.l AS channel, c.freq_idx, round(c.re, 3) + 0.0 AS re, round(c.im, 3) + 0.0 AS im, round(p.re, 3) AS power,
+ round(r.re, 3) AS reference_power FROM csd c JOIN csd p ON p.k = c.l AND p.l = c.l AND p.freq_idx = c.freq_idx
  JOIN csd r ON r.k = 'click' AND r.l = 'click' AND r.freq_idx = c.freq_idx WHERE c.k = 'click' AND c.l <> 'click' AND c.freq_idx BETWEEN 1 AND 31""")
 def h5_cross_spectra(spark: SparkSession, sf: str) -> DataFrame:
     made = _cross(spark, sf).where("freq_idx between 1 and 31")
-    return made.select("channel", F.col("freq_idx").cast("long").alias("freq_idx"), *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im", "power", "reference_power")])
+    return made.select(
+        "channel", F.col("freq_idx").cast("long").alias("freq_idx"),
+        *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im", "power", "reference_power")]
+    )
 
 
-@register(f"""WITH {EV}, {CROSS}, b AS (SELECT c.l AS channel, sum(p.re) AS p, sum(r.re) AS r, sum(c.re) AS re, sum(c.im) AS im, sum(sqrt(c.re * c.re + c.im * c.im) * c.freq) / sum(sqrt(c.re * c.re + c.im * c.im)) AS centre FROM csd c JOIN csd p ON p.k = c.l AND p.l = c.l AND p.freq_idx = c.freq_idx
- JOIN csd r ON r.k = 'click' AND r.l = 'click' AND r.freq_idx = c.freq_idx WHERE c.k = 'click' AND c.l <> 'click' AND c.freq >= 0.1 AND c.freq < 0.3 GROUP BY c.l)
-SELECT channel, round(p / 64, 3) AS power, round((re * re + im * im) / (p * r), 6) AS coherence, round(-atan2(im, re) / (2 * pi() * centre), 5) AS lag_s FROM b""")
+@register(f"""WITH {EV}, {CROSS}, b AS (SELECT c.l AS channel, sum(p.re) AS p, sum(r.re) AS r, sum(c.re) AS re, sum(c.im) AS im, sum(sqrt(c.re * c.re
+ + c.im * c.im) * c.freq) / sum(sqrt(c.re * c.re + c.im * c.im)) AS centre FROM csd c JOIN csd p ON p.k = c.l AND p.l = c.l AND p.freq_idx =
+ c.freq_idx
+ JOIN csd r ON r.k = 'click' AND r.l = 'click' AND r.freq_idx = c.freq_idx WHERE c.k = 'click' AND c.l <> 'click' AND c.freq >= 0.1 AND c.freq < 0.3
+ GROUP BY c.l)
+SELECT channel, round(p / 64, 3) AS power, round((re * re + im * im) / (p * r), 6) AS coherence, round(-atan2(im, re) / (2 * pi() * centre), 5) AS
+ lag_s FROM b""")
 def h7_band_coupling(spark: SparkSession, sf: str) -> DataFrame:
     made = spectral.band_coupling(_cross(spark, sf), (0.1, 0.3), ("channel",))
     return made.select("channel", F.round("power", 3).alias("power"), F.round("coherence", 6).alias("coherence"), F.round("lag_s", 5).alias("lag_s"))
@@ -859,8 +1045,10 @@ def h7_band_coupling(spark: SparkSession, sf: str) -> DataFrame:
 def _robust_sql() -> str:
     steps = [f"WITH {EV}, {FRAMES}, s0 AS (SELECT channel, log10(freq) AS x, log10(power) AS y, true AS u FROM psd WHERE freq BETWEEN 0.05 AND 0.45)"]
     for i in range(4):
-        steps.append(f""" f{i} AS (SELECT channel, regr_slope(y, x) FILTER (WHERE u) AS a, regr_intercept(y, x) FILTER (WHERE u) AS b FROM s{i} GROUP BY channel), r{i} AS (SELECT s.channel, x, y, u, y - f.b - f.a * x AS r, f.a, f.b FROM s{i} s JOIN f{i} f ON f.channel = s.channel),
- d{i} AS (SELECT channel, stddev_samp(r) FILTER (WHERE u) AS sd, count(*) FILTER (WHERE u) AS m FROM r{i} GROUP BY channel), s{i + 1} AS (SELECT channel, x, y, CASE WHEN m > 2 THEN r <= sd ELSE u END AS u, r, a, b FROM r{i} JOIN d{i} USING (channel))""")
+        steps.append(f""" f{i} AS (SELECT channel, regr_slope(y, x) FILTER (WHERE u) AS a, regr_intercept(y, x) FILTER (WHERE u) AS b FROM s{i} GROUP
+ BY channel), r{i} AS (SELECT s.channel, x, y, u, y - f.b - f.a * x AS r, f.a, f.b FROM s{i} s JOIN f{i} f ON f.channel = s.channel),
+ d{i} AS (SELECT channel, stddev_samp(r) FILTER (WHERE u) AS sd, count(*) FILTER (WHERE u) AS m FROM r{i} GROUP BY channel), s{i + 1} AS (SELECT
+ channel, x, y, CASE WHEN m > 2 THEN r <= sd ELSE u END AS u, r, a, b FROM r{i} JOIN d{i} USING (channel))""")
     return ",".join(steps) + " SELECT channel, round(any_value(b), 5) AS offset_, round(-any_value(a), 5) AS exponent, round(1 - var_pop(r) FILTER (WHERE u) / var_pop(y) FILTER (WHERE u), 5) AS r_squared FROM s4 GROUP BY channel"
 
 
@@ -893,7 +1081,9 @@ def i2_bandpass_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return _filtered(spark, sf).select("channel", "sample", *r6("filtered", "envelope"))
 
 
-@register(f"WITH {EV}, m AS (SELECT channel, median(y) AS med FROM ev GROUP BY channel) SELECT channel, round(any_value(med) + 4 * 1.4826 * median(abs(y - med)), 6) AS threshold, round(any_value(med), 6) AS median, round(1.4826 * median(abs(y - med)), 6) AS robust_std FROM ev JOIN m USING (channel) GROUP BY channel")
+@register(f"""WITH {EV}, m AS (SELECT channel, median(y) AS med FROM ev GROUP BY channel) SELECT channel, round(any_value(med) + 4 * 1.4826 *
+ median(abs(y - med)), 6) AS threshold, round(any_value(med), 6) AS median, round(1.4826 * median(abs(y - med)), 6) AS robust_std FROM ev JOIN m USING
+ (channel) GROUP BY channel""")
 def i3_robust_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return oscillation.robust_threshold(event_samples(spark, sf), 4.0, C, "y").select("channel", *r6("threshold", "median", "robust_std"))
 
@@ -930,10 +1120,12 @@ BURSTS = f"""{ENVELOPED}, {FREQUENCY}, med AS (SELECT channel, quantile_cont(y,
  lvl AS (SELECT channel, any_value(m) + 0.5 * 1.4826 * quantile_cont(abs(y - m), 0.5) AS lvl FROM env JOIN med USING (channel) GROUP BY channel),
  lev AS (SELECT fq.*, lvl FROM fq JOIN lvl USING (channel)), {epochs_sql('burst', 'lev', 'channel', 'y > lvl', 1.0, 3.0)},
  ins AS (SELECT b.channel, b.epoch_id, max(p.y) AS peak_env, quantile_cont(p.frequency, 0.5) FILTER (WHERE p.idx < b.end_idx) AS frequency_hz,
-  min(p.t) FILTER (WHERE p.y > p.lvl AND p.t - b.start_s + 1 >= 3) AS c FROM burst b JOIN burst_p p ON p.channel = b.channel AND p.idx BETWEEN b.start_idx AND b.end_idx GROUP BY ALL)"""
+  min(p.t) FILTER (WHERE p.y > p.lvl AND p.t - b.start_s + 1 >= 3) AS c FROM burst b JOIN burst_p p ON p.channel = b.channel AND p.idx BETWEEN
+ b.start_idx AND b.end_idx GROUP BY ALL)"""
 
 
-@register(f"""WITH {EV}, {BURSTS} SELECT channel, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s', 'duration_s', 'peak_env', 'frequency_hz')}, round(coalesce(c, end_s), 6) + 0.0 AS confirmed_s
+@register(f"""WITH {EV}, {BURSTS} SELECT channel, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s', 'duration_s', 'peak_env', 'frequency_hz')},
+ round(coalesce(c, end_s), 6) + 0.0 AS confirmed_s
 FROM burst JOIN ins USING (channel, epoch_id)""")
 def i6_bursts_of_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     own = _enveloped(spark, sf)
@@ -942,14 +1134,18 @@ def i6_bursts_of_envelopes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Wavelet power on 13 frequencies from 0.05 on, four an octave.
-BOSC_POWER = f"""{SERIES}, wave AS (SELECT q, 0.05 * pow(2, q / 4.0) AS fq, 6.0 / (2 * pi() * 0.05 * pow(2, q / 4.0)) AS s FROM (SELECT unnest(range(0, 13)) AS q)),
- tap AS (SELECT q, fq, j, j - 3.5 * s AS l, exp(-(j - 3.5 * s) * (j - 3.5 * s) / (2 * s * s)) AS g, ceil(7 * s + 0.5) AS m FROM (SELECT *, unnest(range(0, CAST(ceil(7 * s + 0.5) AS BIGINT))) AS j FROM wave)),
+BOSC_POWER = f"""{SERIES}, wave AS (SELECT q, 0.05 * pow(2, q / 4.0) AS fq, 6.0 / (2 * pi() * 0.05 * pow(2, q / 4.0)) AS s FROM (SELECT
+ unnest(range(0, 13)) AS q)),
+ tap AS (SELECT q, fq, j, j - 3.5 * s AS l, exp(-(j - 3.5 * s) * (j - 3.5 * s) / (2 * s * s)) AS g, ceil(7 * s + 0.5) AS m FROM (SELECT *,
+ unnest(range(0, CAST(ceil(7 * s + 0.5) AS BIGINT))) AS j FROM wave)),
  unit AS (SELECT q, sqrt(sum(g * g)) AS norm FROM tap GROUP BY q), mu AS (SELECT channel, avg(y) AS mu, count(*) AS n FROM ser GROUP BY channel),
- conv AS (SELECT ser.channel, q, sample + j - CAST(floor((m - 1) / 2) AS BIGINT) AS pos, (y - mu) * g / norm * cos(2 * pi() * fq * l) AS re, (y - mu) * g / norm * sin(2 * pi() * fq * l) AS im, n
+ conv AS (SELECT ser.channel, q, sample + j - CAST(floor((m - 1) / 2) AS BIGINT) AS pos, (y - mu) * g / norm * cos(2 * pi() * fq * l) AS re, (y - mu)
+ * g / norm * sin(2 * pi() * fq * l) AS im, n
   FROM ser JOIN mu USING (channel), tap JOIN unit USING (q)),
  pw AS (SELECT channel, q, pos AS sample, sum(re) * sum(re) + sum(im) * sum(im) AS power FROM conv WHERE pos >= 0 AND pos < n GROUP BY channel, q, pos),
  mean AS (SELECT channel, q, fq, avg(power) AS mp FROM pw JOIN wave USING (q) GROUP BY channel, q, fq)"""
-LINE = """fit AS (SELECT channel, regr_slope(ln(mp), ln(fq)) AS a, regr_intercept(ln(mp), ln(fq)) AS b FROM mean WHERE NOT fq BETWEEN 0.1 AND 0.2 GROUP BY channel),
+LINE = """fit AS (SELECT channel, regr_slope(ln(mp), ln(fq)) AS a, regr_intercept(ln(mp), ln(fq)) AS b FROM mean WHERE NOT fq BETWEEN 0.1 AND 0.2
+ GROUP BY channel),
  lev AS (SELECT channel, q, fq, exp(b + a * ln(fq)) AS bg FROM mean JOIN fit USING (channel))"""
 GIVEN = "lev AS (SELECT channel, q, fq, 40000.0 / (1 + q) AS bg FROM mean)"
 
@@ -958,13 +1154,17 @@ def _episodes_sql(levels: str) -> str:
     """Cycles over the background's bound of 0.95 that last for two periods, their union over the band, and its dominant frequency."""
     return f"""WITH {EV}, {BOSC_POWER}, {levels},
  det AS (SELECT channel, q, fq, bg, sample, power, power > bg * -ln(1 - 0.95) AS up FROM pw JOIN lev USING (channel, q) WHERE fq BETWEEN 0.1 AND 0.2),
- cyc AS (SELECT channel, q, fq, g, min(sample) AS a, max(sample) AS b FROM (SELECT *, sample - row_number() OVER (PARTITION BY channel, q ORDER BY sample) AS g FROM det WHERE up) GROUP BY channel, q, fq, g HAVING max(sample) - min(sample) + 1 >= 2.0 / fq),
+ cyc AS (SELECT channel, q, fq, g, min(sample) AS a, max(sample) AS b FROM (SELECT *, sample - row_number() OVER (PARTITION BY channel, q ORDER BY
+ sample) AS g FROM det WHERE up) GROUP BY channel, q, fq, g HAVING max(sample) - min(sample) + 1 >= 2.0 / fq),
  held AS (SELECT d.*, c.a IS NOT NULL AS detected FROM det d LEFT JOIN cyc c ON c.channel = d.channel AND c.q = d.q AND d.sample BETWEEN c.a AND c.b),
  flat AS (SELECT channel, sample FROM held GROUP BY channel, sample HAVING bool_or(detected)),
- ep AS (SELECT channel, min(sample) AS a, max(sample) AS b FROM (SELECT *, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS g FROM flat) GROUP BY channel, g),
- wt AS (SELECT e.channel, e.a, h.fq, sum(CASE WHEN detected THEN power / bg ELSE 0 END) AS w FROM ep e JOIN held h ON h.channel = e.channel AND h.sample BETWEEN e.a AND e.b GROUP BY ALL),
+ ep AS (SELECT channel, min(sample) AS a, max(sample) AS b FROM (SELECT *, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS g FROM
+ flat) GROUP BY channel, g),
+ wt AS (SELECT e.channel, e.a, h.fq, sum(CASE WHEN detected THEN power / bg ELSE 0 END) AS w FROM ep e JOIN held h ON h.channel = e.channel AND
+ h.sample BETWEEN e.a AND e.b GROUP BY ALL),
  best AS (SELECT channel, a, arg_max(fq, {{'w': w, 'f': -fq}}) AS f FROM wt GROUP BY channel, a)
-SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY a) - 1 AS epoch_id, a AS start_idx, b AS end_idx, round(f, 6) AS frequency_hz, round(least(a + 2.0 / f, b), 6) AS confirmed_s FROM ep JOIN best USING (channel, a)"""
+SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY a) - 1 AS epoch_id, a AS start_idx, b AS end_idx, round(f, 6) AS frequency_hz,
+ round(least(a + 2.0 / f, b), 6) AS confirmed_s FROM ep JOIN best USING (channel, a)"""
 
 
 def _bosc(spark: SparkSession, sf: str, background: DataFrame | None = None) -> DataFrame:
@@ -984,7 +1184,8 @@ def i10_bosc_background(spark: SparkSession, sf: str) -> DataFrame:
     return _bosc(spark, sf, spark.range(13).select(F.col("id").cast("int").alias("freq_idx"), (F.lit(40000.0) / (1 + F.col("id"))).alias("background")))
 
 
-@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, epoch_id, rank, round(start_s - 60, 6) AS window_lo, round(end_s + 60, 6) AS window_hi FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY end_idx - start_idx DESC, start_idx) AS rank FROM bout) WHERE rank <= 3""")
+@register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, epoch_id, rank, round(start_s - 60, 6) AS window_lo, round(end_s + 60, 6) AS window_hi
+ FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY end_idx - start_idx DESC, start_idx) AS rank FROM bout) WHERE rank <= 3""")
 def i11_top_bursts(spark: SparkSession, sf: str) -> DataFrame:
     made = oscillation.top_bursts(bouts_of(event_samples(spark, sf)), 3, 60.0, U)
     return made.select("subject", "epoch_id", F.col("rank").cast("long").alias("rank"), *r6("window_lo", "window_hi"))
@@ -992,23 +1193,32 @@ def i11_top_bursts(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- J: locomotion ----------------------------------------------------------------------------------------------------
 
-BOUTS = f"ok3 AS (SELECT * FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)), {epochs_sql('bout', src='ok3', mask='y >= 30')}"
-STATS = """st AS (SELECT b.subject, b.epoch_id, avg(p.y) AS mean_speed_cms, max(p.y) AS peak_speed_cms, arg_max(p.t, {'v': p.y, 'i': -p.idx}) - any_value(b.start_s) AS time_to_peak_s,
- coalesce(sum(CASE WHEN p.idx > b.start_idx THEN p.y * p.gap END), 0) / 100 AS distance_m FROM bout b JOIN bout_p p ON p.subject = b.subject AND p.idx BETWEEN b.start_idx AND b.end_idx GROUP BY b.subject, b.epoch_id)"""
+BOUTS = f"""ok3 AS (SELECT * FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)),
+ {epochs_sql('bout', src='ok3', mask='y >= 30')}"""
+STATS = """st AS (SELECT b.subject, b.epoch_id, avg(p.y) AS mean_speed_cms, max(p.y) AS peak_speed_cms, arg_max(p.t, {'v': p.y, 'i': -p.idx}) -
+ any_value(b.start_s) AS time_to_peak_s,
+ coalesce(sum(CASE WHEN p.idx > b.start_idx THEN p.y * p.gap END), 0) / 100 AS distance_m FROM bout b JOIN bout_p p ON p.subject = b.subject AND p.idx
+ BETWEEN b.start_idx AND b.end_idx GROUP BY b.subject, b.epoch_id)"""
 
 
 def _bouts(spark: SparkSession, sf: str) -> DataFrame:
     return locomotion.bout_events(event_samples(spark, sf), 30.0, merge_gap_s=HOUR, keys=U)
 
 
-@register(f"WITH {EV}, {BOUTS}, {STATS} SELECT subject, epoch_id, round(duration_s, 3) AS duration_s, {q6('mean_speed_cms', 'peak_speed_cms')}, round(time_to_peak_s, 3) AS time_to_peak_s, round(distance_m, 3) AS distance_m FROM bout JOIN st USING (subject, epoch_id)")
+@register(f"""WITH {EV}, {BOUTS}, {STATS} SELECT subject, epoch_id, round(duration_s, 3) AS duration_s, {q6('mean_speed_cms', 'peak_speed_cms')},
+ round(time_to_peak_s, 3) AS time_to_peak_s, round(distance_m, 3) AS distance_m FROM bout JOIN st USING (subject, epoch_id)""")
 def j2_bout_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _bouts(spark, sf).select("subject", "epoch_id", F.round("duration_s", 3).alias("duration_s"), *r6("mean_speed_cms", "peak_speed_cms"), F.round("time_to_peak_s", 3).alias("time_to_peak_s"), F.round("distance_m", 3).alias("distance_m"))
+    return _bouts(spark, sf).select(
+        "subject", "epoch_id", F.round("duration_s", 3).alias("duration_s"), *r6("mean_speed_cms", "peak_speed_cms"),
+        F.round("time_to_peak_s", 3).alias("time_to_peak_s"), F.round("distance_m", 3).alias("distance_m")
+    )
 
 
-QUIET = f"""{BOUTS}, lastp AS (SELECT subject, max(idx) AS n FROM bout_p GROUP BY subject), q AS (SELECT subject, coalesce(lag(end_idx) OVER (PARTITION BY subject ORDER BY start_idx) + 1, 0) AS s, start_idx - 1 AS e FROM bout
+QUIET = f"""{BOUTS}, lastp AS (SELECT subject, max(idx) AS n FROM bout_p GROUP BY subject), q AS (SELECT subject, coalesce(lag(end_idx) OVER
+ (PARTITION BY subject ORDER BY start_idx) + 1, 0) AS s, start_idx - 1 AS e FROM bout
  UNION ALL SELECT subject, coalesce(m + 1, 0), n FROM lastp LEFT JOIN (SELECT subject, max(end_idx) AS m FROM bout GROUP BY subject) USING (subject)),
- quiet AS (SELECT q.subject, q.s AS start_idx, q.e AS end_idx, a.t AS start_s, b.t AS end_s FROM q JOIN bout_p a ON a.subject = q.subject AND a.idx = q.s JOIN bout_p b ON b.subject = q.subject AND b.idx = q.e JOIN bout_d d ON d.subject = q.subject WHERE q.e >= q.s AND b.t - a.t + step >= 40000)"""
+ quiet AS (SELECT q.subject, q.s AS start_idx, q.e AS end_idx, a.t AS start_s, b.t AS end_s FROM q JOIN bout_p a ON a.subject = q.subject AND a.idx =
+ q.s JOIN bout_p b ON b.subject = q.subject AND b.idx = q.e JOIN bout_d d ON d.subject = q.subject WHERE q.e >= q.s AND b.t - a.t + step >= 40000)"""
 
 
 @register(f"WITH {EV}, {QUIET} SELECT subject, start_idx, end_idx, {q6('start_s', 'end_s')} FROM quiet")
@@ -1017,26 +1227,42 @@ def j5_quiescent_runs(spark: SparkSession, sf: str) -> DataFrame:
     return locomotion.quiescent_runs(own, _bouts(spark, sf), 40000.0, U).select("subject", "start_idx", "end_idx", *r6("start_s", "end_s"))
 
 
-@register(f"""WITH {EV}, {BOUTS}, span AS (SELECT subject, 100000.0 AS lo, 2000000.0 AS hi FROM ev GROUP BY subject), c AS (SELECT b.*, lo, hi, greatest(lo, coalesce(max(end_s) OVER (PARTITION BY subject ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS c, row_number() OVER (PARTITION BY subject ORDER BY start_s) = 1 AS first FROM bout b JOIN span USING (subject)),
- i AS (SELECT subject, c AS s, least(start_s, hi) AS e, epoch_id AS next_bout, first AS opens FROM c WHERE start_s > c AND c < hi), m AS (SELECT span.subject, greatest(lo, coalesce(m, lo)) AS s, hi, m IS NULL AS opens FROM span LEFT JOIN (SELECT subject, max(end_s) AS m FROM bout GROUP BY subject) USING (subject)),
+@register(f"""WITH {EV}, {BOUTS}, span AS (SELECT subject, 100000.0 AS lo, 2000000.0 AS hi FROM ev GROUP BY subject), c AS (SELECT b.*, lo, hi,
+ greatest(lo, coalesce(max(end_s) OVER (PARTITION BY subject ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS c,
+ row_number() OVER (PARTITION BY subject ORDER BY start_s) = 1 AS first FROM bout b JOIN span USING (subject)),
+ i AS (SELECT subject, c AS s, least(start_s, hi) AS e, epoch_id AS next_bout, first AS opens FROM c WHERE start_s > c AND c < hi), m AS (SELECT
+ span.subject, greatest(lo, coalesce(m, lo)) AS s, hi, m IS NULL AS opens FROM span LEFT JOIN (SELECT subject, max(end_s) AS m FROM bout GROUP BY
+ subject) USING (subject)),
  a AS (SELECT * FROM i UNION ALL SELECT subject, s, hi, NULL, opens FROM m WHERE s < hi)
-SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY s) - 1 AS epoch_id, round(s, 6) AS start_s, round(e, 6) AS end_s, coalesce(next_bout, -1) AS next_bout, next_bout IS NULL AS censored, opens AS opens_recording FROM a WHERE e - s >= 1000""")
+SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY s) - 1 AS epoch_id, round(s, 6) AS start_s, round(e, 6) AS end_s, coalesce(next_bout,
+ -1) AS next_bout, next_bout IS NULL AS censored, opens AS opens_recording FROM a WHERE e - s >= 1000""")
 def j6_quiescent_periods(spark: SparkSession, sf: str) -> DataFrame:
     spans = event_samples(spark, sf).select("subject").distinct().withColumn("lo", F.lit(100000.0)).withColumn("hi", F.lit(2000000.0))
     made = locomotion.quiescent_periods(_bouts(spark, sf), spans, 1000.0, U)
-    return made.select("subject", "epoch_id", *r6("start_s", "end_s"), F.coalesce("next_bout", F.lit(-1)).cast("long").alias("next_bout"), "censored", "opens_recording")
+    return made.select(
+        "subject", "epoch_id", *r6("start_s", "end_s"), F.coalesce("next_bout", F.lit(-1)).cast("long").alias("next_bout"), "censored",
+        "opens_recording"
+    )
 
 
-@register(f"""WITH {EV}, {BOUTS}, {STATS} SELECT CASE WHEN duration_s >= 40000 AND abs(mean_speed_cms) >= 80 THEN 'Long & fast' WHEN abs(mean_speed_cms) >= 80 THEN 'Short & fast' WHEN duration_s >= 40000 THEN 'Long & slow' ELSE 'Short & slow' END AS bout_type, count(*) AS n FROM bout JOIN st USING (subject, epoch_id) GROUP BY bout_type""")
+@register(f"""WITH {EV}, {BOUTS}, {STATS} SELECT CASE WHEN duration_s >= 40000 AND abs(mean_speed_cms) >= 80 THEN 'Long & fast' WHEN
+ abs(mean_speed_cms) >= 80 THEN 'Short & fast' WHEN duration_s >= 40000 THEN 'Long & slow' ELSE 'Short & slow' END AS bout_type, count(*) AS n FROM
+ bout JOIN st USING (subject, epoch_id) GROUP BY bout_type""")
 def j7_bout_types(spark: SparkSession, sf: str) -> DataFrame:
     return locomotion.classify_bouts(_bouts(spark, sf), 40000.0, 80.0).groupBy("bout_type").agg(F.count("*").alias("n"))
 
 
-@register(f"""WITH {EV}, r AS (SELECT DISTINCT subject, session FROM ev), n AS (SELECT subject, session, count(*) AS n, avg(y / 10) AS m FROM ev WHERE channel = 'click' AND t BETWEEN 100000 AND 2000000 GROUP BY ALL), d AS (SELECT subject, session, bool_or(channel = 'error') AS alive FROM ev GROUP BY ALL)
-SELECT subject, session, CASE WHEN n > 0 THEN 'ok' WHEN alive THEN 'still' ELSE 'missing' END AS status, coalesce(n, 0) AS n, round(m, 6) AS mean_speed_cms FROM r LEFT JOIN n USING (subject, session) LEFT JOIN d USING (subject, session)""")
+@register(f"""WITH {EV}, r AS (SELECT DISTINCT subject, session FROM ev), n AS (SELECT subject, session, count(*) AS n, avg(y / 10) AS m FROM ev WHERE
+ channel = 'click' AND t BETWEEN 100000 AND 2000000 GROUP BY ALL), d AS (SELECT subject, session, bool_or(channel = 'error') AS alive FROM ev GROUP BY
+ ALL)
+SELECT subject, session, CASE WHEN n > 0 THEN 'ok' WHEN alive THEN 'still' ELSE 'missing' END AS status, coalesce(n, 0) AS n, round(m, 6) AS
+ mean_speed_cms FROM r LEFT JOIN n USING (subject, session) LEFT JOIN d USING (subject, session)""")
 def j8_treadmill_status(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
-    made = locomotion.treadmill_status(own.where("channel = 'click'"), own.withColumn("device_id", F.col("channel")), own, (100000.0, 2000000.0), "error", 10.0, ("subject", "session"))
+    made = locomotion.treadmill_status(
+        own.where("channel = 'click'"), own.withColumn("device_id", F.col("channel")), own, (100000.0, 2000000.0), "error", 10.0,
+        ("subject", "session")
+    )
     return made.select("subject", "session", "status", "n", *r6("mean_speed_cms"))
 
 
@@ -1045,24 +1271,36 @@ def j8_treadmill_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def own_gaps_sql(source: str, out: str) -> str:
     """CTEs from (channel, i, t, y) to the same with v, whose gaps are interpolated in time."""
-    return f"""{out}_k AS (SELECT * FROM {source} WHERE y IS NOT NULL), {out}_p AS (SELECT g.*, a.t AS pt, a.y AS py FROM {source} g ASOF LEFT JOIN {out}_k a ON g.channel = a.channel AND g.t >= a.t),
+    return f"""{out}_k AS (SELECT * FROM {source} WHERE y IS NOT NULL), {out}_p AS (SELECT g.*, a.t AS pt, a.y AS py FROM {source} g ASOF LEFT JOIN
+ {out}_k a ON g.channel = a.channel AND g.t >= a.t),
  {out}_n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM {out}_p p ASOF LEFT JOIN {out}_k b ON p.channel = b.channel AND p.t <= b.t),
- {out} AS (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t - pt) / (nt - pt) END AS v FROM {out}_n)"""
+ {out} AS (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t
+ - pt) / (nt - pt) END AS v FROM {out}_n)"""
 
 
 def peaks_sql(source: str, prominence: float) -> str:
     """CTEs from (channel, i, t, y, v) to peaks, every pair of runs of equal values compared: no distance is kept between peaks."""
-    side = lambda name, pick, less, lo, hi: f"""{name}_h AS (SELECT p.channel, p.r, {pick}(o.r) AS h FROM pk p LEFT JOIN flat o ON o.channel = p.channel AND o.r {less} p.r AND o.v > p.v GROUP BY ALL),
- {name} AS (SELECT h.channel, h.r, min(o.v) AS low FROM {name}_h h JOIN flat o ON o.channel = h.channel AND o.r >= {lo} AND o.r <= {hi} GROUP BY ALL)"""
-    return f"""mark AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY channel ORDER BY i) THEN 0 ELSE 1 END AS new FROM {source}), num AS (SELECT *, sum(new) OVER (PARTITION BY channel ORDER BY i) AS r FROM mark),
- flat AS (SELECT channel, r, any_value(v) AS v, min(i) AS a, max(i) AS b FROM num GROUP BY channel, r), nb AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM flat WINDOW w AS (PARTITION BY channel ORDER BY r)),
- pk AS (SELECT channel, r, v, (a + b) // 2 AS i FROM nb WHERE pv < v AND nv < v), {side('left_', 'max', '<', 'coalesce(h.h + 1, 0)', 'h.r')}, {side('right_', 'min', '>', 'h.r', 'coalesce(h.h - 1, 1000000000)')},
- good AS (SELECT *, lag(i, 1, 0) OVER w AS before, lead(i) OVER w AS after FROM (SELECT pk.*, pk.v - greatest(l.low, g.low) AS prominence FROM pk JOIN left_ l USING (channel, r) JOIN right_ g USING (channel, r)) WHERE prominence >= {prominence} WINDOW w AS (PARTITION BY channel ORDER BY i)),
- ends AS (SELECT g.channel, g.i, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i <= g.i) AS onset, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i >= g.i AND (after IS NULL OR s.i < after)) AS trough
+    side = lambda name, pick, less, lo, hi: f"""{name}_h AS (SELECT p.channel, p.r, {pick}(o.r) AS h FROM pk p LEFT JOIN flat o ON o.channel =
+ p.channel AND o.r {less} p.r AND o.v > p.v GROUP BY ALL),
+ {name} AS (SELECT h.channel, h.r, min(o.v) AS low FROM {name}_h h JOIN flat o ON o.channel = h.channel AND o.r >= {lo} AND o.r <= {hi} GROUP BY
+ ALL)"""
+    return f"""mark AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY channel ORDER BY i) THEN 0 ELSE 1 END AS new FROM {source}), num AS (SELECT
+ *, sum(new) OVER (PARTITION BY channel ORDER BY i) AS r FROM mark),
+ flat AS (SELECT channel, r, any_value(v) AS v, min(i) AS a, max(i) AS b FROM num GROUP BY channel, r), nb AS (SELECT *, lag(v) OVER w AS pv, lead(v)
+ OVER w AS nv FROM flat WINDOW w AS (PARTITION BY channel ORDER BY r)),
+ pk AS (SELECT channel, r, v, (a + b) // 2 AS i FROM nb WHERE pv < v AND nv < v), {side('left_', 'max', '<', 'coalesce(h.h + 1, 0)', 'h.r')},
+ {side('right_', 'min', '>', 'h.r', 'coalesce(h.h - 1, 1000000000)')},
+ good AS (SELECT *, lag(i, 1, 0) OVER w AS before, lead(i) OVER w AS after FROM (SELECT pk.*, pk.v - greatest(l.low, g.low) AS prominence FROM pk JOIN
+ left_ l USING (channel, r) JOIN right_ g USING (channel, r)) WHERE prominence >= {prominence} WINDOW w AS (PARTITION BY channel ORDER BY i)),
+ ends AS (SELECT g.channel, g.i, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i <= g.i) AS onset, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER
+ (WHERE s.i >= g.i AND (after IS NULL OR s.i < after)) AS trough
   FROM good g JOIN {source} s ON s.channel = g.channel AND s.i >= before AND (after IS NULL OR s.i < after) GROUP BY g.channel, g.i),
- sound AS (SELECT e.channel, e.i, onset, trough FROM ends e JOIN {source} s ON s.channel = e.channel AND s.i BETWEEN onset AND trough GROUP BY ALL HAVING count(*) = count(s.y)),
- peaks AS (SELECT g.channel, o.t AS onset_s, p.t AS peak_s, q.t AS trough_s, o.v AS onset_value, p.v AS peak_value, q.v AS trough_value, g.prominence, p.v - o.v AS amplitude, p.t - o.t AS rise_s, q.t - p.t AS constriction_s
-  FROM sound e JOIN good g USING (channel, i) JOIN {source} o ON o.channel = e.channel AND o.i = onset JOIN {source} p ON p.channel = e.channel AND p.i = e.i JOIN {source} q ON q.channel = e.channel AND q.i = trough)"""
+ sound AS (SELECT e.channel, e.i, onset, trough FROM ends e JOIN {source} s ON s.channel = e.channel AND s.i BETWEEN onset AND trough GROUP BY ALL
+ HAVING count(*) = count(s.y)),
+ peaks AS (SELECT g.channel, o.t AS onset_s, p.t AS peak_s, q.t AS trough_s, o.v AS onset_value, p.v AS peak_value, q.v AS trough_value, g.prominence,
+ p.v - o.v AS amplitude, p.t - o.t AS rise_s, q.t - p.t AS constriction_s
+  FROM sound e JOIN good g USING (channel, i) JOIN {source} o ON o.channel = e.channel AND o.i = onset JOIN {source} p ON p.channel = e.channel AND
+ p.i = e.i JOIN {source} q ON q.channel = e.channel AND q.i = trough)"""
 
 
 PEAKS = ("onset_s", "peak_s", "trough_s", "onset_value", "peak_value", "trough_value", "prominence", "amplitude", "rise_s", "constriction_s")
@@ -1074,14 +1312,17 @@ def k1_prominence_events(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 2000.0, C)
 
 
-@register(f"WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0)} SELECT channel, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks")
+@register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0)} SELECT channel,
+ {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k1_peaks_without_distance(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 0.0, C).select("channel", *[(F.round(c, 4) + 0.0).alias(c) for c in PEAKS])
 
 
-@register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, k AS (SELECT channel, i AS sample, v AS y, count(*) OVER (PARTITION BY channel) AS n FROM whole),
+@register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, k AS (SELECT channel, i AS sample, v AS y, count(*) OVER (PARTITION BY channel)
+ AS n FROM whole),
  med AS (SELECT channel, sample AS i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)), {sg5_sql('med', 'smooth')}
-SELECT s.channel, s.i AS sample, CASE WHEN g.y IS NOT NULL THEN round(s.v, 5) + 0.0 END AS smoothed FROM smooth s JOIN gapped g ON g.channel = s.channel AND g.i = s.i""")
+SELECT s.channel, s.i AS sample, CASE WHEN g.y IS NOT NULL THEN round(s.v, 5) + 0.0 END AS smoothed FROM smooth s JOIN gapped g ON g.channel =
+ s.channel AND g.i = s.i""")
 def k2_smoothed_pupil(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C).select("channel", "sample", (F.round("smoothed", 5) + 0.0).alias("smoothed"))
 
@@ -1091,7 +1332,8 @@ def k3_dilation_events(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.dilation_events(pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C), 10.0, 2000.0, C)
 
 
-@register(f"WITH {EV}, {GAPPED}, rough AS (SELECT channel, i, t, floor(y / 10) * 10 AS y FROM gapped), {own_gaps_sql('rough', 'whole')}, {peaks_sql('whole', 40.0)} SELECT channel, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks")
+@register(f"""WITH {EV}, {GAPPED}, rough AS (SELECT channel, i, t, floor(y / 10) * 10 AS y FROM gapped), {own_gaps_sql('rough', 'whole')},
+ {peaks_sql('whole', 40.0)} SELECT channel, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k3_dilations_of_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of a given smoothed column, with plateaus: values in tens."""
     rough = _gaps(series_of(spark, sf)).withColumn("smoothed", F.floor(F.col("y") / 10) * 10.0)
@@ -1100,18 +1342,26 @@ def k3_dilations_of_smoothed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _still(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     own = event_samples(spark, sf)
-    return pupil.quiescent_samples(own.where("channel = 'view'"), own.where("channel <> 'view'"), 30.0, 43200.0, 1.0, HOUR, 0.0, 86400.0, ("subject", "session"))
+    return pupil.quiescent_samples(
+        own.where("channel = 'view'"), own.where("channel <> 'view'"), 30.0, 43200.0, 1.0, HOUR, 0.0, 86400.0, ("subject", "session")
+    )
 
 
 #: Of the first session: other channels as a treadmill, views as a pupil on its clock, and the stretches between bouts.
-STILL = f"""own AS (SELECT * FROM ev WHERE channel <> 'view' AND session = 'ses-01' AND y IS NOT NULL), pup AS (SELECT subject, t, y FROM ev WHERE channel = 'view' AND session = 'ses-01'),
- pa AS (SELECT a.subject, a.t, b.t AS pt, b.y AS py FROM own a ASOF LEFT JOIN pup b ON a.subject = b.subject AND a.t >= b.t), na AS (SELECT a.*, b.t AS nt, b.y AS ny FROM pa a ASOF LEFT JOIN pup b ON a.subject = b.subject AND a.t <= b.t),
- al AS (SELECT subject, t, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 43200 THEN py END WHEN nt - t <= 43200 THEN ny END AS pupil FROM na),
- ok3 AS (SELECT * FROM own WHERE subject IN (SELECT subject FROM own GROUP BY subject HAVING count(*) >= 3)), {epochs_sql('bout', src='ok3', mask='y >= 30', least=1.0)},
- pos AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, sample) - 1 AS idx FROM own), lastp AS (SELECT subject, max(idx) AS n FROM pos GROUP BY subject),
+STILL = f"""own AS (SELECT * FROM ev WHERE channel <> 'view' AND session = 'ses-01' AND y IS NOT NULL), pup AS (SELECT subject, t, y FROM ev WHERE
+ channel = 'view' AND session = 'ses-01'),
+ pa AS (SELECT a.subject, a.t, b.t AS pt, b.y AS py FROM own a ASOF LEFT JOIN pup b ON a.subject = b.subject AND a.t >= b.t), na AS (SELECT a.*, b.t
+ AS nt, b.y AS ny FROM pa a ASOF LEFT JOIN pup b ON a.subject = b.subject AND a.t <= b.t),
+ al AS (SELECT subject, t, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 43200 THEN py END WHEN nt - t <=
+ 43200 THEN ny END AS pupil FROM na),
+ ok3 AS (SELECT * FROM own WHERE subject IN (SELECT subject FROM own GROUP BY subject HAVING count(*) >= 3)),
+ {epochs_sql('bout', src='ok3', mask='y >= 30', least=1.0)},
+ pos AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, sample) - 1 AS idx FROM own), lastp AS (SELECT subject, max(idx) AS n FROM pos
+ GROUP BY subject),
  q AS (SELECT subject, coalesce(lag(end_idx) OVER (PARTITION BY subject ORDER BY start_idx) + 1, 0) AS s, start_idx - 1 AS e FROM bout
   UNION ALL SELECT subject, coalesce(m + 1, 0), n FROM lastp LEFT JOIN (SELECT subject, max(end_idx) AS m FROM bout GROUP BY subject) USING (subject)),
- quiet AS (SELECT q.subject, a.t AS start_s, b.t AS end_s FROM q JOIN pos a ON a.subject = q.subject AND a.idx = q.s JOIN pos b ON b.subject = q.subject AND b.idx = q.e WHERE q.e >= q.s),
+ quiet AS (SELECT q.subject, a.t AS start_s, b.t AS end_s FROM q JOIN pos a ON a.subject = q.subject AND a.idx = q.s JOIN pos b ON b.subject =
+ q.subject AND b.idx = q.e WHERE q.e >= q.s),
  ins AS (SELECT al.subject, t, pupil FROM al JOIN quiet k ON k.subject = al.subject AND al.t BETWEEN start_s AND end_s WHERE pupil IS NOT NULL)"""
 
 
@@ -1121,12 +1371,14 @@ def k4_quiescent_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {EV}, {STILL}, ne AS (SELECT subject, count(*) AS e FROM quiet GROUP BY subject)
-SELECT subject, round(quantile_cont(pupil, 0.5), 6) + 0.0 AS baseline_pupil, count(*) AS n_samples, any_value(e) AS n_quiescent_epochs_used, count(*) < 3 OR any_value(e) < 2 AS few FROM ins JOIN ne USING (subject) GROUP BY subject""")
+SELECT subject, round(quantile_cont(pupil, 0.5), 6) + 0.0 AS baseline_pupil, count(*) AS n_samples, any_value(e) AS n_quiescent_epochs_used, count(*)
+ < 3 OR any_value(e) < 2 AS few FROM ins JOIN ne USING (subject) GROUP BY subject""")
 def k5_session_baselines(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.session_baselines(*_still(spark, sf), "ses-01", 3, 2).select("subject", *r6("baseline_pupil"), "n_samples", "n_quiescent_epochs_used", "few")
 
 
-@register(f"WITH {EV}, b AS (SELECT subject, median(y) AS b FROM ev WHERE channel = 'view' AND session = 'ses-01' GROUP BY subject) SELECT subject, session, round(y / b, 6) AS pupil_norm, y AS pupil_raw FROM ev JOIN b USING (subject) WHERE channel = 'view' AND b > 0")
+@register(f"""WITH {EV}, b AS (SELECT subject, median(y) AS b FROM ev WHERE channel = 'view' AND session = 'ses-01' GROUP BY subject) SELECT subject,
+ session, round(y / b, 6) AS pupil_norm, y AS pupil_raw FROM ev JOIN b USING (subject) WHERE channel = 'view' AND b > 0""")
 def k6_normalised_pupil(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf).where("channel = 'view'")
     base = own.where("session = 'ses-01'").groupBy("subject").agg(F.median("y").alias("baseline_pupil"))
@@ -1136,29 +1388,36 @@ def k6_normalised_pupil(spark: SparkSession, sf: str) -> DataFrame:
 # --- L, M, N: references, summaries, users' functions -----------------------------------------------------------------
 
 
-@register(f"WITH {EV} SELECT subject, count(y) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd FROM ev WHERE session = 'ses-01' GROUP BY subject")
+@register(f"""WITH {EV} SELECT subject, count(y) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS sd FROM ev WHERE session = 'ses-01' GROUP
+ BY subject""")
 def l1_subject_references(spark: SparkSession, sf: str) -> DataFrame:
     return reference.describe(udf.pooled(event_samples(spark, sf), lambda df: df.where("session = 'ses-01'"))).select("subject", "n", *r6("mean", "sd"))
 
 
-@register(f"WITH {EV}, r AS (SELECT subject, avg(y) AS m, stddev_samp(y) AS s FROM ev WHERE session = 'ses-01' GROUP BY subject) SELECT subject, sample, round(CASE WHEN s > 0 THEN (y - m) / s END, 6) + 0.0 AS z FROM ev JOIN r USING (subject) WHERE session = 'ses-02'")
+@register(f"""WITH {EV}, r AS (SELECT subject, avg(y) AS m, stddev_samp(y) AS s FROM ev WHERE session = 'ses-01' GROUP BY subject) SELECT subject,
+ sample, round(CASE WHEN s > 0 THEN (y - m) / s END, 6) + 0.0 AS z FROM ev JOIN r USING (subject) WHERE session = 'ses-02'""")
 def l2_reference_zscores(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     return reference.zscores(own.where("session = 'ses-02'"), own.where("session = 'ses-01'")).select("subject", "sample", *r6("z"))
 
 
-@register(f"""WITH {EV}, r AS (SELECT subject, y FROM ev WHERE session = 'ses-01') SELECT v.subject, v.sample, round(100.0 * (count(*) FILTER (WHERE r.y < v.y) + 0.5 * count(*) FILTER (WHERE r.y = v.y)) / nullif(count(r.y), 0), 6) AS percentile FROM ev v LEFT JOIN r USING (subject) WHERE session = 'ses-02' GROUP BY ALL""")
+@register(f"""WITH {EV}, r AS (SELECT subject, y FROM ev WHERE session = 'ses-01') SELECT v.subject, v.sample, round(100.0 * (count(*) FILTER (WHERE
+ r.y < v.y) + 0.5 * count(*) FILTER (WHERE r.y = v.y)) / nullif(count(r.y), 0), 6) AS percentile FROM ev v LEFT JOIN r USING (subject) WHERE session =
+ 'ses-02' GROUP BY ALL""")
 def l3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     return reference.percentiles(own.where("session = 'ses-02'"), own.where("session = 'ses-01'")).select("subject", "sample", *r6("percentile"))
 
 
-@register(f"WITH {EV}, q AS (SELECT unnest([0.1, 0.5, 0.9]) AS q) SELECT subject, CAST(q AS DOUBLE) AS q, round(CASE WHEN q < 0.2 THEN quantile_cont(y, 0.1) WHEN q < 0.6 THEN quantile_cont(y, 0.5) ELSE quantile_cont(y, 0.9) END, 6) AS value FROM ev, q GROUP BY subject, q")
+@register(f"""WITH {EV}, q AS (SELECT unnest([0.1, 0.5, 0.9]) AS q) SELECT subject, CAST(q AS DOUBLE) AS q, round(CASE WHEN q < 0.2 THEN
+ quantile_cont(y, 0.1) WHEN q < 0.6 THEN quantile_cont(y, 0.5) ELSE quantile_cont(y, 0.9) END, 6) AS value FROM ev, q GROUP BY subject, q""")
 def l4_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return reference.quantiles(event_samples(spark, sf), [0.1, 0.5, 0.9]).select("subject", "q", *r6("value"))
 
 
-@register("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(l_quantity) / sqrt(count(*)) END, 8) AS sem FROM lineitem GROUP BY ALL")
+@register(
+    "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(l_quantity) / sqrt(count(*)) END, 8) AS sem FROM lineitem GROUP BY ALL"
+)
 def m1_group_mean_sem(spark: SparkSession, sf: str) -> DataFrame:
     made = summary.group_mean_sem(read_table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
     return made.select("l_returnflag", "l_linestatus", F.round("mean", 6).alias("mean"), F.round("sem", 8).alias("sem"))
@@ -1169,19 +1428,22 @@ def m2_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return summary.pivot_mean(event_samples(spark, sf), "session", "channel", TYPES, "y").select("session", *r6(*TYPES))
 
 
-@register(f"""WITH {EV}, w AS (SELECT subject, session, avg(y) AS y FROM ev GROUP BY ALL), f AS (SELECT *, first_value(y) OVER (PARTITION BY subject ORDER BY session) AS f FROM w) SELECT subject, session, round(y - f, 6) + 0.0 AS d_y, round((y - f) / f, 6) + 0.0 AS pct_y FROM f""")
+@register(f"""WITH {EV}, w AS (SELECT subject, session, avg(y) AS y FROM ev GROUP BY ALL), f AS (SELECT *, first_value(y) OVER (PARTITION BY subject
+ ORDER BY session) AS f FROM w) SELECT subject, session, round(y - f, 6) + 0.0 AS d_y, round((y - f) / f, 6) + 0.0 AS pct_y FROM f""")
 def m3_change_from_first(spark: SparkSession, sf: str) -> DataFrame:
     wide = event_samples(spark, sf).groupBy("subject", "session").agg(F.avg("y").alias("y"))
     return summary.change_from_first(wide, ["y"], order="session").select("subject", "session", *r6("d_y", "pct_y"))
 
 
-@register(f"WITH {EV}, w AS (SELECT subject, session, avg(y) AS y FROM ev GROUP BY ALL) SELECT session, round(avg(y), 6) AS mean, round(stddev_samp(y) / sqrt(count(y)), 6) AS sem, count(y) AS n FROM w GROUP BY session")
+@register(f"""WITH {EV}, w AS (SELECT subject, session, avg(y) AS y FROM ev GROUP BY ALL) SELECT session, round(avg(y), 6) AS mean,
+ round(stddev_samp(y) / sqrt(count(y)), 6) AS sem, count(y) AS n FROM w GROUP BY session""")
 def m4_mean_by_session(spark: SparkSession, sf: str) -> DataFrame:
     wide = event_samples(spark, sf).groupBy("subject", "session").agg(F.avg("y").alias("y"))
     return summary.mean_sem_n(wide, "session", "y").select("session", *r6("mean", "sem"), "n")
 
 
-@register(f"WITH {EV} SELECT subject, session, {q6('mean', 'median', 'max')} FROM (SELECT subject, session, avg(y) AS mean, median(y) AS median, max(y) AS max FROM ev GROUP BY ALL)")
+@register(f"""WITH {EV} SELECT subject, session, {q6('mean', 'median', 'max')} FROM (SELECT subject, session, avg(y) AS mean, median(y) AS median,
+ max(y) AS max FROM ev GROUP BY ALL)""")
 def m5_recording_reducers(spark: SparkSession, sf: str) -> DataFrame:
     return summary.recording_reducers(event_samples(spark, sf), ("subject", "session")).select("subject", "session", *r6("mean", "median", "max"))
 
@@ -1189,34 +1451,45 @@ def m5_recording_reducers(spark: SparkSession, sf: str) -> DataFrame:
 def _box_sql(groups: str) -> str:
     using = f"USING ({groups})"
     return f"""WITH {EV}, q AS (SELECT {groups}, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS med, quantile_cont(y, 0.75) AS q3 FROM ev GROUP BY ALL)
-SELECT {groups}, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3, coalesce(min(y) FILTER (WHERE y >= q1 - 1.5 * (q3 - q1) AND y <= q1), any_value(q1)) AS whisker_lo,
- coalesce(max(y) FILTER (WHERE y <= q3 + 1.5 * (q3 - q1) AND y >= q3), any_value(q3)) AS whisker_hi, round(avg(y), 6) AS mean, round(CASE WHEN count(y) > 1 THEN stddev_samp(y) / sqrt(count(y)) ELSE 0 END, 6) AS sem, count(y) AS n FROM ev JOIN q {using} GROUP BY {groups}"""
+SELECT {groups}, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3, coalesce(min(y) FILTER (WHERE y >=
+ q1 - 1.5 * (q3 - q1) AND y <= q1), any_value(q1)) AS whisker_lo,
+ coalesce(max(y) FILTER (WHERE y <= q3 + 1.5 * (q3 - q1) AND y >= q3), any_value(q3)) AS whisker_hi, round(avg(y), 6) AS mean, round(CASE WHEN
+ count(y) > 1 THEN stddev_samp(y) / sqrt(count(y)) ELSE 0 END, 6) AS sem, count(y) AS n FROM ev JOIN q {using} GROUP BY {groups}"""
 
 
 @register(_box_sql("channel"))
 def m7_box_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.box_summary(event_samples(spark, sf), ["channel"], "y").select("channel", *r6("q1", "median", "q3"), "whisker_lo", "whisker_hi", *r6("mean", "sem"), "n")
+    return summary.box_summary(event_samples(spark, sf), ["channel"], "y").select(
+        "channel", *r6("q1", "median", "q3"), "whisker_lo", "whisker_hi", *r6("mean", "sem"), "n"
+    )
 
 
 @register(_box_sql("session, channel"))
 def m9_grouped_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.box_summary(event_samples(spark, sf), ["session", "channel"], "y").select("session", "channel", *r6("q1", "median", "q3"), "whisker_lo", "whisker_hi", *r6("mean", "sem"), "n")
+    return summary.box_summary(event_samples(spark, sf), ["session", "channel"], "y").select(
+        "session", "channel", *r6("q1", "median", "q3"), "whisker_lo", "whisker_hi", *r6("mean", "sem"), "n"
+    )
 
 
-@register(f"""WITH {EV}, s AS (SELECT CASE WHEN length(subject) = 2 THEN 'short' ELSE 'long' END AS g, subject, session, avg(y) AS m FROM ev GROUP BY ALL), b AS (SELECT 'all' AS grp, * FROM s UNION ALL SELECT g, * FROM s)
-SELECT grp, session, round(avg(m), 6) AS mean, round(CASE WHEN count(m) > 1 THEN stddev_samp(m) / sqrt(count(m)) END, 6) AS sem, count(DISTINCT subject) AS n_subjects FROM b GROUP BY grp, session""")
+@register(f"""WITH {EV}, s AS (SELECT CASE WHEN length(subject) = 2 THEN 'short' ELSE 'long' END AS g, subject, session, avg(y) AS m FROM ev GROUP BY
+ ALL), b AS (SELECT 'all' AS grp, * FROM s UNION ALL SELECT g, * FROM s)
+SELECT grp, session, round(avg(m), 6) AS mean, round(CASE WHEN count(m) > 1 THEN stddev_samp(m) / sqrt(count(m)) END, 6) AS sem, count(DISTINCT
+ subject) AS n_subjects FROM b GROUP BY grp, session""")
 def m8_subjects_by_category(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf).withColumn("g", F.when(F.length("subject") == 2, "short").otherwise("long"))
     return summary.subjects_by_category(own, "subject", "session", "y", "g").select("grp", "session", *r6("mean", "sem"), "n_subjects")
 
 
-@register(f"""WITH {EV}, {SERIES}, c AS (SELECT a.channel AS a, b.channel AS b, corr(a.y, b.y) AS r FROM ser a JOIN ser b ON a.sample = b.sample AND a.channel <= b.channel GROUP BY ALL) SELECT a, b, round(r, 6) AS r FROM c""")
+@register(f"""WITH {EV}, {SERIES}, c AS (SELECT a.channel AS a, b.channel AS b, corr(a.y, b.y) AS r FROM ser a JOIN ser b ON a.sample = b.sample AND
+ a.channel <= b.channel GROUP BY ALL) SELECT a, b, round(r, 6) AS r FROM c""")
 def m10_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return summary.correlations(series_of(spark, sf), ()).select("a", "b", *r6("r"))
 
 
-@register(f"""WITH {EV}, {SERIES}, c AS (SELECT a.channel AS a, b.channel AS b, corr(a.y, b.y) AS r FROM ser a JOIN ser b ON a.sample = b.sample AND a.channel < b.channel GROUP BY ALL), e AS (SELECT min(r) AS lo, max(r) AS hi FROM c)
-SELECT round(CASE WHEN lo < 0 THEN -greatest(abs(lo), abs(hi)) ELSE 0 END, 6) AS vmin, round(CASE WHEN lo < 0 THEN greatest(abs(lo), abs(hi)) ELSE hi END, 6) AS vmax, CASE WHEN lo < 0 THEN 'diverging' ELSE 'sequential' END AS scale FROM e""")
+@register(f"""WITH {EV}, {SERIES}, c AS (SELECT a.channel AS a, b.channel AS b, corr(a.y, b.y) AS r FROM ser a JOIN ser b ON a.sample = b.sample AND
+ a.channel < b.channel GROUP BY ALL), e AS (SELECT min(r) AS lo, max(r) AS hi FROM c)
+SELECT round(CASE WHEN lo < 0 THEN -greatest(abs(lo), abs(hi)) ELSE 0 END, 6) AS vmin, round(CASE WHEN lo < 0 THEN greatest(abs(lo), abs(hi)) ELSE hi
+ END, 6) AS vmax, CASE WHEN lo < 0 THEN 'diverging' ELSE 'sequential' END AS scale FROM e""")
 def m10_correlation_scale(spark: SparkSession, sf: str) -> DataFrame:
     return summary.correlation_scale(summary.correlations(series_of(spark, sf), ())).select(*r6("vmin", "vmax"), "scale")
 
@@ -1239,7 +1512,9 @@ def b1_one_recording(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {EV} SELECT subject, session, count(*) AS n FROM ev WHERE task = 'task-spont' AND session IN ('ses-01', 'ses-03') GROUP BY ALL")
 def b2_many_recordings(spark: SparkSession, sf: str) -> DataFrame:
-    return select.recordings(event_samples(spark, sf), task="task-spont", sessions=["ses-01", "ses-03"]).groupBy("subject", "session").agg(F.count("*").alias("n"))
+    return select.recordings(
+        event_samples(spark, sf), task="task-spont", sessions=["ses-01", "ses-03"]
+    ).groupBy("subject", "session").agg(F.count("*").alias("n"))
 
 
 @register(f"WITH {EV} SELECT subject, session, task FROM ev ORDER BY subject, session, task LIMIT 1")
@@ -1262,7 +1537,9 @@ def b20_first_non_null(spark: SparkSession, sf: str) -> DataFrame:
 def c13_label_join(spark: SparkSession, sf: str) -> DataFrame:
     own = read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
     nation = read_table(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
-    return own.join(nation, "n_nationkey").join(read_table(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey").select("c_custkey", "n_name", "r_name")
+    return own.join(nation, "n_nationkey").join(
+        read_table(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey"
+    ).select("c_custkey", "n_name", "r_name")
 
 
 @register(f"WITH {EV} SELECT DISTINCT subject FROM ev WHERE subject NOT IN (SELECT subject FROM ev WHERE session = 'ses-05')")
@@ -1270,7 +1547,8 @@ def c15_subjects_without_session(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.lacking_session(event_samples(spark, sf), "ses-05")
 
 
-@register(f"WITH {EV}, {ONSETS}, {TRACES} SELECT subject, event_id, rel_idx, round(value, 6) + 0.0 AS value FROM traces WHERE event_type = 'locomotion_onset' AND roi = 'click'")
+@register(f"""WITH {EV}, {ONSETS}, {TRACES} SELECT subject, event_id, rel_idx, round(value, 6) + 0.0 AS value FROM traces WHERE event_type =
+ 'locomotion_onset' AND roi = 'click'""")
 def f11_selected_traces(spark: SparkSession, sf: str) -> DataFrame:
     return eta.select_traces(_eta(spark, sf)["events"], event_type="locomotion_onset", roi="click").select("subject", "event_id", "rel_idx", *r6("value"))
 
@@ -1280,7 +1558,8 @@ def f5_no_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return eta.subtract_baseline(_traces(spark, sf), None, U).select("subject", "event_id", "roi", "rel_idx", *r6("value"))
 
 
-@register(f"WITH {EV}, m AS (SELECT subject, session, max(y) AS v FROM ev GROUP BY ALL) SELECT session, round(avg(v), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(v) / sqrt(count(*)) END, 6) AS sem FROM m GROUP BY session")
+@register(f"""WITH {EV}, m AS (SELECT subject, session, max(y) AS v FROM ev GROUP BY ALL) SELECT session, round(avg(v), 6) AS mean, round(CASE WHEN
+ count(*) > 1 THEN stddev_samp(v) / sqrt(count(*)) END, 6) AS sem FROM m GROUP BY session""")
 def m6_metric_by_session(spark: SparkSession, sf: str) -> DataFrame:
     per = summary.recording_reducers(event_samples(spark, sf), ("subject", "session"))
     return summary.group_mean_sem(per, ["session"], "max").select("session", *r6("mean", "sem"))
@@ -1299,7 +1578,10 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = read_table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     t = (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / F.lit(1e6)).cast("double")
-    return rows.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), t.alias("t"), F.col("value").alias("y"))
+    return rows.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("channel"),
+        F.col("ts").cast("timestamp").alias("ts"), t.alias("t"), F.col("value").alias("y")
+    )
 
 
 @register("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, event_type AS channel, value FROM events)

@@ -10,7 +10,9 @@ RECORD = (
     "code struct<hash:string,short:string,branch:string,dirty:boolean,permalink:string,script:string>, params map<string,string>, env map<string,string>"
 )
 #: What older records add to that.
-LEGACY = RECORD.replace("rows:bigint>", "rows:bigint,absolute_path:string>") + ", run_name string, tag string, script string, git struct<hash:string,short:string,branch:string,dirty:boolean,permalink:string,script:string>"
+LEGACY = RECORD.replace(
+    "rows:bigint>", "rows:bigint,absolute_path:string>"
+) + ", run_name string, tag string, script string, git struct<hash:string,short:string,branch:string,dirty:boolean,permalink:string,script:string>"
 KINDS = {"figure": ("svg", "png", "pdf", "jpg", "jpeg"), "table": ("csv", "tsv", "parquet", "json", "xlsx"), "doc": ("md", "html", "txt")}
 RESERVED = ("provenance.json", "report.md", "report.html")
 STAMP = r"^(\d{6})(?:_(\d{6}))?(?:_(.+))?$"
@@ -54,7 +56,9 @@ def parse_stamp(name: Column) -> tuple[Column, Column]:
 def normalise(records: DataFrame, column: str = "json") -> DataFrame:
     """Flat fields of current and older record layouts, given as JSON text."""
     p = F.from_json(column, LEGACY)
-    c = lambda *names: F.coalesce(*[F.nullif(p.getField(n.split(".")[0]).getField(n.split(".")[1]) if "." in n else p.getField(n), F.lit("")) for n in names], F.lit(""))
+    c = lambda *names: F.coalesce(
+        *[F.nullif(p.getField(n.split(".")[0]).getField(n.split(".")[1]) if "." in n else p.getField(n), F.lit("")) for n in names], F.lit("")
+    )
     path = c("code.script", "git.script", "script")
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     return records.withColumns(
@@ -94,7 +98,9 @@ def file_counts(files: DataFrame) -> DataFrame:
     suffix, stem = F.regexp_extract("name", r"\.([^.]+)$", 1), F.regexp_replace("name", r"\.[^.]*$", "")
     kept = files.where(~(F.col("name").isin(*RESERVED) & (F.col("dir") == ""))).withColumn("kind", file_kind(suffix)).withColumn("stem", stem)
     count = lambda k: F.count_if(F.col("kind") == k).alias(k)
-    return kept.groupBy("run_id").agg(F.countDistinct(F.when(F.col("kind") == "figure", F.struct("dir", "stem"))).alias("figure"), count("table"), count("doc"), count("other"))
+    return kept.groupBy("run_id").agg(
+        F.countDistinct(F.when(F.col("kind") == "figure", F.struct("dir", "stem"))).alias("figure"), count("table"), count("doc"), count("other")
+    )
 
 
 def iso_day(stamp: str) -> str:

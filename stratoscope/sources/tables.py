@@ -103,19 +103,26 @@ def parcels_view(mesomap: DataFrame, channels: Sequence[str], keys: Sequence[str
     counts = mesomap.groupBy(*keys).agg(*[F.count(c).alias(c) for c in channels])
     long = counts.unpivot(list(keys), list(channels), "parcel", "n")
     made = long.groupBy("parcel").agg(F.count_if(F.col("n") > 0).alias("n_recordings"))
-    return made.select("parcel", F.substring("parcel", 1, 1).alias("hemisphere"), F.substring("parcel", 3, 1 << 30).alias("region"), "n_recordings").orderBy("region", "hemisphere")
+    return made.select(
+        "parcel", F.substring("parcel", 1, 1).alias("hemisphere"), F.substring("parcel", 3, 1 << 30).alias("region"), "n_recordings"
+    ).orderBy("region", "hemisphere")
 
 
 def mesomap_long_view(mesomap: DataFrame, channels: Sequence[str], recordings: DataFrame, keys: Sequence[str] = KEYS, time: str = "t") -> DataFrame:
     long = mesomap.unpivot([*keys, "sample", time], list(channels), "parcel", "dff").where(F.col("dff").isNotNull())
     labels = [c for c in (*keys, "task_label", "condition") if c in recordings.columns]
-    return long.join(recordings.select(*labels), list(keys)).select(*labels, "sample", F.col(time).alias("time_s"), "parcel", F.substring("parcel", 1, 1).alias("hemisphere"), F.substring("parcel", 3, 1 << 30).alias("region"), "dff")
+    return long.join(recordings.select(*labels), list(keys)).select(
+        *labels, "sample", F.col(time).alias("time_s"), "parcel", F.substring("parcel", 1, 1).alias("hemisphere"),
+        F.substring("parcel", 3, 1 << 30).alias("region"), "dff"
+    )
 
 
 def labelled_view(samples: DataFrame, recordings: DataFrame, columns: dict[str, str], keys: Sequence[str] = KEYS, time: str = "t") -> DataFrame:
     """Samples with their recording's labels."""
     labels = [c for c in ("task_label", "condition") if c in recordings.columns]
-    return samples.join(recordings.select(*keys, *labels), list(keys)).select(*keys, *labels, "sample", F.col(time).alias("time_s"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return samples.join(recordings.select(*keys, *labels), list(keys)).select(
+        *keys, *labels, "sample", F.col(time).alias("time_s"), *[F.col(c).alias(n) for n, c in columns.items()]
+    )
 
 
 def locomotion_view(treadmill: DataFrame, recordings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

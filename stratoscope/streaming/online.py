@@ -12,23 +12,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..shipping import ship
 
 
-def stream_bouts(samples: DataFrame, least: float, merge_gap: str = "30 seconds", watermark: str = "5 minutes", time: str = "ts", value: str = "y", key: str = "subject") -> DataFrame:
+def stream_bouts(
+    samples: DataFrame, least: float, merge_gap: str = "30 seconds", watermark: str = "5 minutes", time: str = "ts", value: str = "y",
+    key: str = "subject"
+) -> DataFrame:
     """Sessions of samples at or above ``least`` that are no more than ``merge_gap`` apart, with count, mean and peak; late rows go by the watermark."""
     kept = samples.withWatermark(time, watermark).where(F.col(value) >= least)
-    made = kept.groupBy(key, F.session_window(time, merge_gap).alias("w")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("peak"), F.min(time).alias("start_ts"), F.max(time).alias("end_ts"))
+    made = kept.groupBy(key, F.session_window(time, merge_gap).alias("w")).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("peak"), F.min(time).alias("start_ts"), F.max(time).alias("end_ts")
+    )
     return made.drop("w")
 
 
-def stream_summary(samples: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "1 hour", time: str = "ts", value: str = "y", key: str = "channel") -> DataFrame:
+def stream_summary(
+    samples: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "1 hour", time: str = "ts", value: str = "y",
+    key: str = "channel"
+) -> DataFrame:
     """Counts, means and maxima in tumbling or sliding windows."""
-    made = samples.withWatermark(time, watermark).groupBy(F.window(time, width, slide or width).alias("w"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    made = samples.withWatermark(time, watermark).groupBy(F.window(time, width, slide or width).alias("w"), key).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")
+    )
     return made.select(F.col("w.start").alias("window_start"), key, "n", "mean", "max")
 
 
 CONFIRMED = "subject string, start_s double, confirmed_s double"
 
 
-def confirmed_bouts(samples: DataFrame, least: float, min_duration_s: float, merge_gap_s: float, watermark: str = "5 minutes", time: str = "ts", key: str = "subject") -> DataFrame:
+def confirmed_bouts(
+    samples: DataFrame, least: float, min_duration_s: float, merge_gap_s: float, watermark: str = "5 minutes", time: str = "ts", key: str = "subject"
+) -> DataFrame:
     """(subject, start_s, confirmed_s) as soon as a bout has lasted ``min_duration_s``: once per bout, without looking ahead.
 
     State per subject is the open bout's start, last sample and whether it was reported. Within a micro-batch samples are taken in the order

@@ -15,11 +15,16 @@ R = ("subject",)
 
 
 def series(spark, t, y, subject="A"):
-    return spark.createDataFrame([(subject, i, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(zip(t, y, strict=True))], "subject string, sample long, t double, y double")
+    return spark.createDataFrame(
+        [(subject, i, float(a), None if b is None else float(b)) for i, (a, b) in enumerate(zip(t, y, strict=True))],
+        "subject string, sample long, t double, y double"
+    )
 
 
 def spans(spark, pairs, subject="A"):
-    return spark.createDataFrame([(subject, i, float(a), float(b)) for i, (a, b) in enumerate(pairs)], "subject string, epoch_id long, start_s double, end_s double")
+    return spark.createDataFrame(
+        [(subject, i, float(a), float(b)) for i, (a, b) in enumerate(pairs)], "subject string, epoch_id long, start_s double, end_s double"
+    )
 
 
 def column(df, name, order="sample"):
@@ -109,7 +114,10 @@ def test_classes(spark):
 
 
 def test_errors_of_the_mean(spark):
-    means = spark.createDataFrame([("all", "e", "r", 0, 0.0, v) for v in (1.0, 3.0)], "condition string, event_type string, roi string, rel_idx long, rel_time double, mean double")
+    means = spark.createDataFrame(
+        [("all", "e", "r", 0, 0.0, v) for v in (1.0, 3.0)],
+        "condition string, event_type string, roi string, rel_idx long, rel_time double, mean double"
+    )
     both = eta.group_means(means).first()
     assert (both.mean, both.sem) == (2.0, 1.0)
     assert eta.group_means(means.limit(1)).first().sem == 0.0
@@ -128,7 +136,9 @@ def test_change_from_first(spark):
 
 
 def test_conditions(spark):
-    rec = spark.createDataFrame([("A", "s1", " NaN "), ("B", "s1", "drug"), ("C", "s2", None), ("D", "s1", "x")], "subject string, session string, recorded string")
+    rec = spark.createDataFrame(
+        [("A", "s1", " NaN "), ("B", "s1", "drug"), ("C", "s2", None), ("D", "s1", "x")], "subject string, session string, recorded string"
+    )
     rules = spark.createDataFrame([(None, "s1", "Baseline"), ("D", "s1", "own")], "subject string, session string, condition string")
     assert column(select.with_conditions(rec, rules), "condition", "subject") == ["Baseline", "drug", "", "own"]
 
@@ -176,7 +186,9 @@ def test_one_recording_must_exist(spark):
 
 
 def test_wide_tables(spark, tmp_path):
-    wide = spark.createDataFrame([("A", [1.0, 2.0], [5.0, 6.0], [7.0]), ("B", [1.0], None, [8.0])], "subject string, t array<double>, a array<double>, b array<double>")
+    wide = spark.createDataFrame(
+        [("A", [1.0, 2.0], [5.0, 6.0], [7.0]), ("B", [1.0], None, [8.0])], "subject string, t array<double>, a array<double>, b array<double>"
+    )
     fit, split = tables.split_features(wide, "t", {"a": "a", "b": "b"})
     assert (list(fit), list(split)) == (["a"], ["b"])
     long = tables.wide_to_long(wide, "s", {"t": "t", "a": "a"}, R).orderBy("subject", "sample").collect()

@@ -10,7 +10,9 @@ R = ("subject",)
 
 
 def frame(spark, y):
-    return spark.createDataFrame([("A", i, float(i), None if v is None else float(v)) for i, v in enumerate(y)], "subject string, sample long, t double, y double")
+    return spark.createDataFrame(
+        [("A", i, float(i), None if v is None else float(v)) for i, v in enumerate(y)], "subject string, sample long, t double, y double"
+    )
 
 
 def values(df, name="y"):
@@ -25,7 +27,11 @@ def noise():
 @pytest.mark.parametrize(("window", "order"), [(5, 2), (7, 3), (9, 1)])
 def test_polynomials(spark, noise, window, order):
     h, m = window // 2, filters.savgol_matrix(window, order)
-    want = np.array([m[i] @ noise[:window] if i < h else m[window - (len(noise) - i)] @ noise[-window:] if i > len(noise) - 1 - h else m[h] @ noise[i - h : i + h + 1] for i in range(len(noise))])
+    want = np.array(
+        [
+            m[i] @ noise[:window] if i < h else m[window - (len(noise) - i)] @ noise[-window:] if i > len(noise) - 1 - h else m[h] @ noise[i - h : i + h + 1] for i in range(len(noise))
+        ]
+    )
     assert np.allclose(values(preproc.fit_polynomials(frame(spark, noise), window, order, R)), want)
     line = 3 + 2 * np.arange(40.0)
     assert np.allclose(values(preproc.fit_polynomials(frame(spark, line), window, order, R)), line)
@@ -98,7 +104,9 @@ def test_bursts_of_a_planted_oscillation(spark):
     assert len(made) == 1
     b = made[0]
     assert abs(b.start_s - 1000) < 25 and abs(b.end_s - 1200) < 25 and b.frequency_hz == pytest.approx(0.15, abs=0.01) and b.start_s < b.confirmed_s < b.end_s
-    episodes = oscillation.bosc_episodes(frame(spark, x), 1.0, (0.1, 0.2), (0.05, 0.4), 4, chunk=512, series=R)["episodes"].orderBy(oscillation.F.desc("duration_s")).first()
+    episodes = oscillation.bosc_episodes(
+        frame(spark, x), 1.0, (0.1, 0.2), (0.05, 0.4), 4, chunk=512, series=R
+    )["episodes"].orderBy(oscillation.F.desc("duration_s")).first()
     assert abs(episodes.start_s - 1000) < 60 and 0.1 <= episodes.frequency_hz <= 0.2
 
 

@@ -8,7 +8,10 @@ from stratoscope.sources import runs
 
 
 def test_records_discovery_and_fingerprints(spark, tmp_path):
-    new = {"created_at": "2026-08-01T10:00:00", "run": {"name": "eta", "tag": "main", "script": "fig1"}, "dataset": {"alias": "pilot", "path": "/d", "rows": 3}, "code": {"short": "abc"}}
+    new = {
+        "created_at": "2026-08-01T10:00:00", "run": {"name": "eta", "tag": "main", "script": "fig1"},
+        "dataset": {"alias": "pilot", "path": "/d", "rows": 3}, "code": {"short": "abc"}
+    }
     old = {"run_name": "eta", "tag": "", "git": {"script": "scripts/fig2.py", "short": "def"}, "dataset": {"absolute_path": "/old"}}
     for name, record in (("260801_100000_main", new), ("250525_191022_canonical", old)):
         (tmp_path / "pilot" / name).mkdir(parents=True)
@@ -28,7 +31,10 @@ def test_records_discovery_and_fingerprints(spark, tmp_path):
 
 
 def test_run_record_appends(spark, tmp_path):
-    record = runs.run_record(spark, created_at="2026-01-01", analyst="a", lab="l", run={"name": "n", "tag": "", "script": "s"}, dataset={"alias": "d", "path": "p", "sha256": "", "rows": 1}, code=None, params={"k": "v"}, env={})
+    record = runs.run_record(
+        spark, created_at="2026-01-01", analyst="a", lab="l", run={"name": "n", "tag": "", "script": "s"},
+        dataset={"alias": "d", "path": "p", "sha256": "", "rows": 1}, code=None, params={"k": "v"}, env={}
+    )
     for _ in range(2):
         runs.append_run(record, str(tmp_path / "runs"))
     made = spark.read.parquet(str(tmp_path / "runs"))

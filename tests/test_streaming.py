@@ -6,7 +6,9 @@ START = datetime.datetime(2024, 1, 1)
 
 
 def write(spark, path, rows):
-    spark.createDataFrame([(s, START + datetime.timedelta(seconds=t), float(t), float(y)) for s, t, y in rows], "subject string, ts timestamp, t double, y double").coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame(
+        [(s, START + datetime.timedelta(seconds=t), float(t), float(y)) for s, t, y in rows], "subject string, ts timestamp, t double, y double"
+    ).coalesce(1).write.mode("append").parquet(path)
 
 
 def drained(spark, df, name, mode="append"):
