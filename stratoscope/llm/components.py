@@ -19,7 +19,9 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("new"))
+        lower = labels.join(near, "node", "left").select(
+            "node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("new")
+        )
         roots = labels.select(F.col("node").alias("new"), F.col("component").alias("root"))
         moved = staged(lower.join(roots, "new", "left").select("node", "old", F.least("new", F.coalesce("root", "new")).alias("component")))
         labels = moved.select("node", "component")

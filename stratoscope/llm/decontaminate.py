@@ -21,7 +21,14 @@ WINDOW = 10
 MAX_NODES = 2_000_000
 #: Windows of an item that stay together when items are dealt into automata.
 SECTION = 10_000
-FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("from_byte", T.IntegerType()), T.StructField("to_byte", T.IntegerType())]))
+FOUND = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("item", T.StringType()),
+            T.StructField("from_byte", T.IntegerType()), T.StructField("to_byte", T.IntegerType())
+        ]
+    )
+)
 
 
 def item_windows(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[int]]:
@@ -96,10 +103,16 @@ def _sections(items: DataFrame, item_id: str, item_text: str, window: int) -> Da
     listed = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(SECTION))
     cut = listed.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at") + 1, F.lit(SECTION + window - 1)).alias("w"))
-    return cut.select("item", F.array_join("w", " ").alias("t"), (F.greatest(F.lit(1), F.size("w") - (window - 1)) * F.least(F.size("w"), F.lit(window))).alias("nodes"))
+    return cut.select(
+        "item", F.array_join("w", " ").alias("t"),
+        (F.greatest(F.lit(1), F.size("w") - (window - 1)) * F.least(F.size("w"), F.lit(window))).alias("nodes")
+    )
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_nodes: int = MAX_NODES) -> DataFrame:
+def find_benchmark(
+    docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, max_nodes: int = MAX_NODES
+) -> DataFrame:
     """The columns in ``keep``, n_words, and found: array<struct<start,end,item,from_byte,to_byte>> of the word spans [start, end) that an item
     covers, with their place in the original text's UTF-8.
 
@@ -138,7 +151,9 @@ def original_offsets(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_nodes: int = MAX_NODES) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_nodes: int = MAX_NODES
+) -> DataFrame:
     """Per row of ``docs``: the id, n_words, n_hit, n_items, items_sha256, contaminated, by find_benchmark's rules; a null text has no words."""
     hits = find_benchmark(docs, items, [id_col], text_col, window=window, max_nodes=max_nodes)
     items_of = F.array_sort(F.array_distinct(F.col("found.item")))

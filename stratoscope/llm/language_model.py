@@ -51,7 +51,9 @@ class PieceLattice:
     The vocabulary's scores weigh the pieces; expected numbers of pieces, where they are known, sharpen these weights.
     """
 
-    def __init__(self, trie: PieceTrie, scores: np.ndarray, heads: np.ndarray, byte_ids: list[int | None], seen: np.ndarray | None = None, words: float = 0.0) -> None:
+    def __init__(
+        self, trie: PieceTrie, scores: np.ndarray, heads: np.ndarray, byte_ids: list[int | None], seen: np.ndarray | None = None, words: float = 0.0
+    ) -> None:
         self.trie = trie
         self.weights = np.full(len(scores), -np.inf)
         seen = np.zeros(len(scores)) if seen is None else seen
@@ -247,12 +249,18 @@ def _dictionary(classes: TextClasses, kind: pa.DataType) -> Callable[[Iterator[p
                 for at in range(0, len(listed), 100_000):
                     part = listed.slice(at, 100_000)
                     n = len(part)
-                    yield made(n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), place=pa.array(np.arange(at, at + n), pa.int32()), word=part, n=pa.array(counts[at : at + n]))
+                    yield made(
+                        n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), place=pa.array(np.arange(at, at + n), pa.int32()),
+                        word=part, n=pa.array(counts[at : at + n])
+                    )
                 for at in range(0, len(own), 1000):
                     part = own[at : at + 1000]
                     tokens = [np.ascontiguousarray(r[3].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes() for r in part]
                     n = len(part)
-                    yield made(n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), id=pa.array([r[1] for r in part], kind), held=pa.array([r[2] for r in part]), tokens=pa.array(tokens, pa.binary()))
+                    yield made(
+                        n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), id=pa.array([r[1] for r in part], kind),
+                        held=pa.array([r[2] for r in part]), tokens=pa.array(tokens, pa.binary())
+                    )
 
         for batch in batches:
             for part in slices(batch):
@@ -334,7 +342,10 @@ def _word_logs(proto: bytes, seen: np.ndarray, totals: Totals) -> Callable[[Iter
                 if len(there):
                     logs = totals.logs(c[there], n[i, there], i, lattices[i].logs([spelled[j] for j in there]), is_end[there])
                     names = ["word", "cls", "c", "lp"]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there)), pa.array(np.full(len(there), i), pa.int32()), pa.array(c[there]), pa.array(logs)], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(there)), pa.array(np.full(len(there), i), pa.int32()), pa.array(c[there]), pa.array(logs)],
+                        names=names
+                    )
 
     return run
 
@@ -360,7 +371,12 @@ def _scorer(totals: Totals, prior: np.ndarray) -> Callable[[pa.Table, pa.Table],
                 sums = [np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(float), base, lp)]
                 out.append(np.array([n, sums[0], sums[1], sums[2] + prior[i] / LOG10]))
         n, known, base, score = np.hstack(out)
-        return pa.table({"id": rows.column("id"), "held": rows.column("held"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+        return pa.table(
+            {
+                "id": rows.column("id"), "held": rows.column("held"), "n_tokens": pa.array(n.astype(np.int64)),
+                "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)
+            }
+        )
 
     return score
 
@@ -427,4 +443,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = parts.where("tokens is not null").select(F.col("chunk").alias("own"), F.col("cls").alias("of"), "id", "held", "tokens")
     schema = rows.select("id", "held").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
     made = rows.groupBy("own").cogroup(found.groupBy("chunk")).applyInArrow(_scorer(learned.totals, learned.classes.prior), schema)
-    return made.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(learned.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return made.select(
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known",
+        F.lit(learned.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )

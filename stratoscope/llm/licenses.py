@@ -24,7 +24,14 @@ COVERAGE = 0.8
 #: Templates with fewer words than this are found by single words; and words that are too common to be chosen first for that.
 SHORT = 20
 COMMON = frozenset(b"the this that is are was of and or to in on by for with under work a an you may it not all any as be 0 1 2 3 4".split())
-MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+MATCH = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType())
+        ]
+    )
+)
 
 
 def winnow(words: list[bytes], size: int = SHINGLE, window: int = WINDOW) -> list[int]:

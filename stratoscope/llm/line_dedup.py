@@ -19,7 +19,9 @@ def _host(docs: DataFrame, host_col: str) -> Column:
     return F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, copies: bool = True) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, copies: bool = True
+) -> DataFrame:
     """(host, line key, pages, host_pages) of the lines on more than ``ratio`` of a host's pages, and at least ``min_pages``, if that is wanted.
 
     A line counts once per page, however often it is repeated there; blank lines never count. Without ``copies``, a host's pages with the
@@ -35,7 +37,9 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
     return counted.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, copies: bool = True) -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, copies: bool = True
+) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, and n_lines, n_dropped as bigint.
 
     Hosts are compared as they are; a null host counts as the host ''. Null text stays null and counts as one empty line.
@@ -54,8 +58,13 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     )  # written first, so that its size is known when the join is planned and texts aren't shuffled to meet a small table
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("t"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"), _host(docs, host_col).alias("host"))
-    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("boilerplate"), _line_key(x))))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("t"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"),
+        _host(docs, host_col).alias("host")
+    )
+    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("boilerplate"), _line_key(x)))
+    )
     cut = rows.join(found, "host", "left").withColumn("kept", kept)
     own = {text_col: F.when(F.col("t").isNotNull(), F.array_join("kept", "\n")).alias(text_col)}
     return cut.select(

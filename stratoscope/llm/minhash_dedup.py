@@ -87,7 +87,10 @@ def _signatures(size: int) -> Callable[[], Callable[[list[bytes]], list[pa.Array
             signs = np.array([signature(s) for s in sets], np.int32).reshape(len(sets), COORDINATES)
             ends = pa.array(np.arange(0, COORDINATES * (len(sets) + 1), COORDINATES, dtype=np.int32))
             low = planes(signs)
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(ends, pa.array(signs.ravel())), *(pa.array(low[:, k]) for k in range(PLANES))]
+            return [
+                pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()),
+                pa.ListArray.from_arrays(ends, pa.array(signs.ravel())), *(pa.array(low[:, k]) for k in range(PLANES))
+            ]
 
         return work
 
@@ -131,7 +134,9 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _unshared(sets: DataFrame) -> DataFrame:
     """(node, alone): how many of a node's shingles no other node of the table has."""
-    once = sets.select("node", "s").mapInArrow(_shingle_rows, "x long, node long").groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    once = sets.select("node", "s").mapInArrow(_shingle_rows, "x long, node long").groupBy("x").agg(
+        F.count("*").alias("c"), F.min("node").alias("node")
+    ).where("c = 1")
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
@@ -140,7 +145,9 @@ def _signed(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal: int)
 
     nodes: (node, n, sig, cells). Signatures travel once for each pair and not with each posting.
     """
-    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("cells").alias(f"cells{x}"))
+    own = lambda x: nodes.select(
+        F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("cells").alias(f"cells{x}")
+    )
     most = F.aggregate(F.zip_with("cellsa", "cellsb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, v: n + v)
     fit = F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)
     return pairs.join(own("b"), "b").join(own("a"), "a").where(_equal("siga", "sigb") >= least_equal).where(fit).select("a", "b")
@@ -165,7 +172,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, least_equal: int = LEAST_EQUAL) -> DataFrame:
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, least_equal: int = LEAST_EQUAL
+) -> DataFrame:
     """Per row: the id, n_shingles, component_id and kept, and text_hash (with the id it names the row's text). Texts are linked whose
     shingle sets have 100 * |both| >= percent * |either|.
 
@@ -189,13 +198,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
     source = docs.select(key.alias("id"), F.coalesce(key, F.lit(-(2**63))).alias("i"), F.xxhash64(text).alias("g"), text.alias("t"))
-    fields = [T.StructField("n", T.LongType()), T.StructField("h", T.StringType()), T.StructField("sig", T.ArrayType(T.IntegerType())), *(T.StructField(f"p{k}", T.LongType()) for k in range(PLANES))]
+    fields = [
+        T.StructField("n", T.LongType()), T.StructField("h", T.StringType()), T.StructField("sig", T.ArrayType(T.IntegerType())),
+        *(T.StructField(f"p{k}", T.LongType()) for k in range(PLANES))
+    ]
     rows = staged(map_text(source, ["id", "i", "g"], "t", _signatures(size), fields))
     low = [f"p{k}" for k in range(PLANES)]
-    first = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.min(F.struct("i", "g")).alias("own"), *[F.first(c).alias(c) for c in ("n", "sig", *low)])
-    nodes = staged(first.select("h", "id", "own.i", "own.g", "n", "sig", *low, F.monotonically_increasing_id().alias("node")))  # numbered once: what is written stays
+    first = rows.where("h is not null").groupBy("h").agg(
+        F.min("id").alias("id"), F.min(F.struct("i", "g")).alias("own"), *[F.first(c).alias(c) for c in ("n", "sig", *low)]
+    )
+    nodes = staged(
+        first.select("h", "id", "own.i", "own.g", "n", "sig", *low, F.monotonically_increasing_id().alias("node"))
+    )  # numbered once: what is written stays
 
-    posted = nodes.select("node", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long") + F.lit(2**31))).alias("token"))
+    posted = nodes.select("node", F.posexplode("sig").alias("c", "v")).select(
+        "node", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long") + F.lit(2**31))).alias("token")
+    )
     shared = posted.groupBy("token").agg(F.count("*").alias("n_token")).where("n_token > 1").select(F.bitwise_not("token").alias("k"), "n_token")
     own = posted.select("node", "token", F.bitwise_not("token").alias("k")).join(shared, "k")
     prefix = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("x")).where(F.size("x") >= least_equal)
@@ -216,7 +234,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     for turn in range(ROUNDS + 1):
         named = staged(post.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        open_lists = named.groupBy("token").agg(F.min_by("component", "node").alias("head"), F.min("node").alias("first"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
+        open_lists = named.groupBy("token").agg(
+            F.min_by("component", "node").alias("head"), F.min("node").alias("first"), F.min("component").alias("low"),
+            F.max("component").alias("high"), F.count("*").alias("c")
+        )
         open_lists = open_lists.where("low <> high").select(F.bitwise_not("token").alias("k"), "head", "first", "c")
         members = named.withColumn("k", F.bitwise_not("token")).join(open_lists, "k")
         right = ["k", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in ("n", "m", *low)]]
@@ -237,7 +258,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = nodes.join(linked, "node", "left").select("h", "id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    verdict = named.select(F.bitwise_not("component").alias("k"), "h").join(smallest.select(F.bitwise_not("component").alias("k"), "component_id"), "k").select(F.concat("h", F.lit("")).alias("h"), F.bitwise_not("k").alias("component"), "component_id")
+    verdict = named.select(F.bitwise_not("component").alias("k"), "h").join(smallest.select(F.bitwise_not("component").alias("k"), "component_id"), "k").select(
+        F.concat("h", F.lit("")).alias("h"), F.bitwise_not("k").alias("component"), "component_id"
+    )
     return rows.select("id", "g", "n", "h").join(verdict, "h", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -52,7 +52,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_exact_dedup, op4_minhash_dedup, op5_toxicity, op6_lm_score, op7_line_dedup, op8_substring_dedup, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (
+        op1_sentencepiece, op2_license_scan, op3_exact_dedup, op4_minhash_dedup, op5_toxicity, op6_lm_score, op7_line_dedup, op8_substring_dedup,
+        op9_chat_format, op10_decontaminate
+    )
+}
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_minhash_dedup": minhash_dedup.SQL,

@@ -85,7 +85,12 @@ def _joined(ids: np.ndarray, texts: np.ndarray, places: np.ndarray) -> pa.Table:
     first = np.r_[True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (places[1:] > places[:-1] + 1)] if len(ids) else np.zeros(0, bool)
     starts = np.flatnonzero(first)
     sizes = places[np.r_[starts[1:], len(ids)] - 1] - places[starts] + LENGTH if len(ids) else starts
-    return pa.table({"id": pa.array(ids[starts], pa.int64()), "g": pa.array(texts[starts], pa.int64()), "p": pa.array(places[starts], pa.int64()), "n": pa.array(sizes, pa.int64())})
+    return pa.table(
+        {
+            "id": pa.array(ids[starts], pa.int64()), "g": pa.array(texts[starts], pa.int64()), "p": pa.array(places[starts], pa.int64()),
+            "n": pa.array(sizes, pa.int64())
+        }
+    )
 
 
 def _bucket(table: pa.Table) -> pa.Table:
@@ -149,13 +154,17 @@ def repeated_stretches(source: DataFrame) -> DataFrame:
     gone = _but_first(again.select("id", "g", "p", F.col("n").cast("long").alias("n")), first)
 
     around = first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(_flipped("h").alias("k"), (F.col("m") > CROWD).alias("hot"))
-    edges = first.select("f", "n", _flipped("h").alias("k")).join(around, "k").select("f.id", "f.g", F.struct("hot", _flipped("k").alias("h"), F.col("f.p").alias("p"), "n").alias("e"))
+    edges = first.select("f", "n", _flipped("h").alias("k")).join(around, "k").select(
+        "f.id", "f.g", F.struct("hot", _flipped("k").alias("h"), F.col("f.p").alias("p"), "n").alias("e")
+    )
     per_doc = edges.groupBy("id", "g").agg(F.collect_list("e").alias("edges"))  # at most one for each run of the document
     pieces = staged(source.join(per_doc, ["id", "g"]).select("id", "g", "t", "edges").mapInArrow(_emit_pieces, PIECE))
 
     cold = pieces.where("not hot")
     buckets = cold.count() // BUCKET_ROWS + 1
-    in_buckets = cold.select(F.pmod("a", F.lit(buckets)).alias("bucket"), "id", "g", "p", "span").groupBy("bucket").applyInArrow(_bucket, "id long, g long, p long, n long")
+    in_buckets = cold.select(
+        F.pmod("a", F.lit(buckets)).alias("bucket"), "id", "g", "p", "span"
+    ).groupBy("bucket").applyInArrow(_bucket, "id long, g long, p long, n long")
     hot = pieces.where("hot").select("a", "b", "id", "g", "p")
     seen = hot.groupBy("a", "b").agg(F.min(F.struct("id", "g", "p")).alias("f"))
     strings = _but_first(hot.select("id", "g", "p", F.lit(LENGTH).cast("long").alias("n")), seen)
@@ -166,7 +175,9 @@ def _merged(stretches: DataFrame) -> DataFrame:
     """(id, g, spans): each text's stretches, overlapping and touching ones in one, so that what is collected is what was removed and not a row per byte."""
     by_place = Window.partitionBy("id", "g").orderBy("p")
     before = F.max(F.col("p") + F.col("n")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    marked = stretches.withColumn("new", (before.isNull() | (F.col("p") > before)).cast("int")).withColumn("k", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = stretches.withColumn("new", (before.isNull() | (F.col("p") > before)).cast("int")).withColumn(
+        "k", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    )
     joined = marked.groupBy("id", "g", "k").agg(F.min("p").alias("p"), (F.max(F.col("p") + F.col("n")) - F.min("p")).alias("n"))
     return joined.groupBy("id", "g").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
 
@@ -184,7 +195,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     source = docs.select(key.alias("own"), F.coalesce(key.cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("g"), text.alias("t"))
     spans = _merged(repeated_stretches(source))
     kind = source.schema["own"].dataType.simpleString()
-    made = source.join(spans, ["id", "g"], "left").select("own", "t", "spans").mapInArrow(_cut, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
+    made = source.join(spans, ["id", "g"], "left").select("own", "t", "spans").mapInArrow(
+        _cut, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+    )
     return made.select(F.col("own").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 

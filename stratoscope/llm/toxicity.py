@@ -208,7 +208,10 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         keys = list({**counts[0], **counts[1]})
-        made = pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys], pa.string()), *(pa.array([counts[i][k] for k in keys], pa.int64()) for i in (1, 0))], names=["stem", "toxic", "clean"])
+        made = pa.RecordBatch.from_arrays(
+            [pa.array([k.decode() for k in keys], pa.string()), *(pa.array([counts[i][k] for k in keys], pa.int64()) for i in (1, 0))],
+            names=["stem", "toxic", "clean"]
+        )
         counts[0].clear()
         counts[1].clear()
         return made
@@ -269,7 +272,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n1, n0 = int(total["toxic"]), int(total["n"] - total["toxic"])
     if not n1 or not n0:
         return ToxicityModel(Grammar({}), (*[0.0] * FEATURES, -30.0))
-    stems = staged(sample.mapInArrow(_count_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")))
+    stems = staged(
+        sample.mapInArrow(_count_stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    )
     bound = math.log(100 * max(1, stems.count()))
     p, n, share = n1 / (n1 + n0), F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
     kl = share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
@@ -285,7 +290,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch):
                 made = [grammar.features(x, weigh) for x in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if f is None else f.tolist() for f in made], pa.list_(pa.float64()))], names=["y", "f"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([None if f is None else f.tolist() for f in made], pa.list_(pa.float64()))], names=["y", "f"]
+                )
 
     rows = sample.mapInArrow(measure, "y int, f array<double>").collect()  # a few numbers for each row of the sample
     x = np.array([r["f"] or [0.0] * FEATURES for r in rows])

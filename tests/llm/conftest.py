@@ -11,7 +11,10 @@ def documents(spark, pairs):
 
 #: Nulls, empty and blank texts, ties, repeated rows, a long text.
 LONG = " ".join(f"w{i * 7919 % 4001}" for i in range(20_000))
-ODD = [(0, None), (1, ""), (2, "  \n\t"), (3, "one"), (4, "one"), (5, "One two three four five six"), (6, "one two three four five  six"), (6, "one two three four five  six"), (7, LONG), (8, LONG + " end"), (9, "a▁b  c "), (10, "é🙂\r\n\x00x"), (11, LONG), (None, "one"), (None, None)]
+ODD = [
+    (0, None), (1, ""), (2, "  \n\t"), (3, "one"), (4, "one"), (5, "One two three four five six"), (6, "one two three four five  six"),
+    (6, "one two three four five  six"), (7, LONG), (8, LONG + " end"), (9, "a▁b  c "), (10, "é🙂\r\n\x00x"), (11, LONG), (None, "one"), (None, None)
+]
 
 
 @pytest.fixture

@@ -43,7 +43,9 @@ def test_boilerplate(spark, odd, none, least):
     for pairs in (pages, ODD):
         made = line_dedup.drop_boilerplate(documents(spark, pairs), min_pages=least).collect()
         want = brute_boilerplate([(f"src{(i or 0) % 2}", x) for i, x in pairs], line_dedup.RATIO, least)
-        assert sorted((r.doc_id or -1, r.text or "", r.n_dropped) for r in made) == sorted((i or -1, w[0] or "", w[1]) for (i, _), w in zip(pairs, want, strict=True))
+        assert sorted((r.doc_id or -1, r.text or "", r.n_dropped) for r in made) == sorted(
+            (i or -1, w[0] or "", w[1]) for (i, _), w in zip(pairs, want, strict=True)
+        )
         assert {r.doc_id for r in made if r.text is None} == {i for i, x in pairs if x is None}
     assert line_dedup.line_report(none).count() == 0
 
@@ -110,7 +112,9 @@ def test_near_groups_of_odd_rows(spark, odd, none):
     for r in rows:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
-    assert sorted((r.n_shingles, r.component_id) for r in rows if r.doc_id is None) == [(0, None), (1, 3)] or {(r.n_shingles, r.component_id) for r in rows if r.doc_id is None} == {(0, None), (1, 3)}
+    assert sorted(
+        (r.n_shingles, r.component_id) for r in rows if r.doc_id is None
+    ) == [(0, None), (1, 3)] or {(r.n_shingles, r.component_id) for r in rows if r.doc_id is None} == {(0, None), (1, 3)}
     assert minhash_dedup.near_groups(none).count() == 0
 
 
@@ -121,7 +125,9 @@ def test_rows_that_repeat_an_id_keep_their_own_links(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in made.collect()) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (0, 1), (0, 0)])
     assert len({r.component for r in made.collect()}) == 3
     left = minhash_dedup.one_of_each(documents(spark, rows + [(5, ""), (5, None)]), minhash_dedup.near_groups(documents(spark, rows + [(5, ""), (5, None)])))
-    assert sorted((r.doc_id or 0, r.text or "", r.h) for r in left.collect()) == [(0, "own words of no one", "b"), (1, a, "b"), (1, b, "b"), (5, "", "b"), (5, "", "b")]
+    assert sorted((r.doc_id or 0, r.text or "", r.h) for r in left.collect()) == [
+        (0, "own words of no one", "b"), (1, a, "b"), (1, b, "b"), (5, "", "b"), (5, "", "b")
+    ]
 
 
 def test_copies_of_the_first_row_are_one(spark):

@@ -95,7 +95,10 @@ def test_licenses(spark, odd, none):
     mit = licenses.TEMPLATES["MIT"]
     words = mit.split()
     worn = " ".join(words[:20] + ["really"] + words[20:50] + words[52:])
-    texts = [(1, "intro words here\n" + mit.upper() + "\nrest"), (2, worn), (3, " ".join(words[:40])), (4, "x Released under the MIT\nLicense. y. Released  under the MIT License"), (5, "released the license under mit"), (6, None)]
+    texts = [
+        (1, "intro words here\n" + mit.upper() + "\nrest"), (2, worn), (3, " ".join(words[:40])),
+        (4, "x Released under the MIT\nLicense. y. Released  under the MIT License"), (5, "released the license under mit"), (6, None)
+    ]
     made = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts), ["doc_id"]).collect()}
     assert [(m.license, m.coverage) for m in made[1].matches] == [("MIT", 1.0)] and made[1].matches[0].start == 3
     assert made[2].matches[0].license == "MIT" and 0.9 < made[2].matches[0].coverage < 1
@@ -201,7 +204,9 @@ def crc(i):
 def lm_documents():
     rng = random.Random(6)
     common = ["the", "of", "and", "river", "stone"]
-    docs = [(i, " ".join(rng.choice(common) if rng.random() < 0.8 else f"w{rng.randrange(200)}" for _ in range(80))) for i in range(120)] + [(500, None), (501, "")]
+    docs = [
+        (i, " ".join(rng.choice(common) if rng.random() < 0.8 else f"w{rng.randrange(200)}" for _ in range(80))) for i in range(120)
+    ] + [(500, None), (501, "")]
     counts, total = {}, 0
     for i, x in docs:
         if crc(i) % 7 != 2:
@@ -298,7 +303,10 @@ def test_scores_equal_a_plain_computation(spark, own):
     docs = [(i, x) for i, x in lm_documents()[0]]
     table = documents(spark, docs)
     _, _, model = language_model._learned(table, "doc_id", "text", 2, 7, sentence_pieces.read_model())
-    rows = [(i, [*blank_words((x or "").encode()), b""], crc(i) % 7 == 2, int(model.classes.of(language_model.byte_triples((x or "").encode())[None])[0])) for i, x in docs]
+    rows = [
+        (i, [*blank_words((x or "").encode()), b""], crc(i) % 7 == 2, int(model.classes.of(language_model.byte_triples((x or "").encode())[None])[0])) for i,
+        x in docs
+    ]
     c, own_c = Counter(), [Counter() for _ in range(language_model.CLASSES)]
     for _, tokens, held, k in rows:
         if not held:
@@ -321,14 +329,19 @@ def test_scores_equal_a_plain_computation(spark, own):
 
 
 def test_chat_reads_back_and_judges_turns(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", chat.MARKED), (1, 2, "assistant", "&amp;&lt;|x<|y&"), (2, 0, "assistant", "a"), (2, 1, "user", None), (3, 0, "user", "u"), (4, 0, "user", "a"), (4, 0, "user", "a"), (4, 1, "assistant", ""), (5, None, "us\ner<|", "x"), (None, 0, None, None)]
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "user", chat.MARKED), (1, 2, "assistant", "&amp;&lt;|x<|y&"), (2, 0, "assistant", "a"), (2, 1, "user", None),
+        (3, 0, "user", "u"), (4, 0, "user", "a"), (4, 0, "user", "a"), (4, 1, "assistant", ""), (5, None, "us\ner<|", "x"), (None, 0, None, None)
+    ]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, segments string, x string")
     made = {r.conv_id: r for r in chat.format_chat(df).withColumn("back", chat.parse_chat(F.col("formatted"))).collect()}
     for c, r in made.items():
         want = [(x[2] or "", x[3] or "") for x in rows if x[0] == c]
         assert [(t.role, t.text) for t in r.back] == want
         assert "".join(s.text for s in r.segments) == r.formatted
-    assert {c: (r.valid, r.first_invalid) for c, r in made.items()} == {1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, 1), 5: (False, 0), None: (False, 0)}
+    assert {c: (r.valid, r.first_invalid) for c, r in made.items()} == {
+        1: (True, None), 2: (False, 0), 3: (False, 1), 4: (False, 1), 5: (False, 0), None: (False, 0)
+    }
     digest = {r.conv_id: r for r in chat.chat_digest(chat.format_chat(df)).collect()}
     assert digest[1].loss_sha256 == hashlib.sha256(b"&amp;&lt;|x<|y&").hexdigest() and digest[1].loss_chars == 15
     assert chat.format_chat(df.where("false")).count() == 0
@@ -336,13 +349,18 @@ def test_chat_reads_back_and_judges_turns(spark):
 
 def test_benchmark_spans_point_into_the_text(spark, odd, none):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
-    items = spark.createDataFrame([(1, item, "q"), (2, "tiny é", "q"), (3, None, "q"), (4, "..", "q"), (5, item, "q")], "item_id long, text string, extra string")
+    items = spark.createDataFrame(
+        [(1, item, "q"), (2, "tiny é", "q"), (3, None, "q"), (4, "..", "q"), (5, item, "q")], "item_id long, text string, extra string"
+    )
     text = "x, Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda! y tiny É tiny é"
     docs = documents(spark, [(1, text), (2, "alpha beta gamma delta"), (3, None)])
     for bound in (1 << 20, 40):  # one automaton, or several
         made = {r.doc_id: r for r in decontaminate.find_benchmark(docs, items, ["doc_id"], max_nodes=bound).collect()}
         spans = {(s.item, text.encode()[s.from_byte : s.to_byte].decode()) for s in made[1].found}
-        assert spans == {("1", "Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda"), ("5", "Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda"), ("2", "tiny é")}
+        assert spans == {
+            ("1", "Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda"),
+            ("5", "Beta-gamma delta; epsilon ZETA eta theta iota\nkappa lambda"), ("2", "tiny é")
+        }
         assert made[2].found == [] and made[3].n_words == 0
         r = {r.doc_id: r for r in decontaminate.contamination(docs, items, max_nodes=bound).collect()}[1]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (16, 12, 3, True) and r.items_sha256 == hashlib.sha256(b"1,2,5").hexdigest()
