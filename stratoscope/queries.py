@@ -945,15 +945,13 @@ def g11_smooth_gaussian(spark: SparkSession, sf: str) -> DataFrame:
 
 N = 64
 #: Frames of 64 with half overlap, their transforms, and Welch densities at a rate of 1.
-FRAMES = f"""{SERIES}, ns AS (SELECT channel, count(*) AS n FROM ser GROUP BY channel), fr AS (SELECT channel, n, f FROM ns, (SELECT unnest(range(0,
- 1000000)) AS f) WHERE f * 32 + 64 <= n),
+FRAMES = f"""{SERIES}, ns AS (SELECT channel, count(*) AS n FROM ser GROUP BY channel), fr AS (SELECT channel, n, f FROM ns, (SELECT unnest(range(0, (SELECT max(n) FROM ns) // 32 + 1)) AS f) WHERE f * 32 + 64 <= n),
  smp AS (SELECT fr.channel, f, s.sample - f * 32 AS i, s.y - avg(s.y) OVER (PARTITION BY fr.channel, f) AS v FROM fr JOIN ser s ON s.channel =
  fr.channel AND s.sample BETWEEN f * 32 AND f * 32 + 63),
  win AS (SELECT channel, f, i, v * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM smp), ks AS (SELECT unnest(range(0, 33)) AS k),
  dft AS (SELECT channel, f, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM win, ks GROUP BY channel, f, k),
  scale AS (SELECT k, CASE WHEN k IN (0, 32) THEN 1.0 ELSE 2.0 END / 24.0 AS d FROM ks),
  psd AS (SELECT channel, k AS freq_idx, k / 64.0 AS freq, avg((re * re + im * im) * d) AS power FROM dft JOIN scale USING (k) GROUP BY channel, k)"""
-FRAMES = FRAMES.replace("range(0, 1000000)", "range(0, (SELECT max(n) FROM ns) // 32 + 1)")
 
 
 def _spectra(spark: SparkSession, sf: str) -> DataFrame:
