@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import analytic, butter_bandpass, settle_samples, zero_phase
 from ..model import KEYS, ordered
-from ..shipping import ship
+from ..shipping import ship, staged
 from .events import onsets_and_offsets
 from .quantiles import exact_median
 from .segments import detect_epochs, median_step
@@ -115,7 +115,7 @@ class OscillationDetector:
             raise ValueError("order, durations and sampling rate must be positive")
 
     def run(self, samples: DataFrame, series: Sequence[str] = KEYS) -> DataFrame:
-        made = bandpass(samples, self.fs, self.band_hz, self.order, self.chunk, True, series)
+        made = staged(bandpass(samples, self.fs, self.band_hz, self.order, self.chunk, True, series))  # thresholds, epochs and statistics read it
         levels = robust_threshold(made, self.threshold_k, series) if self.threshold is None else made.select(*series).distinct().withColumn(
             "threshold", F.lit(float(self.threshold))
         )
@@ -145,8 +145,7 @@ def bosc_episodes(
     background) replaces the fit.
     """
     freqs = bosc_frequencies(fit_hz, per_octave)
-    power = morlet_power(samples, fs, freqs, width, chunk, series)
-    timed = power.join(samples.select(*series, "sample", "t", *([reference] if reference else [])), [*series, "sample"])
+    timed = staged(morlet_power(samples, fs, freqs, width, chunk, series, ["t", *([reference] if reference else [])]))
     mean = timed.groupBy(*series, "freq_idx", "freq").agg(
         (F.coalesce(F.avg(F.when(F.col(reference), F.col("power"))), F.avg("power")) if reference else F.avg("power")).alias("mean_power")
     )

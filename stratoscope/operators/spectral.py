@@ -195,8 +195,11 @@ def aperiodic_fit(spectra: DataFrame, groups: Sequence[str], fit_hz: tuple[float
     )
 
 
-def morlet_power(samples: DataFrame, fs: float, freqs: Sequence[float], width: float = 6.0, chunk: int = 4096, series: Sequence[str] = KEYS) -> DataFrame:
-    """(series, sample, freq_idx, freq, power): wavelet power at each sample. Samples must be numbered 0, 1, ... without gaps.
+def morlet_power(
+    samples: DataFrame, fs: float, freqs: Sequence[float], width: float = 6.0, chunk: int = 4096, series: Sequence[str] = KEYS, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(series, sample, carry, freq_idx, freq, power): wavelet power at each sample, with the sample's columns in ``carry``. Samples must be
+    numbered 0, 1, ... without gaps.
 
     The mean is removed and missing samples are 0. Kernels are finite, so time is cut into chunks with a halo of half the longest kernel
     on each side, and a chunk gives what the whole series gives; no series is one task.
@@ -210,10 +213,12 @@ def morlet_power(samples: DataFrame, fs: float, freqs: Sequence[float], width: f
     cut = own.withColumn("__chunk", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
     names = list(series)
     kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in names)
+    held = "".join(f"{c} {samples.schema[c].dataType.simpleString()}, " for c in carry)
 
     def convolve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample")
         at, c, n = part["sample"].to_numpy(), int(part["__chunk"].iloc[0]), int(part["__n"].iloc[0])
+        inner = part[(at >= c * chunk) & (at < (c + 1) * chunk)]
         begin, end = c * chunk, min(n, (c + 1) * chunk)
         x = np.zeros(end - begin + 2 * halo)
         x[at - begin + halo] = part["__v"].to_numpy()
@@ -222,15 +227,15 @@ def morlet_power(samples: DataFrame, fs: float, freqs: Sequence[float], width: f
             full = np.convolve(x, k)
             start = halo + (len(k) - 1) // 2
             rows.append(
-                pd.DataFrame({"sample": np.arange(begin, end), "freq_idx": i, "freq": float(freqs[i]), "power": np.abs(full[start : start + end - begin]) ** 2})
+                pd.DataFrame({"sample": np.arange(begin, end), **{x: inner[x].to_numpy() for x in carry}, "freq_idx": i, "freq": float(freqs[i]), "power": np.abs(full[start : start + end - begin]) ** 2})
             )
         out = pd.concat(rows)
         for name in reversed(names):
             out.insert(0, name, part[name].iloc[0])
         return out
 
-    return cut.select(*names, "__chunk", "sample", "__n", "__v").groupBy(*names, "__chunk").applyInPandas(
-        convolve, f"{kinds}, sample long, freq_idx int, freq double, power double"
+    return cut.select(*names, "__chunk", "sample", "__n", "__v", *carry).groupBy(*names, "__chunk").applyInPandas(
+        convolve, f"{kinds}, sample long, {held}freq_idx int, freq double, power double"
     )
 
 

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -42,6 +42,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder and reads it again: what several steps use is computed once, and a lost executor costs no earlier step."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Deletes what this application has written there; call it once its results are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

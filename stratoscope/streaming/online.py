@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,30 +44,39 @@ def confirmed_bouts(
 ) -> DataFrame:
     """(subject, start_s, confirmed_s) as soon as a bout has lasted ``min_duration_s``: once per bout, without looking ahead.
 
-    State per subject is the open bout's start, last sample and whether it was reported. Within a micro-batch samples are taken in the order
+    State per subject is the open bout's start, last sample and whether it was reported; it goes once the watermark is past the pause that ends the bout. Within a micro-batch samples are taken in the order
     of time; samples that are older than the state's last one, or than the watermark, are dropped.
     """
     ship(samples.sparkSession)
 
     def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the watermark is past the last sample and the pause that ends a bout
+            state.remove()
+            return
         start, last, told = state.get if state.exists else (None, -1e300, False)
-        out = []
+        out, latest = [], 0
         for part in parts:
-            for t, y in part.sort_values("t")[["t", "y"]].itertuples(index=False):
-                if t <= last or y < least:
-                    continue
-                if start is None or t - last > merge_gap_s:
-                    start, told = t, False
-                last = t
-                if not told and t - start >= min_duration_s:
-                    told = True
-                    out.append((keys[0], start, t))
+            latest = max(latest, int(part["ms"].max()))
+            t = np.sort(part["t"].to_numpy()[(part["y"] >= least) & (part["t"] > last)])
+            if not len(t):
+                continue
+            opens = np.diff(t, prepend=last) > merge_gap_s
+            opens[0] |= start is None
+            bout = np.cumsum(opens)  # 0 is the state's
+            begin = np.concatenate([[np.nan if start is None else start], t[opens]])[bout]
+            found, at = np.unique(bout[t - begin >= min_duration_s], return_index=True)
+            when = t[t - begin >= min_duration_s][at]
+            new = ~((found == 0) & told)
+            out += zip(begin[np.searchsorted(bout, found[new])], when[new], strict=True)
+            told = bool((len(found) and found[-1] == bout[-1]) or (bout[-1] == 0 and told))
+            start, last = float(begin[-1]), float(t[-1])
         if start is not None:
             state.update((start, last, told))
-        yield pd.DataFrame(out, columns=["subject", "start_s", "confirmed_s"])
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(merge_gap_s * 1000) + 1)
+        yield pd.DataFrame({"subject": [keys[0]] * len(out), "start_s": [x for x, _ in out], "confirmed_s": [x for _, x in out]})
 
-    held = samples.withWatermark(time, watermark).select(F.col(key).alias("subject"), time, "t", "y")
-    return held.groupBy("subject").applyInPandasWithState(step, CONFIRMED, "start double, last double, told boolean", "append", GroupStateTimeout.NoTimeout)
+    held = samples.withWatermark(time, watermark).select(F.col(key).alias("subject"), time, F.unix_millis(time).alias("ms"), "t", "y")
+    return held.groupBy("subject").applyInPandasWithState(step, CONFIRMED, "start double, last double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(df: DataFrame, path: str) -> DataFrame:
