@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship, shared_path
+from ..shipping import ship, staged
+
+__all__ = ["as_bytes", "blank_words", "letter_words", "map_text", "rekeyed", "slices", "staged", "table"]
 
 FOLDED = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in bytes(range(256)).lower())
 
@@ -28,14 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it again, so that a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = shared_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def rekeyed(key: Column | str) -> Column:
     """The same string key as an expression of its own.
 
