@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Region acronyms by functional group, and the narrower groups that traces are averaged over.
-REGION_GROUPS = {
-    "Vis": "VISa VISal VISam VISl VISli VISp VISpl VISpm VISpor VISrl",
-    "SS": "SSp-bfd SSp-ll SSp-m SSp-n SSp-tr SSp-ul SSp-un SSs",
-    "Mo": "MOp MOs",
-    "Aud": "AUDd AUDp AUDpo AUDv",
-    "RSP": "RSPagl RSPd RSPv",
-    "Front": "FRP ACAd PL",
-    "Other": "TEa VISC",
+REGION_GROUPS: dict[str, tuple[str, ...]] = {
+    "Vis": ("VISa", "VISal", "VISam", "VISl", "VISli", "VISp", "VISpl", "VISpm", "VISpor", "VISrl"),
+    "SS": ("SSp-bfd", "SSp-ll", "SSp-m", "SSp-n", "SSp-tr", "SSp-ul", "SSp-un", "SSs"),
+    "Mo": ("MOp", "MOs"),
+    "Aud": ("AUDd", "AUDp", "AUDpo", "AUDv"),
+    "RSP": ("RSPagl", "RSPd", "RSPv"),
+    "Front": ("FRP", "ACAd", "PL"),
+    "Other": ("TEa", "VISC"),
 }
-ROI_GROUPS = {
-    "Motor": "MOp MOs",
-    "Somatosensory": "SSp-bfd SSp-ll SSp-m SSp-n SSp-tr SSp-ul SSp-un SSs",
-    "Visual primary": "VISp",
-    "Visual higher": "VISa VISal VISam VISl VISpm VISrl",
-    "Retrosplenial": "RSPagl RSPd RSPv",
+ROI_GROUPS: dict[str, tuple[str, ...]] = {
+    "Motor": ("MOp", "MOs"),
+    "Somatosensory": ("SSp-bfd", "SSp-ll", "SSp-m", "SSp-n", "SSp-tr", "SSp-ul", "SSp-un", "SSs"),
+    "Visual primary": ("VISp",),
+    "Visual higher": ("VISa", "VISal", "VISam", "VISl", "VISpm", "VISrl"),
+    "Retrosplenial": ("RSPagl", "RSPd", "RSPv"),
 }
 
 
@@ -52,15 +52,15 @@ def hemisphere(region: Column) -> Column:
     return F.when(region.rlike("^[LR]_"), F.substring(region, 1, 1))
 
 
-def region_table(spark: SparkSession, groups: dict[str, str] | None = None) -> DataFrame:
+def region_table(spark: SparkSession, groups: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(acronym, grp, grp_rank): a lookup of a few dozen rows."""
-    rows = [(a, g, i) for i, (g, names) in enumerate((groups or REGION_GROUPS).items()) for a in names.split()]
+    rows = [(a, g, i) for i, (g, names) in enumerate((groups or REGION_GROUPS).items()) for a in names]
     return spark.createDataFrame(rows, "acronym string, grp string, grp_rank int")
 
 
-def region_group(region: Column, groups: dict[str, str] | None = None, default: str | None = "Other") -> Column:
+def region_group(region: Column, groups: dict[str, tuple[str, ...]] | None = None, default: str | None = "Other") -> Column:
     """The region's functional group."""
-    pairs = [(a, g) for g, names in (groups or REGION_GROUPS).items() for a in names.split()]
+    pairs = [(a, g) for g, names in (groups or REGION_GROUPS).items() for a in names]
     table = F.create_map(*[F.lit(x) for p in pairs for x in p])
     found = F.try_element_at(table, region_acronym(region))
     return found if default is None else F.coalesce(found, F.lit(default))

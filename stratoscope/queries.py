@@ -958,9 +958,9 @@ def _spectra(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.welch(series_of(spark, sf), None, 1.0, float(N), C, ())
 
 
-@register(f"WITH {EV}, {FRAMES} SELECT channel, freq_idx, round(freq, 6) AS freq, round(power, 4) AS power FROM psd WHERE freq_idx > 0")
+@register(f"WITH {EV}, {FRAMES} SELECT channel, freq_idx, round(freq, 6) AS freq, round(power, 4) + 0.0 AS power FROM psd")
 def h1_welch(spark: SparkSession, sf: str) -> DataFrame:
-    return _spectra(spark, sf).where("freq_idx > 0").select(
+    return _spectra(spark, sf).select(
         "channel", F.col("freq_idx").cast("long").alias("freq_idx"), F.round("freq", 6).alias("freq"), F.round("power", 4).alias("power")
     )
 
@@ -1005,9 +1005,9 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.epoch_matrix(own, None, 1.0, float(N), 0.5, U)
 
 
-@register(f"WITH {EV}, {CROSS} SELECT k, l, freq_idx, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM csd WHERE freq_idx BETWEEN 1 AND 31")
+@register(f"WITH {EV}, {CROSS} SELECT k, l, freq_idx, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM csd")
 def h6_cross_spectral_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _matrix(spark, sf).where("freq_idx between 1 and 31").select(
+    return _matrix(spark, sf).select(
         "k", "l", F.col("freq_idx").cast("long").alias("freq_idx"), (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im")
     )
 
@@ -1019,9 +1019,9 @@ def _cross(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"""WITH {EV}, {CROSS} SELECT c.l AS channel, c.freq_idx, round(c.re, 3) + 0.0 AS re, round(c.im, 3) + 0.0 AS im, round(p.re, 3) AS power,
  round(r.re, 3) AS reference_power FROM csd c JOIN csd p ON p.k = c.l AND p.l = c.l AND p.freq_idx = c.freq_idx
- JOIN csd r ON r.k = 'click' AND r.l = 'click' AND r.freq_idx = c.freq_idx WHERE c.k = 'click' AND c.l <> 'click' AND c.freq_idx BETWEEN 1 AND 31""")
+ JOIN csd r ON r.k = 'click' AND r.l = 'click' AND r.freq_idx = c.freq_idx WHERE c.k = 'click' AND c.l <> 'click'""")
 def h5_cross_spectra(spark: SparkSession, sf: str) -> DataFrame:
-    made = _cross(spark, sf).where("freq_idx between 1 and 31")
+    made = _cross(spark, sf)
     return made.select(
         "channel", F.col("freq_idx").cast("long").alias("freq_idx"),
         *[(F.round(c, 3) + 0.0).alias(c) for c in ("re", "im", "power", "reference_power")]
