@@ -1311,9 +1311,9 @@ def k1_prominence_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0)} SELECT channel,
- {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
+ {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k1_peaks_without_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 0.0, C).select("channel", *[(F.round(c, 4) + 0.0).alias(c) for c in PEAKS])
+    return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 0.0, C).select("channel", *[(F.round(c, 6) + 0.0).alias(c) for c in PEAKS])
 
 
 @register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, k AS (SELECT channel, i AS sample, v AS y, count(*) OVER (PARTITION BY channel)
@@ -1331,11 +1331,11 @@ def k3_dilation_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""WITH {EV}, {GAPPED}, rough AS (SELECT channel, i, t, floor(y / 10) * 10 AS y FROM gapped), {own_gaps_sql('rough', 'whole')},
- {peaks_sql('whole', 40.0)} SELECT channel, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
+ {peaks_sql('whole', 40.0)} SELECT channel, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k3_dilations_of_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of a given smoothed column, with plateaus: values in tens."""
     rough = _gaps(series_of(spark, sf)).withColumn("smoothed", F.floor(F.col("y") / 10) * 10.0)
-    return pupil.dilation_events(rough, 40.0, 0.0, C).select("channel", *[(F.round(c, 4) + 0.0).alias(c) for c in PEAKS])
+    return pupil.dilation_events(rough, 40.0, 0.0, C).select("channel", *[(F.round(c, 6) + 0.0).alias(c) for c in PEAKS])
 
 
 def _still(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
