@@ -104,7 +104,8 @@ def _sets(size: int) -> Callable[[], Callable[[list[bytes]], list[pa.Array]]]:
         def work(texts: list[bytes]) -> list[pa.Array]:
             sets = [shingle_set(x, words, size) for x in texts]
             cells = [np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) for s in sets]
-            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(cells, pa.list_(pa.int32()))]
+            small = [x.astype(np.int8) if x.max() < 128 else None for x in cells]  # null bounds nothing
+            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(small, pa.list_(pa.int8()))]
 
         return work
 
@@ -117,11 +118,12 @@ def _equal(a: Column | str, b: Column | str) -> Column:
 
 
 def _possible(x: str, y: str, percent: int, least_equal: int) -> Column:
-    """Whether two postings' sets of n shingles, m of which others have too, can be similar enough, and whether as many coordinates as
-    are asked for can be equal: those whose lowest bits are."""
-    most = F.least(f"m{x}", f"m{y}")
+    """Whether two postings' sets of n shingles, m of which others have too, can be similar enough; whether as many coordinates as
+    are asked for can be equal: those whose lowest bits are; and whether the numbers of shingles in each cell allow the similarity."""
+    enough = lambda most: F.lit(100) * most >= F.lit(percent) * (F.col(f"n{x}") + F.col(f"n{y}") - most)
     unlike = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"p{k}{x}").bitwiseXOR(F.col(f"p{k}{y}")) for k in range(PLANES)])
-    return (F.lit(100) * most >= F.lit(percent) * (F.col(f"n{x}") + F.col(f"n{y}") - most)) & (COORDINATES - F.bit_count(unlike) >= least_equal)
+    shared = F.aggregate(F.zip_with(f"cells{x}", f"cells{y}", lambda a, b: F.least(a, b)), F.lit(0), lambda n, v: n + v.cast("int"))
+    return enough(F.least(f"m{x}", f"m{y}")) & (COORDINATES - F.bit_count(unlike) >= least_equal) & F.coalesce(enough(shared), F.lit(True))
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,17 +142,10 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
-def _signed(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose signatures agree on enough coordinates, and whose numbers of shingles in each cell allow the similarity.
-
-    nodes: (node, n, sig, cells). Signatures travel once for each pair and not with each posting.
-    """
-    own = lambda x: nodes.select(
-        F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("cells").alias(f"cells{x}")
-    )
-    most = F.aggregate(F.zip_with("cellsa", "cellsb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, v: n + v)
-    fit = F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)
-    return pairs.join(own("b"), "b").join(own("a"), "a").where(_equal("siga", "sigb") >= least_equal).where(fit).select("a", "b")
+def _signed(pairs: DataFrame, nodes: DataFrame, least_equal: int) -> DataFrame:
+    """The pairs (a, b) of nodes, (node, sig), whose signatures agree on enough coordinates. Signatures travel once for each pair and not with each posting."""
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig{x}"))
+    return pairs.join(own("b"), "b").join(own("a"), "a").where(_equal("siga", "sigb") >= least_equal).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +182,7 @@ def near_groups(
     2. Signatures are posted under (coordinate, value). Values that occur once can't collide; a node must share at least
        ``least_equal`` of its values. Prefix: two nodes that agree on so many must meet in the rarest (shared - least_equal + 1) of
        either's shared values, so only these are posted, and the commonest values never form lists. A posting is
-       (value, node, size, the lowest bits of its signature).
+       (value, node, size, the lowest bits of its signature, a byte for each cell of shingles).
     3. Nodes that are posted get their full sets, and the number of shingles that any other posted node has, which bounds what two of
        them can share. Each list joins its smallest node to the others whose bounds and bits allow the similarity; a pair that meets in several
        lists is one pair. Pairs whose signatures agree on enough coordinates are confirmed on the full sets, and linked nodes form components.
@@ -219,16 +214,17 @@ def near_groups(
     prefix = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_token", "token"))).alias("x")).where(F.size("x") >= least_equal)
     chosen = staged(prefix.select("node", F.transform(F.slice("x", F.lit(1), F.size("x") - (least_equal - 1)), lambda y: y.token).alias("tokens")))
     texts = source.join(nodes.join(chosen.select("node"), "node").select("i", "g", "node"), ["i", "g"])
-    own_sets = map_text(texts, ["node"], "t", _sets(size), [T.StructField("s", T.BinaryType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    own_sets = map_text(texts, ["node"], "t", _sets(size), [T.StructField("s", T.BinaryType()), T.StructField("cells", T.ArrayType(T.ByteType()))])
     sets = staged(own_sets.dropDuplicates(["node"]))
-    known = staged(nodes.select("node", "n", "sig").join(sets.select("node", "cells"), "node"))
-    fit = chosen.join(nodes.select("node", "n", *low), "node").join(_unshared(sets), "node", "left")
-    post = staged(fit.select("node", "n", *low, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), F.explode("tokens").alias("token")))
+    known = staged(nodes.select("node", "sig").join(chosen.select("node"), "node", "left_semi"))
+    fit = chosen.join(nodes.select("node", "n", *low), "node").join(_unshared(sets), "node", "left").join(sets.select("node", "cells"), "node")
+    bounds = ["n", "m", *low, "cells"]
+    post = staged(fit.withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).select("node", *bounds, F.explode("tokens").alias("token")))
 
-    heads = post.groupBy("token").agg(F.min(F.struct("node", "n", "m", *low)).alias("y"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), *[F.col(f"y.{c}").alias(f"{c}a") for c in ("n", "m", *low)])
+    heads = post.groupBy("token").agg(F.min_by(F.struct("node", *bounds), "node").alias("y"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), *[F.col(f"y.{c}").alias(f"{c}a") for c in bounds])
     met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _possible("", "a", percent, least_equal))
-    fit_pairs = staged(_signed(met.select("a", F.col("node").alias("b")).distinct(), known, percent, least_equal))
+    fit_pairs = staged(_signed(met.select("a", F.col("node").alias("b")).distinct(), known, least_equal))
     links = staged(_confirmed(fit_pairs, sets, percent))
     linked = components(links)
 
@@ -240,17 +236,17 @@ def near_groups(
         )
         open_lists = open_lists.where("low <> high").select(F.bitwise_not("token").alias("k"), "head", "first", "c")
         members = named.withColumn("k", F.bitwise_not("token")).join(open_lists, "k")
-        right = ["k", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in ("n", "m", *low)]]
+        right = ["k", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}a") for c in bounds]]
         other = (F.col("ca") != F.col("component")) & _possible("", "a", percent, least_equal)
         if turn < ROUNDS:
             seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("c") / TABLE))
-            left = members.select("k", "node", "n", "m", *low, "component", seat.alias("seat"))
+            left = members.select("k", "node", *bounds, "component", seat.alias("seat"))
             more = left.join(left.select("seat", *right), ["k", "seat"]).where((F.col("a") < F.col("node")) & other)
         else:
             members = staged(members)
             once = (F.col("component") == F.col("head")) | (F.col("a") < F.col("node"))
             more = members.join(members.where("component <> head").select(*right), "k").where(other & (F.col("node") != F.col("first")) & once)
-        pairs = staged(_signed(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), known, percent, least_equal))
+        pairs = staged(_signed(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), known, least_equal))
         if pairs.isEmpty():
             continue
         links = staged(links.union(_confirmed(pairs, sets, percent)))
