@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
 from .common import as_bytes, blank_words, slices, staged
@@ -396,7 +397,7 @@ def _learned(docs: DataFrame, id_col: str, text_col: str, fold: int, folds: int,
     classes = find_classes(rows.where("not held").select("t"))
     k = len(classes.prior)
     id_type = rows.schema["id"].dataType
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    kind = to_arrow_type(id_type)
     parts = staged(rows.mapInArrow(_dictionary(classes, kind), PARTS.format(id=id_type.simpleString())))
     by_class = [F.coalesce(F.sum(F.when(F.col("cls") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(k)]
     need = F.bit_or(F.expr("shiftleft(1L, cls)")).alias("need")

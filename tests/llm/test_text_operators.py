@@ -10,7 +10,7 @@ import sentencepiece
 from conftest import ODD, documents
 from pyspark.sql import functions as F
 
-from stratoscope.llm import chat, decontaminate, language_model, licenses, sentence_pieces, toxicity
+from stratoscope.llm import chat, decontaminate, exact_dedup, language_model, licenses, line_dedup, minhash_dedup, sentence_pieces, toxicity
 from stratoscope.llm.common import blank_words, letter_words
 from stratoscope.llm.lattice import PieceTrie
 
@@ -419,3 +419,24 @@ def test_short_licenses_are_found_wherever_brute_force_finds_them():
             band = max(2, int(index.band * len(templates[k])))
             best = max(licenses.align(templates[k], words, s, band)[0] for s in range(-25, len(words) + 25))
             assert (k in found) == (best >= licenses.COVERAGE * len(templates[k]))
+
+
+def test_a_very_long_text_is_taken_whole(spark):
+    """1.5 MB, with what each operator looks for at its end."""
+    rng = random.Random(31)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(230_000)]
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join(words) + "\nhome\n" + item + "\nReleased under the MIT License."
+    df = documents(spark, [(0, long), (2, long + " more"), (4, "home\nshort"), (6, "home")])
+    first = lambda made: {r.doc_id: r for r in made.collect()}[0]
+    assert [m.license for m in first(licenses.scan_licenses(df, ["doc_id"])).matches] == ["MIT-short"]
+    assert first(decontaminate.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string"))).n_hit == 10
+    near = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(df).collect()}
+    assert near == {0: 0, 2: 0, 4: 4, 6: 6}
+    assert first(exact_dedup.exact_groups(df)).group_size == 1
+    assert first(line_dedup.drop_boilerplate(df, ratio=0.9)).n_dropped == 1
+    scored = first(language_model.score_texts(df))
+    assert scored.n_tokens == len(blank_words(long.encode())) + 1 and math.isfinite(scored.score)
+    model = toxicity.ToxicityModel(toxicity.Grammar({b"w1$": 1.0}), (1.0,) * 8)
+    assert 0 <= first(toxicity.score_toxicity(df, model, ["doc_id"])).score <= 1
+    assert first(sentence_pieces.piece_report(df)).lossless
