@@ -1591,7 +1591,11 @@ def s3_stream_summary(spark: SparkSession, sf: str) -> DataFrame:
     return made.select(F.unix_timestamp("window_start").alias("window_start"), "channel", "n", *r6("mean"), "max")
 
 
-@register()
+@register(f"""WITH {EV}, k AS (SELECT subject, t FROM ev WHERE y >= 30),
+ m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY subject ORDER BY t) <= 86400 THEN 0 ELSE 1 END AS new FROM k),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY t) AS b FROM m), s AS (SELECT *, min(t) OVER (PARTITION BY subject, b) AS start_s FROM g)
+SELECT subject, round(start_s, 6) + 0.0 AS start_s, round(min(t), 6) + 0.0 AS confirmed_s FROM s WHERE t - start_s >= 20000 GROUP BY subject, b, start_s""")
 def s2_confirmed_bouts(spark: SparkSession, sf: str) -> DataFrame:
     """Bouts of a stream, told as soon as they have lasted."""
-    return online.drain(online.confirmed_bouts(_event_stream(spark, sf), 30.0, 20000.0, 86400.0, "1 hour"), shared_path(spark))
+    made = online.drain(online.confirmed_bouts(_event_stream(spark, sf), 30.0, 20000.0, 86400.0, "1 hour"), shared_path(spark))
+    return made.select("subject", *r6("start_s", "confirmed_s"))
