@@ -1212,6 +1212,26 @@ def j2_bout_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _either_way_sql(name: str, speed: str, peak: str) -> str:
+    return f"""SELECT '{name}' AS direction, b.subject, b.epoch_id, b.start_idx, b.end_idx, round(avg({speed}), 6) + 0.0 AS mean_speed_cms,
+ round({peak}({speed}), 6) + 0.0 AS peak_speed_cms FROM {name} b JOIN {name}_p p ON p.subject = b.subject AND p.idx BETWEEN b.start_idx AND b.end_idx GROUP BY ALL"""
+
+
+@register(f"""WITH {EV}, sh AS (SELECT subject, sample, t, y - 60 AS y FROM ev WHERE subject IN (SELECT subject FROM ev GROUP BY subject HAVING count(*) >= 3)),
+ {epochs_sql('absolute', src='sh', mask='abs(y) >= 20')}, {epochs_sql('backward', src='sh', mask='y <= -20')}
+ {_either_way_sql('absolute', 'abs(p.y)', 'max')} UNION ALL {_either_way_sql('backward', 'p.y', 'min')}""")
+def j1_direction_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Bouts in either direction, and backwards, of values less 60."""
+    own = event_samples(spark, sf).withColumn("y", F.col("y") - 60)
+    made = [
+        locomotion.bout_events(own, 20.0, d, merge_gap_s=HOUR, keys=U).select(
+            F.lit(d).alias("direction"), "subject", "epoch_id", "start_idx", "end_idx", *r6("mean_speed_cms", "peak_speed_cms")
+        )
+        for d in ("absolute", "backward")
+    ]
+    return made[0].union(made[1])
+
+
 QUIET = f"""{BOUTS}, lastp AS (SELECT subject, max(idx) AS n FROM bout_p GROUP BY subject), q AS (SELECT subject, coalesce(lag(end_idx) OVER
  (PARTITION BY subject ORDER BY start_idx) + 1, 0) AS s, start_idx - 1 AS e FROM bout
  UNION ALL SELECT subject, coalesce(m + 1, 0), n FROM lastp LEFT JOIN (SELECT subject, max(end_idx) AS m FROM bout GROUP BY subject) USING (subject)),
