@@ -10,11 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+#: Bytes of an Arrow batch on its way to a worker and back, where the session has no setting of its own: a few are held at once for each core.
+BATCH = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the application once, so that workers find it wherever they run."""
+    """Adds the package's sources to the application once, so that workers find it wherever they run; and keeps Arrow batches small."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
     if context.applicationId in _sent:
         return
     top = Path(__file__).resolve().parent
