@@ -61,11 +61,12 @@ def map_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
             for part in slices(batch):
                 made = work(as_bytes(part.column(n)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=schema.names)
+                pa.default_memory_pool().release_unused()  # workers outlive the task
 
     return source.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, mb: int = 8) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, mb: int = 2) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many MB, so that a worker's memory doesn't follow the batch."""
     step = max(1, int(batch.num_rows / max(1, batch.nbytes / (mb << 20))))
     for i in range(0, batch.num_rows, step):

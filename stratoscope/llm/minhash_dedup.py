@@ -27,7 +27,7 @@ PERCENT = 80
 CELLS = 128
 #: How many of the lowest bits of each coordinate go with a posting.
 PLANES = 3
-MEMO = 1 << 17
+MEMO = 1 << 16
 
 _random = np.random.default_rng(20240229)
 MULTIPLIERS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -22,7 +22,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CHECK_EVERY = 64
-MEMO = 1 << 18
+MEMO = 1 << 16
 
 
 class _Words(dict):

@@ -46,7 +46,7 @@ STEMS = (4, 5, 6)
 SURE = 0.95
 CONTEXTS = 3
 SCOPE = 2
-MEMO = 1 << 16
+MEMO = 1 << 15
 CLAUSE = re.compile(rb"[.!?;:|\n]+")
 FEATURES = 7
 #: Symbols of words, and of a clause's end.
@@ -220,7 +220,7 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             for y, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
                 counts[y > 0].update({s for w in set(letter_words(text)) for s in stems_of(w)})
-                if len(counts[0]) + len(counts[1]) > 400_000:
+                if len(counts[0]) + len(counts[1]) > 100_000:
                     yield flush()
     yield flush()
 
