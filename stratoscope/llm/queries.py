@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, language_model, licenses, line_dedup, minhash_dedup, sentence_pieces, substring_dedup, toxicity
+from . import (
+    chat, decontaminate, exact_dedup, fill_middle, language_model, licenses, line_dedup, merkle, minhash_dedup, quality, sentence_pieces, substring_dedup, toxicity
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +54,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_sentencepiece, op2_license_scan, op3_exact_dedup, op4_minhash_dedup, op5_toxicity, op6_lm_score, op7_line_dedup, op8_substring_dedup,
-        op9_chat_format, op10_decontaminate
+        op9_chat_format, op10_decontaminate, op11_fill_in_middle, op12_merkle_manifest, op13_quality
     )
 }
 SQL: dict[str, str] = {
@@ -64,4 +78,6 @@ SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.SQL,
     "op9_chat_format": chat.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_fill_in_middle": fill_middle.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
