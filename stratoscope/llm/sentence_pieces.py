@@ -21,7 +21,7 @@ from .lattice import LITERAL, PieceTrie, best_paths, blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CHECK_EVERY = 64
+TRIM = 4096
 MEMO = 1 << 16
 
 
@@ -137,10 +137,16 @@ class PieceCoder:
         return self.ids[at], ends[places]
 
     def best(self, text: str) -> list[int]:
-        """Viterbi over a window. Whenever the back pointers of all places that a later piece can start from meet in one boundary,
-        the ids before it are final: they are put out, and the window starts there. It holds about CHECK_EVERY places and the longest piece."""
+        """Viterbi over a window: the longest piece's last places, and those before them from which a path leads there.
+
+        Each place counts the living places that go on from it; one that is too far back to begin a piece and has none dies, and so may the
+        one before it. When the first place of the window has one living follower left, all paths have met there: the ids up to it are
+        final, and the window starts at it. So a character costs constant work beside its matches. Memory is that of the
+        window: a few pieces' length in prose, but linear in a stretch where paths never meet.
+        """
         out: list[int] = []
-        base, score, back, made = 0, [0.0], [0], [-1]  # of the places base, base + 1, ...
+        base = root = 0  # of the lists, and of the window
+        score, back, made, alive, followers = [0.0], [0], [-1], [0], [0]  # followers: the sum of the living ones' places
         matches = self.machine.iter(text)
         end, found = next(matches, (len(text), None))
         for i in range(len(text)):
@@ -156,26 +162,33 @@ class PieceCoder:
             score.append(top)
             back.append(start)
             made.append(piece)
-            if len(score) > CHECK_EVERY + 2 * self.longest:
-                if (meet := self._meet(back, base, i + 1)) > base:
-                    out += self._path(text, back, made, base, meet)
-                    score, back, made, base = score[meet - base :], back[meet - base :], made[meet - base :], meet
-        return out + self._path(text, back, made, base, len(text))
-
-    def _meet(self, back: list[int], base: int, end: int) -> int:
-        alive = set(range(max(base, end + 1 - self.longest), end + 1))
-        while len(alive) > 1:
-            last = max(alive)
-            alive.remove(last)
-            alive.add(max(base, back[last - base]))
-        return alive.pop()
-
-    def _path(self, text: str, back: list[int], made: list[int], base: int, end: int) -> list[int]:
+            alive.append(0)
+            followers.append(0)
+            alive[start - base] += 1
+            followers[start - base] += i + 1
+            gone = i + 1 - self.longest
+            place = gone
+            while place > root and place <= gone and not alive[place - base]:
+                before = back[place - base]
+                alive[before - base] -= 1
+                followers[before - base] -= place
+                place = before
+            while root <= gone and alive[root - base] == 1:
+                after = followers[root - base]
+                out += [made[after - base]] if made[after - base] >= 0 else self._raw(text[root:after])
+                root = after
+            if root - base > TRIM:
+                for kept in (score, back, made, alive, followers):
+                    del kept[: root - base]
+                base = root
+        return out + self._path(text, back, made, base, root, len(text))
+
+    def _path(self, text: str, back: list[int], made: list[int], base: int, start: int, end: int) -> list[int]:
         ids: list[int] = []
-        while end > base:
-            start, piece = back[end - base], made[end - base]
-            ids += [piece] if piece >= 0 else self._raw(text[start:end])[::-1]
-            end = start
+        while end > start:
+            before, piece = back[end - base], made[end - base]
+            ids += [piece] if piece >= 0 else self._raw(text[before:end])[::-1]
+            end = before
         return ids[::-1]
 
     def _raw(self, text: str) -> list[int]:
@@ -222,7 +235,12 @@ def read_model(path: str = MODEL) -> bytes:
 
 
 def encode_pieces(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the ids of each text. Null and empty texts have no ids. A column named as ``ids_col`` is replaced."""
+    """``docs`` with the ids of each text. Null and empty texts have no ids. A column named as ``ids_col`` is replaced.
+
+    Rows that repeat another are encoded each and alike. Very long texts are encoded whole, in time linear in their length whatever their
+    signs; a stretch of one sign keeps its back pointers until a blank, a line end or another sign lets the paths meet.
+    An empty table gives no rows; other columns pass through, whatever their names.
+    """
     proto = read_model(model)
 
     def make() -> Callable[[list[bytes]], list[pa.Array]]:
@@ -259,7 +277,10 @@ def decode_pieces(docs: DataFrame, ids_col: str = "ids", text_col: str = "decode
 
 
 def piece_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_ids, a hash of the ids, the decoded text's SHA-256, and whether it is the text."""
+    """doc_id, n_chars, n_ids, a hash of the ids, the decoded text's SHA-256, and whether it is the text; one row per row of ``docs``.
+
+    Null texts count as empty ones; see ``encode_pieces`` for repeated rows and very long texts. Other columns are not looked at.
+    """
     text = F.coalesce("text", F.lit(""))
     coded = encode_pieces(docs.select("doc_id", text.alias("text")), model=model)
     slim = coded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "ids")

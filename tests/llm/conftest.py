@@ -1,11 +1,11 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, h string, id string, t string, k string, kept boolean, score string, host_pages string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, h string, id string, t string, k string, kept boolean, score string, host_pages string, found string, n_words string, n_lines string, row string, `a.b` string, ids string"
 
 
 def documents(spark, pairs):
     """Documents with columns whose names the operators use themselves."""
-    rows = [(i, x, "en", f"src{(i or 0) % 2}", len(x or ""), "a", "b", "c", "d", "e", None, "f", "g") for i, x in pairs]
+    rows = [(i, x, "en", f"src{(i or 0) % 2}", len(x or ""), "a", "b", "c", "d", "e", None, "f", "g", "h", "i", "j", "k", "l", "m") for i, x in pairs]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -36,6 +36,18 @@ def test_odd_rows_and_empty_tables(spark, sf):
         assert df.count() == left
 
 
+def test_columns_of_any_name_pass_through(spark, sf):
+    """Names that operators use themselves, and one with a dot."""
+    docs = documents(spark, [(i, f"a page of words numbered {i} " * 3) for i in range(8)])
+    own = [c for c in docs.columns if c not in ("text", "n_chars")]
+    want = {r["doc_id"]: tuple(r[c] for c in own) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, sf)
+        assert made.columns == docs.columns, name
+        rows = made.collect()
+        assert rows and all(tuple(r[c] for c in own) == want[r["doc_id"]] for r in rows), name
+
+
 def test_entry_names_the_pipeline():
     import __spark_entry__ as entry
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,17 @@ def test_encode_equals_a_full_search_over_whole_texts(own):
             assert own.encode(text) == (full_viterbi(own, "▁" + text.replace("▁", "\ud800").replace(" ", "▁")) if text else [])
 
 
+def test_runs_of_one_sign(own):
+    """Paths that never meet: equal to the full search, and in time linear in the run."""
+    for sign in "-A_=x.":
+        for n in (1, 63, 64, 65, 200, 1001):
+            for text in (sign * n, f"ab {sign * n}cd e{sign * (n // 3)}"):
+                assert own.encode(text) == full_viterbi(own, "▁" + text.replace(" ", "▁"))
+        began = time.perf_counter()
+        text = sign * 100_000
+        assert own.decode(own.encode(text)) == text and time.perf_counter() - began < 10
+
+
 def test_very_long_words_and_texts(own):
     rng = random.Random(13)
     text = "".join(rng.choice("aeiou nrst") for _ in range(300_000)) + " " + "".join(rng.choice("aeiounrst一") for _ in range(50_000))
