@@ -15,6 +15,7 @@ from ..functions.filters import analytic, butter_bandpass, settle_samples, zero_
 from ..model import KEYS, ordered
 from ..shipping import ship, staged
 from .events import onsets_and_offsets
+from .fourier import with_hilbert
 from .quantiles import exact_median
 from .segments import detect_epochs, median_step
 from .spectral import morlet_power
@@ -27,9 +28,10 @@ def bandpass(
     """(series, sample, t, filtered, envelope, phase): zero-phase Butterworth band-pass; samples numbered 0, 1, ... without gaps or nulls.
 
     With ``chunk``, time is cut into chunks with a halo in which the filter forgets its start to 1e-12, so that one long series is many
-    tasks; only its first and last chunk use the odd extension of the ends. The filtered signal equals that of the whole series; the
-    envelope is the chunk's own, exact to about the inverse of the halo's length in cycles. With ``chunk`` None a series is one group.
-    Series too short to filter give no rows.
+    tasks; only its first and last chunk use the odd extension of the ends. The envelope and phase are those of the whole series: a series
+    of one chunk is transformed where it is filtered, a longer one by ``with_hilbert``, whose tasks hold no series either; then what was
+    filtered is staged. Neither depends on the chunk but for rounding. With ``chunk`` None a series is one group. Series too short to
+    filter give no rows; without ``envelope``, envelope and phase are null.
     """
     ship(samples.sparkSession)
     sos = butter_bandpass(order, band[0], band[1], fs)
@@ -48,15 +50,26 @@ def bandpass(
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample")
         y = zero_phase(sos, part["y"].to_numpy(float))
-        z = analytic(y) if envelope else y
-        out = part[[*names, "sample", "t"]].assign(filtered=y, envelope=np.abs(z) if envelope else np.nan, phase=np.angle(z) if envelope else np.nan)
+        whole = envelope and (not chunk or part["__n"].iloc[0] <= chunk)
+        z = analytic(y) if whole else y
+        out = part[[*names, "sample", "t"]].assign(filtered=y, envelope=np.abs(z) if whole else np.nan, phase=np.angle(z) if whole else np.nan)
         if chunk:
             out = out[part["sample"].to_numpy() // chunk == part["__chunk"].to_numpy()]
         return out
 
-    return cut.select(*names, "__chunk", "sample", "t", "y").groupBy(*names, "__chunk").applyInPandas(
+    made = cut.select(*names, "__chunk", "__n", "sample", "t", "y").groupBy(*names, "__chunk").applyInPandas(
         run, f"{kinds}, sample long, t double, filtered double, envelope double, phase double"
     )
+    if not (chunk and envelope):
+        return made
+    made = staged(made)
+    long = made.where(F.col("envelope").isNull() | F.isnan("envelope"))
+    if long.isEmpty():
+        return made
+    whole = with_hilbert(long.select(*names, "sample", "t", "filtered"), "filtered", series).select(
+        *names, "sample", "t", "filtered", F.hypot("filtered", "hilbert").alias("envelope"), F.atan2("hilbert", "filtered").alias("phase")
+    )
+    return staged(made.where(F.col("envelope").isNotNull() & ~F.isnan("envelope")).unionByName(whole))
 
 
 def robust_threshold(filtered: DataFrame, k: float = 4.0, series: Sequence[str] = KEYS, value: str = "envelope") -> DataFrame:
@@ -115,7 +128,8 @@ class OscillationDetector:
             raise ValueError("order, durations and sampling rate must be positive")
 
     def run(self, samples: DataFrame, series: Sequence[str] = KEYS) -> DataFrame:
-        made = staged(bandpass(samples, self.fs, self.band_hz, self.order, self.chunk, True, series))  # thresholds, epochs and statistics read it
+        made = bandpass(samples, self.fs, self.band_hz, self.order, self.chunk, True, series)
+        made = made if self.chunk else staged(made)  # thresholds, epochs and statistics read it
         levels = robust_threshold(made, self.threshold_k, series) if self.threshold is None else made.select(*series).distinct().withColumn(
             "threshold", F.lit(float(self.threshold))
         )

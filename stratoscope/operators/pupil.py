@@ -4,73 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import prominent_peaks
-from ..model import KEYS, everything, ordered
-from ..shipping import ship
+from ..model import KEYS, ordered
 from .asof import align_nearest, interpolate_own
 from .intervals import samples_in
 from .locomotion import bout_events, quiescent_runs
+from .peaks import prominence_events
 from .preproc import fit_polynomials, smooth_median
 from .quantiles import exact_median
-from .segments import median_step
-
-PEAKS = "onset_s double, peak_s double, trough_s double, onset_value double, peak_value double, trough_value double, prominence double, amplitude double, rise_s double, constriction_s double"
-
-
-def prominence_events(samples: DataFrame, prominence: float, min_separation_s: float, series: Sequence[str] = KEYS) -> DataFrame:
-    """Peaks with the lowest sample since the peak before as onset and until the next as trough; gaps are interpolated in time for the
-    search, and peaks with a gap between onset and trough are dropped. Series with fewer than three values give no rows.
-
-    Only turning points matter to prominence: Spark interpolates, finds the extrema and the first and last sample, and a group holds these only.
-    """
-    ship(samples.sparkSession)
-    filled = interpolate_own(samples.where(F.col("t").isNotNull()), "t", series)
-    filled = filled.withColumn("__n", F.count("y").over(everything(series))).where("__n >= 3")
-    w = ordered(series, "t", "sample")
-    rows = filled.withColumn("i", F.row_number().over(w) - 1).withColumn(
-        "gaps", F.sum(F.col("y").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    v = F.col("filled")
-    turning = F.coalesce((v - F.lag(v).over(w)) * (F.lead(v).over(w) - v) <= 0, F.lit(True))
-    kept = rows.withColumn("__keep", turning).where("__keep").join(median_step(samples, series), list(series)).select(
-        *series, "i", "t", F.col("filled").alias("v"), "gaps", F.col("y").isNull().alias("gap"), "step"
-    )
-    names = list(series)
-    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in names)
-
-    def find(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        x, t, at, gaps, gap = (part[c].to_numpy() for c in ("v", "t", "i", "gaps", "gap"))
-        # Plateaus and distances are in samples: put the kept points on their places and hold each until the next.
-        n = int(at[-1]) + 1
-        dense = np.interp(np.arange(n), at, x)
-        peaks, heights = prominent_peaks(dense, prominence, max(1, int(round(min_separation_s / part["step"].iloc[0]))))
-        when = np.interp(np.arange(n), at, t)
-        out = []
-        for k, (p, height) in enumerate(zip(peaks, heights, strict=True)):
-            a, b = (0 if k == 0 else peaks[k - 1]), (n if k + 1 == len(peaks) else peaks[k + 1])
-            onset, trough = a + int(np.argmin(dense[a : p + 1])), p + int(np.argmin(dense[p:b]))
-            first, last = np.searchsorted(at, onset), np.searchsorted(at, trough, "right") - 1
-            if gaps[last] - gaps[first] + gap[first] > 0:
-                continue
-            out.append(
-                (
-                    when[onset], when[p], when[trough], dense[onset], dense[p], dense[trough], height, dense[p] - dense[onset],
-                    when[p] - when[onset], when[trough] - when[p]
-                )
-            )
-        made = pd.DataFrame(out, columns=[c.split()[0] for c in PEAKS.split(", ")])
-        for name in reversed(names):
-            made.insert(0, name, part[name].iloc[0])
-        return made
-
-    return kept.groupBy(*names).applyInPandas(find, f"{kinds}, {PEAKS}")
-
 
 def smooth_pupil(samples: DataFrame, median_size: int = 5, window: int = 11, order: int = 3, series: Sequence[str] = KEYS) -> DataFrame:
     """``smoothed``: gaps interpolated in time, median, Savitzky-Golay, gaps put back."""

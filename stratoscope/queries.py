@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .model import event_samples, ordered, read_table
 from .operators import asof, eta, events, intervals, locomotion, oscillation, preproc, pupil, reference, segments, select, spectral, summary
 from .plans import udf
-from .functions import labels
+from .functions import filters, labels
 from .shipping import shared_path
 from .sources import runs, tables
 from .streaming import online
@@ -1069,14 +1069,44 @@ def h10_ssd_scan(spark: SparkSession, sf: str) -> DataFrame:
 # --- I: oscillations --------------------------------------------------------------------------------------------------
 
 
-def _filtered(spark: SparkSession, sf: str) -> DataFrame:
-    own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
-    return oscillation.bandpass(own, 1.0, (0.1, 0.2), 4, 1024, series=C)
+def filtered_sql(order: int, low: float, high: float, fs: float) -> str:
+    """CTEs (WITH RECURSIVE) from ser(channel, sample, y) to env(channel, sample, t, y, phase, f): the zero-phase filter as two recursions over the
+    padded series, a row per channel and sample with the sections' states, and the envelope and phase by the transform's kernel over all pairs."""
+    sos = filters.butter_bandpass(order, low, high, fs)
+    steady, pad = filters.sos_steady(sos), 3 * (2 * len(sos) + 1)
+    number = lambda x: f"CAST({float(x)!r} AS DOUBLE)"
 
+    def run(name: str, source: str) -> str:
+        rest, x = [], "p.x"
+        for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+            rest.append(f"w.z{i}a + {number(b0)} * {x} AS v{i}, w.z{i}b + {number(b1)} * {x} - {number(a1)} * v{i} AS s{i}, {number(b2)} * {x} - {number(a2)} * v{i} AS r{i}")
+            x = f"v{i}"
+        start = ", ".join(f"CAST(0 AS DOUBLE) AS o{i}, {number(a)} * x AS z{i}a, {number(b)} * x AS z{i}b" for i, (a, b) in enumerate(steady))
+        return f"""{name} AS MATERIALIZED (SELECT channel, CAST(-1 AS BIGINT) AS k, {start} FROM {source} WHERE k = 0 UNION ALL
+ SELECT w.channel, w.k + 1, {', '.join(rest)} FROM {name} w JOIN {source} p ON p.channel = w.channel AND p.k = w.k + 1)"""
 
-@register()
+    out = f"o{len(sos) - 1}"
+    return f"""size AS MATERIALIZED (SELECT channel, count(*) AS n FROM ser GROUP BY channel),
+ padded AS MATERIALIZED (SELECT s.channel, sample + {pad} AS k, y AS x FROM ser s UNION ALL
+  SELECT s.channel, {pad} - s.sample, 2 * e.y - s.y FROM ser s JOIN ser e ON e.channel = s.channel AND e.sample = 0 WHERE s.sample BETWEEN 1 AND {pad} UNION ALL
+  SELECT s.channel, 2 * (n - 1) - s.sample + {pad}, 2 * e.y - s.y FROM ser s JOIN size USING (channel) JOIN ser e ON e.channel = s.channel AND e.sample = n - 1 WHERE n - 1 - s.sample BETWEEN 1 AND {pad}),
+ {run('forth', 'padded')}, turned AS MATERIALIZED (SELECT channel, n + {2 * pad} - 1 - k AS k, {out} AS x FROM forth JOIN size USING (channel) WHERE k >= 0), {run('back', 'turned')},
+ flt AS MATERIALIZED (SELECT channel, n, n + {pad} - 1 - k AS sample, {out} AS f FROM back JOIN size USING (channel) WHERE n + {pad} - 1 - k BETWEEN 0 AND n - 1),
+ kern AS MATERIALIZED (SELECT n, k, (1 / tan(pi() * k / n) - CASE WHEN n % 2 = 1 THEN (1 - 2 * (k % 2)) / sin(pi() * k / n) WHEN k % 2 = 1 THEN -1 / tan(pi() * k / n) ELSE 1 / tan(pi() * k / n) END) / n AS h
+  FROM (SELECT n, unnest(range(1, n)) AS k FROM (SELECT DISTINCT n FROM size))),
+ hil AS (SELECT a.channel, a.sample, any_value(a.f) AS f, sum(b.f * h) AS g FROM flt a JOIN flt b ON b.channel = a.channel JOIN kern ON kern.n = a.n AND k = (a.sample - b.sample + a.n) % a.n GROUP BY ALL),
+ env AS MATERIALIZED (SELECT channel, sample, CAST(sample AS DOUBLE) AS t, f, sqrt(f * f + g * g) AS y, atan2(g, f) AS phase FROM hil)"""
+
+
+FILTERED = f"{SERIES}, {filtered_sql(4, 0.1, 0.2, 1.0)}"
+
+
+@register(f"WITH RECURSIVE {EV}, {FILTERED} SELECT channel, sample, round(f, 4) + 0.0 AS filtered, round(y, 4) + 0.0 AS envelope FROM env")
 def i2_bandpass_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    return _filtered(spark, sf).select("channel", "sample", *r6("filtered", "envelope"))
+    """In chunks, so that the transform of long series is held against the SQL."""
+    own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
+    made = oscillation.bandpass(own, 1.0, (0.1, 0.2), 4, 1024, series=C)
+    return made.select("channel", "sample", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("filtered", "envelope")])
 
 
 @register(f"""WITH {EV}, m AS (SELECT channel, median(y) AS med FROM ev GROUP BY channel) SELECT channel, round(any_value(med) + 4 * 1.4826 *
@@ -1086,18 +1116,6 @@ def i3_robust_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return oscillation.robust_threshold(event_samples(spark, sf), 4.0, C, "y").select("channel", *r6("threshold", "median", "robust_std"))
 
 
-@register()
-def i4_burst_events(spark: SparkSession, sf: str) -> DataFrame:
-    own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
-    return oscillation.OscillationDetector(1.0, (0.1, 0.2), 4, None, 2.0, 5.0, 2.0, chunk=1024).run(own, C)
-
-
-@register()
-def i8_burst_onsets(spark: SparkSession, sf: str) -> DataFrame:
-    own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
-    return oscillation.OscillationDetector(1.0, (0.1, 0.2), 4, None, 2.0, 5.0, 2.0, chunk=1024).events(own, C)
-
-
 def _enveloped(spark: SparkSession, sf: str) -> DataFrame:
     """Values as an envelope, and their remainder as a phase."""
     own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
@@ -1105,23 +1123,56 @@ def _enveloped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENVELOPED = f"{SERIES}, env AS (SELECT channel, sample, CAST(sample AS DOUBLE) AS t, y, y - 6 * floor(y / 6) - 3 AS phase FROM ser)"
-FREQUENCY = """fq AS (SELECT *, (d - 2 * pi() * ceil((d - pi()) / (2 * pi()))) * 4 / (2 * pi()) AS frequency
+
+
+def frequency_sql(fs: float) -> str:
+    return f"""fq AS (SELECT *, (d - 2 * pi() * ceil((d - pi()) / (2 * pi()))) * {fs} / (2 * pi()) AS frequency
  FROM (SELECT *, lead(phase) OVER (PARTITION BY channel ORDER BY sample) - phase AS d FROM env))"""
 
 
+FREQUENCY = frequency_sql(4)
+
+
 @register(f"WITH {EV}, {ENVELOPED}, {FREQUENCY} SELECT channel, sample, round(frequency, 6) + 0.0 AS frequency FROM fq")
 def i5_instantaneous_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return oscillation.instantaneous_frequency(_enveloped(spark, sf), 4.0, C).select("channel", "sample", *r6("frequency"))
 
 
-BURSTS = f"""{ENVELOPED}, {FREQUENCY}, med AS (SELECT channel, quantile_cont(y, 0.5) AS m FROM env GROUP BY channel),
- lvl AS (SELECT channel, any_value(m) + 0.5 * 1.4826 * quantile_cont(abs(y - m), 0.5) AS lvl FROM env JOIN med USING (channel) GROUP BY channel),
- lev AS (SELECT fq.*, lvl FROM fq JOIN lvl USING (channel)), {epochs_sql('burst', 'lev', 'channel', 'y > lvl', 1.0, 3.0)},
+def bursts_sql(k: float, least: float, merge: float) -> str:
+    """CTEs from fq to bursts and what is told of each."""
+    return f"""med AS (SELECT channel, quantile_cont(y, 0.5) AS m FROM env GROUP BY channel),
+ lvl AS (SELECT channel, any_value(m) + {k} * 1.4826 * quantile_cont(abs(y - m), 0.5) AS lvl FROM env JOIN med USING (channel) GROUP BY channel),
+ lev AS (SELECT fq.*, lvl FROM fq JOIN lvl USING (channel)), {epochs_sql('burst', 'lev', 'channel', 'y > lvl', merge, least)},
  ins AS (SELECT b.channel, b.epoch_id, max(p.y) AS peak_env, quantile_cont(p.frequency, 0.5) FILTER (WHERE p.idx < b.end_idx) AS frequency_hz,
-  min(p.t) FILTER (WHERE p.y > p.lvl AND p.t - b.start_s + 1 >= 3) AS c FROM burst b JOIN burst_p p ON p.channel = b.channel AND p.idx BETWEEN
+  min(p.t) FILTER (WHERE p.y > p.lvl AND p.t - b.start_s + 1 >= {least}) AS c FROM burst b JOIN burst_p p ON p.channel = b.channel AND p.idx BETWEEN
  b.start_idx AND b.end_idx GROUP BY ALL)"""
 
 
+BURSTS = f"{ENVELOPED}, {FREQUENCY}, {bursts_sql(0.5, 3.0, 1.0)}"
+DETECTED = f"{FILTERED}, {frequency_sql(1)}, {bursts_sql(2.0, 5.0, 2.0)}"
+
+
+def _detector(spark: SparkSession, sf: str) -> tuple[oscillation.OscillationDetector, DataFrame]:
+    own = series_of(spark, sf).withColumn("t", F.col("sample").cast("double"))
+    return oscillation.OscillationDetector(1.0, (0.1, 0.2), 4, None, 2.0, 5.0, 2.0), own
+
+
+@register(f"""WITH RECURSIVE {EV}, {DETECTED} SELECT channel, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s', 'duration_s')}, round(peak_env, 4) + 0.0 AS peak_env,
+ round(frequency_hz, 5) + 0.0 AS frequency_hz, round(coalesce(c, end_s), 6) + 0.0 AS confirmed_s
+FROM burst JOIN ins USING (channel, epoch_id)""")
+def i4_burst_events(spark: SparkSession, sf: str) -> DataFrame:
+    detector, own = _detector(spark, sf)
+    rough = [(F.round("peak_env", 4) + F.lit(0.0)).alias("peak_env"), (F.round("frequency_hz", 5) + F.lit(0.0)).alias("frequency_hz")]
+    return detector.run(own, C).select("channel", "epoch_id", "start_idx", "end_idx", *r6("start_s", "end_s", "duration_s"), *rough, *r6("confirmed_s"))
+
+
+@register(f"""WITH RECURSIVE {EV}, {DETECTED} SELECT channel, 'burst_onset' AS event_type, start_s AS event_time FROM burst
+ UNION ALL SELECT channel, 'burst_offset', end_s FROM burst""")
+def i8_burst_onsets(spark: SparkSession, sf: str) -> DataFrame:
+    detector, own = _detector(spark, sf)
+    return detector.events(own, C)
+
+
 @register(f"""WITH {EV}, {BURSTS} SELECT channel, epoch_id, start_idx, end_idx, {q6('start_s', 'end_s', 'duration_s', 'peak_env', 'frequency_hz')},
  round(coalesce(c, end_s), 6) + 0.0 AS confirmed_s
 FROM burst JOIN ins USING (channel, epoch_id)""")
@@ -1292,45 +1343,60 @@ def own_gaps_sql(source: str, out: str) -> str:
     return f"""{out}_k AS (SELECT * FROM {source} WHERE y IS NOT NULL), {out}_p AS (SELECT g.*, a.t AS pt, a.y AS py FROM {source} g ASOF LEFT JOIN
  {out}_k a ON g.channel = a.channel AND g.t >= a.t),
  {out}_n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM {out}_p p ASOF LEFT JOIN {out}_k b ON p.channel = b.channel AND p.t <= b.t),
- {out} AS (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t
+ {out} AS MATERIALIZED (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t
  - pt) / (nt - pt) END AS v FROM {out}_n)"""
 
 
-def peaks_sql(source: str, prominence: float) -> str:
-    """CTEs from (channel, i, t, y, v) to peaks, every pair of runs of equal values compared: no distance is kept between peaks."""
+def peaks_sql(source: str, prominence: float, separation: float = 0.0) -> str:
+    """CTEs from (channel, i, t, y, v) to peaks, every pair of runs of equal values compared. The distance is kept by a walk down a channel's
+    maxima, highest first, with a list of those that are kept (WITH RECURSIVE)."""
     side = lambda name, pick, less, lo, hi: f"""{name}_h AS (SELECT p.channel, p.r, {pick}(o.r) AS h FROM pk p LEFT JOIN flat o ON o.channel =
  p.channel AND o.r {less} p.r AND o.v > p.v GROUP BY ALL),
  {name} AS (SELECT h.channel, h.r, min(o.v) AS low FROM {name}_h h JOIN flat o ON o.channel = h.channel AND o.r >= {lo} AND o.r <= {hi} GROUP BY
  ALL)"""
     return f"""mark AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY channel ORDER BY i) THEN 0 ELSE 1 END AS new FROM {source}), num AS (SELECT
  *, sum(new) OVER (PARTITION BY channel ORDER BY i) AS r FROM mark),
- flat AS (SELECT channel, r, any_value(v) AS v, min(i) AS a, max(i) AS b FROM num GROUP BY channel, r), nb AS (SELECT *, lag(v) OVER w AS pv, lead(v)
+ flat AS MATERIALIZED (SELECT channel, r, any_value(v) AS v, min(i) AS a, max(i) AS b FROM num GROUP BY channel, r), nb AS (SELECT *, lag(v) OVER w AS pv, lead(v)
  OVER w AS nv FROM flat WINDOW w AS (PARTITION BY channel ORDER BY r)),
- pk AS (SELECT channel, r, v, (a + b) // 2 AS i FROM nb WHERE pv < v AND nv < v), {side('left_', 'max', '<', 'coalesce(h.h + 1, 0)', 'h.r')},
+ top AS MATERIALIZED (SELECT channel, r, v, (a + b) // 2 AS i FROM nb WHERE pv < v AND nv < v),
+ apart AS (SELECT channel, CASE WHEN median(gap) > 0 THEN greatest(1, round_even({separation} / median(gap), 0)) ELSE 1 END AS least FROM (SELECT channel, t - lag(t) OVER (PARTITION BY channel ORDER BY i) AS gap
+ FROM {source}) GROUP BY channel),
+ falling AS MATERIALIZED (SELECT top.*, row_number() OVER (PARTITION BY channel ORDER BY v DESC, i DESC) AS k, least FROM top JOIN apart USING (channel)),
+ walk AS MATERIALIZED (SELECT DISTINCT channel, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM top UNION ALL
+  SELECT w.channel, w.k + 1, CASE WHEN len(list_filter(kept, lambda x: abs(x - f.i) < least)) = 0 THEN list_append(kept, f.i) ELSE kept END FROM walk w JOIN falling f ON f.channel = w.channel AND f.k = w.k + 1),
+ pk AS MATERIALIZED (SELECT t.* FROM top t JOIN (SELECT channel, unnest(arg_max(kept, k)) AS i FROM walk GROUP BY channel) USING (channel, i)), {side('left_', 'max', '<', 'coalesce(h.h + 1, 0)', 'h.r')},
  {side('right_', 'min', '>', 'h.r', 'coalesce(h.h - 1, 1000000000)')},
- good AS (SELECT *, lag(i, 1, 0) OVER w AS before, lead(i) OVER w AS after FROM (SELECT pk.*, pk.v - greatest(l.low, g.low) AS prominence FROM pk JOIN
+ good AS MATERIALIZED (SELECT *, lag(i, 1, 0) OVER w AS before, lead(i) OVER w AS after FROM (SELECT pk.*, pk.v - greatest(l.low, g.low) AS prominence FROM pk JOIN
  left_ l USING (channel, r) JOIN right_ g USING (channel, r)) WHERE prominence >= {prominence} WINDOW w AS (PARTITION BY channel ORDER BY i)),
- ends AS (SELECT g.channel, g.i, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i <= g.i) AS onset, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER
+ ends AS MATERIALIZED (SELECT g.channel, g.i, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER (WHERE s.i <= g.i) AS onset, arg_min(s.i, {{'v': s.v, 'i': s.i}}) FILTER
  (WHERE s.i >= g.i AND (after IS NULL OR s.i < after)) AS trough
   FROM good g JOIN {source} s ON s.channel = g.channel AND s.i >= before AND (after IS NULL OR s.i < after) GROUP BY g.channel, g.i),
- sound AS (SELECT e.channel, e.i, onset, trough FROM ends e JOIN {source} s ON s.channel = e.channel AND s.i BETWEEN onset AND trough GROUP BY ALL
+ sound AS MATERIALIZED (SELECT e.channel, e.i, onset, trough FROM ends e JOIN {source} s ON s.channel = e.channel AND s.i BETWEEN onset AND trough GROUP BY ALL
  HAVING count(*) = count(s.y)),
+ spot AS MATERIALIZED (SELECT channel || '/' || i AS key, t, v FROM {source}),
  peaks AS (SELECT g.channel, o.t AS onset_s, p.t AS peak_s, q.t AS trough_s, o.v AS onset_value, p.v AS peak_value, q.v AS trough_value, g.prominence,
  p.v - o.v AS amplitude, p.t - o.t AS rise_s, q.t - p.t AS constriction_s
-  FROM sound e JOIN good g USING (channel, i) JOIN {source} o ON o.channel = e.channel AND o.i = onset JOIN {source} p ON p.channel = e.channel AND
- p.i = e.i JOIN {source} q ON q.channel = e.channel AND q.i = trough)"""
+  FROM sound e JOIN good g USING (channel, i) JOIN spot o ON o.key = e.channel || '/' || onset JOIN spot p ON p.key = e.channel || '/' || e.i JOIN spot q ON q.key = e.channel || '/' || trough)"""
 
 
 PEAKS = ("onset_s", "peak_s", "trough_s", "onset_value", "peak_value", "trough_value", "prominence", "amplitude", "rise_s", "constriction_s")
 GAPPED = f"{SERIES}, gapped AS (SELECT channel, sample AS i, t, CASE WHEN sample % 11 <> 5 THEN y END AS y FROM ser)"
 
 
-@register()
+@register(f"""WITH RECURSIVE {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0, 2000.0)} SELECT channel,
+ {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k1_prominence_events(spark: SparkSession, sf: str) -> DataFrame:
-    return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 2000.0, C)
+    return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 2000.0, C).select("channel", *r6(*PEAKS))
 
 
-@register(f"""WITH {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0)} SELECT channel,
+@register(f"""WITH RECURSIVE {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 20.0, 9000.0)} SELECT channel,
+ {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
+def k1_peaks_of_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide distance, and stretches of 128 samples, so that distances, prominences, onsets and troughs cross many borders."""
+    return pupil.prominence_events(_gaps(series_of(spark, sf)), 20.0, 9000.0, C, 128).select("channel", *r6(*PEAKS))
+
+
+@register(f"""WITH RECURSIVE {EV}, {GAPPED}, {own_gaps_sql('gapped', 'whole')}, {peaks_sql('whole', 60.0)} SELECT channel,
  {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k1_peaks_without_distance(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.prominence_events(_gaps(series_of(spark, sf)), 60.0, 0.0, C).select("channel", *[(F.round(c, 6) + 0.0).alias(c) for c in PEAKS])
@@ -1345,12 +1411,17 @@ def k2_smoothed_pupil(spark: SparkSession, sf: str) -> DataFrame:
     return pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C).select("channel", "sample", (F.round("smoothed", 5) + 0.0).alias("smoothed"))
 
 
-@register()
+@register(f"""WITH RECURSIVE {EV}, {GAPPED}, {own_gaps_sql('gapped', 'first')}, k AS (SELECT channel, i AS sample, v AS y, count(*) OVER (PARTITION BY channel)
+ AS n FROM first),
+ med AS (SELECT channel, sample AS i, {MEDIAN3} AS v FROM k WINDOW w AS (PARTITION BY channel ORDER BY sample)), {sg5_sql('med', 'smooth')},
+ again AS (SELECT s.channel, s.i, g.t, CASE WHEN g.y IS NOT NULL THEN s.v END AS y FROM smooth s JOIN gapped g ON g.channel = s.channel AND g.i = s.i),
+ {own_gaps_sql('again', 'whole')}, {peaks_sql('whole', 10.0, 2000.0)} SELECT channel, {', '.join(f'round({c}, {6 if c.endswith("_s") else 5}) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k3_dilation_events(spark: SparkSession, sf: str) -> DataFrame:
-    return pupil.dilation_events(pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C), 10.0, 2000.0, C)
+    made = pupil.dilation_events(pupil.smooth_pupil(_gaps(series_of(spark, sf)), 3, 5, 2, C), 10.0, 2000.0, C)
+    return made.select("channel", *[(F.round(c, 6 if c.endswith("_s") else 5) + F.lit(0.0)).alias(c) for c in PEAKS])
 
 
-@register(f"""WITH {EV}, {GAPPED}, rough AS (SELECT channel, i, t, floor(y / 10) * 10 AS y FROM gapped), {own_gaps_sql('rough', 'whole')},
+@register(f"""WITH RECURSIVE {EV}, {GAPPED}, rough AS (SELECT channel, i, t, floor(y / 10) * 10 AS y FROM gapped), {own_gaps_sql('rough', 'whole')},
  {peaks_sql('whole', 40.0)} SELECT channel, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PEAKS)} FROM peaks""")
 def k3_dilations_of_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of a given smoothed column, with plateaus: values in tens."""

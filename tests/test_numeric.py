@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stratoscope.functions import filters
-from stratoscope.operators import oscillation, preproc, pupil, spectral
+from stratoscope.operators import fourier, oscillation, preproc, pupil, spectral
 
 R = ("subject",)
 
@@ -89,6 +89,37 @@ def test_chunks_equal_the_whole(spark):
     assert np.allclose(a, np.abs(np.convolve(x - x.mean(), k)[start : start + len(x)]) ** 2)
 
 
+def test_kernel_is_the_transform():
+    for n in (1, 2, 3, 8, 9, 30, 31):
+        x = np.random.default_rng(n).standard_normal(n)
+        made = [sum(x[s] * fourier.hilbert_kernel(n, np.array([t - s]))[0] for s in range(n)) for t in range(n)]
+        assert np.allclose(made, filters.analytic(x).imag)
+
+
+@pytest.mark.parametrize("n", [300, 301, 4099])
+def test_transform_in_columns_and_rows_equals_the_whole(spark, n):
+    rng = np.random.default_rng(n)
+    own = {"A": rng.standard_normal(n).cumsum(), "B": rng.standard_normal(n // 3), "C": rng.standard_normal(n)}
+    rows = [(k, i, float(i), float(v)) for k, x in own.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "subject string, sample long, t double, y double")
+    made = fourier.with_hilbert(df, "y", R)
+    assert made.columns == [*df.columns, "hilbert"]
+    for k, x in own.items():
+        assert np.allclose(values(made.where(f"subject = '{k}'"), "hilbert"), filters.analytic(x).imag, atol=1e-9 * np.abs(x).max() * 100)
+
+
+def test_envelopes_do_not_depend_on_chunks(spark):
+    """The series' two ends included; a short series beside a long one."""
+    x = np.random.default_rng(15).standard_normal(3001)
+    df = frame(spark, x).unionByName(frame(spark, x[:400]).withColumn("subject", oscillation.F.lit("B")))
+    whole, parts = (oscillation.bandpass(df, 1.0, (0.1, 0.2), 4, c, True, R) for c in (None, 500))
+    for k in "AB":
+        a, b = ({c: values(d.where(f"subject = '{k}'"), c) for c in ("filtered", "envelope", "phase")} for d in (whole, parts))
+        assert np.abs(a["filtered"] - b["filtered"]).max() < 1e-9 and np.abs(a["envelope"] - b["envelope"]).max() < 1e-8
+        turn = a["phase"] - b["phase"]
+        assert np.abs(np.angle(np.exp(1j * turn))).max() < 1e-6
+
+
 def test_too_short_gives_no_bursts(spark):
     made = oscillation.OscillationDetector(1.0, (0.1, 0.2)).run(frame(spark, np.arange(20)), R)
     assert made.count() == 0
