@@ -17,10 +17,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (same id, same text) are counted in group_size and share the verdict; rows whose id is null are only kept when no row
     of their group has an id. An empty table gives no rows; other columns of ``docs`` are not looked at.
 
-    Very long texts are read whole. One scan leaves (id, length, prefix hash, digest) per row, the digest since every row's is asked for,
-    and rows with all three equal are summed up, in each task first, so that a hot group is a row per task from there on. Lengths that
-    one row has, then (length, prefix) pairs that one row has, leave the candidates; of the rest, digests that several rows have are groups.
-    The join back is by a key of its own, so that Spark may split a hot group.
+    Very long texts are read whole. One scan leaves (id, length, prefix hash, digest) per row, the digest since every row's is asked for.
+    Rows are counted by length and prefix hash, in each task first; lengths that one row has drop out, then prefix hashes that one row of
+    the length has, and only the rows of those that are left are grouped by their full hash. Both joins, that of the rows with what is
+    left and the one back to all rows, are by keys of their own, so that Spark may split a hot group.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = staged(
@@ -31,12 +31,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.sha2(text, 256).alias("digest"),
         )
     )
-    summed = staged(rows.groupBy("n", "prefix", "digest").agg(F.max("id").alias("keep"), F.count("*").alias("size")))
-    lengths = summed.groupBy("n").agg(F.sum("size").alias("c")).where("c > 1").select(F.bitwise_not("n").alias("length"))
-    same_length = summed.withColumn("length", F.bitwise_not("n")).join(lengths, "length", "left_semi")
-    prefixes = same_length.groupBy("length", "prefix").agg(F.sum("size").alias("c")).where("c > 1").select(F.concat_ws("/", "length", "prefix").alias("both"))
-    same_prefix = same_length.withColumn("both", F.concat_ws("/", "length", "prefix")).join(prefixes, "both", "left_semi")
-    found = same_prefix.where("size > 1").select(rekeyed("digest").alias("digest"), "keep", "size")
+    both = F.concat_ws("/", "n", "prefix").alias("both")
+    counted = staged(rows.groupBy("n", "prefix").agg(F.count("*").alias("c")))
+    lengths = counted.groupBy("n").agg(F.sum("c").alias("c")).where("c > 1").select(F.bitwise_not("n").alias("length"))
+    prefixes = counted.withColumn("length", F.bitwise_not("n")).join(lengths, "length", "left_semi").where("c > 1").select(both)
+    left = rows.select("id", "digest", both).join(prefixes, "both", "left_semi")
+    found = left.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size")).where("size > 1").select(rekeyed("digest").alias("digest"), "keep", "size")
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return (
         rows.select("id", "digest")

@@ -23,6 +23,10 @@ ROUNDS = 1
 TABLE = 4
 SHINGLE = 4
 PERCENT = 80
+#: A list with more nodes than this is not tried in pairs: its nodes meet by the rarest shingles of their full sets.
+CROWD = 64
+#: Places of the bitmap of a crowded node's shingles.
+BITS = 1024
 #: Classes of shingles, by hash, whose numbers bound what two sets can share.
 CELLS = 128
 #: How many of the lowest bits of each coordinate go with a posting.
@@ -117,13 +121,14 @@ def _equal(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _possible(x: str, y: str, percent: int, least_equal: int) -> Column:
+def _possible(x: str, y: str, percent: int, least_equal: int, cells: bool = True) -> Column:
     """Whether two postings' sets of n shingles, m of which others have too, can be similar enough; whether as many coordinates as
-    are asked for can be equal: those whose lowest bits are; and whether the numbers of shingles in each cell allow the similarity."""
+    are asked for can be equal: those whose lowest bits are; and, with ``cells``, whether the numbers of shingles in each allow the similarity."""
     enough = lambda most: F.lit(100) * most >= F.lit(percent) * (F.col(f"n{x}") + F.col(f"n{y}") - most)
     unlike = reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"p{k}{x}").bitwiseXOR(F.col(f"p{k}{y}")) for k in range(PLANES)])
     shared = F.aggregate(F.zip_with(f"cells{x}", f"cells{y}", lambda a, b: F.least(a, b)), F.lit(0), lambda n, v: n + v.cast("int"))
-    return enough(F.least(f"m{x}", f"m{y}")) & (COORDINATES - F.bit_count(unlike) >= least_equal) & F.coalesce(enough(shared), F.lit(True))
+    plain = enough(F.least(f"m{x}", f"m{y}")) & (COORDINATES - F.bit_count(unlike) >= least_equal)
+    return plain & F.coalesce(enough(shared), F.lit(True)) if cells else plain
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +147,50 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def _crowd_pairs(crowd: DataFrame, sets: DataFrame, bounds: list[str], percent: int, least_equal: int) -> DataFrame:
+    """Pairs (a, b) of crowd's nodes (node, component, bounds) that can be similar: prefixes of their full sets meet, the components differ.
+
+    All sets are ordered alike, from the shingles that fewest of the crowd have to the commonest. Two sets that share as many as the
+    similarity asks for must meet in the first few of the smaller one, n - ceil(2 p n / (100 + p)) + 1, and the first few of the larger one,
+    n - ceil(p n / 100) + 1. Shingles that one node alone has come first and meet nothing, so nodes that differ enough in those, as
+    texts made from one template do, form no pair at all. Where two meet, what is left of both after that shingle must be enough (which
+    holds at the first shingle that similar sets share), and so must what a bitmap of BITS hashes leaves of the smaller set.
+    """
+    own = sets.join(crowd.select("node"), "node", "left_semi").select("node", "s")
+    shingles = own.mapInArrow(_shingle_rows, "x long, node long")
+    common = shingles.groupBy("x").agg(F.count("*").alias("df")).where("df > 1").select(F.bitwise_not("x").alias("k"), "df")
+    shared = shingles.withColumn("k", F.bitwise_not("x")).join(common, "k").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("l"))
+    # The prefix, n - ceil(n q / d) + 1 in whole numbers, less the n - size(l) shingles that no other node has.
+    first, second = (F.expr(f"size(l) - (n * {q} + {d - 1}) div {d} + 1") for q, d in ((2 * percent, 100 + percent), (percent, 100)))
+    known = staged(shared.join(crowd, "node").join(own.mapInArrow(_bitmaps, "node long, bits array<long>"), "node"))
+    held = ["node", "component", *[b for b in bounds if b != "cells"], "bits"]  # the bitmap does for the cells, and compiles
+
+    def post(size: Column) -> DataFrame:
+        few = F.slice(F.col("l.x"), F.lit(1), F.least(size, F.size("l")).cast("int"))
+        return known.where(size > 0).select(*held, F.col("n") - F.size("l") + 1, F.posexplode(few).alias("i", "x")).toDF(*held, "at", "i", "x").withColumn("at", F.col("at") + F.col("i")).drop("i")
+
+    left, right = post(first), post(second)
+    left = left.select("x", *[F.col(c).alias(f"{c}a") for c in (*held, "at")])
+    order = (F.col("na") < F.col("n")) | ((F.col("na") == F.col("n")) & (F.col("nodea") < F.col("node")))
+    enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("n"))
+    rest = F.least(F.col("na") - F.col("ata"), F.col("n") - F.col("at")) + 1
+    missing = reduce(lambda a, b: a + b, [F.bit_count(F.col("bitsa")[i].bitwiseAND(F.bitwise_not(F.col("bits")[i]))) for i in range(BITS // 64)])
+    possible = order & (F.col("componenta") != F.col("component")) & enough(rest) & enough(F.col("na") - missing) & _possible("", "a", percent, least_equal, False)
+    met = left.join(right, "x").where(possible)
+    return met.select(F.col("nodea").alias("a"), F.col("node").alias("b"))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            rows = np.zeros((part.num_rows, BITS), np.uint8)
+            for row, x in zip(rows, as_bytes(part.column(1)), strict=True):
+                row[(np.frombuffer(x, np.uint64) >> np.uint64(32)) % np.uint64(BITS)] = 1
+            words = np.packbits(rows, axis=1, bitorder="little").view(np.int64)
+            ends = pa.array(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(words.ravel()))], names=["node", "bits"])
+
+
 def _signed(pairs: DataFrame, nodes: DataFrame, least_equal: int) -> DataFrame:
     """The pairs (a, b) of nodes, (node, sig), whose signatures agree on enough coordinates. Signatures travel once for each pair and not with each posting."""
     own = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig{x}"))
@@ -187,9 +236,10 @@ def near_groups(
        them can share. Each list joins its smallest node to the others whose bounds and bits allow the similarity; a pair that meets in several
        lists is one pair. Pairs whose signatures agree on enough coordinates are confirmed on the full sets, and linked nodes form components.
     4. Skip: a list that now lies within one component is left out. In the rest, nodes of different components first meet in small
-       tables of a list, dealt anew each round, which joins most of what belongs together. Then each node outside of the smallest node's
-       component meets every node of another component. So no possible link between two components is left untried, while a list of
-       near copies costs a few rows per node.
+       tables of a list, dealt anew each round, which joins most of what belongs together. Then, in lists of up to CROWD nodes, each node
+       outside of the smallest node's component meets every node of another component. Nodes of longer lists meet where prefixes of
+       their full sets do (``_crowd_pairs``), which any two that are similar enough must. So no possible link between two components is left
+       untried, while a list of near copies, or of texts that are alike but not enough, costs a few rows per node.
     """
     text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
     source = docs.select(key.alias("id"), F.coalesce(key, F.lit(-(2**63))).alias("i"), F.xxhash64(text).alias("g"), text.alias("t"))
@@ -244,8 +294,12 @@ def near_groups(
             more = left.join(left.select("seat", *right), ["k", "seat"]).where((F.col("a") < F.col("node")) & other)
         else:
             members = staged(members)
+            few, crowd = members.where(F.col("c") <= CROWD), members.where(F.col("c") > CROWD)
             once = (F.col("component") == F.col("head")) | (F.col("a") < F.col("node"))
-            more = members.join(members.where("component <> head").select(*right), "k").where(other & (F.col("node") != F.col("first")) & once)
+            more = few.join(few.where("component <> head").select(*right), "k").where(other & (F.col("node") != F.col("first")) & once)
+            if not crowd.isEmpty():
+                crowd = crowd.select("node", "component", *[b for b in bounds if b != "cells"]).dropDuplicates(["node"])
+                more = more.select("a", "node").union(_crowd_pairs(crowd, sets, bounds, percent, least_equal))
         pairs = staged(_signed(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), known, least_equal))
         if pairs.isEmpty():
             continue

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from conftest import ODD, documents
@@ -88,9 +89,10 @@ def mutated(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("size", [4, 5])
-def test_near_groups_of_a_crowd(spark, size):
-    """A crowd of near copies around the threshold, chains, exact copies and strangers that share a passage."""
+@pytest.mark.parametrize("size,crowd", [(4, 64), (5, 64), (4, 2), (5, 2)])
+def test_near_groups_of_a_crowd(spark, size, crowd, monkeypatch):
+    """A crowd of near copies around the threshold, chains, exact copies and strangers that share a passage; with a bound of 2 all lists are crowded."""
+    monkeypatch.setattr(minhash_dedup, "CROWD", crowd)
     rng = random.Random(size)
     seed = [f"s{rng.randrange(500)}" for _ in range(120)]
     pairs = [(i, mutated(rng, seed, rng.randrange(1, 5))) for i in range(1, 90)]
@@ -105,6 +107,46 @@ def test_near_groups_of_a_crowd(spark, size):
     assert made == brute_components(pairs, size)
 
 
+def test_prefixes_of_full_sets_lose_no_pair(spark):
+    """Sets of all sizes that overlap around the threshold: every pair that is similar enough meets, and hardly another one."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [rng.randrange(2**62) for _ in range(rng.randrange(5, 120))]
+        for _ in range(14):
+            own = set(base[: len(base) - rng.randrange(0, len(base) // 4 + 1)]) | {rng.randrange(2**62) for _ in range(rng.randrange(0, len(base) // 4 + 1))}
+            rows.append(np.array(sorted(own), np.uint64))
+    cells = lambda x: np.bincount((x & np.uint64(minhash_dedup.CELLS - 1)).astype(int), minlength=minhash_dedup.CELLS).tolist()
+    sets = spark.createDataFrame([(i, x.tobytes(), cells(x)) for i, x in enumerate(rows)], "node long, s binary, cells array<tinyint>")
+    nodes = spark.createDataFrame([(i, i, len(x), len(x), *[0] * minhash_dedup.PLANES) for i, x in enumerate(rows)], "node long, component long, n long, m long, " + ", ".join(f"p{k} long" for k in range(minhash_dedup.PLANES)))
+    bounds = ["n", "m", *[f"p{k}" for k in range(minhash_dedup.PLANES)], "cells"]
+    for percent in (80, 50, 95):
+        made = {tuple(sorted(r)) for r in minhash_dedup._crowd_pairs(nodes.join(sets.drop("s"), "node"), sets, bounds, percent, 38).select("a", "b").distinct().collect()}
+        both = [[len(np.intersect1d(x, y)) for y in rows] for x in rows]
+        want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 100 * both[i][j] >= percent * (len(rows[i]) + len(rows[j]) - both[i][j])}
+        assert want and want <= made
+
+
+def test_a_crowd_that_is_not_similar_enough_forms_no_pairs(spark, monkeypatch):
+    """Texts of one template, each with words of its own, just under the threshold: no task forms their pairs."""
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    for k in range(220):
+        words = list(template)
+        for i in range(8, 296, 33):
+            words[i] = f"own{k}_{i}"
+        texts.append(" ".join(words))
+    sets = [shingles(x, 4) for x in texts]
+    assert 0.7 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    formed = []
+    real = minhash_dedup._signed
+    monkeypatch.setattr(minhash_dedup, "_signed", lambda pairs, *rest: real(formed.append(pairs) or pairs, *rest))
+    pairs = list(enumerate(texts))
+    made = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_groups(documents(spark, pairs)).collect()}
+    assert made == brute_components(pairs, 4)
+    assert sum(x.count() for x in formed) < 12 * len(texts)
+
+
 def test_near_groups_of_odd_rows(spark, odd, none):
     rows = minhash_dedup.near_groups(odd).collect()
     assert len(rows) == len(ODD)
