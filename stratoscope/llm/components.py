@@ -28,3 +28,20 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         if moved.where("old <> component").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def extended(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b) are added to those of ``linked``; only components that a new link joins are worked on.
+
+    Links become links between the components so far, whose components then rename them.
+    """
+    ends = links.select("a", "b").where("a <> b")
+    for x in ("a", "b"):
+        known = linked.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        ends = ends.join(known, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    ends = staged(ends)
+    new = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x"))
+    every = linked.select("node", "component").union(fresh.select("x.node", "x.component")).distinct()
+    renamed = new.select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    return staged(every.join(renamed, "component", "left").select("node", F.coalesce("lower", "component").alias("component")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -133,11 +134,13 @@ class LicenseIndex:
 
     def matches(self, template: list[bytes], words: list[bytes], diagonals: list[int]) -> list[tuple[int, int, int]]:
         """(matched words, start, end) of alignments with enough coverage that don't overlap, the fullest and then the tightest first."""
-        band, taken = self.reach(template), []
+        band, starts, taken = self.reach(template), [], []  # spans that are apart, in the order of their starts
         near = [s for s in diagonals if self.enough(template, words[max(0, s - band) : max(0, s + len(template) + band)])]
         for n, a, b in sorted((align(template, words, s, band) for s in near), key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            if n >= self.coverage * len(template) and all(b <= c or a >= d for _, c, d in taken):
-                taken.append((n, a, b))
+            k = bisect_left(starts, a)
+            if n >= self.coverage * len(template) and (not k or taken[k - 1][2] <= a) and (k == len(taken) or b <= starts[k]):
+                starts.insert(k, a)
+                taken.insert(k, (n, a, b))
         return taken
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, blank_words, map_text, slices, staged
-from .components import components
+from .components import components, extended
 
 COORDINATES = 64
 #: Of 64 coordinates, pairs of a similarity of 0.8 agree on 51.2 in the mean, 3.2 being the standard deviation; fewer than 38 come about twice in 100,000 such pairs.
@@ -275,8 +275,7 @@ def near_groups(
     heads = heads.select(F.bitwise_not("token").alias("k"), F.col("y.node").alias("a"), *[F.col(f"y.{c}").alias(f"{c}a") for c in bounds])
     met = post.withColumn("k", F.bitwise_not("token")).join(heads, "k").where((F.col("a") < F.col("node")) & _possible("", "a", percent, least_equal))
     fit_pairs = staged(_signed(met.select("a", F.col("node").alias("b")).distinct(), known, least_equal))
-    links = staged(_confirmed(fit_pairs, sets, percent))
-    linked = components(links)
+    linked = components(_confirmed(fit_pairs, sets, percent))
 
     for turn in range(ROUNDS + 1):
         named = staged(post.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -303,8 +302,7 @@ def near_groups(
         pairs = staged(_signed(more.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), known, least_equal))
         if pairs.isEmpty():
             continue
-        links = staged(links.union(_confirmed(pairs, sets, percent)))
-        linked = components(links)
+        linked = extended(linked, _confirmed(pairs, sets, percent))
 
     named = nodes.join(linked, "node", "left").select("h", "id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -8,7 +8,7 @@ import xxhash
 from conftest import ODD, documents
 
 from stratoscope.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup
-from stratoscope.llm.components import components
+from stratoscope.llm.components import components, extended
 
 
 def test_exact_groups(spark, odd, none):
@@ -58,6 +58,15 @@ def test_boilerplate_leaves_other_columns_alone(spark):
     assert tuple(made.first()) == (1, "x\ny", "s", *"abcdefg", 2, 0)
 
 
+def test_more_links_join_components(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    for cut in (0, 5, 30, 45):
+        first, more = (spark.createDataFrame(x, "a long, b long") for x in (links[:cut], links[cut:]))
+        made = {r.node: r.component for r in extended(components(first), more).collect()}
+        assert made == {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+
+
 def shingles(text, size):
     w = [x for x in (text or "").encode().lower().split()]
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
