@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEYS, before_and_now, everything, finite
+from .slices import last_known, sliced
 
 
 def with_neighbours(
     reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, values: Sequence[str] = ("y",), order: str = "sample",
-    exact_next: bool = True
+    exact_next: bool = True, slice_s: float | None = None
 ) -> DataFrame:
     """``reference`` with structs prev and next of (t, values): the last source row at or before t, and the first at or after t.
 
     Of source rows with equal times, prev is the last and next the first by ``order``. Rows without a time are left out on both sides.
+    With ``slice_s``, recordings are walked in slices of so many seconds, each with the neighbours carried in from the others, so that one very
+    long recording is many tasks; the rows are the same.
     """
     held = F.struct(*[F.col(k) for k in reference.columns])
     ref = reference.where(F.col("t").isNotNull()).select(
@@ -32,16 +35,22 @@ def with_neighbours(
     both = ref.unionByName(got, allowMissingColumns=True)
     forward = before_and_now(keys, "__t", "__side", "__o")
     backward = before_and_now(keys, F.desc("__t"), F.asc("__side") if exact_next else F.desc("__side"), F.desc("__o"))
+    if slice_s is not None:
+        by, rank = F.col("__src"), [F.col("__t"), F.col("__o")]
+        both = last_known(sliced(both, slice_s, "__t"), keys, [F.col("__t"), F.col("__side"), F.col("__o")], by, "prev", rank)
+        turned = [F.desc("__t"), F.asc("__side") if exact_next else F.desc("__side"), F.desc("__o")]
+        found = last_known(both, keys, turned, by, "next", rank, backward=True)
+        return found.where("__side = 1").select("__ref.*", "prev", "next")
     found = both.withColumn("prev", F.last("__src", True).over(forward)).withColumn("next", F.last("__src", True).over(backward))
     return found.where("__side = 1").select("__ref.*", "prev", "next")
 
 
 def align_nearest(
     reference: DataFrame, source: DataFrame, tolerance: float = 0.25, keys: Sequence[str] = KEYS, values: Sequence[str] = ("y",),
-    order: str = "sample", prefix: str = ""
+    order: str = "sample", prefix: str = "", slice_s: float | None = None
 ) -> DataFrame:
     """All reference rows with the values of the nearest source row within ``tolerance`` (inclusive); of equal distances the earlier row."""
-    near = with_neighbours(reference, source, keys, values, order)
+    near = with_neighbours(reference, source, keys, values, order, slice_s=slice_s)
     back, ahead = F.col("t") - F.col("prev.t"), F.col("next.t") - F.col("t")
     use_back = back.isNotNull() & (ahead.isNull() | (back <= ahead))
     chosen = F.when(use_back, F.col("prev")).otherwise(F.col("next"))
@@ -80,9 +89,9 @@ def distinct_times(source: DataFrame, keys: Sequence[str] = KEYS, order: str = "
     return source.where(finite("t").isNotNull() & finite("y").isNotNull()).groupBy(*keys, "t").agg(F.min_by("y", order).alias("y"), F.min(order).alias(order))
 
 
-def hold_previous(reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, order: str = "sample", out: str = "y") -> DataFrame:
+def hold_previous(reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, order: str = "sample", out: str = "y", slice_s: float | None = None) -> DataFrame:
     """The last source value at or before each reference time; before the first, the first; without any source value, 0."""
-    near = with_neighbours(reference, distinct_times(source, keys, order), keys, ("y",), order)
+    near = with_neighbours(reference, distinct_times(source, keys, order), keys, ("y",), order, slice_s=slice_s)
     return near.select(*reference.columns, F.coalesce("prev.y", "next.y", F.lit(0.0)).alias(out))
 
 
@@ -95,13 +104,13 @@ def _blend(t: Column) -> Column:
 
 def remap_linear(
     reference: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, order: str = "sample", gap_s: float | None = None,
-    fill: float | None = None, clamp: bool = True, out: str = "y"
+    fill: float | None = None, clamp: bool = True, out: str = "y", slice_s: float | None = None
 ) -> DataFrame:
     """Linear interpolation at the reference times, held flat outside of the source (or null there, without ``clamp``); 0 without any source value.
 
     With ``gap_s``, the value is ``fill`` where the nearest source sample is further away than that.
     """
-    near = with_neighbours(reference, distinct_times(source, keys, order), keys, ("y",), order)
+    near = with_neighbours(reference, distinct_times(source, keys, order), keys, ("y",), order, slice_s=slice_s)
     t = F.col("t")
     value = F.coalesce(_blend(t), *([F.col("prev.y"), F.col("next.y"), F.lit(0.0)] if clamp else []))
     if gap_s is not None:

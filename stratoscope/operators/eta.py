@@ -61,16 +61,16 @@ def subtract_baseline(
     return traces.withColumn("value", F.col("value") - mean)
 
 
-def flag_outside_bouts(traces: DataFrame, bouts: DataFrame, width: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def flag_outside_bouts(traces: DataFrame, bouts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Grid rows with ``clean``: whether their time is outside of every closed bout."""
     names = [*keys, *TRACE, "rel_idx"]
-    inside = samples_in(traces.select(*names, "t"), bouts, width, keys, closed=True, how="left_semi").select(*names).distinct().withColumn("__in", F.lit(True))
+    inside = samples_in(traces.select(*names, "t"), bouts, keys, closed=True, how="left_semi").select(*names).distinct().withColumn("__in", F.lit(True))
     return traces.join(inside, names, "left").withColumn("clean", F.col("__in").isNull()).drop("__in")
 
 
-def drop_events_in_bouts(events: DataFrame, bouts: DataFrame, width: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def drop_events_in_bouts(events: DataFrame, bouts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Events outside of every closed bout."""
-    return samples_in(events, bouts, width, keys, closed=True, how="left_anti", t="event_time")
+    return samples_in(events, bouts, keys, closed=True, how="left_anti", t="event_time")
 
 
 def paired_baseline(

@@ -29,14 +29,14 @@ def dilation_events(samples: DataFrame, prominence: float, min_separation_s: flo
 
 def quiescent_samples(
     pupil: DataFrame, treadmill: DataFrame, least_speed: float = 2.0, tolerance: float = 0.25, min_bout_s: float = 1.0, merge_gap_s: float = 0.5,
-    min_quiet_s: float = 0.0, width: float = 60.0, keys: Sequence[str] = KEYS
+    min_quiet_s: float = 0.0, keys: Sequence[str] = KEYS
 ) -> tuple[DataFrame, DataFrame]:
     """(samples of the pupil on the treadmill's clock while it is still, the quiet stretches)."""
     own = treadmill.where(F.col("y").isNotNull())
     aligned = align_nearest(own, pupil.select(*keys, "sample", "t", F.col("y").alias("pupil")), tolerance, keys, ("pupil",))
     bouts = bout_events(own, least_speed, "forward", min_bout_s, merge_gap_s, keys=keys)
     quiet = quiescent_runs(own, bouts, min_quiet_s, keys).withColumn("quiet_id", F.row_number().over(ordered(keys, "start_idx")))
-    inside = samples_in(aligned.where(F.col("pupil").isNotNull()), quiet, width, keys, closed=True, keep=["quiet_id"])
+    inside = samples_in(aligned.where(F.col("pupil").isNotNull()), quiet, keys, closed=True, keep=["quiet_id"])
     return inside, quiet
 
 

@@ -9,17 +9,26 @@ from pyspark.sql import functions as F
 
 from ..model import KEYS, before_and_now, ordered
 from .quantiles import exact_median
+from .slices import SLICE, last_known, running_sum, sliced
 
 
-def median_step(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def median_step(samples: DataFrame, keys: Sequence[str] = KEYS, slice_s: float | None = None) -> DataFrame:
     """(keys, step): the median difference of consecutive times; 0 for a single sample."""
+    if slice_s is not None:
+        order = [F.col("t"), F.col("sample")]
+        before = last_known(sliced(samples, slice_s), keys, order, F.struct("t"), "__prev", order, itself=False)
+        return exact_median(before, keys, F.col("t") - F.col("__prev.t"), "step").withColumn("step", F.coalesce("step", F.lit(0.0)))
     steps = samples.withColumn("__d", F.col("t") - F.lag("t").over(ordered(keys, "t", "sample")))
     return exact_median(steps, keys, "__d", "step").withColumn("step", F.coalesce("step", F.lit(0.0)))
 
 
-def masked_samples(samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS, max_gap_s: float | None = None) -> DataFrame:
+def masked_samples(
+    samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS, max_gap_s: float | None = None, slice_s: float | None = None
+) -> DataFrame:
     """The samples under the mask with their position ``idx`` and run number 0, 1, ...; a run ends where the mask does or, if given,
-    where consecutive samples are more than ``max_gap_s`` apart."""
+    where consecutive samples are more than ``max_gap_s`` apart. With ``slice_s``, a recording is walked in slices of so many seconds."""
+    if slice_s is not None:
+        return _masked_in_slices(samples, mask, keys, max_gap_s, slice_s)
     w = ordered(keys, "t", "sample")
     placed = samples.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("__gap", F.col("t") - F.lag("t").over(w))
     kept = placed.where(F.coalesce(mask, F.lit(False)))
@@ -30,9 +39,25 @@ def masked_samples(samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS,
     return kept.withColumn("run", (F.sum("__new").over(before_and_now(keys, "idx")) - 1).cast("long")).drop("__new", "__gap")
 
 
-def mask_runs(samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS, max_gap_s: float | None = None) -> DataFrame:
+def _masked_in_slices(samples: DataFrame, mask: Column, keys: Sequence[str], max_gap_s: float | None, slice_s: float) -> DataFrame:
+    """Positions, the sample and the masked sample before each, and run numbers, each by a scan over slices."""
+    order = [F.col("t"), F.col("sample")]
+    placed = running_sum(sliced(samples, slice_s), keys, order, F.lit(1), "idx").withColumn("idx", F.col("idx") - 1)
+    placed = last_known(placed, keys, order, F.struct("t"), "__prev", order, itself=False)
+    kept = placed.where(F.coalesce(mask, F.lit(False)))
+    kept = last_known(kept, keys, [F.col("idx")], F.col("idx"), "__last", [F.col("idx")], itself=False)
+    starts = (F.col("idx") - F.coalesce("__last", F.lit(-2))) > 1
+    if max_gap_s is not None:
+        starts = starts | (F.coalesce(F.col("t") - F.col("__prev.t"), F.lit(0.0)) > max_gap_s)
+    runs = running_sum(kept.withColumn("__new", starts.cast("int")), keys, [F.col("idx")], F.col("__new"), "run")
+    return runs.withColumn("run", F.col("run") - 1).drop("__new", "__prev", "__last", SLICE)
+
+
+def mask_runs(
+    samples: DataFrame, mask: Column, keys: Sequence[str] = KEYS, max_gap_s: float | None = None, slice_s: float | None = None
+) -> DataFrame:
     """(keys, run, start_idx, end_idx, start_s, end_s), ends inclusive."""
-    return masked_samples(samples, mask, keys, max_gap_s).groupBy(*keys, "run").agg(
+    return masked_samples(samples, mask, keys, max_gap_s, slice_s).groupBy(*keys, "run").agg(
         F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.min("t").alias("start_s"), F.max("t").alias("end_s")
     )
 
@@ -57,16 +82,17 @@ def long_runs(found: DataFrame, least: int) -> DataFrame:
 
 
 def detect_epochs(
-    samples: DataFrame, mask: Column, event_type: str = "epoch", min_duration_s: float = 0.0, merge_gap_s: float = 0.0, max_sample_gap_s: float | None = None, keys: Sequence[str] = KEYS
+    samples: DataFrame, mask: Column, event_type: str = "epoch", min_duration_s: float = 0.0, merge_gap_s: float = 0.0, max_sample_gap_s: float | None = None, keys: Sequence[str] = KEYS,
+    slice_s: float | None = None
 ) -> DataFrame:
     """Epochs of all recordings: runs of the mask, split at sample gaps, joined over short pauses, without short ones.
 
     duration_s holds one median step more than end_s - start_s; so does the test of the least duration, but not the pause.
+    With ``slice_s``, recordings are walked in slices of so many seconds, each a task's work; the epochs are the same.
     """
-    found = merge_runs(
-        mask_runs(samples, mask, keys, max_sample_gap_s), keys, gap_s=merge_gap_s
-    ) if merge_gap_s > 0 else mask_runs(samples, mask, keys, max_sample_gap_s)
-    timed = found.join(median_step(samples, keys), list(keys)).withColumn("duration_s", F.col("end_s") - F.col("start_s") + F.col("step"))
+    runs = mask_runs(samples, mask, keys, max_sample_gap_s, slice_s)
+    found = merge_runs(runs, keys, gap_s=merge_gap_s) if merge_gap_s > 0 else runs
+    timed = found.join(median_step(samples, keys, slice_s), list(keys)).withColumn("duration_s", F.col("end_s") - F.col("start_s") + F.col("step"))
     kept = timed.where(F.col("duration_s") >= min_duration_s)
     return kept.select(
         *keys, (
@@ -76,7 +102,7 @@ def detect_epochs(
 
 
 def epochs_around(
-    events: DataFrame, pre: float, post: float, samples: DataFrame | None = None, width: float | None = None, keys: Sequence[str] = KEYS
+    events: DataFrame, pre: float, post: float, samples: DataFrame | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Epochs [event_time + pre, event_time + post]; with ``samples``, also the positions of the first and last sample inside."""
     made = events.withColumn("epoch_id", (F.row_number().over(ordered(keys, "event_time", "event_type")) - 1).cast("long"))
@@ -86,16 +112,15 @@ def epochs_around(
     )
     if samples is None:
         return made
-    return window_bounds(made, samples, width or (post - pre), keys)
+    return window_bounds(made, samples, keys)
 
 
-def window_bounds(epochs: DataFrame, samples: DataFrame, width: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def window_bounds(epochs: DataFrame, samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Epochs with start_idx, the position of the first sample at or after the start, and end_idx, of the last at or before the end."""
-    from .intervals import samples_in
+    from .intervals import places
 
-    placed = samples.withColumn("idx", (F.row_number().over(ordered(keys, "t", "sample")) - 1).cast("long")).select(*keys, "t", "idx")
-    inside = samples_in(placed, epochs, width, keys, closed=True, keep=["epoch_id"])
-    bounds = inside.groupBy(*keys, "epoch_id").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"))
+    found = places(epochs, samples, keys, True, ["epoch_id"]).where("__hi > __lo")
+    bounds = found.select(*keys, "__keep.epoch_id", F.col("__lo").alias("start_idx"), (F.col("__hi") - 1).alias("end_idx"))
     return epochs.join(bounds, [*keys, "epoch_id"], "left")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from difflib import get_close_matches
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,24 +100,33 @@ def signals_of(samples: DataFrame, times: DataFrame, keys: Sequence[str] = KEYS)
     return counted.join(times, [*keys, "source"]).where(F.col("n") >= F.greatest(F.lit(1), F.floor(0.5 * F.col("n_t"))))
 
 
-def signal(samples: DataFrame, source: str, channel: str) -> DataFrame:
+def signal(samples: DataFrame, source: str, channel: str, required: bool = False) -> DataFrame:
+    """A channel's samples of all recordings; with ``required`` it must be somewhere (one more look at the samples)."""
+    if required:
+        require_source(samples, source, channel)
     return samples.where((F.col("source") == source) & (F.col("channel") == channel))
 
 
-def time_vector(samples: DataFrame, source: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, sample, t) of a source's times, whatever channels it has."""
+def time_vector(samples: DataFrame, source: str, keys: Sequence[str] = KEYS, required: bool = False) -> DataFrame:
+    """(keys, sample, t) of a source's times, whatever channels it has; with ``required`` it must be somewhere."""
+    if required:
+        require_source(samples, source)
     return samples.where(F.col("source") == source).groupBy(*keys, "sample").agg(F.first("t", True).alias("t"))
 
 
+def _alike(names: DataFrame, column: str, wanted: str, most: int = 20) -> list[str]:
+    """Names that are spelled most like a wanted one, the likest first; ``most`` of them are told."""
+    found = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
+    return [r["name"] for r in found.orderBy(F.levenshtein(F.lower("name"), F.lit(wanted.lower())), "name").limit(most).collect()]
+
+
 def require_source(samples: DataFrame, source: str, channel: str | None = None) -> None:
-    """Fails if the source, or its channel, is nowhere in the samples, and names what is there and what is spelled alike."""
-    kinds = samples.select("source", "channel").distinct().orderBy("source", "channel").limit(1000).collect()  # names, not samples
-    sources = sorted({r["source"] for r in kinds})
-    if source not in sources:
-        raise LookupError(f"no source {source!r}; there are {sources}, alike are {get_close_matches(source, sources)}")
-    channels = [r["channel"] for r in kinds if r["source"] == source]
-    if channel is not None and channel not in channels:
-        raise LookupError(f"no channel {channel!r} in {source!r}; there are {channels}, alike are {get_close_matches(channel, channels)}")
+    """Fails if the source, or its channel, is nowhere in the samples, however many there are, and names those spelled most alike."""
+    own = samples.where(F.col("source") == source)
+    if own.isEmpty():
+        raise LookupError(f"no source {source!r}; likest of those that are there: {_alike(samples, 'source', source)}")
+    if channel is not None and own.where(F.col("channel") == channel).isEmpty():
+        raise LookupError(f"no channel {channel!r} in {source!r}; likest of those that are there: {_alike(own, 'channel', channel)}")
 
 
 def resolve_sources(df: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from .intervals import samples_in
 
 def frames(
     samples: DataFrame, epochs: DataFrame | None, nperseg: int, overlap: float = 0.5, keys: Sequence[str] = KEYS,
-    series: Sequence[str] = ("channel",), width: float = 60.0, value: str = "y"
+    series: Sequence[str] = ("channel",), value: str = "y"
 ) -> DataFrame:
     """(keys, epoch_id, series, frame, x, n_samples, n_frames): overlapping frames of each epoch's finite samples, as arrays.
 
@@ -26,7 +26,7 @@ def frames(
     """
     step = nperseg - int(nperseg * overlap)
     held = samples.where(F.col(value).isNotNull())
-    cut = held.withColumn("epoch_id", F.lit(0).cast("long")) if epochs is None else samples_in(held, epochs, width, keys, keep=["epoch_id"])
+    cut = held.withColumn("epoch_id", F.lit(0).cast("long")) if epochs is None else samples_in(held, epochs, keys, keep=["epoch_id"])
     group = [*keys, "epoch_id", *series]
     cut = cut.withColumn("__i", F.row_number().over(ordered(group, "t", "sample")) - 1).withColumn("n_samples", F.count("*").over(Window.partitionBy(*group)))
     cut = cut.where(F.col("n_samples") >= nperseg).withColumn("n_frames", (F.floor((F.col("n_samples") - nperseg) / step) + 1).cast("long"))
@@ -71,11 +71,11 @@ def _density(nperseg: int, fs: float) -> Column:
 
 def welch(
     samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, keys: Sequence[str] = KEYS,
-    series: Sequence[str] = ("channel",), width: float = 60.0
+    series: Sequence[str] = ("channel",)
 ) -> DataFrame:
     """(keys, epoch_id, series, freq_idx, freq, power): Welch spectra per epoch."""
     nperseg = int(round(segment_s * fs))
-    made = frame_spectra(frames(samples, epochs, nperseg, 0.5, keys, series, width), nperseg)
+    made = frame_spectra(frames(samples, epochs, nperseg, 0.5, keys, series), nperseg)
     power = F.transform(F.arrays_zip("re", "im", _density(nperseg, fs).alias("d")), lambda x: (x.re * x.re + x.im * x.im) * x.d)
     rows = made.select(*keys, "epoch_id", *series, F.posexplode(power).alias("freq_idx", "p"))
     return rows.groupBy(*keys, "epoch_id", *series, "freq_idx").agg(F.avg("p").alias("power")).withColumn("freq", F.col("freq_idx") * F.lit(fs / nperseg))
@@ -106,7 +106,7 @@ def aperiodic_peak(
 
 def cross_spectra(
     samples: DataFrame, reference: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5,
-    keys: Sequence[str] = KEYS, width: float = 60.0
+    keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """(keys, channel, freq_idx, freq, power, reference_power, re, im, n_samples): each channel's spectrum with the reference's,
     E[conj(R) X], pooled over epochs by their number of samples. Samples that the reference or any channel lacks are left out.
@@ -114,8 +114,7 @@ def cross_spectra(
     samples and reference are matched by (keys, sample).
     """
     table = epoch_matrix(
-        samples.unionByName(reference.withColumn("channel", F.lit("\u0000ref")), allowMissingColumns=True), epochs, fs, segment_s, overlap, keys,
-        width
+        samples.unionByName(reference.withColumn("channel", F.lit("\u0000ref")), allowMissingColumns=True), epochs, fs, segment_s, overlap, keys
     )
     ref = table.where("k = '\u0000ref' and l = '\u0000ref'").select(*keys, "freq_idx", F.col("re").alias("reference_power"))
     own = table.where("k = l and k <> '\u0000ref'").select(*keys, F.col("l").alias("channel"), "freq_idx", F.col("re").alias("power"))
@@ -124,8 +123,7 @@ def cross_spectra(
 
 
 def epoch_matrix(
-    samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5, keys: Sequence[str] = KEYS,
-    width: float = 60.0
+    samples: DataFrame, epochs: DataFrame | None, fs: float, segment_s: float = 4.0, overlap: float = 0.5, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """(keys, k, l, freq_idx, freq, re, im, n_samples) for channels k <= l: E[conj(x_k) x_l]; the other half is its conjugate.
 
@@ -134,7 +132,7 @@ def epoch_matrix(
     nperseg = int(round(segment_s * fs))
     n_channels = samples.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.countDistinct("channel").alias("__m"))
     whole = samples.where(F.col("y").isNotNull()).groupBy(*keys, "sample").agg(F.countDistinct("channel").alias("__k")).join(n_channels, list(keys)).where("__k = __m").select(*keys, "sample")
-    made = frame_spectra(frames(samples.join(whole, [*keys, "sample"]), epochs, nperseg, overlap, keys, ("channel",), width), nperseg)
+    made = frame_spectra(frames(samples.join(whole, [*keys, "sample"]), epochs, nperseg, overlap, keys, ("channel",)), nperseg)
     frame = [*keys, "epoch_id", "frame"]
     left = made.select(*frame, F.col("channel").alias("k"), F.col("re").alias("a"), F.col("im").alias("b"), "n_samples", "n_frames")
     right = made.select(*frame, F.col("channel").alias("l"), F.col("re").alias("c"), F.col("im").alias("d"))

@@ -5,9 +5,9 @@ The ``events`` table stands for recordings: a user is a subject and its events i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .model import event_samples, ordered, read_table
@@ -238,6 +238,22 @@ def a13_locomotion_view(spark: SparkSession, sf: str) -> DataFrame:
     return tables.locomotion_view(wheel, _recordings(own)).withColumn("gap_s", F.round("gap_s", 6))
 
 
+@register("""SELECT CAST(max(ts) AS VARCHAR) AS created_at, 'events' AS alias, count(*) AS rows, CAST(count(DISTINCT user_id) AS VARCHAR) AS users, 2 AS times
+FROM events""")
+def a16_run_record(spark: SparkSession, sf: str) -> DataFrame:
+    """A record of a run over the events, appended twice and read back."""
+    known = read_table(spark, sf, "events").agg(F.max("ts").cast("string").alias("at"), F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).first()
+    record = runs.run_record(
+        spark, created_at=known["at"], analyst="a", lab="l", run={"name": "count", "tag": "", "script": "s"},
+        dataset={"alias": "events", "path": f"{sf}/events.parquet", "sha256": "", "rows": known["n"]}, code=None, params={"users": str(known["users"])}, env={}
+    )
+    path = shared_path(spark)
+    for _ in range(2):
+        runs.append_run(record, path)
+    kept = spark.read.parquet(path)
+    return kept.groupBy("created_at", "dataset.alias", "dataset.rows", kept["params"]["users"].alias("users")).agg(F.count("*").cast("int").alias("times"))
+
+
 @register("""WITH m AS (SELECT concat_ws(':', o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT)) AS line, substr(sha256(CAST(o_orderkey
  AS VARCHAR)), 1, 3) AS part, o_custkey AS n FROM orders),
  p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS c, sum(n) AS n FROM m GROUP BY part)
@@ -500,6 +516,12 @@ def c1_align_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return asof.align_nearest(*_sides(spark, sf), 21600.0, U)
 
 
+@register(SQL["c1_align_nearest"])
+def c1_align_in_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Each recording in slices of four days."""
+    return asof.align_nearest(*_sides(spark, sf), 21600.0, U, slice_s=345600.0)
+
+
 @register(f"""WITH {EV}, {NEAR.replace("a AS (SELECT subject, sample, t FROM", "a AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY sample) - 1 AS sample, t, y AS click FROM")}
 SELECT subject, sample, t, click, CASE WHEN pt IS NOT NULL AND (nt IS NULL OR t - pt <= nt - t) THEN CASE WHEN t - pt <= 21600 THEN py END ELSE CASE
  WHEN nt - t <= 21600 THEN ny END END AS view FROM n""")
@@ -559,14 +581,14 @@ def c8_sparse_trace(spark: SparkSession, sf: str) -> DataFrame:
  >= b.start_s AND e.t < b.end_s)""")
 def c9_samples_in_epochs(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
-    return intervals.samples_in(own, bouts_of(own), 43200.0, U, how="left_semi").select("subject", "sample")
+    return intervals.samples_in(own, bouts_of(own), U, how="left_semi").select("subject", "sample")
 
 
 @register(f"""WITH {EV}, {epochs_sql('bout')} SELECT subject, event_type, event_time FROM (SELECT subject, channel AS event_type, t AS event_time FROM
  ev) e WHERE NOT EXISTS (SELECT 1 FROM bout b WHERE b.subject = e.subject AND event_time BETWEEN b.start_s AND b.end_s)""")
 def c10_events_outside_bouts(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
-    return eta.drop_events_in_bouts(own.select("subject", F.col("channel").alias("event_type"), F.col("t").alias("event_time")), bouts_of(own), 43200.0, U)
+    return eta.drop_events_in_bouts(own.select("subject", F.col("channel").alias("event_type"), F.col("t").alias("event_time")), bouts_of(own), U)
 
 
 WEEKS = "w AS (SELECT subject, session AS interval_id, min(t) AS start_s, max(t) AS end_s FROM ev GROUP BY ALL)"
@@ -582,7 +604,7 @@ OVERLAP = f"""o AS (SELECT w.subject, interval_id, w.start_s, w.end_s, count(b.s
 def c11_epoch_overlap(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     weeks = own.groupBy("subject", F.col("session").alias("interval_id")).agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    return intervals.epoch_overlap(weeks, bouts_of(own), 86400.0, U).select(
+    return intervals.epoch_overlap(weeks, bouts_of(own), U).select(
         "subject", "interval_id", "n_overlapping", "open_at_start", *r6("overlap_s", "first_start_s")
     )
 
@@ -592,7 +614,7 @@ def c11_epoch_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def c12_epoch_latency(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
     weeks = own.groupBy("subject", F.col("session").alias("interval_id")).agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    return intervals.epoch_latency(weeks, bouts_of(own), 86400.0, U).select("subject", "interval_id", F.round("latency_s", 6).alias("latency_s"))
+    return intervals.epoch_latency(weeks, bouts_of(own), U).select("subject", "interval_id", F.round("latency_s", 6).alias("latency_s"))
 
 
 @register(
@@ -602,7 +624,7 @@ def c9_ship_dates_in_span(spark: SparkSession, sf: str) -> DataFrame:
     secs = lambda c: (F.unix_timestamp(F.col(c).cast("timestamp"))).cast("double")
     line = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", secs("l_shipdate").alias("t"))
     spans = read_table(spark, sf, "orders").select("o_orderkey", secs("o_orderdate").alias("start_s"), (secs("o_orderdate") + 60 * 86400).alias("end_s"))
-    inside = intervals.samples_in(line, spans, 60 * 86400.0, ("o_orderkey",)).groupBy("o_orderkey").agg(F.count("*").alias("n_inside"))
+    inside = intervals.samples_in(line, spans, ("o_orderkey",)).groupBy("o_orderkey").agg(F.count("*").alias("n_inside"))
     n = line.join(spans.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(F.count("*").alias("n_lines"))
     return n.join(inside, "o_orderkey", "left").select(
         "o_orderkey", "n_lines", F.coalesce("n_inside", F.lit(0)).cast("decimal(38,0)").cast("double").alias("n_inside")
@@ -645,6 +667,13 @@ def d8_detect_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("subject", "epoch_id", "start_idx", "end_idx", *r6("start_s", "end_s"), F.round("duration_s", 3).alias("duration_s"))
 
 
+@register(SQL["d8_detect_epochs"])
+def d8_epochs_in_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Each recording in slices of four days."""
+    made = segments.detect_epochs(event_samples(spark, sf), F.col("y") > 30, "bout", 20000.0, HOUR, 172800.0, U, 345600.0)
+    return made.select("subject", "epoch_id", "start_idx", "end_idx", *r6("start_s", "end_s"), F.round("duration_s", 3).alias("duration_s"))
+
+
 @register(f"""WITH {EV}, p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, sample) - 1 AS idx FROM ev), e AS (SELECT subject,
  row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS epoch_id, t - 3600 AS s, t + 86400 AS e FROM ev WHERE channel = 'purchase')
 SELECT e.subject, epoch_id, round(s, 6) AS start_s, round(e, 6) AS end_s, min(idx) AS start_idx, max(idx) AS end_idx FROM e LEFT JOIN p ON p.subject =
@@ -722,7 +751,7 @@ def f2_baselined_traces(spark: SparkSession, sf: str) -> DataFrame:
 SELECT subject, event_id, roi, rel_idx, round(v - b, 6) + 0.0 AS value FROM marked JOIN base USING (subject, event_id, roi)""")
 def f4_clean_baseline(spark: SparkSession, sf: str) -> DataFrame:
     own = event_samples(spark, sf)
-    marked = eta.flag_outside_bouts(_traces(spark, sf), bouts_of(own), 43200.0, U)
+    marked = eta.flag_outside_bouts(_traces(spark, sf), bouts_of(own), U)
     return eta.subtract_baseline(marked, BASE, U, F.col("clean"), 2).select("subject", "event_id", "roi", "rel_idx", *r6("value"))
 
 
@@ -792,15 +821,25 @@ def _gaps(samples: DataFrame) -> DataFrame:
 SG5 = ((31 / 35, 9 / 35, -3 / 35, -5 / 35, 3 / 35), (9 / 35, 13 / 35, 12 / 35, 6 / 35, -5 / 35), (-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35))
 
 
-def sg5_sql(source: str, out: str) -> str:
+def own_gaps_sql(source: str, out: str) -> str:
+    """CTEs from (channel, i, t, y) to the same with v, whose gaps are interpolated in time."""
+    return f"""{out}_k AS (SELECT * FROM {source} WHERE y IS NOT NULL), {out}_p AS (SELECT g.*, a.t AS pt, a.y AS py FROM {source} g ASOF LEFT JOIN
+ {out}_k a ON g.channel = a.channel AND g.t >= a.t),
+ {out}_n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM {out}_p p ASOF LEFT JOIN {out}_k b ON p.channel = b.channel AND p.t <= b.t),
+ {out} AS MATERIALIZED (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t
+ - pt) / (nt - pt) END AS v FROM {out}_n)"""
+
+
+def sg5_sql(source: str, out: str, weights=None) -> str:
     """CTEs that smooth (channel, i, v) with these weights; ``out`` has (channel, i, v)."""
+    own = weights or SG5
     take = lambda k: f"nth_value(v, {k + 1}) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     last = lambda k: f"nth_value(v, {k + 1}) OVER (PARTITION BY channel ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     row = lambda ws, get: " + ".join(f"({w}) * {get(k)}" for k, w in enumerate(ws))
-    mid = " + ".join(f"({w}) * " + (f"lag(v, {2 - k}) OVER w" if k < 2 else "v" if k == 2 else f"lead(v, {k - 2}) OVER w") for k, w in enumerate(SG5[2]))
+    mid = " + ".join(f"({w}) * " + (f"lag(v, {2 - k}) OVER w" if k < 2 else "v" if k == 2 else f"lead(v, {k - 2}) OVER w") for k, w in enumerate(own[2]))
     return f"""{out}_n AS (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM {source}),
- {out} AS (SELECT channel, i, CASE WHEN i = 0 THEN {row(SG5[0], take)} WHEN i = 1 THEN {row(SG5[1], take)} WHEN i = n - 1 THEN {row(SG5[0], last)}
- WHEN i = n - 2 THEN {row(SG5[1], last)} ELSE {mid} END AS v
+ {out} AS (SELECT channel, i, CASE WHEN i = 0 THEN {row(own[0], take)} WHEN i = 1 THEN {row(own[1], take)} WHEN i = n - 1 THEN {row(own[0], last)}
+ WHEN i = n - 2 THEN {row(own[1], last)} ELSE {mid} END AS v
   FROM {out}_n WINDOW w AS (PARTITION BY channel ORDER BY i))"""
 
 
@@ -897,6 +936,15 @@ def g8_remapped_inliers(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.prepare_trace(*_later(spark, sf), 1.5, None, None, None, C).select("channel", "sample", F.round("y", 5).alias("y"))
 
 
+@register(f"""WITH {EV}, {SERIES}, {REMAPPED}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM lin GROUP BY channel),
+ cut AS (SELECT channel, sample AS i, CAST(sample AS DOUBLE) AS t, CASE WHEN y BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) THEN y END AS y FROM lin JOIN q USING (channel)),
+ {own_gaps_sql('cut', 'whole')}, {sg5_sql('whole', 'smooth', filters.savgol_matrix(5, 3).tolist())}
+SELECT s.channel, s.i AS sample, CASE WHEN w.y IS NOT NULL THEN round(s.v, 5) + 0.0 END AS y FROM smooth s JOIN whole w ON w.channel = s.channel AND w.i = s.i""")
+def g8_inliers_smoothed_by_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """Remapped, outliers away, their gaps bridged for the smoothing by seconds and put back. The last step is for series without gaps, as in g8_prepare_trace."""
+    return preproc.prepare_trace(*_later(spark, sf), 1.5, 5.0, 1.0, None, C).select("channel", "sample", (F.round("y", 5) + F.lit(0.0)).alias("y"))
+
+
 #: Weights of a quadratic through 7 places: the first three rows and the middle one.
 SG7 = (
     (32 / 42, 15 / 42, 3 / 42, -4 / 42, -6 / 42, -3 / 42, 5 / 42), (15 / 42, 12 / 42, 9 / 42, 6 / 42, 3 / 42, 0.0, -3 / 42),
@@ -904,26 +952,32 @@ SG7 = (
 )
 
 
-def _speed_sql() -> str:
-    """Values within 2 quartile ranges, numbered anew, fitted by their place in the first, the last or the middle of a window of 7."""
+def _variable_sql(k: float, weights: Sequence[Sequence[float]]) -> str:
+    """Values within k quartile ranges, numbered anew, fitted by their place in the first, the last or the middle of a window."""
+    size, half = len(weights[-1]), len(weights[-1]) // 2
     dot = lambda row, places: " + ".join(f"({w}) * l[{i}]" for w, i in zip(row, places, strict=True))
-    head = " ".join(f"WHEN i = {k} THEN {dot(SG7[k], range(1, 8))}" for k in range(3))
-    tail = " ".join(f"WHEN i = n - {k + 1} THEN {dot(SG7[k], range(7, 0, -1))}" for k in range(3))
+    head = " ".join(f"WHEN i = {j} THEN {dot(weights[j], range(1, size + 1))}" for j in range(half))
+    tail = " ".join(f"WHEN i = n - {j + 1} THEN {dot(weights[j], range(size, 0, -1))}" for j in range(half))
     return f"""WITH {EV}, {SERIES}, q AS (SELECT channel, quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM ser GROUP BY channel),
- v AS (SELECT channel, sample, y, coalesce(y BETWEEN a - 2 * (b - a) AND b + 2 * (b - a), false) AS valid FROM ser JOIN q USING (channel)),
+ v AS (SELECT channel, sample, y, coalesce(y BETWEEN a - {k} * (b - a) AND b + {k} * (b - a), false) AS valid FROM ser JOIN q USING (channel)),
  k AS (SELECT channel, sample, y, row_number() OVER (PARTITION BY channel ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY channel) AS n FROM v
  WHERE valid),
  win AS (SELECT a.channel, a.sample, a.i, a.n, list(b.y ORDER BY b.i) AS l FROM k a JOIN k b ON b.channel = a.channel AND b.i BETWEEN greatest(0,
- least(a.n - 7, a.i - 3)) AND greatest(0, least(a.n - 7, a.i - 3)) + 6 GROUP BY ALL),
- s AS (SELECT channel, sample, CASE {head} {tail} ELSE {dot(SG7[3], range(1, 8))} END AS y FROM win)
+ least(a.n - {size}, a.i - {half})) AND greatest(0, least(a.n - {size}, a.i - {half})) + {size - 1} GROUP BY ALL),
+ s AS (SELECT channel, sample, CASE {head} {tail} ELSE {dot(weights[half], range(1, size + 1))} END AS y FROM win)
 SELECT v.channel, v.sample, valid, round(s.y, 5) + 0.0 AS y FROM v LEFT JOIN s ON s.channel = v.channel AND s.sample = v.sample"""
 
 
-@register(_speed_sql())
+@register(_variable_sql(2.0, SG7))
 def g9_process_variable(spark: SparkSession, sf: str) -> DataFrame:
     return preproc.process_variable(series_of(spark, sf), "speed_mm", C).select("channel", "sample", "valid", (F.round("y", 5) + 0.0).alias("y"))
 
 
+@register(_variable_sql(1.5, filters.savgol_matrix(15, 3).tolist()))
+def g9_process_pupil(spark: SparkSession, sf: str) -> DataFrame:
+    return preproc.process_variable(series_of(spark, sf), "pupil_diameter_mm", C).select("channel", "sample", "valid", (F.round("y", 5) + F.lit(0.0)).alias("y"))
+
+
 @register(f"""WITH {EV}, s AS (SELECT subject, session, min(t) + 3600 AS lo, max(t) - 3600 AS hi FROM ev GROUP BY ALL HAVING max(t) - 3600 >= min(t) +
  3600), o AS (SELECT *, coalesce(sum(hi - lo + 60) OVER (PARTITION BY subject ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
  AS off FROM s)
@@ -1061,6 +1115,35 @@ def h9_ssd(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.ssd(_matrix(spark, sf), (0.15, 0.2), [(0.05, 0.1), (0.25, 0.3)], keys=U)
 
 
+def _residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per component of the decomposition: how far S w is from ratio R w, w' R w from 1, and the next one's ratio from being no larger.
+
+    S and R are summed up from the cross-spectral matrix anew, R with its share of the trace on the diagonal."""
+    half = _matrix(spark, sf).select("subject", "k", "l", "freq", "re")
+    full = half.unionByName(half.where("k <> l").select("subject", F.col("l").alias("k"), F.col("k").alias("l"), "freq", "re"))
+    inside, beside = F.col("freq").between(0.15, 0.2), F.col("freq").between(0.05, 0.1) | F.col("freq").between(0.25, 0.3)
+    cov = full.groupBy("subject", "k", "l").agg(
+        F.sum(F.when(inside, F.col("re"))).alias("s"), F.sum(F.when(beside, F.col("re"))).alias("r"), F.count_if(inside).alias("ns"), F.count_if(beside).alias("nr")
+    )
+    trace = cov.where("k = l").groupBy("subject").agg((0.01 * F.avg("r")).alias("more"))
+    cov = cov.join(trace, "subject").withColumn("r", F.col("r") + F.when(F.col("k") == F.col("l"), F.col("more")).otherwise(0.0))
+    found = spectral.ssd(_matrix(spark, sf), (0.15, 0.2), [(0.05, 0.1), (0.25, 0.3)], keys=U).select("component", "channel", "ratio", F.col("filter").alias("w"))
+    other = found.select("component", F.col("channel").alias("l"), F.col("w").alias("wl"), "ratio")
+    rows = cov.join(other, "l").groupBy("component", "k").agg(
+        F.sum(F.col("s") * F.col("wl")).alias("sw"), F.sum(F.col("r") * F.col("wl")).alias("rw"), F.max(F.col("ratio") * F.col("ns") / F.col("nr")).alias("value"), F.max("ratio").alias("ratio")
+    )
+    told = rows.join(found.select("component", F.col("channel").alias("k"), "w"), ["component", "k"]).groupBy("component").agg(
+        (F.sqrt(F.sum((F.col("sw") - F.col("value") * F.col("rw")) ** 2)) / F.sqrt(F.sum(F.col("sw") ** 2))).alias("residual"), F.sum(F.col("w") * F.col("rw")).alias("norm"), F.max("ratio").alias("ratio")
+    )
+    return told.withColumn("falling", F.coalesce(F.col("ratio") >= F.lead("ratio").over(Window.orderBy("component")), F.lit(True)))
+
+
+#: A decomposition has as many components as there are channels with a value at every sample; each solves its equation.
+@register(f"""WITH {EV}, c AS (SELECT count(DISTINCT channel) AS n FROM ev) SELECT CAST(unnest(range(0, n)) AS INTEGER) AS component, 0.0 AS residual, 1.0 AS norm, true AS falling FROM c""")
+def h9_ssd_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    return _residuals(spark, sf).select("component", (F.round("residual", 6) + F.lit(0.0)).alias("residual"), F.round("norm", 6).alias("norm"), "falling")
+
+
 @register()
 def h10_ssd_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.ssd_scan(_matrix(spark, sf), [0.15, 0.2, 0.25], 0.02, (0.04, 0.08), keys=U)
@@ -1338,15 +1421,6 @@ def j8_treadmill_status(spark: SparkSession, sf: str) -> DataFrame:
 # --- K: pupil and peaks -----------------------------------------------------------------------------------------------
 
 
-def own_gaps_sql(source: str, out: str) -> str:
-    """CTEs from (channel, i, t, y) to the same with v, whose gaps are interpolated in time."""
-    return f"""{out}_k AS (SELECT * FROM {source} WHERE y IS NOT NULL), {out}_p AS (SELECT g.*, a.t AS pt, a.y AS py FROM {source} g ASOF LEFT JOIN
- {out}_k a ON g.channel = a.channel AND g.t >= a.t),
- {out}_n AS (SELECT p.*, b.t AS nt, b.y AS ny FROM {out}_p p ASOF LEFT JOIN {out}_k b ON p.channel = b.channel AND p.t <= b.t),
- {out} AS MATERIALIZED (SELECT channel, i, t, y, CASE WHEN y IS NOT NULL THEN y WHEN pt IS NULL THEN ny WHEN nt IS NULL OR nt = pt THEN py ELSE py + (ny - py) * (t
- - pt) / (nt - pt) END AS v FROM {out}_n)"""
-
-
 def peaks_sql(source: str, prominence: float, separation: float = 0.0) -> str:
     """CTEs from (channel, i, t, y, v) to peaks, every pair of runs of equal values compared. The distance is kept by a walk down a channel's
     maxima, highest first, with a list of those that are kept (WITH RECURSIVE)."""
@@ -1432,7 +1506,7 @@ def k3_dilations_of_smoothed(spark: SparkSession, sf: str) -> DataFrame:
 def _still(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     own = event_samples(spark, sf)
     return pupil.quiescent_samples(
-        own.where("channel = 'view'"), own.where("channel <> 'view'"), 30.0, 43200.0, 1.0, HOUR, 0.0, 86400.0, ("subject", "session")
+        own.where("channel = 'view'"), own.where("channel <> 'view'"), 30.0, 43200.0, 1.0, HOUR, 0.0, ("subject", "session")
     )
 
 
@@ -1591,6 +1665,21 @@ def n1_user_extractor(spark: SparkSession, sf: str) -> DataFrame:
     return udf.to_frame(event_samples(spark, sf).select("subject", "y"), spread, "n long, spread double", U)
 
 
+@register(f"""WITH {EV}, o AS (SELECT subject, sample, y, row_number() OVER (PARTITION BY subject ORDER BY t, sample) AS i, max(y) OVER (PARTITION BY subject ORDER BY t,
+ sample ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM ev) SELECT subject, sample, i AS seen, round(top, 6) + 0.0 AS top FROM o""")
+def n1_running_extractor(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's running maximum, fed with the samples in order of time, batch by batch."""
+
+    def step(state, part):  # noqa: ANN001, ANN202
+        seen, top = state
+        tops = part["y"].cummax().clip(lower=top).round(6) + 0.0
+        made = part[["sample"]].assign(seen=range(seen + 1, seen + len(part) + 1), top=tops)
+        return (seen + len(part), float(max(top, part["y"].max()))), made
+
+    own = event_samples(spark, sf).select("subject", "sample", "t", "y")
+    return udf.stream_of(own, lambda: (0, float("-inf")), step, "sample long, seen long, top double", U)
+
+
 # --- Smaller items ----------------------------------------------------------------------------------------------------
 
 

@@ -84,9 +84,8 @@ def test_event_interpolation_is_null_outside(spark):
 def test_overlap_and_latency(spark):
     one = spans(spark, [(0, 10)]).withColumnRenamed("epoch_id", "interval_id")
     ep = spans(spark, [(-1, 2), (5, 6), (9, 12)])
-    for width in (1.0, 7.0, 100.0):
-        made = intervals.epoch_latency(one, ep, width, R).first()
-        assert (made.n_overlapping, made.overlap_s, made.open_at_start, made.first_start_s, made.latency_s) == (3, 4.0, True, 5.0, 0.0)
+    made = intervals.epoch_latency(one, ep, R).first()
+    assert (made.n_overlapping, made.overlap_s, made.open_at_start, made.first_start_s, made.latency_s) == (3, 4.0, True, 5.0, 0.0)
 
 
 def periods(spark, bouts, span):

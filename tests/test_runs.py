@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratoscope.operators import pupil
+from stratoscope.operators import pupil, select
 from stratoscope.plans import udf
 from stratoscope.sources import runs
 
@@ -54,6 +55,17 @@ def test_missing_sessions_are_named(spark):
         pupil.require_session(df, "s1")
 
 
+def test_missing_sources_and_channels_are_named(spark):
+    """Beyond a thousand names too."""
+    df = spark.range(3000).select(F.lit("A").alias("subject"), F.concat(F.lit("src"), F.col("id")).alias("source"), F.lit("speed_mm").alias("channel"), F.col("id").alias("sample"), F.lit(0.0).alias("t"))
+    assert select.signal(df, "src2999", "speed_mm", required=True).count() == 1
+    assert select.time_vector(df, "src2999", ("subject",), required=True).count() == 1
+    with pytest.raises(LookupError, match="'src2999'"):
+        select.time_vector(df, "scr2999", ("subject",), required=True)
+    with pytest.raises(LookupError, match="speed_mm"):
+        select.signal(df, "src7", "sped_mm", required=True)
+
+
 def test_user_functions_may_skip(spark):
     df = spark.createDataFrame([("A", 1.0), ("A", 3.0), ("B", 5.0)], "subject string, y double")
     made = udf.to_frame(df, lambda part: None if len(part) < 2 else {"top": part["y"].max()}, "top double", ("subject",))
