@@ -359,6 +359,14 @@ def test_chat_reads_back_and_judges_turns(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def test_chat_of_a_very_long_text(spark):
+    text = "said <|im_end|> & <| &lt;| é🙂\n" * 40_000
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    made = chat.chat_digest(chat.format_chat(df)).first()
+    assert (made.n_turns, made.loss_chars, made.loss_sha256) == (3, 2 * len(text), hashlib.sha256((2 * text).encode()).hexdigest())
+    assert made.turns_sha256 == hashlib.sha256(f"user\na\n{f'assistant{chr(10)}{text}{chr(10)}' * 2}".encode()).hexdigest()
+
+
 def test_benchmark_spans_point_into_the_text(spark, odd, none):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     items = spark.createDataFrame(
