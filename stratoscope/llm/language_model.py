@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +22,13 @@ from .lattice import LITERAL, Block, PieceTrie, blocks, expected, forward
 from .sentence_pieces import MODEL, SPACE, PieceCoder, coder, read_model
 
 END = b""  # no word is empty
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK_MB = 32
+#: Distinct words at which a chunk ends before BLOCK_MB; 32 MB of running text have about 600,000.
+MOST_WORDS = 1 << 20
+#: Bytes of a text that are cut into words, and tokens of rows that are looked up, at a time.
+STRETCH = 1 << 20
+TOKENS = 1 << 18
 #: Classes of texts (a power of 2), told apart by the hashed triples of bytes of their whole texts.
 CLASSES = 8
 CELLS = 128
@@ -38,6 +47,37 @@ def spelling(word: bytes) -> str:
     return SPACE + word.decode().replace(SPACE, LITERAL)
 
 
+def stretches(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about STRETCH bytes, cut at blanks only."""
+    at = 0
+    while len(text) - at > STRETCH:
+        found = BLANK.search(text, at + STRETCH)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
+def runs(rows: list, sizes: list[int]) -> Iterator[list]:
+    """The rows in runs of up to 1,000 that have about TOKENS tokens at the most; a longer row is a run of its own."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == 1000 or total + n > TOKENS):
+            yield rows[at:i]
+            at, total = i, 0
+        total += n
+    if at < len(rows):
+        yield rows[at:]
+
+
+def give_back() -> None:
+    """Workers outlive their tasks, and what they have freed counts as theirs until it goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
 def scores_as_weights(own: PieceCoder) -> np.ndarray:
     """The vocabulary's own scores as weights by id. They are ranks (the file is of the BPE kind), and a rank r is given a share that falls as 1 / r."""
     known = np.isfinite(own.scores)
@@ -120,7 +160,9 @@ def _lattice(own: PieceCoder, seen: np.ndarray | None = None, words: float = 0.0
 
 
 def byte_triples(text: bytes) -> np.ndarray:
-    """Numbers of the text's byte triples in CELLS hash cells, A-Z lowered."""
+    """Numbers of the text's byte triples in CELLS hash cells, A-Z lowered; of a long text, STRETCH triples at a time."""
+    if len(text) > STRETCH + 2:
+        return np.sum([byte_triples(text[k : k + STRETCH + 2]) for k in range(0, len(text) - 2, STRETCH)], axis=0, dtype=np.int32)
     b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.zeros(CELLS, np.int32)
@@ -226,56 +268,69 @@ class _Places(dict):
 def _dictionary(classes: TextClasses, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(id, held, t) to each chunk's distinct words by class, with their numbers in its training rows, and to its rows as places in that list.
 
-    A chunk is about BLOCK_MB of one task's text. A place takes three bytes: a chunk has fewer words than that can count.
+    A chunk is of one task's text: it ends after the row that brings it to BLOCK_MB or to MOST_WORDS distinct words, whichever is first.
+    While it grows, its words are kept once for all classes, and its rows as numbers of these, four bytes a token; a place takes three bytes.
     """
     names = [x.split()[0] for x in PARTS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), kind, pa.bool_(), pa.binary()]
     k = len(classes.prior)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        words, rows = [_Places() for _ in range(k)], []
-
-        def made(count: int, **columns: pa.Array) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), kind, pa.bool_(), pa.binary()]
-            return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(count, t)) for name, t in zip(names, kinds, strict=True)], names=names)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for c in range(k):
-                own = [r for r in rows if r[0] == c]
-                if not own:
-                    continue
-                train = [np.zeros(0, np.int64), *(r[3] for r in own if not r[2])]
-                counts = np.bincount(np.concatenate(train), minlength=len(words[c]))
-                listed = pa.array(list(words[c]), pa.binary()).cast(pa.string())
-                for at in range(0, len(listed), 100_000):
-                    part = listed.slice(at, 100_000)
-                    n = len(part)
-                    yield made(
-                        n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), place=pa.array(np.arange(at, at + n), pa.int32()),
-                        word=part, n=pa.array(counts[at : at + n])
-                    )
-                for at in range(0, len(own), 1000):
-                    part = own[at : at + 1000]
-                    tokens = [np.ascontiguousarray(r[3].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes() for r in part]
-                    n = len(part)
-                    yield made(
-                        n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), id=pa.array([r[1] for r in part], kind),
-                        held=pa.array([r[2] for r in part]), tokens=pa.array(tokens, pa.binary())
-                    )
+    def made(count: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(count, t)) for name, t in zip(names, kinds, strict=True)], names=names)
+
+    def numbers(text: bytes, words: _Places) -> np.ndarray:
+        if len(text) > STRETCH:
+            made = [np.fromiter(map(words.__getitem__, x), np.uint32, len(x)) for x in map(blank_words, stretches(text))]
+            return np.concatenate([*made, np.array([words[END]], np.uint32)])
+        tokens = blank_words(text)
+        tokens.append(END)
+        return np.fromiter(map(words.__getitem__, tokens), np.uint32, len(tokens))
+
+    def listed(chunk: int, words: _Places, rows: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        all_words = pa.array(list(words), pa.binary())
+        for c, own in enumerate(rows):
+            if not own:
+                continue
+            there, counts = np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+            for part in runs(own, [len(r[2]) for r in own]):
+                there[np.concatenate([r[2] for r in part])] = True
+                counts += np.bincount(np.concatenate([np.zeros(0, np.uint32), *(r[2] for r in part if not r[1])]), minlength=len(words))
+            which = np.flatnonzero(there)
+            for at in range(0, len(which), 100_000):
+                some = which[at : at + 100_000]
+                n = len(some)
+                yield made(
+                    n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), place=pa.array(np.arange(at, at + n), pa.int32()),
+                    word=all_words.take(pa.array(some)).cast(pa.string()), n=pa.array(counts[some])
+                )
+            place = np.zeros(len(words), "<u4")
+            place[which] = np.arange(len(which))
+            for part in runs(own, [len(r[2]) for r in own]):
+                packed = place[np.concatenate([r[2] for r in part])].view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+                ends = np.cumsum([3 * len(r[2]) for r in part]).tolist()
+                tokens = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                n = len(part)
+                yield made(
+                    n, chunk=pa.array([chunk] * n), cls=pa.array([c] * n, pa.int32()), id=pa.array([r[0] for r in part], kind),
+                    held=pa.array([r[1] for r in part]), tokens=pa.array(tokens, pa.binary())
+                )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, words, rows = TaskContext.get().partitionId() << 32, 0, _Places(), [[] for _ in range(k)]
         for batch in batches:
             for part in slices(batch):
                 texts = as_bytes(part.column(2))
                 of = classes.of(np.array([byte_triples(x) for x in texts])).tolist() if texts else []
                 for c, i, held, text in zip(of, part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                    tokens = blank_words(text)
-                    tokens.append(END)
-                    rows.append((c, i, held, np.fromiter(map(words[c].__getitem__, tokens), np.int64, len(tokens))))
+                    rows[c].append((i, held, numbers(text, words)))
                     size += len(text)
-                    if size > BLOCK_MB << 20:
-                        yield from flush()
-                        chunk, size, words, rows = chunk + 1, 0, [_Places() for _ in range(k)], []
-        yield from flush()
+                    if size > BLOCK_MB << 20 or len(words) > MOST_WORDS:
+                        yield from listed(chunk, words, rows)
+                        chunk, size, words, rows = chunk + 1, 0, _Places(), [[] for _ in range(k)]
+                        give_back()
+        yield from listed(chunk, words, rows)
+        del words, rows
+        give_back()
 
     return run
 
@@ -320,6 +375,7 @@ def _piece_sums(proto: bytes, seen: np.ndarray | None, words: tuple[float, ...])
                 there = np.flatnonzero(batch.column(1 + i).to_numpy() > 0)
                 if len(there):
                     total[i] += lattices[i].expected([spelled[j] for j in there])
+        give_back()
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at])], names=["cls", "piece", "v"])
 
@@ -347,6 +403,7 @@ def _word_logs(proto: bytes, seen: np.ndarray, totals: Totals) -> Callable[[Iter
                         [batch.column(0).take(pa.array(there)), pa.array(np.full(len(there), i), pa.int32()), pa.array(c[there]), pa.array(logs)],
                         names=names
                     )
+        give_back()
 
     return run
 
@@ -354,24 +411,28 @@ def _word_logs(proto: bytes, seen: np.ndarray, totals: Totals) -> Callable[[Iter
 def _scorer(totals: Totals, prior: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows = rows.sort_by("of")
-        cls, place = (found.column(x).to_numpy() for x in ("cls", "place"))
+        cls, place, counts, logs = (found.column(x).to_numpy() for x in ("cls", "place", "c", "lp"))
         out: list[np.ndarray] = [np.zeros((4, 0))]
         of = rows.column("of").to_numpy()
+        sizes = pc.binary_length(rows.column("tokens")).to_numpy() // 3
         for i in np.unique(of).tolist():
             own = np.flatnonzero(cls == i)
             c, lp = np.zeros(len(own), np.int64), np.zeros(len(own))
-            c[place[own]], lp[place[own]] = found.column("c").to_numpy()[own], found.column("lp").to_numpy()[own]
-            base = np.log10((c + 1) / (totals.tokens + totals.distinct + 1))
+            c[place[own]], lp[place[own]] = counts[own], logs[own]
+            base, there = np.log10((c + 1) / (totals.tokens + totals.distinct + 1)), (c > 0).astype(float)
             at = np.flatnonzero(of == i)
-            for k in range(at[0], at[-1] + 1, 2000):
-                texts = rows.column("tokens").slice(k, min(2000, at[-1] + 1 - k)).to_pylist()
-                packed = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, 3).astype(np.int64)
-                tokens = packed[:, 0] | packed[:, 1] << 8 | packed[:, 2] << 16
-                n = np.array([len(x) // 3 for x in texts])
+            for part in runs(range(at[0], at[-1] + 1), sizes[at].tolist()):
+                texts = rows.column("tokens").slice(part[0], len(part)).to_pylist()
+                tokens = np.zeros((sum(map(len, texts)) // 3, 4), np.uint8)
+                tokens[:, :3] = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, 3)
+                tokens = tokens.view("<u4").ravel()
+                n = sizes[part[0] : part[-1] + 1]
                 starts = np.cumsum(n) - n  # each row has a token, its end
-                sums = [np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(float), base, lp)]
+                sums = [np.add.reduceat(x[tokens], starts) for x in (there, base, lp)]
                 out.append(np.array([n, sums[0], sums[1], sums[2] + prior[i] / LOG10]))
         n, known, base, score = np.hstack(out)
+        del found, cls, place, counts, logs
+        give_back()
         return pa.table(
             {
                 "id": rows.column("id"), "held": rows.column("held"), "n_tokens": pa.array(n.astype(np.int64)),
