@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship, staged
 
-__all__ = ["as_bytes", "blank_words", "letter_words", "map_text", "rekeyed", "slices", "staged", "table"]
+__all__ = ["as_bytes", "blank_words", "letter_words", "map_text", "named", "rekeyed", "slices", "staged", "table"]
 
 FOLDED = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in bytes(range(256)).lower())
 
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of just this name, with dots or backticks in it; what goes to Arrow tasks is renamed, as Spark looks names up there as they stand."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def rekeyed(key: Column | str) -> Column:
     """The same string key as an expression of its own.
 
@@ -50,9 +55,9 @@ def map_text(df: DataFrame, keep: list[str], text: str, make: Callable[[], Calla
     ``make`` runs once per task and returns the function from texts (UTF-8, null as empty) to one Arrow array per field;
     the columns in ``keep`` pass through untouched.
     """
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*source.schema.fields[: len(keep)], *fields])
     n = len(keep)
+    schema = T.StructType([*df.select(*[named(c) for c in keep]).schema.fields, *fields])
+    source = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(text).alias("text"))
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

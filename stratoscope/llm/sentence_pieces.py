@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import map_text, slices
+from .common import map_text, named, slices
 from .lattice import LITERAL, PieceTrie, best_paths, blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -260,8 +260,8 @@ def decode_pieces(docs: DataFrame, ids_col: str = "ids", text_col: str = "decode
     """``docs`` with the text of each row's ids; null ids have the text ''. A column named as ``text_col`` is replaced."""
     proto = read_model(model)
     keep = [c for c in docs.columns if c != text_col]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids_col}`").alias("__ids"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(text_col, T.StringType())])
+    schema = T.StructType([*docs.select(*[named(c) for c in keep]).schema.fields, T.StructField(text_col, T.StringType())])
+    source = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(ids_col).alias("ids"))
 
     def run(batches):
         own = coder(proto)
