@@ -44,8 +44,9 @@ def confirmed_bouts(
 ) -> DataFrame:
     """(subject, start_s, confirmed_s) as soon as a bout has lasted ``min_duration_s``: once per bout, without looking ahead.
 
-    State per subject is the open bout's start, last sample and whether it was reported; it goes once the watermark is past the pause that ends the bout. Within a micro-batch samples are taken in the order
-    of time; samples that are older than the state's last one, or than the watermark, are dropped.
+    State per subject is the open bout's start, last sample and whether it was reported; it goes once the watermark is past the pause that ends the bout.
+    Within a micro-batch samples are taken in the order of time, for which a subject's times at or above ``least`` are held, 8 bytes each;
+    samples that are older than the state's last one, or than the watermark, are dropped, and those without a time or value.
     """
     ship(samples.sparkSession)
 
@@ -54,12 +55,13 @@ def confirmed_bouts(
             state.remove()
             return
         start, last, told = state.get if state.exists else (None, -1e300, False)
-        out, latest = [], 0
-        for part in parts:
+        out, latest, times = [], 0, []
+        for part in parts:  # a subject's rows come in several parts, in no order of time
             latest = max(latest, int(part["ms"].max()))
-            t = np.sort(part["t"].to_numpy()[(part["y"] >= least) & (part["t"] > last)])
-            if not len(t):
-                continue
+            times.append(part["t"].to_numpy()[part["t"] > last])
+        t = np.concatenate(times)
+        t.sort()
+        if len(t):
             opens = np.diff(t, prepend=last) > merge_gap_s
             opens[0] |= start is None
             bout = np.cumsum(opens)  # 0 is the state's
@@ -75,7 +77,8 @@ def confirmed_bouts(
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(merge_gap_s * 1000) + 1)
         yield pd.DataFrame({"subject": [keys[0]] * len(out), "start_s": [x for x, _ in out], "confirmed_s": [x for _, x in out]})
 
-    held = samples.withWatermark(time, watermark).select(F.col(key).alias("subject"), time, F.unix_millis(time).alias("ms"), "t", "y")
+    high = samples.withWatermark(time, watermark).where((F.col("y") >= least) & ~F.isnan("y") & F.col("t").isNotNull() & F.col(time).isNotNull())
+    held = high.select(F.col(key).alias("subject"), time, F.unix_millis(time).alias("ms"), "t")
     return held.groupBy("subject").applyInPandasWithState(step, CONFIRMED, "start double, last double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -39,3 +39,18 @@ def test_window_summary(spark, tmp_path):
     made = online.stream_summary(df).orderBy("window_start").collect()
     assert [(r.n, r.max) for r in made] == [(6, 5.0), (6, 11.0)]
     assert online.stream_summary(df, "1 hour", "30 minutes").count() == 5
+
+
+def test_confirmed_bouts_of_subjects_that_workers_get_in_parts(spark, tmp_path):
+    """A subject's rows come in no order of time, and no more than five of them at once."""
+    path, size = str(tmp_path / "in"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(s, (k * 37) % 101 + 1000 * (k % 3), 10) for s in "AB" for k in range(303)]
+    write(spark, path, [*rows, ("A", 50, 0)])
+    spark.createDataFrame([("A", None, None, 10.0), ("B", START, 0.0, None)], "subject string, ts timestamp, t double, y double").write.mode("append").parquet(path)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    try:
+        made = drained(spark, online.confirmed_bouts(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), 5.0, 40.0, 3.0), "parts")
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(made.collect()) == [(s, t, t + 40.0) for s in "AB" for t in (0.0, 1000.0, 2000.0)]
