@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import discard, shared_path, ship
 from .anchors import LENGTH, ByteHashes, runs
 from .common import as_bytes, slices, staged
 
@@ -138,27 +138,33 @@ def _but_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def repeated_stretches(source: DataFrame) -> DataFrame:
-    """(id, g, p, n) byte stretches to remove; they may overlap. source: (id, g, t), of which (id, g) names a text.
+    """(id, g, spans): byte stretches to remove, as _merged gives them. source: (id, g, t), of which (id, g) names a text.
 
     1. Each string of LENGTH bytes has one anchor, its smallest-hashed gram; consecutive strings with one anchor form a run.
        Hashes of anchors are counted, with a sum in each task first. A string whose anchor occurs once has no copy.
     2. Runs whose anchor recurs are compared whole, by hash: but for the first, equal runs go.
     3. Of the different runs around an anchor, the first of each is compared string by string: in buckets by anchor, or, where an
        anchor has more than CROWD surroundings, through an aggregate over the strings' hashes, which no hot anchor unbalances.
+
+    Each step is staged by itself and what it no longer needs is discarded, so that one step's shuffle files are on disk at a time.
     """
+    spark = source.sparkSession
+    again_at, first_at, gone_at, pieces_at, spans_at = (shared_path(spark) for _ in range(5))
     counts = source.select("t").mapInArrow(_emit_hashes, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     often = counts.select(_flipped("h").alias("k"))
     runs_of = source.select("id", "g", "t").mapInArrow(_emit_runs, RUN).select("id", "g", "p", "n", _flipped("h").alias("k"), "s")
-    again = staged(runs_of.join(often, "k", "left_semi").select("id", "g", "p", "n", _flipped("k").alias("h"), "s"))
-    first = staged(again.groupBy("h", "s").agg(F.min(F.struct("id", "g", "p")).alias("f"), F.first("n").alias("n")))
-    gone = _but_first(again.select("id", "g", "p", F.col("n").cast("long").alias("n")), first)
+    again = staged(runs_of.join(often, "k", "left_semi").select("id", "g", "p", "n", _flipped("k").alias("h"), "s"), again_at)
+    first = staged(again.groupBy("h", "s").agg(F.min(F.struct("id", "g", "p")).alias("f"), F.first("n").alias("n")), first_at)
+    gone = staged(_but_first(again.select("id", "g", "p", F.col("n").cast("long").alias("n")), first), gone_at)
+    discard(spark, again_at)
 
     around = first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(_flipped("h").alias("k"), (F.col("m") > CROWD).alias("hot"))
     edges = first.select("f", "n", _flipped("h").alias("k")).join(around, "k").select(
         "f.id", "f.g", F.struct("hot", _flipped("k").alias("h"), F.col("f.p").alias("p"), "n").alias("e")
     )
     per_doc = edges.groupBy("id", "g").agg(F.collect_list("e").alias("edges"))  # at most one for each run of the document
-    pieces = staged(source.join(per_doc, ["id", "g"]).select("id", "g", "t", "edges").mapInArrow(_emit_pieces, PIECE))
+    pieces = staged(source.join(per_doc, ["id", "g"]).select("id", "g", "t", "edges").mapInArrow(_emit_pieces, PIECE), pieces_at)
+    discard(spark, first_at)
 
     cold = pieces.where("not hot")
     buckets = cold.count() // BUCKET_ROWS + 1
@@ -168,7 +174,9 @@ def repeated_stretches(source: DataFrame) -> DataFrame:
     hot = pieces.where("hot").select("a", "b", "id", "g", "p")
     seen = hot.groupBy("a", "b").agg(F.min(F.struct("id", "g", "p")).alias("f"))
     strings = _but_first(hot.select("id", "g", "p", F.lit(LENGTH).cast("long").alias("n")), seen)
-    return gone.union(in_buckets).union(strings)
+    spans = staged(_merged(gone.union(in_buckets).union(strings)), spans_at)
+    discard(spark, gone_at, pieces_at)
+    return spans
 
 
 def _merged(stretches: DataFrame) -> DataFrame:
@@ -193,7 +201,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(docs.sparkSession)
     text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`")
     source = docs.select(key.alias("own"), F.coalesce(key.cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("g"), text.alias("t"))
-    spans = _merged(repeated_stretches(source))
+    spans = repeated_stretches(source)
     kind = source.schema["own"].dataType.simpleString()
     made = source.join(spans, ["id", "g"], "left").select("own", "t", "spans").mapInArrow(
         _cut, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"

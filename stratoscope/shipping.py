@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: Bytes of an Arrow batch on its way to a worker and back, where the session has no setting of its own: a few are held at once for each core.
@@ -49,14 +50,37 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it again: what several steps use is computed once, and a lost executor costs no earlier step."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it again: what several steps use is computed once, and a lost executor costs no earlier step.
+
+    With a ``path`` of its own, a table can be discarded, and its shuffle files go as soon as it is written; else they stay until the driver
+    happens to collect its garbage.
+    """
+    if path is None:
+        path = shared_path(df.sparkSession)
+        df.write.parquet(path)
+    else:
+        conf = df.sparkSession.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes staged tables that no later step reads."""
+    for path in paths:
+        _delete(spark, path)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Deletes what this application has written there; call it once its results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))

@@ -1,5 +1,8 @@
 import hashlib
+import pathlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,6 +10,7 @@ import pytest
 import xxhash
 from conftest import ODD, documents
 
+from stratoscope import shipping
 from stratoscope.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup
 from stratoscope.llm.components import components, extended
 
@@ -255,6 +259,29 @@ def test_very_long_repetitive_texts(spark):
     assert (made[1].n_removed, made[1].n_spans) == (999_999, 1) and (made[2].n_removed, made[2].n_spans) == (799_998, 1) and made[3].n_removed == 150
 
 
+def on_disk(spark):
+    """Numbers of the shuffles that have files, and the names of staged tables."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    folder = pathlib.Path(shipping.shared_dir(spark).removeprefix("file://"))
+    return set(re.findall(r"/shuffle_(\d+)_", files)), {x.name for x in folder.iterdir()} if folder.exists() else set()
+
+
+def test_steps_of_repeated_strings_free_the_disk(spark):
+    """Once the stretches are known, no shuffle but that of a count has files, and no table is left but theirs."""
+    rng = random.Random(3)
+    passages = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (150, 400)]
+    pairs = [(i, "".join(rng.choice("abcdé ") for _ in range(60)) + passages[i % 2]) for i in range(20)]
+    shuffles, tables = on_disk(spark)
+    made = substring_dedup.cut_repeats(documents(spark, pairs))
+    until = time.time() + 20
+    while len(on_disk(spark)[0] - shuffles) > 1 and time.time() < until:  # Spark deletes them on the side
+        time.sleep(0.2)
+    found = on_disk(spark)
+    assert len(found[0] - shuffles) <= 1 and len(found[1] - tables) == 1
+    assert spark.conf.get(shipping.CLEANUP, "false") == "false"
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in made.collect()} == brute_cut(pairs)
+
+
 def test_copies_of_a_page_count_once(spark):
     pages = [(i, f"home\nown {i}\nmore {i}") for i in range(0, 80, 2)] + [(2 * i, "home\nthe copied page\nits end") for i in range(100, 160)]
     made = {r.doc_id: r for r in line_dedup.drop_boilerplate(documents(spark, pages), copies=False).collect()}
